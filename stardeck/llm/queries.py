@@ -39,6 +39,22 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rotated_codes import search
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import bucket_of_id
+    from .lm_scoring import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = bucket_of_id("doc_id", 10) == 0
+    return score(docs, train(docs.where(~held_out).select("text")), held_out)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +63,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_simhash, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_simhash, op7_rotated_codes, op8_lm_scoring, op10_byte_bpe)}
 SQL: dict[str, str] = {
     "op3_line_dedup": """
         WITH lines AS (
