@@ -55,6 +55,14 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs.where(~held_out).select("text")), held_out)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import bucket_of_id
+    from .toxicity import learn, score
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return score(docs, learn(docs, labels, bucket_of_id("doc_id", 5) != 0), bucket_of_id("doc_id", 5) == 0)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_simhash, op7_rotated_codes, op8_lm_scoring, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_simhash, op7_rotated_codes, op8_lm_scoring, op9_toxicity, op10_byte_bpe)}
 SQL: dict[str, str] = {
     "op3_line_dedup": """
         WITH lines AS (
