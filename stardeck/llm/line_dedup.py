@@ -61,7 +61,7 @@ def _line_hashes(least: int):
     return make
 
 
-def _keep_owned(least: int):
+def _keep_owned(least: int, names: list[str]):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
@@ -73,7 +73,7 @@ def _keep_owned(least: int):
                 for column, x in zip(out, (i, "\n".join(kept), len(lines), len(lines) - len(kept)), strict=True):
                     column.append(x)
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["doc_id", "text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)] + batch.columns[3:], names)
 
     return make
 
@@ -111,17 +111,17 @@ class LineRuns:
         return batch
 
 
-def dedup_lines(docs: DataFrame, least_length: int = 10, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (the lines that stay), n_lines and n_dropped for every row of docs.
+def dedup_lines(docs: DataFrame, least_length: int = 10, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (the lines that stay), n_lines, n_dropped and the columns `carry` for every row of docs.
 
     Lines whose key has at least least_length code points and is in several documents stay in the one
     of the smallest id only.
     """
     spark = docs.sparkSession
-    d = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"))
+    d = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
     cuts = d.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000).alias("at")).first()["at"] or []
     cuts = sorted(set(cuts))
-    lines = d.mapInArrow(_line_hashes(least_length), "id long, h1 long, h2 long")
+    lines = d.select("id", "text").mapInArrow(_line_hashes(least_length), "id long, h1 long, h2 long")
     of_batch = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("id") > c)) if cuts else F.lit(0)
     path = shared_dir(spark, "line-hashes")
     lines.groupBy(of_batch.alias("batch"), "h1", "h2").agg(F.min("id").alias("owner")).write.partitionBy("batch").parquet(path)
@@ -134,5 +134,8 @@ def dedup_lines(docs: DataFrame, least_length: int = 10, batches: int = 4, fanou
         owners = owners.unionByName(run)
     # within one document 64 bits tell lines apart
     owned = owners.groupBy(F.col("owner").alias("id")).agg(F.collect_list("h1").alias("owned"))
-    out = d.join(owned, "id", "left").select("id", "text", "owned").mapInArrow(_keep_owned(least_length), "doc_id long, text string, n_lines long, n_dropped long")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
+    also = [f"_{k}" for k in range(len(carry))]
+    schema = "doc_id long, text string, n_lines long, n_dropped long" + "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in also)
+    names = ["doc_id", "text", "n_lines", "n_dropped", *also]
+    out = d.join(owned, "id", "left").select("id", "text", "owned", *also).mapInArrow(_keep_owned(least_length, names), schema)
+    return out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), *names[1:4], *[F.col(f"_{k}").alias(c) for k, c in enumerate(carry)])

@@ -39,6 +39,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_revisits import header_lines, resolve, two_crawls
+
+    found = resolve(two_crawls(_table(spark, sf_dir, "pages")))
+    return found.select("record_id", "url_key", "refers_to", "status", header_lines("headers").alias("headers"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .perplexity_filter import classify
 
@@ -77,7 +84,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_simhash, op6_quality_classifier, op7_rotated_codes, op8_lm_scoring, op9_toxicity, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_simhash, op5_warc_revisits, op6_quality_classifier, op7_rotated_codes, op8_lm_scoring, op9_toxicity, op10_byte_bpe)}
 SQL: dict[str, str] = {
     "op3_line_dedup": """
         WITH lines AS (
@@ -93,4 +100,37 @@ SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, sum(dropped::INT)::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op5_warc_revisits": r"""
+        WITH parts AS (
+            SELECT page_id, html,
+                   regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)),
+                       '^.*@', ''), ':(80|443)$', ''), '^www\.', '')
+                   || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS place,
+                   array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'),
+                       lambda p: p <> '' AND NOT starts_with(p, 'utm_'))), '&') AS asked
+            FROM pages
+        ), keyed AS (
+            SELECT page_id, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || (page_id % 28) AS day,
+                   strlen(coalesce(html, '')) AS size, place || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS url_key
+            FROM parts
+        ), revisits AS (
+            SELECT 2 * page_id + 1 AS record_id, url_key, day,
+                   CASE WHEN page_id % 7 = 3 THEN '"changed"' WHEN page_id % 5 <> 1 THEN 'W/' || tag END AS sent
+            FROM keyed
+        ), latest AS (
+            SELECT url_key, max(page_id) AS page_id FROM keyed GROUP BY url_key
+        ), met AS (
+            SELECT r.*, k.page_id AS held, k.tag, k.day AS old_day, k.size,
+                   CASE WHEN k.page_id IS NULL THEN 'missing'
+                        WHEN r.sent IS NOT NULL THEN CASE WHEN regexp_replace(r.sent, '^W/', '') = k.tag THEN 'merged' ELSE 'mismatch' END
+                        WHEN r.day = k.day THEN 'merged' ELSE 'mismatch' END AS status
+            FROM revisits r LEFT JOIN latest l USING (url_key) LEFT JOIN keyed k ON k.page_id = l.page_id
+        )
+        SELECT record_id, url_key, 2 * held AS refers_to, status,
+               CASE WHEN status = 'merged'
+                    THEN 'cache-control: max-age=120' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10)
+                         || 'etag: ' || coalesce(sent, tag) || chr(10) || 'last-modified: ' || day
+                    ELSE 'cache-control: max-age=120' || chr(10) || 'content-length: 0'
+                         || coalesce(chr(10) || 'etag: ' || sent, '') || chr(10) || 'last-modified: ' || day END AS headers
+        FROM met""",
 }
