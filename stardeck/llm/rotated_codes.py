@@ -132,7 +132,7 @@ def _flatten(centres: dict[int, list[float]], seed: int, coded: bool):
                 d, part = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 held = batch.column(2)[row].values
                 ids = held.field("id").to_numpy(zero_copy_only=False)
-                x = held.field("v").values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+                x = held.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
                 made = encode(x, np.array(centres[d]), turns[d]) if coded else ()
                 packed = [np.ascontiguousarray(a).tobytes() for a in (ids, x, *made)]
                 names = ["d", "part", "ids", "x", "codes", "norm", "corr"][: 4 + len(made)]
