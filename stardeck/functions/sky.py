@@ -71,7 +71,7 @@ def centuries(julian: Column) -> Column:
 
 def fraction(c: Column) -> Column:
     """The part behind the point, with the number's sign."""
-    return c - F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))
+    return c % lit(1)
 
 
 def sidereal_time(julian: Column) -> Column:

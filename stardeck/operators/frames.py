@@ -46,7 +46,8 @@ def color(cfa: str | None, y: str = "y", x: str = "x") -> Column:
 
 
 def saturate(c: Column, top: int = MAX16) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(top), c)).cast("int")
+    """c within 0 and top; null stays null, which least() and greatest() alone would skip."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(top), c))).cast("int")
 
 
 def rect(rows: DataFrame, x1: int, y1: int, x2: int, y2: int) -> DataFrame:

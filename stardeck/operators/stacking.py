@@ -78,7 +78,7 @@ def sample(pixels: DataFrame, places: DataFrame) -> DataFrame:
 
     top, bottom = line("_r0"), line("_r1")
     v = F.coalesce(top * (SUB - F.col("_w")) + bottom * F.col("_w"), top * SUB, bottom * SUB)
-    return p.withColumn("v", F.least(F.shiftright(v, 16), F.lit(65535)).cast("int")).drop("_x", "_y", "_u", "_w", "_r0", "_r1")
+    return p.withColumn("v", saturate(F.shiftright(v, 16))).drop("_x", "_y", "_u", "_w", "_r0", "_r1")
 
 
 def warp(rows: DataFrame, offsets: DataFrame, width: int, height: int) -> DataFrame:

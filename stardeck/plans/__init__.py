@@ -1,0 +1,6 @@
+"""Queries by name, with their SQL."""
+
+from . import frame_queries, sky_queries, stack_queries, star_queries
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "frame_queries", "sky_queries", "stack_queries", "star_queries"]
