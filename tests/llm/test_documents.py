@@ -265,7 +265,7 @@ def test_toxicity(spark, odd, empty, labels, no_labels):
 
 
 def test_toxicity_learns_insults(spark):
-    rows = [(i, f"the road to town number {i % 13} is long" + (" you zorp fool" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    rows = [(i, f"the road to town number {i} is long" + (" you zorp fool" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string, toxic int").drop("toxic"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     lexicon = toxicity.learn(docs, marks, F.lit(True))
     assert lexicon.weight("zorp") > 2
