@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PI2 = 2 * math.pi
@@ -107,18 +107,19 @@ MOON_LONGITUDE = [
 MOON_LATITUDE = [(-526, 0, 0, -2, 1), (44, 1, 0, -2, 1), (-31, -1, 0, -2, 1), (-23, 0, 1, -2, 1), (11, 0, -1, -2, 1), (-25, -2, 0, 0, 1), (21, -1, 0, 0, 1)]
 
 
-def moon(t: Column) -> tuple[Column, Column]:
-    """Right ascension and declination of the moon, t in centuries."""
-    a = {k: fraction(lit(x) + lit(y) * t) * (1 if k == "l0" else PI2) for k, (x, y) in MOON_ARGUMENTS.items()}
+def with_moon(rows: DataFrame, t: str = "t") -> DataFrame:
+    """Adds moon_ra and moon_dec for the centuries in column t; made in steps, so that no expression is repeated in others."""
+    turns = {f"_{k}": fraction(lit(x) + lit(y) * F.col(t)) * (1 if k == "l0" else PI2) for k, (x, y) in MOON_ARGUMENTS.items()}
 
     def series(terms: list[tuple]) -> Column:
-        return sum((lit(c) * F.sin(sum((lit(k) * a[n] for k, n in zip(ks, ("l", "ls", "d", "f"), strict=True) if k), lit(0))) for c, *ks in terms), lit(0))
-
-    dl = series(MOON_LONGITUDE)
-    s = a["f"] + (dl + 412 * F.sin(2 * a["f"]) + 541 * F.sin(a["ls"])) / ARC
-    longitude = PI2 * fraction(a["l0"] + dl / lit(1296e3))
-    latitude = (18520 * F.sin(s) + series(MOON_LATITUDE)) / ARC
-    return _from_ecliptic(F.cos(latitude) * F.cos(longitude), F.cos(latitude) * F.sin(longitude), F.sin(latitude))
+        angle = lambda ks: sum((lit(k) * F.col(n) for k, n in zip(ks, ("_l", "_ls", "_d", "_f"), strict=True) if k), lit(0))
+        return sum((lit(c) * F.sin(angle(ks)) for c, *ks in terms), lit(0))
+
+    d = rows.withColumns(turns).withColumns({"_dl": series(MOON_LONGITUDE), "_n": series(MOON_LATITUDE)})
+    d = d.withColumn("_s", F.col("_f") + (F.col("_dl") + 412 * F.sin(2 * F.col("_f")) + 541 * F.sin("_ls")) / ARC)
+    d = d.withColumns({"_long": PI2 * fraction(F.col("_l0") + F.col("_dl") / lit(1296e3)), "_lat": (18520 * F.sin("_s") + F.col("_n")) / ARC})
+    ra, dec = _from_ecliptic(F.cos("_lat") * F.cos("_long"), F.cos("_lat") * F.sin("_long"), F.sin("_lat"))
+    return d.withColumns({"moon_ra": ra, "moon_dec": dec}).drop(*turns, "_dl", "_n", "_s", "_long", "_lat")
 
 
 #: Polynomials in t of the moon's elongation and both anomalies, and terms of its phase angle (fixed values).

@@ -117,10 +117,10 @@ _SID = "280.46061837e0 + 360.98564736629e0 * d + 0.000387933e0 * t * t - t * t *
 
 @query(_JD + f""", d AS (SELECT ts, day, day + part AS jd, day + part - 2451545e0 AS d, (day + part - 2451545e0) / 36525e0 AS t FROM j),
   s AS (SELECT ts, day, jd, ({_SID}) / 360e0 AS turns FROM d)
-  SELECT ts, day AS julian_day, CAST(round((jd - day) * 86400) AS BIGINT) AS seconds_from_noon, round(cos((turns - trunc(turns)) * 6.283185307179586e0), 5) AS sidereal_cos FROM s""")
+  SELECT ts, day AS julian_day, CAST(round((jd - day) * 86400) AS BIGINT) AS seconds_from_noon, round(cos((turns - trunc(turns)) * 6.283185307179586e0), 3) AS sidereal_cos FROM s""")
 def julian_sidereal(spark, sf_dir):
     jd = sky.julian_time(F.col("ts"))
-    return _times(spark, sf_dir).select("ts", sky.julian_day(F.to_date("ts")).alias("julian_day"), F.round((jd - sky.julian_day(F.to_date("ts"))) * 86400).cast("long").alias("seconds_from_noon"), F.round(F.cos(sky.sidereal_time(jd)), 5).alias("sidereal_cos"))
+    return _times(spark, sf_dir).select("ts", sky.julian_day(F.to_date("ts")).alias("julian_day"), F.round((jd - sky.julian_day(F.to_date("ts"))) * 86400).cast("long").alias("seconds_from_noon"), F.round(F.cos(sky.sidereal_time(jd)), 3).alias("sidereal_cos"))
 
 
 @query(_JD + """, c AS (SELECT ts, (day + part - 2451545e0) / 36525e0 AS t FROM j),
@@ -129,16 +129,16 @@ def julian_sidereal(spark, sf_dir):
   s AS (SELECT ts, 6.283185307179586e0 * (l - trunc(l)) AS l FROM l)
   SELECT ts, round(asin(0.39778e0 * sin(l)), 5) AS sun_dec, round(2 * atan2(0.91748e0 * sin(l), cos(l) + sqrt(1 - pow(0.39778e0 * sin(l), 2))), 4) AS sun_ra FROM s""")
 def sun_position(spark, sf_dir):
-    ra, dec = sky.sun(sky.centuries(sky.julian_time(F.col("ts"))))
+    ra, dec = sky.sun(F.col("t"))
     near = F.when(ra > math.pi, ra - 2 * math.pi).otherwise(ra)
-    return _times(spark, sf_dir).select("ts", F.round(dec, 5).alias("sun_dec"), F.round(near, 4).alias("sun_ra"))
+    times = _times(spark, sf_dir).withColumn("t", sky.centuries(sky.julian_time(F.col("ts"))))
+    return times.select("ts", F.round(dec, 5).alias("sun_dec"), F.round(near, 4).alias("sun_ra"))
 
 
 @query()
 def moon_position(spark, sf_dir):
-    t = sky.centuries(sky.julian_time(F.col("ts")))
-    ra, dec = sky.moon(t)
-    return _times(spark, sf_dir).select("ts", F.round(ra, 6).alias("ra"), F.round(dec, 6).alias("dec"), F.round(sky.moon_phase(t), 6).alias("phase"))
+    rows = sky.with_moon(_times(spark, sf_dir).withColumn("t", sky.centuries(sky.julian_time(F.col("ts")))))
+    return rows.select("ts", F.round("moon_ra", 6).alias("ra"), F.round("moon_dec", 6).alias("dec"), F.round(sky.moon_phase(F.col("t")), 6).alias("phase"))
 
 
 _SEXA = """CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || CAST(h AS INT) || ':' || lpad(CAST(s // 6000 AS VARCHAR), 2, '0') || ':' || lpad(CAST((s % 6000) // 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST(s % 100 AS VARCHAR), 2, '0')"""
@@ -274,7 +274,7 @@ def program_cross(spark, sf_dir):
     return se.programme(table(spark, sf_dir, "region").selectExpr("r_regionkey AS temp"), table(spark, sf_dir, "nation").selectExpr("n_nationkey AS exposure"), bins, 7)
 
 
-@query("""WITH s AS (SELECT l_linenumber AS n, l_returnflag AS flag, round(avg(l_discount), 6) AS std_dev, CAST(max(l_quantity) AS INT) + l_linenumber AS median FROM lineitem GROUP BY ALL),
+@query("""WITH s AS (SELECT l_linenumber AS n, l_returnflag AS flag, round(avg(l_discount), 6) AS std_dev, CAST(max(l_quantity) AS INT) + l_linenumber AS median FROM lineitem GROUP BY l_linenumber, l_returnflag),
   p AS (SELECT abs(a.std_dev - b.std_dev) AS d, b.median - a.median AS offset FROM s a, s b WHERE a.flag = 'A' AND b.flag = 'N')
   SELECT "offset" FROM p ORDER BY d, "offset" LIMIT 1""")
 def offset_argmin(spark, sf_dir):
