@@ -28,7 +28,7 @@ def brightest(stars: DataFrame, n: int) -> DataFrame:
 
 
 def triangles(points: DataFrame, least: float) -> DataFrame:
-    """(frame, i, j, k, a, b, c, len, p ARRAY): i < j < k, sides from the shortest on, corners turned alike.
+    """(frame, i, j, k, a, b, c, len, p ARRAY) of any three points once: sides from the shortest on, corners i, j, k turned alike.
 
     Made within a frame's bounded array of points, so that no join is needed.
     """
@@ -44,7 +44,8 @@ def triangles(points: DataFrame, least: float) -> DataFrame:
     pick = lambda *o: F.when(first, o[0]).when(second, o[1]).otherwise(o[2])
     sides = [F.when(first, F.col(x)).when(second, F.col(y)).otherwise(F.col(z)) for x, y, z in (("l1", "l2", "l3"), ("l2", "l3", "l1"), ("l3", "l1", "l2"))]
     corners = pick(F.array("p1", "p2", "p3"), F.array("p2", "p3", "p1"), F.array("p3", "p1", "p2"))
-    return t.select("frame", F.col("p1.i").alias("i"), F.col("p2.i").alias("j"), F.col("p3.i").alias("k"), *[s.alias(n) for s, n in zip(sides, "abc", strict=True)], "len", corners.alias("p"))
+    t = t.withColumn("p", corners)
+    return t.select("frame", *[F.col("p")[n]["i"].alias(c) for n, c in enumerate("ijk")], *[s.alias(n) for s, n in zip(sides, "abc", strict=True)], "len", "p")
 
 
 def matches(reference: DataFrame, others: DataFrame, error: float) -> DataFrame:
@@ -75,17 +76,21 @@ def offsets(reference: DataFrame, stars: DataFrame, width: int, height: int) ->
     Matching is by Spark; the rounds of rejection run over one frame's matched triangles in one task, whose
     number is bounded by that of the brightest stars. Frames without an answer are tried anew with more stars.
     """
-    todo = stars.select("frame").distinct()
+    # at most 100 points a frame; they are used by every attempt
+    most = ATTEMPTS[-1][0]
+    few = lambda d: brightest(d, most).select("frame", "x", "y", (-F.col("i")).alias("brightness")).persist()
+    reference, points = few(reference), few(stars)
+    todo = points.select("frame").distinct()
     out = None
     for n, error in ATTEMPTS:
         least = (width + height) / 10
         r = triangles(brightest(reference, n), least)
-        o = triangles(brightest(stars.join(todo, "frame", "left_semi"), n), least)
+        o = triangles(brightest(points.join(todo, "frame", "left_semi"), n), least)
         m = matches(r, o, error).select("frame", turn_between().alias("angle"), *[(sum((F.col(p)[k][c] for k in range(3)), F.lit(0.0)) / 3).alias(f"{p}{c}") for p in ("p", "rp") for c in "xy"])
         found = m.groupBy("frame").applyInPandas(_agree(width, height, error), "frame long, x double, y double, angle double").where("x IS NOT NULL")
         out = found if out is None else out.unionByName(found)
         todo = todo.join(found.select("frame"), "frame", "left_anti")
-    return stars.select("frame").distinct().join(out, "frame", "left")
+    return points.select("frame").distinct().join(out, "frame", "left")
 
 
 def _mean_angle(a: np.ndarray) -> float:
