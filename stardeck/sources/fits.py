@@ -84,7 +84,7 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
             for p, c in zip(part["path"], part["content"], strict=True):
                 for k, (keys, at, n) in enumerate(units(c)):
                     axes = int(keys.get("NAXIS", 0))
-                    if axes not in (2, 3) or axes == 3 and int(keys["NAXIS3"]) != 3:
+                    if keys.get("XTENSION", "IMAGE") != "IMAGE" or axes not in (2, 3) or axes == 3 and int(keys["NAXIS3"]) != 3:
                         continue
                     width, height = int(keys["NAXIS1"]), int(keys["NAXIS2"])
                     planes = samples(c, keys, at, n).reshape(-1, height, width)
