@@ -50,17 +50,21 @@ def extrema(rows: DataFrame, thresholds: DataFrame, width: int, height: int) ->
     half = DIAMETER // 2
     chunk = lambda k: F.slice("row", k * 72 + 1, 72)
     nine = lambda c: F.when(F.size(c) == 72, F.sort_array(F.array(*[F.get(c, F.lit(4 + 8 * j)) for j in range(9)]))[4]).otherwise(upper_median(c))
-    base = F.transform(F.sequence(F.lit(0), F.lit((width - 1) // 72)), lambda k: nine(chunk(k)))
-    r = rows.where(F.col("y").between(half, height - half)).join(F.broadcast(thresholds), "frame").withColumn("base", base)
+    # a baseline for each pixel, as the array that is gone through: inside the function it would be made anew for every pixel
+    base = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((width - 1) // 72)), lambda k: F.array_repeat(nine(chunk(k)), 72)))
+    r = rows.where(F.col("y").between(half, height - half)).join(F.broadcast(thresholds), "frame")
+    first, last = max(half, 5), min(width - half, width - 6)
     get = lambda x, d: F.get("row", x + d)
 
     def side(x: Column, ds: tuple[int, ...]) -> Column:
         s = F.sort_array(F.array(*[get(x, d) for d in ds]))
         return F.floor((s[1] + s[2] + 1) / 2)
 
-    xs = F.sequence(F.lit(max(half, 5)), F.lit(min(width - half, width - 6)))
-    tested = F.transform(xs, lambda x: F.struct(x.alias("x"), _median(get(x, -1), get(x, 0), get(x, 1)).alias("v"), side(x, (-5, -4, -3, -2)).alias("l"), side(x, (2, 3, 4, 5)).alias("r"), F.get("base", F.floor(x / 72).cast("int")).alias("f")))
-    p = r.select("frame", "y", "threshold", F.explode(tested).alias("t"))
+    def test(f: Column, i: Column) -> Column:
+        x = i + first
+        return F.struct(x.alias("x"), _median(get(x, -1), get(x, 0), get(x, 1)).alias("v"), side(x, (-5, -4, -3, -2)).alias("l"), side(x, (2, 3, 4, 5)).alias("r"), f.alias("f"))
+
+    p = r.select("frame", "y", "threshold", F.explode(F.transform(F.slice(base, first + 1, last - first + 1), test)).alias("t"))
     # what stands out by `threshold` or more, and not less than the baseline
     return p.where("t.v - t.f >= threshold AND t.l < t.v AND t.r < t.v").select("frame", "y", "t.x", "t.v")
 

@@ -17,7 +17,7 @@ SIZE = 160
 @query()
 def star_metrics(spark, sf_dir):
     """Threshold, extrema, clusters, growth and profile of synthetic frames, as one row a frame."""
-    r = st.synthetic(spark, 4, SIZE, SIZE)
+    r = st.synthetic(spark, 4, SIZE, SIZE).persist()
     t = st.detection_threshold(r)
     found = st.grow(r, st.clusters(st.extrema(r, t, SIZE, SIZE)), t)
     m = st.measure(r, found)
@@ -27,9 +27,9 @@ def star_metrics(spark, sf_dir):
 @query()
 def frame_offset(spark, sf_dir):
     """Offsets of synthetic frames, each shifted by one pixel more, against the first."""
-    r = st.synthetic(spark, 3, SIZE, SIZE)
+    r = st.synthetic(spark, 3, SIZE, SIZE).persist()
     t = st.detection_threshold(r)
-    found = st.grow(r, st.clusters(st.extrema(r, t, SIZE, SIZE)), t).select("frame", "x", "y", "brightness")
+    found = st.grow(r, st.clusters(st.extrema(r, t, SIZE, SIZE)), t).select("frame", "x", "y", "brightness").persist()
     o = reg.offsets(found.where("frame = 0"), found, SIZE, SIZE)
     return o.select("frame", *[F.round(c, 3).alias(c) for c in ("x", "y", "angle")])
 
