@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from stardeck.functions import numeric, sky, text
+from stardeck.functions import display, epochs, numeric, sky, text
 from stardeck.functions.sky import lit
 
 
@@ -82,3 +82,35 @@ def test_names(spark):
     assert one(spark, text.name_tokens(F.lit("Test-1aaaa42 2 3"))) == ["test", "1", "aaaa", "42", "2", "3"]
     assert one(spark, text.exposure_text(lit(2.5)), text.exposure_text(lit(0.5)), text.temperature_text(lit(-10.4)), text.flags_text(F.lit(21))) == ("2s", "500ms", "-10C", "D,P,S")
     assert one(spark, text.duration_text(lit(3900)), text.duration_text(lit(0))) == ("1 h. 5 min.", "0 s.")
+
+
+def test_epochs(spark):
+    # a century moves the pole by about 2004 seconds of arc, and a place on the equator by about 1.28 degrees
+    ra, dec = one(spark, *epochs.convert(lit(0), lit(math.pi / 2), 0.0, 1.0))
+    assert math.pi / 2 - dec == pytest.approx(math.radians(2004 / 3600), rel=0.02)
+    ra, dec = one(spark, *epochs.convert(lit(1), lit(0), 0.0, 1.0))
+    assert math.degrees(ra - 1) == pytest.approx(1.28, abs=0.02)
+    m = epochs.precession(0.0, 0.5)
+    assert abs(m @ m.T - [[1, 0, 0], [0, 1, 0], [0, 0, 1]]).max() < 1e-12
+    assert abs(epochs.precession(0.5, 0.0) @ m - [[1, 0, 0], [0, 1, 0], [0, 0, 1]]).max() < 1e-6
+
+
+def test_display(spark):
+    s = [F.lit(float(x)) for x in (0, 0, 2, 2)]
+    assert one(spark, *display.crossing(s, [F.lit(float(x)) for x in (0, 2, 2, 0)])) == (1, 1)
+    assert one(spark, *display.crossing(s, [F.lit(float(x)) for x in (2, 2, 3, 0)])) == (2, 2)
+    assert one(spark, *display.crossing(s, [F.lit(float(x)) for x in (0, 1, 2, 3)])) == (None, None)
+    assert one(spark, display.smooth_both_ways(F.array(*[F.lit(x) for x in (10, 10, 10)]), 0.5)) == [10, 10, 10]
+    assert one(spark, *display.star_colour(lit(9))) == (1.0, 0.4, 0.4)
+    e = one(spark, display.ellipse(lit(1), lit(0.5), lit(0.02), lit(0.01), lit(0)))
+    far = [math.hypot((p["ra"] - 1) * math.cos(0.5), p["dec"] - 0.5) for p in e]
+    assert len(e) == 66 and max(far) == pytest.approx(0.01, rel=0.02) and min(far) == pytest.approx(0.005, rel=0.02)
+    axis = [0.8, 0.1, math.sqrt(1 - 0.65)]
+    import numpy as np
+
+    axis = np.array(axis)
+    side = np.cross(axis, [0, 1, 0])
+    side /= np.linalg.norm(side)
+    turned = [0.9 * axis + 0.4 * (math.cos(a) * side + math.sin(a) * np.cross(axis, side)) for a in (0, 0.5, 1.0)]
+    alt, az = one(spark, *display.mount_pole(*[[lit(c) for c in p] for p in turned], lit(0.7)))
+    assert alt == pytest.approx(math.asin(0.8) - 0.7) and az == pytest.approx(math.atan2(0.1, axis[2]))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stardeck.operators import frames as fr
-from stardeck.sources import fits, starfile, tables
+from stardeck.sources import fits, starfile, tables, tiff
 
 
 def test_fits_round_trip(spark, tmp_path):
@@ -95,3 +95,13 @@ def test_base64(spark):
 def test_rows_and_pixels(spark):
     rows = spark.createDataFrame([(1, 0, [5, 6]), (1, 1, [7, 8])], "frame long, y int, row array<int>")
     assert sorted(map(tuple, fr.to_rows(fr.to_pixels(rows)).collect())) == [(1, 0, [5, 6]), (1, 1, [7, 8])]
+
+
+def test_tiff_round_trip(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    grey, colour = rng.integers(0, 65536, (1, 70, 9)), rng.integers(0, 65536, (3, 5, 4))
+    for name, image in (("g", grey), ("c", colour)):
+        (tmp_path / f"{name}.tif").write_bytes(tiff.encode(image))
+        assert np.array_equal(tiff.decode(tiff.encode(image)), image)
+    got = {(r["path"][-5], r["chan"], r["y"]): r["row"] for r in tiff.read_rows(spark, f"{tmp_path}/*.tif").collect()}
+    assert len(got) == 70 + 15 and got["g", "L", 69] == list(grey[0, 69]) and got["c", "B", 2] == list(colour[2, 2])
