@@ -84,6 +84,12 @@ class LineRuns:
     def __init__(self, like: DataFrame, buckets: int, fanout: int):
         self.spark, self.buckets, self.fanout = like.sparkSession, buckets, fanout
         self.levels: list[list[DataFrame]] = []
+        self.names: list[str] = []
+
+    def forget(self) -> None:
+        """Takes the runs' names out of the catalogue; their files stay for plans that read them."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -103,6 +109,7 @@ class LineRuns:
         name = f"line_run_{uuid.uuid4().hex[:12]}"
         dealt = rows.select("h1", "h2", "owner").repartition(self.buckets, "h1", "h2")
         dealt.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", shared_dir(self.spark, "line-run")).saveAsTable(name)
+        self.names.append(name)
         return self.spark.table(name)
 
     def unseen(self, batch: DataFrame) -> DataFrame:
@@ -138,4 +145,5 @@ def dedup_lines(docs: DataFrame, least_length: int = 10, batches: int = 4, fanou
     schema = "doc_id long, text string, n_lines long, n_dropped long" + "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in also)
     names = ["doc_id", "text", "n_lines", "n_dropped", *also]
     out = d.join(owned, "id", "left").select("id", "text", "owned", *also).mapInArrow(_keep_owned(least_length, names), schema)
+    runs.forget()
     return out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), *names[1:4], *[F.col(f"_{k}").alias(c) for k, c in enumerate(carry)])
