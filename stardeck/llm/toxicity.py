@@ -223,21 +223,33 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str =
 
 
 def logistic(rows: list[tuple[float, int, int]], ridge: float = 0.02) -> tuple[float, float]:
-    """a and b of 1 / (1 + exp(-a - b s)) for (s, label, count), by Newton's method with a small penalty on b."""
+    """a and b of 1 / (1 + exp(-a - b s)) for (s, label, count), by Newton's method with a small penalty on b.
+
+    The penalised loss is convex; a step that doesn't lower it is halved, so the steps can't run away where
+    the labels are nearly apart and the curve is flat.
+    """
     s, y, n = (np.array(x, float) for x in zip(*rows, strict=True)) if rows else (np.zeros(0),) * 3
     if not len(s) or not 0 < (y * n).sum() < n.sum():
         return Lexicon.a, Lexicon.b
     x = np.stack([np.ones_like(s), s], 1)
-    w = np.array([-1.0, 0.1])
     penalty = np.diag([1e-3, ridge])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+    def loss(w: np.ndarray) -> float:
+        return float((n * (np.logaddexp(0, x @ w) - y * (x @ w))).sum() + w @ penalty @ w / 2)
+
+    w = np.zeros(2)
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         gradient = x.T @ (n * (y - p)) - penalty @ w
-        hessian = (x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + penalty
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + penalty
         move = np.linalg.solve(hessian, gradient)
-        w = w + np.clip(move, -1, 1)
-        if abs(move).max() < 1e-8:
+        while abs(move).max() > 1e-9 and loss(w + move) >= now:
+            move = move / 2
+        if abs(move).max() <= 1e-9:
             break
+        w = w + move
+        now = loss(w)
     return float(w[0]), max(float(w[1]), 0.0)
 
 

@@ -273,6 +273,15 @@ def test_toxicity_learns_insults(spark):
     assert score("you zorp") > 0.5 > score("the road is long")
 
 
+def test_logistic_of_nearly_parted_labels():
+    """Steps of a plain Newton's method run away here and leave a slope of nothing."""
+    rows = [(0.0, 0, 4600), (7.5, 0, 2), (9.0, 1, 3), (11.25, 1, 60), (22.5, 1, 900), (33.75, 1, 900), (40.0, 1, 4100)]
+    for times in (1, 10, 1000):
+        a, b = toxicity.logistic([(s, y, n * times) for s, y, n in rows])
+        assert b > 0.5 and a + b * 7.5 < 0 < a + b * 11.25
+    assert toxicity.logistic([]) == toxicity.logistic([(1.0, 1, 5)]) == (toxicity.Lexicon.a, toxicity.Lexicon.b)
+
+
 def test_toxicity_clauses():
     scorer = toxicity.Scorer(toxicity.Lexicon({"idiot": 2.0}))
     plain, negated, told, aimed = (sum(scorer.clauses(t)) for t in ("what an idiot", "not an idiot", "he said what an idiot".replace("he ", ""), "you idiot"))
