@@ -138,4 +138,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     named = found.join(groups, found["node"] == groups["fp"]).groupBy("component").agg(F.min("least").alias("component_id"))
     linked = found.join(named, "component").select(F.col("node").alias("fp"), "component_id")
     of_group = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of_group = written(of_group, "of-group")  # read anew, it leaves Spark free to split a fingerprint that many rows have
     return prints.join(of_group, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
