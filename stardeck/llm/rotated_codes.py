@@ -12,7 +12,8 @@ block and one shard. Each gives its own nearest, which a window ranks for each q
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
 with a null id; vectors of different lengths are not compared; repeated ids with the query's id are the
-query's own rows; fewer candidates than asked for give fewer rows; ties go to the smaller id.
+query's own rows; rows that repeat id and vector count once, before anything is cut; fewer candidates than
+asked for give fewer rows; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -81,9 +82,19 @@ def nearest(queries: tuple, shard: tuple, turn: np.ndarray, centre: np.ndarray,
         reached = _exact(x[first], q).max()
         chosen = np.nonzero(mine & (least <= reached**2 * (1 + 1e-12)))[0]
         chosen = np.union1d(chosen, first)
-        dist = _exact(x[chosen], q)
-        order = np.lexsort((ids[chosen], dist))[:k]
-        yield qid, ids[chosen][order], dist[order]
+        found, dist = _different(ids[chosen], _exact(x[chosen], q))
+        if (dist <= reached).sum() < few:  # an id has several vectors at one distance: `first` holds fewer neighbours than rows
+            found, dist = _different(ids[mine], _exact(x[mine], q))
+        yield qid, found[:k], dist[:k]
+
+
+def _different(ids: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of id and distance, nearest first."""
+    order = np.lexsort((ids, dist))
+    ids, dist = ids[order], dist[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (dist[1:] != dist[:-1])
+    return ids[new], dist[new]
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -141,16 +152,20 @@ def _flatten(centres: dict[int, list[float]], seed: int, coded: bool):
     return make
 
 
+def _different_rows(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v): the rows that take part, those that repeat both once. Repeats would use up the places of a shard's nearest."""
+    rows = rows.where(usable(vector_col) & F.col(id_col).isNotNull())
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).dropDuplicates(["id", "v"])
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, eps: float = 3.0, shard: int = 8192, block: int = 2048, sample: int = 4096, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of `vectors` for each row of `queries`, its own id aside.
 
     eps: standard errors that the bound allows for; sample: rows that the centre is fitted on (the first by
     hash of id); shard and block: vectors and queries in a row of the comparison.
     """
-    rows = bounded_batches(vectors).where(usable(vector_col) & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("d", F.size("v"))
-    asked = queries.where(usable(vector_col) & F.col(id_col).isNotNull())
-    asked = asked.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("d", F.size("v"))
+    rows = written(_different_rows(bounded_batches(vectors), id_col, vector_col), "vectors")
+    rows, asked = (r.select("id", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("d")) for r in (rows, _different_rows(queries, id_col, vector_col)))
     counts = {r["d"]: r["count"] for r in rows.groupBy("d").count().collect()}
     wanted = {r["d"]: r["count"] for r in asked.groupBy("d").count().collect()}
     fitted = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("d", F.posexplode("v")).groupBy("d", "pos").agg(F.avg("col").alias("m")).collect()

@@ -91,6 +91,34 @@ def test_search(spark):
         assert got[8] == want[8] and got[508] == want[508]
 
 
+def found(table, queries, **how):
+    got = {}
+    for r in rotated_codes.search(table, queries, **how).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 6)))
+    return got
+
+
+@pytest.mark.parametrize("shard", [8192, 60])
+def test_search_among_repeated_rows(spark, shard):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(12)]) for i in range(300)]
+    once, thrice = vectors(spark, rows), vectors(spark, rows * 3)
+    # with a bound that leaves nothing out the neighbours are those of brute force
+    asked = once.where("vec_id % 10 = 0")
+    assert found(thrice, thrice.where("vec_id % 10 = 0"), eps=1e6, shard=shard) == exact(rows, lambda i: i % 10 == 0, 10)
+    # and at the parameters of the query repeats change nothing
+    assert found(thrice, asked, shard=shard) == found(once, asked, shard=shard)
+
+
+def test_search_of_an_id_with_vectors_at_one_distance(spark):
+    mirrored = [(1, [1.0, 0.0]), (1, [-1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, -1.0]), (2, [1.5, 0.0]), (3, [0.0, 2.0]), (4, [5.0, 5.0])]
+    rows = [*mirrored, (0, [1e-30, 0.0])]
+    table = vectors(spark, rows)
+    assert found(table, table.where("vec_id = 0"), k=3, eps=1e6) == {0: [(1, 1.0), (2, 1.5), (3, 2.0)]}
+
+
 def test_search_of_nothing(spark):
     none = vectors(spark, [])
     assert rotated_codes.search(none, none).count() == 0
