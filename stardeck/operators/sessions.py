@@ -6,12 +6,16 @@ one ordered pass over a camera's shots, in Arrow batches, and the streaming twin
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import line_fit, square_fit
+from .spans import SPAN, numbered
 
 
 def with_running_exposure(shots: DataFrame) -> DataFrame:
@@ -29,14 +33,34 @@ def accumulate(exposures: np.ndarray, period: float, start: float = 0.0) -> tupl
     return fired, total
 
 
-def dither(shots: DataFrame, period: float) -> DataFrame:
-    """(camera, shot, dither): a move after each time the summed exposure reaches the period."""
+def _in_order(shots: DataFrame, columns: list[Column], name: str, start: Callable, step: Callable) -> DataFrame:
+    """(camera, shot, name): step(columns of some shots in order, state) gives a flag a shot and the state for the next ones.
+
+    A camera's shots are sorted by Spark, which spills, and reach one task batch by batch; only the state is kept.
+    """
+    by = [F.col("camera"), F.col("ts").asc_nulls_last(), F.col("shot").asc_nulls_last()]
+    rows = shots.select(F.col("camera").cast("long"), F.col("shot").cast("long"), "ts", *columns).repartition("camera").sortWithinPartitions(*by).drop("ts")
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "shot"])
-        return rows[["camera", "shot"]].assign(dither=accumulate(rows["exposure"].to_numpy(), period)[0])
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None
+        for batch in batches:
+            values = [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
+            flags, at = np.zeros(batch.num_rows, bool), 0
+            for camera, run in groupby(batch.column(0).to_pylist()):
+                end = at + sum(1 for _ in run)
+                if camera != last:
+                    last, state = camera, start()
+                flags[at:end], state = step([v[at:end] for v in values], state)
+                at = end
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags)], ["camera", "shot", name])
 
-    return shots.select("camera", "shot", "ts", "exposure").groupBy("camera").applyInPandas(one, "camera long, shot long, dither boolean")
+    return rows.mapInArrow(make, f"camera long, shot long, {name} boolean")
+
+
+def dither(shots: DataFrame, period: float) -> DataFrame:
+    """(camera, shot, dither): a move after each time the summed exposure reaches the period."""
+    exposure = F.col("exposure").cast("double")
+    return _in_order(shots, [exposure], "dither", float, lambda values, total: accumulate(values[0], period, total))
 
 
 def refocus(shots: DataFrame, period: float, temp_change: float, fwhm_percent: int) -> DataFrame:
@@ -45,14 +69,11 @@ def refocus(shots: DataFrame, period: float, temp_change: float, fwhm_percent: i
     shots: camera, shot, ts, exposure, temp, fwhm, ok. A refocus resets all three; temperatures that are null say nothing.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "shot"])
-        state, out = RefocusState(), []
-        for e, t, f, ok in zip(rows["exposure"], rows["temp"], rows["fwhm"], rows["ok"], strict=True):
-            out.append(state.add(e, t, f, ok, period, temp_change, fwhm_percent))
-        return rows[["camera", "shot"]].assign(refocus=out)
+    def step(values: list[np.ndarray], state: RefocusState) -> tuple[list[bool], RefocusState]:
+        return [state.add(e, t, f, ok, period, temp_change, fwhm_percent) for e, t, f, ok in zip(*values, strict=True)], state
 
-    return shots.select("camera", "shot", "ts", "exposure", "temp", "fwhm", "ok").groupBy("camera").applyInPandas(one, "camera long, shot long, refocus boolean")
+    columns = [*[F.col(c).cast("double") for c in ("exposure", "temp", "fwhm")], F.col("ok")]
+    return _in_order(shots, columns, "refocus", RefocusState, step)
 
 
 class RefocusState:
@@ -85,16 +106,18 @@ def stable_temperature(ticks: DataFrame, target: Column, length: int = 80) -> Da
     return ticks.withColumn("stable", full & (F.max("temp").over(w) - F.min("temp").over(w) < 2) & near)
 
 
-def axis_calibration(moves: DataFrame) -> DataFrame:
-    """(axis, period, speed): the mean length of a mount's moves over the time, of those longer than half the longest.
+def axis_calibration(moves: DataFrame, span: int = SPAN) -> DataFrame:
+    """(axis, moves, speed): the mean length of a mount's moves over the time, of those longer than half the longest.
 
-    moves: axis, n, x, y (positions in order), seconds. On the axis "dec" the first move is left out.
+    moves: axis, n, x, y (positions in order), seconds. On the axis "dec" the first move is left out. Axes are
+    few, so their rows are taken in spans of about `span`.
     """
-    order = Window.partitionBy("axis").orderBy("n")
-    dist = F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order))
-    d = moves.withColumn("dist", dist).withColumn("k", F.row_number().over(order)).where("dist IS NOT NULL").where("axis <> 'dec' OR k > 2")
-    longest = F.max("dist").over(Window.partitionBy("axis"))
-    return d.withColumn("longest", longest).where("dist > 0.5 * longest").groupBy("axis").agg(F.count("*").alias("moves"), (F.avg("dist") / F.avg("seconds")).alias("speed"))
+    before = F.col("_before")
+    dist = F.hypot(F.col("x") - before["x"], F.col("y") - before["y"])
+    d = numbered(moves, "n", "axis", ("x", "y"), span).withColumn("dist", dist).where("dist IS NOT NULL").where("axis <> 'dec' OR _k > 2")
+    longest = d.groupBy(F.col("axis").alias("_axis")).agg(F.max("dist").alias("longest"))
+    far = d.join(longest, F.col("axis").eqNullSafe(F.col("_axis"))).where("dist > 0.5 * longest")
+    return far.groupBy("axis").agg(F.count("*").alias("moves"), (F.avg("dist") / F.avg("seconds")).alias("speed"))
 
 
 def best_focus(samples: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import saturate
+from .spans import SPAN, numbered
 
 #: Fixed-point steps of a coordinate, and of a sine or cosine (fixed values).
 SUB, TURN = 256, 65536
@@ -24,15 +25,15 @@ def median_of(values: list[Column]) -> Column:
     return F.element_at(F.sort_array(F.array(*values)), len(values) // 2 + 1)
 
 
-def average_of_medians(pixels: DataFrame) -> DataFrame:
+def average_of_medians(pixels: DataFrame, span: int = SPAN) -> DataFrame:
     """The rounded mean of medians of five frames in a row (by frame number); frames left over are dropped.
 
     With fewer than five frames in all, their rounded mean.
     """
-    n = pixels.select("frame").distinct()
-    # one row a frame: numbering them is a window over frames, not over pixels
-    order = n.withColumn("i", F.row_number().over(Window.orderBy("frame")) - 1).withColumn("frames", F.count("*").over(Window.partitionBy()))
-    p = pixels.join(F.broadcast(order), "frame").withColumn("five", F.expr("i div 5"))
+    # one row a frame: numbering them takes frames, not pixels
+    order = numbered(pixels.select("frame").distinct(), "frame", span=span)
+    count = order.agg(F.max("_k").alias("frames"))
+    p = pixels.join(order.select("frame", (F.col("_k") - 1).alias("i")), "frame").withColumn("five", F.expr("i div 5")).crossJoin(F.broadcast(count))
     fives = p.groupBy("y", "x", "five").agg(F.sort_array(F.collect_list("v")).alias("a"), F.max("frames").alias("frames"))
     fives = fives.select("y", "x", F.when(F.size("a") == 5, F.element_at("a", F.lit(3))).alias("m"), F.expr("aggregate(a, 0L, (s, v) -> s + v)").alias("s"), F.size("a").alias("n"), "frames")
     few = F.expr("(sum(s) + sum(n) div 2) div sum(n)")
@@ -95,17 +96,20 @@ def warped_average(rows: DataFrame, offsets: DataFrame, width: int, height: int)
     return w.groupBy("y", "x").agg(F.coalesce(saturate(F.expr("sum(v) div nullif(count(v), 0)")), F.lit(0)).alias("v"), F.count("v").alias("cnt"))
 
 
-def sliding_median(pixels: DataFrame, backgrounds: DataFrame) -> DataFrame:
+def sliding_median(pixels: DataFrame, backgrounds: DataFrame, span: int = SPAN) -> DataFrame:
     """(y, x, v, cnt): the mean over five-frame medians, taken from the fifth frame on, less each frame's background and plus the five's.
 
     pixels (frame, y, x, v), v null where the frame covers nothing; backgrounds (frame, background), one row a frame.
     """
     order = Window.partitionBy("y", "x").orderBy("frame")
-    b = backgrounds.withColumn("five", F.collect_list("background").over(Window.orderBy("frame").rowsBetween(-4, 0)))
-    b = b.where(F.size("five") == 5).select("frame", F.element_at(F.sort_array("five"), F.lit(3)).alias("common"))
+    # a frame's background goes to its own five and to those of the four frames behind it
+    k = numbered(backgrounds, "frame", span=span).select("frame", "background", "_k")
+    last = F.max(F.when(F.col("_to") == F.col("_k"), F.col("frame"))).alias("frame")
+    b = k.withColumn("_to", F.explode(F.sequence("_k", F.col("_k") + 4))).groupBy("_to").agg(last, F.collect_list("background").alias("five"))
+    b = b.where("frame IS NOT NULL").where(F.size("five") == 5).select("frame", F.element_at(F.sort_array("five"), F.lit(3)).alias("common"))
     seen = F.when(F.col("v").isNotNull(), F.greatest("v", F.lit(1)) - F.col("background"))
-    p = pixels.join(F.broadcast(backgrounds), "frame").withColumn("d", seen)
-    p = p.withColumn("a", F.sort_array(F.collect_list("d").over(order.rowsBetween(-4, 0)))).join(F.broadcast(b), "frame")
+    p = pixels.join(backgrounds, "frame").withColumn("d", seen)
+    p = p.withColumn("a", F.sort_array(F.collect_list("d").over(order.rowsBetween(-4, 0)))).join(b, "frame")
     a = lambda k: F.get("a", F.lit(k))
     half = lambda s: F.when(s < 0, F.ceil(s / 2)).otherwise(F.floor(s / 2)).cast("int")
     n = F.size("a")
