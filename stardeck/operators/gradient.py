@@ -43,7 +43,7 @@ def plane(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """(frame, a, b, d) of the plane a x + b y + z + d = 0 through the cells' levels, less their mean."""
     c = cells(pixels, width, height)
     mean = c.groupBy("frame").agg(F.avg("z").alias("level"))
-    c = c.join(F.broadcast(mean), "frame").withColumn("z", F.col("z") - F.col("level"))
+    c = c.join(mean, "frame").withColumn("z", F.col("z") - F.col("level"))
     a, b, d = plane_fit(F.col("x"), F.col("y"), F.col("z"))
     return c.groupBy("frame").agg(a.alias("a"), b.alias("b"), d.alias("d"))
 
@@ -60,7 +60,7 @@ def remove(pixels: DataFrame, width: int, height: int) -> DataFrame:
     at = lambda x, y: -(F.col("a") * x + F.col("b") * y + F.col("d"))
     corners = [at(F.lit(x), F.lit(y)) for x in (0, width) for y in (0, height)]
     flat = F.greatest(*corners) - F.least(*corners) < 5.0
-    q = pixels.join(F.broadcast(p.where(~flat)), "frame", "left")
+    q = pixels.join(p.where(~flat), "frame", "left")
     z1, z2 = F.round(at(F.lit(0), F.col("y"))), F.round(at(F.lit(width), F.col("y")))
     q = q.withColumn("z1", z1.cast("int")).withColumn("z2", z2.cast("int"))
     h = F.abs(F.col("z1") - F.col("z2")) + 1

@@ -1,4 +1,4 @@
-"""Queries over stars: detection on synthetic frames, triangles of catalogue points, planes and gradients."""
+"""Queries over stars: detection on frames whose stars are the vectors of `embeddings`, triangles of catalogue points, planes and gradients."""
 
 from __future__ import annotations
 
@@ -11,13 +11,30 @@ from ..operators import stars as st
 from .frame_queries import PIX, H, W, rows
 from .registry import query, table
 
-SIZE = 160
+SIZE, FIELD = 160, 25
+
+
+def star_frames(spark, sf_dir) -> DataFrame:
+    """Row blocks (frame, y, row) of SIZE x SIZE pixels: every 25 vectors are a frame, each vector a Gaussian star of sigma 1.
+
+    The 25 places are the same sky in all frames, irregular enough that triangles differ. A frame is moved by up to 6 pixels each way, by its first vector.
+    """
+    v = table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND size(embedding) > 2")
+    v = v.selectExpr(f"vec_id div {FIELD} AS frame", f"vec_id % {FIELD} AS k", "cast(embedding AS array<double>) AS e")
+    move = "greatest(-6e0, least(6e0, 32 * min_by(e[{0}], k)))"
+    stars = f"collect_list(struct({SIZE} div 5 * (k div 5) + 6e0 + (5 * k * k + 3 * k) % 19 AS x, {SIZE} div 5 * (k % 5) + 5e0 + (3 * k * k + 11 * k) % 23 AS y, 4500 + 80 * k + 1000 * e[2] AS a))"
+    f = v.groupBy("frame").agg(F.expr(stars).alias("stars"), F.expr(move.format(0)).alias("dx"), F.expr(move.format(1)).alias("dy"))
+    f = f.select("*", F.explode(F.sequence(F.lit(0), F.lit(SIZE - 1))).alias("y"))
+    f = f.withColumn("stars", F.expr("filter(stars, s -> abs(y - s.y - dy) < 5)"))
+    light = "aggregate(stars, 0e0, (t, s) -> t + CASE WHEN pow(x - s.x - dx, 2) + pow(y - s.y - dy, 2) <= 18 THEN s.a * exp(-(pow(x - s.x - dx, 2) + pow(y - s.y - dy, 2)) / 2) ELSE 0e0 END)"
+    row = F.expr(f"transform(sequence(0, {SIZE - 1}), x -> cast({light} + 100 + pmod(xxhash64(frame, y, x), 9) AS int))")
+    return f.select("frame", "y", row.alias("row"))
 
 
 @query()
 def star_metrics(spark, sf_dir):
-    """Threshold, extrema, clusters, growth and profile of synthetic frames, as one row a frame."""
-    r = st.synthetic(spark, 4, SIZE, SIZE).persist()
+    """Threshold, extrema, clusters, growth and profile of frames of stars, as one row a frame."""
+    r = star_frames(spark, sf_dir).persist()
     t = st.detection_threshold(r)
     found = st.grow(r, st.clusters(st.extrema(r, t, SIZE, SIZE)), t)
     m = st.measure(r, found)
@@ -26,11 +43,12 @@ def star_metrics(spark, sf_dir):
 
 @query()
 def frame_offset(spark, sf_dir):
-    """Offsets of synthetic frames, each shifted by one pixel more, against the first."""
-    r = st.synthetic(spark, 3, SIZE, SIZE).persist()
+    """Offsets of all frames of stars against the first."""
+    r = star_frames(spark, sf_dir).persist()
     t = st.detection_threshold(r)
     found = st.grow(r, st.clusters(st.extrema(r, t, SIZE, SIZE)), t).select("frame", "x", "y", "brightness").persist()
-    o = reg.offsets(found.where("frame = 0"), found, SIZE, SIZE)
+    first = found.agg(F.min("frame")).first()[0]
+    o = reg.offsets(found.where(F.col("frame") == F.lit(first)), found, SIZE, SIZE)
     return o.select("frame", *[F.round(c, 3).alias(c) for c in ("x", "y", "angle")])
 
 
@@ -125,10 +143,18 @@ def gradient_cells(spark, sf_dir):
     return c.agg(F.count("*").alias("cells"), F.round(F.avg("z"), 6).alias("level"), F.round(F.min("z"), 6).alias("low"), F.round(F.max("z"), 6).alias("high"))
 
 
+def gradient_frames(spark, sf_dir) -> DataFrame:
+    """Pixels (frame, y, x, v) of 640 x 512: every 1,000 vectors are a frame, whose slopes come from its first vector."""
+    v = table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND size(embedding) > 1")
+    f = v.groupBy(F.expr("vec_id div 1000").alias("frame")).agg(F.expr("min_by(embedding, vec_id)").alias("e"))
+    f = f.select("frame", F.expr("2e-1 + cast(e[0] AS double) / 4").alias("gx"), F.expr("1e-1 + cast(e[1] AS double) / 4").alias("gy"), F.explode(F.expr("sequence(0, 511)")).alias("y"))
+    f = f.repartition("frame", "y").select("*", F.explode(F.expr("sequence(0, 639)")).alias("x"))
+    return f.selectExpr("frame", "y", "x", "cast(500 + ((y * 640L + x) * 7919) % 11 + floor(x * gx + y * gy) AS int) AS v")
+
+
 @query()
 def gradient_remove(spark, sf_dir):
     from ..operators import gradient
 
-    i = spark.range(640 * 512).selectExpr("0L AS frame", "cast(id div 640 as int) AS y", "cast(id % 640 as int) AS x", "cast(100 + (id * 7919) % 11 + (id % 640) div 4 + (id div 640) div 8 as int) AS v")
-    out = gradient.remove(i, 640, 512)
+    out = gradient.remove(gradient_frames(spark, sf_dir), 640, 512)
     return out.groupBy("frame", "y").agg(F.sum("v").alias("sum"), F.min("v").alias("low"), F.max("v").alias("high"))
