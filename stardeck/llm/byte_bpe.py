@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from .common import bounded_batches
+from .common import pieces
 from .packing import byte_letters
 
 #: Pre-tokens that a worker remembers; beyond that it starts anew.
@@ -91,7 +91,7 @@ def codec(path: str, pattern: str) -> Codec:
 def _encode(path: str, pattern: str):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             numbers = [x.count(",") + 1 if x else 0 for x in ids]
             lists = pa.array([list(map(int, x.split(","))) if x else [] for x in ids], pa.list_(pa.int32()))
@@ -103,7 +103,7 @@ def _encode(path: str, pattern: str):
 def _digests(path: str, pattern: str):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             numbers = [x.count(",") + 1 if x else 0 for x in ids]
             encoded = [hashlib.sha256(x.encode()).hexdigest() for x in ids]
@@ -115,7 +115,7 @@ def _digests(path: str, pattern: str):
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (array<int>) for every row."""
-    d = bounded_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col))
+    d = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return d.mapInArrow(_encode(ranks_path, pattern), "doc_id long, n_tokens long, ids array<int>")
 
 
@@ -133,5 +133,5 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 (of the decoded bytes)."""
-    d = bounded_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col))
+    d = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return d.mapInArrow(_digests(ranks_path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

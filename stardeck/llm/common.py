@@ -1,19 +1,23 @@
-"""What the operators share: the shared folder, bounded Arrow batches, words and hashes."""
+"""What the operators share: the shared folder, bounded pieces of Arrow batches, words and hashes."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark's seed for xxhash64(); the hashes made in tasks are the same numbers.
 SEED = 42
-#: Rows in an Arrow batch. Texts can be long: the default of 10,000 rows would hold too much at once.
+#: Rows and bytes of text that a task works on at once; Spark itself bounds what it sends (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 1000
+BATCH_BYTES = 8_000_000
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -43,12 +47,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """Lowers the session's Arrow batch size, unless it is lower already; returns df."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df
+def pieces(batches: Iterator[pa.RecordBatch], text: int, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and `size` bytes of the column number `text`, but of one row at least."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = int(np.searchsorted(ends, before + size, side="right"))
+            to = max(at + 1, min(to, at + rows))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def bucket_of_id(column: str, n: int) -> Column:

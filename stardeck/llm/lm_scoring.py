@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, hashes, mix, shared_dir, words_of
+from .common import pieces, hashes, mix, shared_dir, words_of
 
 #: Tokens that a task counts at once.
 STRETCH = 2_000_000
@@ -104,7 +104,7 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     held, n = [], 0
-    for batch in batches:
+    for batch in pieces(batches, 0):
         held.append(tokens(batch.column(0).to_pylist())[0])
         n += len(held[-1])
         if n >= STRETCH:
@@ -323,7 +323,7 @@ def train(texts: DataFrame, shard_bytes: int = 16_000_000) -> Model:
     folder = uri.path
     size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
     shards = max(4, -(-size // shard_bytes))
-    texts = bounded_batches(texts)
+    texts = texts
     hot_share = 1 / (2 * shards)
     counted = texts.mapInArrow(_count_words(shards), "shard int, keys binary, counts binary").groupBy("shard")
     got = {r["shard"]: r for r in counted.applyInPandas(_write_words(folder, hot_share), "shard int, n long, tokens long, texts long, hot array<long>, hot_counts array<long>").collect()}
@@ -343,7 +343,7 @@ def train(texts: DataFrame, shard_bytes: int = 16_000_000) -> Model:
 
 def _score(model: Model):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             n, known, base, score = model.score(batch.column(2).to_pylist())
             all_tokens = pa.array(np.full(len(n), model.tokens))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(known), all_tokens, pa.array(base), pa.array(score)], [x.split()[0] for x in COLUMNS.split(", ")])
@@ -353,5 +353,5 @@ def _score(model: Model):
 
 def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """COLUMNS for every row of docs (doc_id, text)."""
-    d = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(True)), "text")
+    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(True)), "text")
     return d.mapInArrow(_score(model), COLUMNS)

@@ -1,11 +1,11 @@
 """Harmonic packing of documents into sequences of a fixed capacity C, a power of two.
 
-A document is cut into pieces of C, C/2, C/4, ..., 1 tokens: as many of C as it holds, then at most one of
-each smaller size. Pieces of C/k tokens form class k; a bin of that class takes exactly k of them and is then
-full to the last token. Each worker fills its own bins, without a shuffle. Of the bins that are still open at
-the end of its partition, the pieces go on, largest first, to bins of mixed classes; as all sizes divide one
-another these fill exactly too, and what remains is closed as sequences of a power of two. So nothing is
-padded, and a worker holds fewer than 2 C open pieces.
+A document of n tokens fills n // C sequences by itself; what remains is its rest of r < C tokens. Rests of
+C/(k + 1) < r <= C/k tokens form class k, and a bin of class k takes exactly k of them, whole. What the k rests
+leave free in their bin is filled by the head of the documents that come next, so a document is cut at most
+where its head closes such a gap, and at each C tokens. Each worker fills its own bins, without a shuffle. The
+bins that are still open at the end of its partition are emptied into common sequences; the last of these
+is closed as sequences of a power of two. So nothing is padded, and a worker holds less than one open bin a class.
 
 Cases: a null or empty text is the closing id alone; a null id keeps its null; repeated rows are packed
 each; an empty table gives an empty result. A very long text is held once as ids (four bytes each).
@@ -24,10 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import pieces
 
 #: Words whose ids a worker remembers; beyond that it starts anew.
 MOST_WORDS = 400_000
+LONG_WORD = 200
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -35,7 +36,8 @@ class WordIds(dict):
     """Word (bytes without ASCII white space) to its ids (little-endian uint32), by the given tokenizer.
 
     The tokenizer parts texts at white space at the latest, so words can be encoded alone. Plain letters
-    with punctuation behind them go to its BPE model directly; all else goes through the whole tokenizer.
+    with punctuation behind them go to its BPE model directly; all else, so also the names of its special
+    tokens, goes through the whole tokenizer. Long words are not remembered.
     """
 
     def __init__(self, path: str):
@@ -46,7 +48,6 @@ class WordIds(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.visible = byte_letters()
 
@@ -60,7 +61,8 @@ class WordIds(dict):
             ids = self._piece(plain) + (self._piece(text[len(letters) :]) if len(text) > len(letters) else b"")
         else:
             ids = _packed(self.whole.encode(text, add_special_tokens=False).ids)
-        self[word] = ids
+        if len(word) <= LONG_WORD:
+            self[word] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
@@ -85,45 +87,81 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def cuts(n: int, capacity: int) -> list[int]:
-    """The piece lengths of n tokens, largest first."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << k for k in range(capacity.bit_length() - 2, -1, -1) if rest >> k & 1]
+class Bin:
+    """A sequence that is being filled: pieces (document, start, ids, tokens of the document)."""
+
+    def __init__(self, room: int):
+        self.room, self.rests = room, 0
+        self.pieces: list[tuple] = []
+
+    def put(self, doc: int | None, start: int, ids: memoryview, n: int) -> None:
+        self.pieces.append((doc, start, memoryview(bytes(ids)), n))  # a copy: a piece must not hold its whole document
+        self.room -= len(ids) // 4
 
 
 class Bins:
-    """One worker's open bins, one for each class."""
+    """One worker's open bins: one for each class, and those that have their rests but a gap."""
 
     def __init__(self, capacity: int, first: int):
         self.capacity, self.next = capacity, first
-        self.open: dict[int, list[tuple]] = {}
+        self.open: dict[int, Bin] = {}
+        self.gaps: list[Bin] = []
         self.rows: list[tuple] = []
 
-    def add(self, length: int, piece: tuple) -> None:
-        held = self.open.setdefault(length, [])
-        held.append(piece)
-        if len(held) * length == self.capacity:
-            self._close(self.open.pop(length))
-
-    def _close(self, pieces: list[tuple]) -> None:
-        at = 0
-        for p in pieces:
-            self.rows.append((*p, self.next, at))
-            at += p[2]
+    def add(self, doc: int | None, ids: memoryview) -> None:
+        n, at = len(ids) // 4, 0
+        while self.gaps and at < n:
+            gap = self.gaps[-1]
+            length = min(gap.room, n - at)
+            gap.put(doc, at, ids[4 * at : 4 * (at + length)], n)
+            at += length
+            if not gap.room:
+                self._close(self.gaps.pop())
+        while n - at >= self.capacity:
+            whole = Bin(self.capacity)
+            whole.put(doc, at, ids[4 * at : 4 * (at + self.capacity)], n)
+            self._close(whole)
+            at += self.capacity
+        if at < n:
+            self._rest(doc, at, ids[4 * at :], n)
+
+    def _rest(self, doc: int | None, at: int, ids: memoryview, n: int) -> None:
+        k = self.capacity // (len(ids) // 4)
+        held = self.open.setdefault(k, Bin(self.capacity))
+        held.put(doc, at, ids, n)
+        held.rests += 1
+        if held.rests == k:
+            del self.open[k]
+            if held.room:
+                self.gaps.append(held)
+            else:
+                self._close(held)
+
+    def _close(self, full: Bin) -> None:
+        offset = 0
+        for doc, start, ids, n in full.pieces:
+            length = len(ids) // 4
+            self.rows.append((doc, start, length, zlib.crc32(ids), n, self.next, offset))
+            offset += length
         self.next += 1
 
     def finish(self) -> None:
-        left = [p for length in sorted(self.open, reverse=True) for p in self.open.pop(length)]
-        total = sum(p[2] for p in left)
-        while left:
-            room = min(self.capacity, 1 << (total.bit_length() - 1))
-            total -= room
-            k, held = 0, 0
-            while held < room:
-                held += left[k][2]
-                k += 1
-            self._close(left[:k])
-            left = left[k:]
+        """Empties the open bins into sequences of C, and of powers of two below it in the end."""
+        left = [p for held in [*self.gaps, *self.open.values()] for p in held.pieces]
+        self.gaps, self.open = [], {}
+        total = sum(len(p[2]) // 4 for p in left)
+        into = None
+        for doc, start, ids, n in left:
+            while len(ids):
+                if into is None:
+                    room = min(self.capacity, 1 << (total.bit_length() - 1))
+                    into, total = Bin(room), total - room
+                length = min(into.room, len(ids) // 4)
+                into.put(doc, start, ids[: 4 * length], n)
+                start, ids = start + length, ids[4 * length :]
+                if not into.room:
+                    self._close(into)
+                    into = None
 
     def batch(self) -> pa.RecordBatch:
         columns = list(zip(*self.rows, strict=True)) or [()] * 7
@@ -136,14 +174,10 @@ def _pack(path: str, capacity: int, end_id: int):
         ids_of = word_ids(path).__getitem__
         end = end_id.to_bytes(4, "little")
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split() if text else []
-                ids = memoryview(b"".join([*map(ids_of, words), end]))
-                n, start = len(ids) // 4, 0
-                for length in cuts(n, capacity):
-                    bins.add(length, (doc, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
-                    start += length
+                bins.add(doc, memoryview(b"".join([*map(ids_of, words), end])))
             yield bins.batch()
         bins.finish()
         yield bins.batch()
@@ -159,5 +193,5 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    d = bounded_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col))
+    d = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return d.mapInArrow(_pack(tokenizer_path, capacity, end_id), PIECES)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import written
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -164,7 +164,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, eps: float = 3.0
     eps: standard errors that the bound allows for; sample: rows that the centre is fitted on (the first by
     hash of id); shard and block: vectors and queries in a row of the comparison.
     """
-    rows = written(_different_rows(bounded_batches(vectors), id_col, vector_col), "vectors")
+    rows = written(_different_rows(vectors, id_col, vector_col), "vectors")
     rows, asked = (r.select("id", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("d")) for r in (rows, _different_rows(queries, id_col, vector_col)))
     counts = {r["d"]: r["count"] for r in rows.groupBy("d").count().collect()}
     wanted = {r["d"]: r["count"] for r in asked.groupBy("d").count().collect()}

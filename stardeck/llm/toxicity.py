@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import pieces, written
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, BREAK = range(7)
 #: Given words; their weight until labels say otherwise.
@@ -194,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str =
     first = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id")).limit(sample)
     # at most twice `sample` rows of two numbers: a bound that no input exceeds
     chosen = F.broadcast(first(1).unionByName(first(0)))
-    texts = bounded_batches(docs).join(chosen, "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("half"))
+    texts = docs.join(chosen, "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("half"))
     texts = written(texts.dropDuplicates(["text", "toxic"]), "labelled-texts")
     lexicon = Lexicon({w: GIVEN_WEIGHT for w in WORDS[INSULT].split()})
     counted = texts.where("half").select("text", "toxic").mapInArrow(_terms, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
@@ -265,5 +265,5 @@ def _score(lexicon: Lexicon):
 
 def score(docs: DataFrame, lexicon: Lexicon, held_out: Column) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs (doc_id, text)."""
-    d = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(True)), "text")
+    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(True)), "text")
     return d.mapInArrow(_score(lexicon), "doc_id long, held_out boolean, score double, predicted int")

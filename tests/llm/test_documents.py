@@ -65,7 +65,6 @@ def test_packing(odd, empty):
 
     rows = packing.pack(odd.repartition(3), PACKER, capacity=256).collect()
     tokenizer = Tokenizer.from_file(PACKER)
-    tokenizer.encode_special_tokens = True
     by_doc = {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -85,38 +84,99 @@ def test_packing(odd, empty):
         assert r["offset"] == full.get(r["sequence_id"], 0)
         full[r["sequence_id"]] = r["offset"] + r["length"]
     assert all(n <= 256 and n & (n - 1) == 0 for n in full.values())
-    assert len(by_doc[3]) == 3 * len({r["start"] for r in by_doc[3]})
+    # a row that is there three times has each of its ids in three pieces, wherever they were cut
+    held = Counter(k for r in by_doc[3] for k in range(r["start"], r["start"] + r["length"]))
+    assert held == dict.fromkeys(range(by_doc[3][0]["doc_tokens"]), 3)
     assert packing.pack(empty, PACKER).count() == 0
 
 
+def test_packing_cuts_seldom(spark):
+    import random
+
+    rnd = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(["a"] * rnd.randrange(0, 900))) for i in range(2000)], "doc_id long, text string").coalesce(2)
+    rows = packing.pack(docs, PACKER, capacity=512).collect()
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    filled = [sum(r["length"] for r in rs) for rs in sequences.values()]
+    assert sum(f == 512 for f in filled) >= len(filled) - 2 * 9 and all(f & (f - 1) == 0 for f in filled)
+    tokens = sum(filled)
+    # one piece a document, one more at each full sequence of its own and at each gap that is closed
+    assert len(rows) <= 2000 + 2 * tokens // 512 + 200
+    # a bin of class k holds k whole rests, so few bins hold a document's middle
+    rests = Counter(512 // (r["doc_tokens"] - r["start"]) for r in rows if r["start"] + r["length"] == r["doc_tokens"] and r["start"] == 0 and r["length"] < 512)
+    assert len(rests) > 5
+
+
 def test_word_ids_match_the_tokenizer():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(PACKER)
-    tokenizer.encode_special_tokens = True
     ids = packing.word_ids(PACKER)
     for text in ("It's <|endoftext|> DÉJÀ vu!!! 12٣ ΣΣ", "é ﬁx 中文。x", "İstanbul don't \x1c a_b"):
         got = b"".join(map(ids.__getitem__, text.encode().split()))
         assert got == b"".join(i.to_bytes(4, "little") for i in tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-def deduped(rows, least=10):
+def deduped(rows, least=10, before=()):
+    """What stays of each row; lines of batches that came before belong to their documents. Null ids come last, in the order of a hash of their texts."""
     key = lambda x: lower(x).strip(" \t\n\x0b\x0c\r")
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    place = lambda i, text: (2**63 - 1, signed(xxhash.xxh64_intdigest((text or "").encode(), 42))) if i is None else (i, 0)
     owner = {}
-    for i, text, *_ in rows:
-        at = 2**63 if i is None else i
-        for x in (text or "").split("\n"):
-            owner[key(x)] = min(owner.get(key(x), at), at)
+    for batch in (*before, rows):
+        new = {}
+        for i, text, *_ in batch:
+            for x in (text or "").split("\n"):
+                new[key(x)] = min(new.get(key(x), place(i, text)), place(i, text))
+        owner = new | owner
     for i, text, *_ in rows:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if len(key(x)) < least or owner[key(x)] == (2**63 if i is None else i)]
+        kept = [x for x in lines if len(key(x)) < least or owner[key(x)] == place(i, text)]
         yield i, "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
+def ordered(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
 @pytest.mark.parametrize("batches,fanout", [(1, 2), (3, 2), (6, 3)])
 def test_line_dedup(odd, batches, fanout):
     got = line_dedup.dedup_lines(odd, batches=batches, fanout=fanout, carry=("lang",))
-    assert sorted(map(tuple, got.drop("lang").collect()), key=repr) == sorted(deduped(odd_rows()), key=repr)
+    assert ordered(got.drop("lang")) == sorted(deduped(odd_rows()), key=repr)
+
+
+def test_line_dedup_of_null_ids(spark):
+    rows = [(None, "only a line of the first\nshared by both of them"), (None, "shared by both of them\nonly a line of the second"), (None, "shared by both of them\nonly a line of the second"), (7, "Only A Line of the second ")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ordered(got) == sorted(deduped(rows), key=repr)
+
+
+def test_line_dedup_of_later_batches(spark, odd):
+    """Runs that are kept see the lines of all batches before, also when levels have been merged."""
+    batches = [odd_rows()[k::4] for k in range(4)]
+    schema = odd.schema
+    with line_dedup.LineRuns(spark, buckets=3, fanout=2) as runs:
+        for k, rows in enumerate(batches):
+            got = line_dedup.dedup_lines(spark.createDataFrame(rows, schema), batches=2, runs=runs)
+            assert ordered(got) == sorted(deduped(rows, before=batches[:k]), key=repr)
+        assert len(runs.runs()) < 8 and max(map(len, runs.levels)) < 2
+        names = list(runs.names)
+    assert names and not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_line_dedup_of_a_line_that_many_have(spark):
+    rows = [(i, f"a line that all of them have\nline number {i} of its own" + ("\nevery third has this line" if i % 3 == 0 else "")) for i in range(60)]
+    hashed = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert ordered(line_dedup.dedup_lines(hashed)) == sorted(deduped(rows), key=repr)
+
+
+def test_merging_of_runs_shuffles_nothing(spark, odd):
+    with line_dedup.LineRuns(spark, buckets=3, fanout=9) as runs:
+        line_dedup.dedup_lines(odd, batches=3, runs=runs)
+        plan = line_dedup._merged(runs.runs())._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == 3
 
 
 def test_line_dedup_of_nothing(empty):
@@ -157,6 +217,24 @@ def test_simhash(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_first_of_each_group(spark, odd, empty):
+    got = simhash.first_of_each(odd)
+    assert got.columns == odd.columns
+    place = lambda r: (r[0] is None, r[0] or 0, (h := xxhash.xxh64_intdigest((r[1] or "").encode(), 42)) - (2**64 if h >= 2**63 else 0))
+    groups = {}
+    prints = [(r, fingerprint(r[1])) for r in odd_rows()]
+    label = list(range(len(prints)))
+    for a, (_, x) in enumerate(prints):
+        for b, (_, y) in enumerate(prints[:a]):
+            if (x ^ y).bit_count() <= 2:
+                old, new = label[a], label[b]
+                label = [new if k == old else k for k in label]
+    for k, (r, _) in zip(label, prints, strict=True):
+        groups[k] = min(groups.get(k, r), r, key=place)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, groups.values()))
+    assert simhash.first_of_each(empty).count() == 0
+
+
 @pytest.mark.parametrize("tile", [3, 50])
 def test_simhash_tiles_join_what_all_pairs_join(spark, tile):
     import random
@@ -165,7 +243,7 @@ def test_simhash_tiles_join_what_all_pairs_join(spark, tile):
     base = [rnd.getrandbits(64) for _ in range(12)]
     prints = {b ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randrange(4))) & (2**64 - 1) for b in base for _ in range(20)} | {0, 2**64 - 1, 1}
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
-    made = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), 2, tile=tile)
+    made = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), 2, tile=tile, strip=2)
     from stardeck.llm.components import components
 
     got = {r["node"]: r["component"] for r in components(made).collect()}
