@@ -1,16 +1,19 @@
 """Removal of lines that many documents share, by levelled sorted runs of line hashes.
 
-Documents come in batches of rising id. A batch's line hashes (128 bits, one row for each hash and the
-smallest id that holds it) are merge-anti-joined with the runs of the batches before; those that are
-left belong to this batch and become a run of level 0, bucketed by hash and sorted, so that later joins
-need not shuffle it. When a level holds `fanout` runs, they are merged into one of the next level.
-In the end the runs say which document owns each line, and every document keeps the lines it owns.
-
-Hashes are pre-aggregated before each shuffle, so a line that a third of all documents share costs one
-row for each task; nothing is joined on it but unique rows.
-
-Cases: a null or empty text is one empty line; a null id is a document of its own that comes after all
-others; rows that repeat an id count as one document; an empty table gives an empty result.
+`LineRuns` holds, for batches of documents that came before, one row for each line hash (128 bits) and the
+document that owns it. A new batch's hashes are merge-anti-joined with the runs; those that are left belong
+to this batch and become a run of level 0, bucketed and sorted by hash. When a level holds `fanout` runs,
+they are merged, bucket by bucket, into one of the next level. A batch's documents then lose the lines that
+another document owns. A batch that comes later, in another call or by another user of the same runs, is
+treated likewise. `dedup_lines` deals one table into batches of rising id.
+
+Only the lines to be dropped travel to their documents. They are found by a join of (hash, document) with
+the owners; hashes that more than 1/1000 of all such rows have, at most 1000, are joined apart and go to every
+task, so that no line makes a large group.
+
+Cases: a null or empty text is one empty line; a row with a null id is a document of its own that comes after
+all others, but null ids of equal texts are one document; rows that repeat an id are one document; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SEED, bounded_batches, shared_dir
+from .common import SEED, pieces, shared_dir, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 LAST = 2**63 - 1
@@ -48,102 +51,149 @@ def _keys(text: str | None, least: int) -> list[bytes | None]:
 def _line_hashes(least: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high = xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest
-        for batch in batches:
-            ids, first, second = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = {k for k in _keys(text, least) if k is not None}
-                ids += [i] * len(keys)
-                first += [low(k, SEED) for k in keys]
-                second += [high(k, SEED) for k in keys]
+        for batch in pieces(batches, 2):
+            rows, first, second = [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                keys = {x for x in _keys(text, least) if x is not None}
+                rows += [k] * len(keys)
+                first += [low(x, SEED) for x in keys]
+                second += [high(x, SEED) for x in keys]
             h = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *h], ["id", "h1", "h2"])
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *h], ["id", "tie", "h1", "h2"])
 
     return make
 
 
-def _keep_owned(least: int, names: list[str]):
+def _without(least: int, names: list[str]):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for i, text, owned in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                own = {x & (2**64 - 1) for x in owned or ()}
-                lines = (text or "").split("\n")
-                kept = [x for x, k in zip(lines, _keys(text, least), strict=True) if k is None or digest(k, SEED) in own]
-                for column, x in zip(out, (i, "\n".join(kept), len(lines), len(lines) - len(kept)), strict=True):
+        for batch in pieces(batches, 1):
+            out: list[list] = [[], [], []]
+            for text, drops in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                lines = kept = (text or "").split("\n")
+                if drops:
+                    gone = {x & (2**64 - 1) for x in drops}
+                    kept = [x for x, k in zip(lines, _keys(text, least), strict=True) if k is None or digest(k, SEED) not in gone]
+                for column, x in zip(out, ("\n".join(kept), len(lines), len(lines) - len(kept)), strict=True):
                     column.append(x)
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)] + batch.columns[3:], names)
+            made = [pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[3:]], names)
 
     return make
 
 
+def _documents(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """(id, tie, text, _0, _1, ...): null ids come last and are told apart by a hash of their text."""
+    i = F.col(id_col).cast("long")
+    tie = F.when(i.isNull(), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).otherwise(F.lit(0).cast("long"))
+    return docs.select(F.coalesce(i, F.lit(LAST)).alias("id"), tie.alias("tie"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
+
+
 class LineRuns:
-    """The runs, by level. Each is a table of (h1, h2, owner) in the shared folder."""
+    """Runs by level, each a table of (h1, h2, owner, owner_tie). To be used in a `with` block, or forgotten at the end."""
 
-    def __init__(self, like: DataFrame, buckets: int, fanout: int):
-        self.spark, self.buckets, self.fanout = like.sparkSession, buckets, fanout
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 3, least_length: int = 10):
+        self.spark, self.fanout, self.least = spark, fanout, least_length
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
         self.names: list[str] = []
 
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.forget()
+
     def forget(self) -> None:
         """Takes the runs' names out of the catalogue; their files stay for plans that read them."""
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def add(self, fresh: DataFrame, level: int = 0) -> None:
+    def owners(self) -> DataFrame | None:
+        """All runs together; no two have a hash in common."""
+        runs = self.runs()
+        out = runs[0] if runs else None
+        for run in runs[1:]:
+            out = out.unionByName(run)
+        return out
+
+    def add(self, batch: DataFrame) -> None:
+        """Owners (h1, h2, owner, owner_tie) that the batch's hashes would have, less those that a run has already."""
+        for run in self.runs():
+            batch = batch.join(run.hint("merge"), ["h1", "h2"], "left_anti")
+        self._push(self._write(batch.repartition(self.buckets, "h1", "h2")), 0)
+
+    def _push(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(self._write(fresh))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            merged = full[0]
-            for run in full[1:]:
-                merged = merged.unionByName(run)
-            self.add(merged, level + 1)
+            self._push(self._write(_merged(full)), level + 1)
 
     def _write(self, rows: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex[:12]}"
-        dealt = rows.select("h1", "h2", "owner").repartition(self.buckets, "h1", "h2")
-        dealt.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", shared_dir(self.spark, "line-run")).saveAsTable(name)
         self.names.append(name)
+        made = rows.select("h1", "h2", "owner", "owner_tie").write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        made.option("path", shared_dir(self.spark, "line-run")).saveAsTable(name)
         return self.spark.table(name)
 
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        for run in self.runs():
-            batch = batch.join(run.hint("merge"), ["h1", "h2"], "left_anti")
-        return batch
 
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    """Runs of disjoint hashes as one. All have the same buckets, so the union keeps them and the grouping shuffles nothing."""
+    out = runs[0]
+    for run in runs[1:]:
+        out = out.unionByName(run)
+    one = F.min(F.struct("owner", "owner_tie")).alias("o")
+    return out.groupBy("h1", "h2").agg(one).select("h1", "h2", F.col("o.owner").alias("owner"), F.col("o.owner_tie").alias("owner_tie"))
 
-def dedup_lines(docs: DataFrame, least_length: int = 10, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, least_length: int = 10, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), runs: LineRuns | None = None) -> DataFrame:
     """doc_id, text (the lines that stay), n_lines, n_dropped and the columns `carry` for every row of docs.
 
     Lines whose key has at least least_length code points and is in several documents stay in the one
-    of the smallest id only.
+    of the smallest id only; lines that `runs` hold from before are dropped everywhere. runs: extended by this
+    table's lines (least_length is then theirs); without it they are made for this call. batches: equal shares
+    of the ids that enter the runs one after the other.
     """
-    spark = docs.sparkSession
-    d = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
-    cuts = d.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000).alias("at")).first()["at"] or []
-    cuts = sorted(set(cuts))
-    lines = d.select("id", "text").mapInArrow(_line_hashes(least_length), "id long, h1 long, h2 long")
+    if runs is None:
+        with LineRuns(docs.sparkSession, fanout=fanout, least_length=least_length) as own:
+            return dedup_lines(docs, least_length, batches, fanout, id_col, text_col, carry, own)
+    spark, least = docs.sparkSession, runs.least
+    d = _documents(docs, id_col, text_col, carry)
+    cuts = d.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000).alias("at")).first()["at"] if batches > 1 else None
+    cuts = sorted(set(cuts or []))
     of_batch = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col("id") > c)) if cuts else F.lit(0)
     path = shared_dir(spark, "line-hashes")
-    lines.groupBy(of_batch.alias("batch"), "h1", "h2").agg(F.min("id").alias("owner")).write.partitionBy("batch").parquet(path)
-    hashed = spark.read.schema("h1 long, h2 long, owner long, batch int").parquet(path)
-    runs = LineRuns(d, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
+    schema = "id long, tie long, h1 long, h2 long"
+    lines = d.select("id", "tie", "text").mapInArrow(_line_hashes(least), schema)
+    lines.withColumn("batch", of_batch.cast("int")).write.partitionBy("batch").parquet(path)
+    hashed = spark.read.schema(f"{schema}, batch int").parquet(path)
+    first = F.min(F.struct("id", "tie"))
     for k in range(len(cuts) + 1):  # ids rise from batch to batch, so the first that has a line has its smallest id
-        runs.add(runs.unseen(hashed.where(F.col("batch") == k).select("h1", "h2", "owner")))
-    owners = runs.runs()[0]
-    for run in runs.runs()[1:]:
-        owners = owners.unionByName(run)
-    # within one document 64 bits tell lines apart
-    owned = owners.groupBy(F.col("owner").alias("id")).agg(F.collect_list("h1").alias("owned"))
+        mine = hashed.where(F.col("batch") == k).groupBy("h1", "h2").agg(first.alias("o"))
+        runs.add(mine.select("h1", "h2", F.col("o.id").alias("owner"), F.col("o.tie").alias("owner_tie")))
+    drops = written(_drops(hashed, runs.owners()), "drops")
+    d = d.join(drops, ["id", "tie"], "left")
     also = [f"_{k}" for k in range(len(carry))]
     schema = "doc_id long, text string, n_lines long, n_dropped long" + "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in also)
     names = ["doc_id", "text", "n_lines", "n_dropped", *also]
-    out = d.join(owned, "id", "left").select("id", "text", "owned", *also).mapInArrow(_keep_owned(least_length, names), schema)
-    runs.forget()
+    out = d.select("id", "text", "drops", *also).mapInArrow(_without(least, names), schema)
     return out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), *names[1:4], *[F.col(f"_{k}").alias(c) for k, c in enumerate(carry)])
+
+
+def _drops(hashed: DataFrame, owners: DataFrame, often: int = 1000) -> DataFrame:
+    """(id, tie, drops): the hashes that each document holds and another owns; within a document 64 bits tell lines apart."""
+    least = max(1, hashed.count() // often)
+    # fewer than `often` hashes can have so many of the rows: a bound that no input exceeds
+    hot = hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > least).select("h1", "h2")
+    hot = written(hot.join(owners, ["h1", "h2"]), "hot-lines")
+    seldom = hashed.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(owners, ["h1", "h2"])
+    found = seldom.unionByName(hashed.join(F.broadcast(hot), ["h1", "h2"]))
+    lost = found.where("owner <> id OR owner_tie <> tie").select("id", "tie", "h1")
+    return lost.groupBy("id", "tie").agg(F.collect_set("h1").alias("drops"))

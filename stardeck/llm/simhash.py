@@ -3,9 +3,11 @@
 Equal fingerprints are first grouped. The others are dealt into cells by the population counts of their
 four 16-bit quarters. Two fingerprints that differ in at most r bits have counts that differ, summed over
 the quarters, by at most r: so only cells that near one another are compared, and all other tile pairs are
-skipped. Cells are cut into tiles of bounded size; a tile pair is one row with both tiles packed, compared
-by exclusive-or and bit counts. Of a tile pair's links only a spanning forest leaves the task, so a group
-of n linked fingerprints makes at most n - 1 rows for each tile pair and never all pairs.
+skipped. Cells are cut into tiles of bounded size, and a cell's tiles into strips of at most `strip`; a tile is
+sent to the strips that it may meet, so a full cell is compared by as many tasks as it has strips. A tile
+pair is one row with both tiles packed, compared by exclusive-or and bit counts. Of a tile pair's links only a
+spanning forest leaves the task, so a group of n linked fingerprints makes at most n - 1 rows for each tile
+pair and never all pairs.
 
 Cases: a null or empty text has fingerprint zero and is linked like any other; fewer words than a shingle
 has make one shingle; repeated rows and ids are grouped; a null id takes part but never names a component
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEED, bounded_batches, words_of, written
+from .common import SEED, pieces, words_of, written
 from .components import components
 
 QUARTERS = 4
@@ -50,11 +52,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > len(h)).tobytes(), "big")
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, names: list[str]):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        for batch in pieces(batches, 0):
+            prints = np.array([fingerprint(t, shingle) for t in batch.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), *batch.columns[1:]], names)
 
     return make
 
@@ -96,16 +98,16 @@ def _compare(radius: int):
     return make
 
 
-def links(prints: DataFrame, radius: int, tile: int = 2048) -> DataFrame:
+def links(prints: DataFrame, radius: int, tile: int = 2048, strip: int = 8) -> DataFrame:
     """(a, b) of fingerprints, linked as all pairs of the distinct `fp` within the radius would link them."""
     quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF)) for k in range(QUARTERS)]
     cell = sum((q * 17**k for k, q in enumerate(quarter)), F.lit(0)).cast("int")
     prints = prints.select("fp", cell.alias("cell"))
     # at most MOST_CELLS rows: a bound that no input exceeds, so the counts may be broadcast
-    tiles_of = prints.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("n_tiles"))
-    dealt = prints.join(F.broadcast(tiles_of), "cell")
+    tiles_of = F.broadcast(written(prints.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("n_tiles")), "cells"))
+    dealt = prints.join(tiles_of, "cell")
     tiles = dealt.groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("n_tiles")).cast("int").alias("tile")).agg(F.collect_list("fp").alias("fps"))
-    tiles = written(tiles, "tiles")
+    tiles = written(tiles.withColumn("strip", F.floor(F.col("tile") / strip).cast("int")), "tiles")
     steps = [d for d in product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, d)) <= radius and d >= (0,) * QUARTERS]
     count = [(F.col("cell") / 17**k).cast("int") % 17 for k in range(QUARTERS)]
     near = [
@@ -116,7 +118,9 @@ def links(prints: DataFrame, radius: int, tile: int = 2048) -> DataFrame:
         for d in steps
     ]
     probes = tiles.select(F.col("tile").alias("t"), F.col("cell").alias("c"), F.col("fps").alias("x"), F.explode(F.array_compact(F.array(*near))).alias("cell"))
-    pairs = probes.join(tiles, "cell").where("c <> cell OR t <= tile")
+    last = F.floor((F.col("n_tiles") - 1) / strip).cast("int")
+    probes = probes.join(tiles_of, "cell").select("t", "c", "x", "cell", F.explode(F.sequence(F.lit(0), last)).alias("strip"))
+    pairs = probes.join(tiles, ["cell", "strip"]).where("c <> cell OR t <= tile")
     return pairs.select("x", "fps", (F.expr("c = cell AND t = tile")).alias("same")).mapInArrow(_compare(radius), "a long, b long")
 
 
@@ -128,15 +132,42 @@ def _within(count: list, d: tuple) -> Column:
     return inside
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the least id reachable) for every row of docs."""
-    d = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = written(d.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
+def _printed(docs: DataFrame, shingle: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(fp, row, doc_id, _0, _1, ...), written: a row for each row of docs, numbered, with the columns `carry`."""
+    # the text goes first; it is carried on only if asked for
+    d = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
+    names = ["fp", *d.columns[1:]]
+    schema = "fp long, row long, doc_id long" + "".join(f", _{k} {d.schema[f'_{k}'].dataType.simpleString()}" for k in range(len(carry)))
+    return written(d.mapInArrow(_fingerprints(shingle, names), schema), "fingerprints")
+
+
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, group, component_id), written: the group of each fingerprint, and the least id in it."""
     groups = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     # fingerprints as nodes; the component's least id comes from its groups' least ids
     found = components(links(groups, radius))
     named = found.join(groups, found["node"] == groups["fp"]).groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = found.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    of_group = groups.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    of_group = written(of_group, "of-group")  # read anew, it leaves Spark free to split a fingerprint that many rows have
-    return prints.join(of_group, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    linked = found.join(named, "component").select(F.col("node").alias("fp"), F.col("component").alias("group"), "component_id")
+    of_group = groups.join(linked, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    return written(of_group, "of-group")  # read anew, it leaves Spark free to split a fingerprint that many rows have
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the least id reachable) for every row of docs."""
+    prints = _printed(docs, shingle, id_col, text_col)
+    return prints.join(_grouped(prints, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of docs: that of the smallest id, nulls last.
+
+    Of rows that share that id the one whose text has the smallest hash stays; of equal rows any.
+    """
+    columns = docs.columns
+    prints = _printed(docs.withColumn("_tie", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), shingle, id_col, text_col, (*columns, "_tie"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(f"_{len(columns)}").alias("tie"), "row")
+    ranked = prints.select("fp", "row", order.alias("o")).join(_grouped(prints, radius).select("fp", "group"), "fp")
+    first = ranked.groupBy("group").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
+    # few rows go as a rule: their numbers are what the texts are joined with
+    gone = written(prints.select("row").join(first, "row", "left_anti"), "gone")
+    return prints.join(gone, "row", "left_anti").select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(columns)])
