@@ -82,3 +82,21 @@ def mix(a: np.ndarray) -> np.ndarray:
         a = (a ^ (a >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         a = (a ^ (a >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return a ^ (a >> np.uint64(31))
+
+
+#: The constants of XXH64 (fixed values).
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(a: np.ndarray, by: int) -> np.ndarray:
+    return (a << np.uint64(by)) | (a >> np.uint64(64 - by))
+
+
+def chained(a: np.ndarray, seed: np.ndarray | int = SEED) -> np.ndarray:
+    """XXH64 of 64-bit numbers, each with its seed. chained(b, chained(a)) is Spark's xxhash64(a, b)."""
+    with np.errstate(over="ignore"):
+        h = np.asarray(seed, np.uint64) + P5 + np.uint64(8)
+        h = _turned(h ^ (_turned(a * P2, 31) * P1), 27) * P1 + P4
+        h = (h ^ (h >> np.uint64(33))) * P2
+        h = (h ^ (h >> np.uint64(29))) * P3
+        return h ^ (h >> np.uint64(32))

@@ -265,47 +265,103 @@ def test_simhash_tiles_join_what_all_pairs_join(spark, tile):
     assert made.count() < 4 * len(prints)
 
 
-def test_perplexity_filter(odd, empty, labels, no_labels):
+def hashed_long(i):
+    h = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def classified(rows, marks, sample, quantile, order):
+    """(id, tokens, log10 probability, threshold, kept) of each row, in plain Python."""
+    by_id = {}
+    for i, q in marks:
+        by_id.setdefault(i, []).append(q)
+    trusted = {i for i, qs in by_id.items() if i is not None and all(q == 1 for q in qs if q is not None) and any(q is not None for q in qs)}
+    lang = {}
+    for i, t, la in rows:
+        if i in trusted and hashed_long(i) % 2 == 0:
+            lang.setdefault(i, []).append(la)
+    lang = {i: min((x for x in v if x is not None), default=None) for i, v in lang.items()}
+    chosen = {i for la in set(lang.values()) for i in sorted((i for i in lang if lang[i] == la), key=hashed_long)[:sample]}
+    log_p = kneser_ney([t for i, t, _ in rows if i in chosen], order)
+    scored = [(i, la, len(WORD.findall(lower(t))) + 1, log_p(t)) for i, t, la in rows]
+    worth = lambda r: 10 ** (-r[3] / r[2])
+    level = lambda xs: sorted(xs)[max(0, math.ceil(quantile * len(xs)) - 1)]
+    held = [r for r in scored if r[0] in trusted - chosen]
+    of = {la: level([worth(r) for r in held if r[1] == la]) for la in {r[1] for r in held}}
+    for r in scored:
+        t = of.get(r[1], level(list(map(worth, held))))
+        yield r[0], r[2], r[3], t, worth(r) <= t * (1 + 1e-9)
+
+
+@pytest.mark.parametrize("order,sample,quantile", [(2, 3, 0.8), (3, 100, 0.5)])
+def test_perplexity_filter(spark, order, sample, quantile):
+    import random
+
+    rnd = random.Random(order)
+    words = ["tree", "sea", "Road", "ROAD", "sun", "moon", "élan", "ÉLAN", "star"]
+    rows = [(i, " ".join(rnd.choices(words[: 3 + i % 7], k=rnd.randrange(0, 40))), ["en", "de", None, "fr"][i % 4 if i % 20 else 3]) for i in range(120)]
+    rows += [rows[5], rows[5], (None, "tree sea", "en"), (500, None, "it"), (501, "", None)]
+    marks = [(i, int(i % 3 > 0)) for i in range(0, 110) if i % 4 != 3] + [(1, 0), (2, None), (None, 1), (999, 1)]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, lang string, l string, row int")
+    got = perplexity_filter.classify(docs.repartition(3), spark.createDataFrame(marks, "doc_id long, quality int"), sample=sample, quantile=quantile, order=order)
+    near = lambda r: (r[0], r[1], round(r[2], 6), round(r[3], 6), r[4])
+    assert sorted((near((r["doc_id"], r["n_tokens"], r["log10_prob"], r["threshold"], r["kept"])) for r in got.collect()), key=repr) == sorted(map(near, classified(rows, marks, sample, quantile, order)), key=repr)
+
+
+def test_perplexity_filter_without_rows_or_labels(odd, empty, labels, no_labels):
     got = perplexity_filter.classify(odd, labels).collect()
     assert len(got) == len(odd_rows()) and all(r["perplexity"] > 0 and r["kept"] is not None for r in got)
     assert perplexity_filter.classify(odd, no_labels).where("NOT kept").count() == 0
     assert perplexity_filter.classify(empty, labels).count() == 0
 
 
-def test_perplexity_matches_the_formula(spark):
-    texts = ["a b c a b d", "a b b c", "c a b", "d d a", "a", ""]
-    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)] + [(9, "en", "a b z c")], "doc_id long, lang string, text string")
-    table, unknown = perplexity_filter.model(docs.where("doc_id < 9"))
-    got = {r["doc_id"]: r["log10_prob"] for r in perplexity_filter.perplexity(docs, table, unknown).collect()}
-    want = kneser_ney(texts)
-    for i, t in [*enumerate(texts), (9, "a b z c")]:
-        assert got[i] == pytest.approx(want(t), rel=1e-9)
-
-
-def kneser_ney(texts):
-    """log10 P of a text under an interpolated modified Kneser-Ney bigram model of texts."""
-    stream = lambda t: ["<s>", *WORD.findall(lower(t)), "</s>"]
-    pairs = Counter(p for t in texts for p in zip(stream(t), stream(t)[1:], strict=False))
-    total, kinds, before = Counter(), Counter(), Counter()
-    for (v, w), c in pairs.items():
-        total[v] += c
-        kinds[v, min(c, 3)] += 1
-        before[w] += 1
-    d2, d1 = (lm_scoring.discounts(*[sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)]) for c in (pairs, before))
-    rest = sum(d1[min(c, 3)] for c in before.values()) / len(pairs)
-
-    def p1(w):
-        return max(before[w] - d1[min(before[w], 3)], 0) / len(pairs) + rest / (len(before) + 1)
-
-    assert sum(map(p1, before)) + rest / (len(before) + 1) == pytest.approx(1)
-
-    def p(v, w):
-        if not total[v]:
-            return p1(w)
-        c = pairs[v, w]
-        return max(c - d2[min(c, 3)], 0) / total[v] + sum(d2[k] * kinds[v, k] for k in (1, 2, 3)) / total[v] * p1(w)
-
-    return lambda t: sum(math.log10(p(v, w)) for v, w in zip(stream(t), stream(t)[1:], strict=False))
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_perplexity_matches_the_formula(spark, order):
+    """However few keys are hot, however the shards are cut, whatever a task sends in vain."""
+    texts = ["a b c a b d", "a b b c", "c a b", "d d a", "a", "", "a b c a b d", "b c a b"]
+    more = [(9, "en", "a b z c"), (10, "en", "z z z"), (11, "en", "d a b c a b b c a b d " * 30)]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)] + more, "doc_id long, lang string, text string").repartition(3)
+    table, unknown = perplexity_filter.model(docs.where("doc_id < 9"), order)
+    want = kneser_ney(texts, order)
+    for how in ({}, {"hot_keys": 0, "shard_rows": 3, "division": 50}, {"hot_keys": 5, "shard_rows": 2}):
+        got = {r["doc_id"]: r["log10_prob"] for r in perplexity_filter.perplexity(docs, table, unknown, order, **how).collect()}
+        for i, t in [*enumerate(texts), *((i, t) for i, _, t in more)]:
+            assert got[i] == pytest.approx(want(t), rel=1e-9)
+
+
+def test_chained_hashes_are_those_of_spark(spark):
+    import numpy as np
+
+    a, b = np.array([1, 2**63 + 5, 0], np.uint64), np.array([7, 3, 2**64 - 1], np.uint64)
+    rows = spark.createDataFrame([(k, int(x), int(y)) for k, (x, y) in enumerate(zip(a.view(np.int64), b.view(np.int64), strict=True))], "k int, a long, b long")
+    want = [r[0] for r in rows.orderBy("k").select(F.xxhash64("a", "b")).collect()]
+    assert common.chained(b, common.chained(a)).view(np.int64).tolist() == want
+
+
+def kneser_ney(texts, order=2):
+    """log10 P of a text under an interpolated modified Kneser-Ney model of texts."""
+    stream = lambda t: [*["<s>"] * (order - 1), *WORD.findall(lower(t)), "</s>"]
+    grams = lambda t: [tuple((s := stream(t))[i - order + 1 : i + 1]) for i in range(order - 1, len(stream(t)))]
+    count = {order: Counter(g for t in texts for g in grams(t))}
+    for n in range(order - 1, 0, -1):
+        count[n] = Counter(g[1:] for g in count[n + 1])
+    d = {n: lm_scoring.discounts(*[sum(1 for x in c.values() if x == k) for k in (1, 2, 3, 4)]) for n, c in count.items()}
+    total, left = Counter(), Counter()
+    for n, c in count.items():
+        for g, x in c.items():
+            total[n, g[:-1]] += x
+            left[n, g[:-1]] += d[n][min(x, 3)]
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / (len(count[1]) + 1)
+        if not total[n, g[:-1]]:
+            return p(g[1:])
+        return (max(count[n][g] - d[n][min(count[n][g], 3)], 0) + left[n, g[:-1]] * p(g[1:])) / total[n, g[:-1]]
+
+    assert sum(p((*["<s>"] * (order - 1), w)) for (w,) in count[1]) + p((*["<s>"] * (order - 1), "?")) == pytest.approx(1)
+    return lambda t: sum(math.log10(p(g)) for g in grams(t))
 
 
 def test_lm_scoring(odd, empty):
@@ -339,34 +395,144 @@ def test_toxicity(spark, odd, empty, labels, no_labels):
     lexicon = toxicity.learn(odd, labels, ~held)
     got = toxicity.score(odd, lexicon, held).collect()
     assert len(got) == len(odd_rows()) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    want = Counter((i, i is None or zlib.crc32(str(i).encode()) % 5 == 0, round(plain_score(t, lexicon), 9)) for i, t, *_ in odd_rows())
+    assert Counter((r["doc_id"], r["held_out"], round(r["score"], 9)) for r in got) == want
     assert toxicity.score(empty, toxicity.learn(empty, no_labels, ~held), held).count() == 0
 
 
+def toxic_rows():
+    words = [f"w{k}" for k in range(60)]
+    import random
+
+    rnd = random.Random(2)
+    for i in range(400):
+        text = rnd.choices(words, k=30)
+        if i % 4 == 0:
+            text[7] = "zorp" if i % 8 else "zorpish"
+        yield i, " ".join(text) + (" you zorp fool." if i % 4 == 0 else "."), int(i % 4 == 0)
+
+
 def test_toxicity_learns_insults(spark):
-    rows = [(i, f"the road to town number {i} is long" + (" you zorp fool" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
-    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, toxic int").drop("toxic"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    rows = list(toxic_rows())
+    marks = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t, "clash", 3, 1.0, True) for i, t, _ in rows], "doc_id long, text string, toxic string, half int, s0 double, _y boolean")
     lexicon = toxicity.learn(docs, marks, F.lit(True))
     assert lexicon.weight("zorp") > 2
     score = toxicity.Scorer(lexicon).score
     assert score("you zorp") > 0.5 > score("the road is long")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, lexicon, F.lit(False)).collect()}
+    assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows)
+    # neither the order of rows nor which of several equal texts is read changes what is learned
+    again = [(1000 + i, t) for i, t, _ in rows[::3]] + [(i, t) for i, t, _ in rows[::-1]]
+    other = spark.createDataFrame(again, "doc_id long, text string").repartition(7)
+    more = marks.unionByName(marks.where("doc_id % 3 = 0").select((F.col("doc_id") + 1000).alias("doc_id"), "toxic"))
+    assert toxicity.learn(other, more.repartition(5), F.lit(True)) == lexicon
+
+
+def test_threats_are_learned(spark):
+    rows = [(i, ("they burn wood here " if i % 2 else "i will kill you ") + f"on day {i}", int(i % 2 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, marks, F.lit(True))
+    assert lexicon.threats["kill"] > 2 and lexicon.threats["burn"] == 0.0 and lexicon.threats["murder"] == toxicity.GIVEN_WEIGHT
+    score = toxicity.Scorer(lexicon).score
+    assert score("i will kill you") > 0.5 > score("we burn wood")
 
 
 def test_logistic_of_nearly_parted_labels():
     """Steps of a plain Newton's method run away here and leave a slope of nothing."""
     rows = [(0.0, 0, 4600), (7.5, 0, 2), (9.0, 1, 3), (11.25, 1, 60), (22.5, 1, 900), (33.75, 1, 900), (40.0, 1, 4100)]
     for times in (1, 10, 1000):
-        a, b = toxicity.logistic([(s, y, n * times) for s, y, n in rows])
-        assert b > 0.5 and a + b * 7.5 < 0 < a + b * 11.25
-    assert toxicity.logistic([]) == toxicity.logistic([(1.0, 1, 5)]) == (toxicity.Lexicon.a, toxicity.Lexicon.b)
+        a, b = toxicity.logistic([((s, 0.0, 0.0, 0.0), y, n * times) for s, y, n in rows])
+        assert b[0] > 0.5 and a + b[0] * 7.5 < 0 < a + b[0] * 11.25
+        assert b[1:] == toxicity.GIVEN_FACTORS[1:]
+    assert toxicity.logistic([]) == toxicity.logistic([((1.0, 0.0, 0.0, 0.0), 1, 5)]) == (toxicity.GIVEN_BIAS, toxicity.GIVEN_FACTORS)
 
 
 def test_toxicity_clauses():
     scorer = toxicity.Scorer(toxicity.Lexicon({"idiot": 2.0}))
-    plain, negated, told, aimed = (sum(scorer.clauses(t)) for t in ("what an idiot", "not an idiot", "he said what an idiot".replace("he ", ""), "you idiot"))
-    assert negated < told < plain < aimed
-    assert sum(scorer.clauses("i will kill you")) < sum(scorer.clauses("you i will kill"))
-    assert scorer.clauses("not. an idiot") == scorer.clauses("an idiot")
-    assert scorer.clauses("a fine day") == []
+    sums = lambda t: [round(x, 6) for x in scorer.sums(t)]
+    assert sums("what an idiot") == [2.0, 0, 0, 0] and sums("not an idiot") == [0.5, 0, 0, 0] and sums("it said what an idiot") == [1.0, 0, 0, 0]
+    assert sums("you idiot") == sums("idiot, you") == [0, 2.0, 0, 0]
+    assert sums("i will kill you") == [0, 0, 0, 2.5] and sums("you i will kill") == [0, 0, 2.5, 0]
+    assert sums("not. an idiot") == sums("an idiot") and sums("a fine day") == [0, 0, 0, 0] and scorer.clauses("a fine day") == []
+    for elided in ("l'idiot", "d’idiot", "idiot's", "L'IDIOT"):
+        assert sums(elided) == [2.0, 0, 0, 0]
+    scores = [scorer.score(t) for t in ("not an idiot", "they said what an idiot".replace("they ", ""), "what an idiot", "you idiot")]
+    assert scores == sorted(set(scores))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_composed_grammar_is_the_machines_in_series(seed):
+    import random
+
+    rnd = random.Random(seed)
+    whole, parts = toxicity.grammar(), toxicity.machines()
+    state, states = whole.start, [m.start for m in parts]
+    for _ in range(3000):
+        symbol = rnd.randrange(7)
+        state, out, weight = whole.step(state, symbol)
+        product = 1.0
+        for k, m in enumerate(parts):
+            states[k], symbol, f = m.step(states[k], symbol)
+            product *= f
+        assert (out, weight) == (symbol, product)
+
+
+def plain_sums(text, lexicon):
+    """The four sums by looking around in each clause, without machines."""
+    fixed = {w: kind for kind in (toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT) for w in toxicity.WORDS[kind].split()}
+
+    def kind(word):
+        found = []
+        for x in [word, *re.findall(r"[^\W\d_]+", word)]:
+            if x in fixed:
+                found.append((fixed[x], 0.0))
+            elif x in lexicon.threats:
+                found.append((toxicity.THREAT, lexicon.threats[x]))
+            else:
+                w = max([lexicon.words.get(x, 0.0)] + [v for b, v in lexicon.beginnings.items() if x.startswith(b)])
+                found.append((toxicity.INSULT if w > 0 else toxicity.OTHER, w))
+            if x == word and found[0] != (toxicity.OTHER, 0.0):
+                return found[0]
+        return max(found[1:], key=lambda f: f[1])
+
+    total = [0.0] * 4
+    for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
+        words = [kind(w) for w in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", clause)]
+        kinds = [k for k, _ in words]
+        for i, (k, w) in enumerate(words):
+            if k not in (toxicity.INSULT, toxicity.THREAT):
+                continue
+            w *= (0.25 if toxicity.NEGATION in kinds[max(0, i - 3) : i] else 1) * (0.5 if toxicity.REPORT in kinds[:i] else 1)
+            aimed = k == toxicity.INSULT and toxicity.TARGET in kinds[:i]
+            if not aimed:
+                for x in kinds[i + 1 : i + 4]:
+                    if x == toxicity.TARGET:
+                        aimed = True
+                    if x in (toxicity.TARGET, toxicity.INSULT, toxicity.THREAT):
+                        break
+            total[(k == toxicity.THREAT) * 2 + aimed] += w
+    return total
+
+
+def plain_score(text, lexicon):
+    return 1 / (1 + math.exp(-max(-30, min(30, lexicon.a + sum(b * x for b, x in zip(lexicon.b, plain_sums(text, lexicon), strict=True))))))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_toxicity_scores_are_those_of_a_plain_evaluator(seed):
+    import random
+
+    rnd = random.Random(seed)
+    lexicon = toxicity.Lexicon({"idiot": 2.0, "fool": 1.5}, {"zor": 3.0})
+    lexicon.threats["burn"] = 0.0
+    scorer = toxicity.Scorer(lexicon)
+    words = ["idiot", "fool", "zorp", "l'idiot", "kill", "burn", "you", "he", "not", "said", "said", "the", "day", "tree", ".", "!", "\n", "you're", "NEVER", "d’été"]
+    for _ in range(400):
+        text = " ".join(rnd.choices(words, k=rnd.randrange(0, 40)))
+        assert scorer.sums(text) == pytest.approx(plain_sums(text, lexicon)), text
+        assert scorer.score(text) == pytest.approx(plain_score(text, lexicon))
 
 
 def test_byte_bpe(odd, empty):
