@@ -40,9 +40,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .warc_revisits import header_lines, resolve, two_crawls
+    from .warc_revisits import crawls, header_lines, resolve
 
-    found = resolve(two_crawls(_table(spark, sf_dir, "pages")))
+    found = resolve(crawls(_table(spark, sf_dir, "pages")))
     return found.select("record_id", "url_key", "refers_to", "status", header_lines("headers").alias("headers"))
 
 
@@ -110,27 +110,34 @@ SQL: dict[str, str] = {
                        lambda p: p <> '' AND NOT starts_with(p, 'utm_'))), '&') AS asked
             FROM pages
         ), keyed AS (
-            SELECT page_id, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || (page_id % 28) AS day,
+            SELECT page_id, md5(coalesce(html, '')) AS md5, 'day ' || (page_id % 28) AS day,
                    strlen(coalesce(html, '')) AS size, place || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS url_key
             FROM parts
+        ), responses AS (
+            SELECT 8 * page_id + k AS record_id, url_key, (page_id * 7919 + k * 3571) % 10000 AS ts, '"' || md5 || '-' || k || '"' AS tag, day, size
+            FROM keyed, (VALUES (0), (1), (2)) t(k)
         ), revisits AS (
-            SELECT 2 * page_id + 1 AS record_id, url_key, day,
-                   CASE WHEN page_id % 7 = 3 THEN '"changed"' WHEN page_id % 5 <> 1 THEN 'W/' || tag END AS sent
-            FROM keyed
+            SELECT 8 * page_id + k AS record_id, url_key, (page_id * 104729 + k * 4999) % 10000 AS ts,
+                   CASE WHEN NOT (page_id % 5 = 1 AND page_id % 3 = 0) THEN day END AS day,
+                   CASE WHEN page_id % 7 = 3 THEN '"changed"' WHEN page_id % 5 <> 1 THEN 'W/"' || md5 || '-' || (page_id % 3) || '"' END AS sent
+            FROM keyed, (VALUES (3), (4)) t(k)
         ), latest AS (
-            SELECT url_key, max(page_id) AS page_id FROM keyed GROUP BY url_key
+            SELECT url_key, ts, max(record_id) AS held FROM responses GROUP BY url_key, ts
+        ), as_of AS (
+            SELECT r.*, l.held FROM revisits r ASOF LEFT JOIN latest l ON r.url_key = l.url_key AND r.ts > l.ts
         ), met AS (
-            SELECT r.*, k.page_id AS held, k.tag, k.day AS old_day, k.size,
-                   CASE WHEN k.page_id IS NULL THEN 'missing'
+            SELECT r.*, k.tag, k.day AS old_day, k.size,
+                   CASE WHEN k.record_id IS NULL THEN 'missing'
                         WHEN r.sent IS NOT NULL THEN CASE WHEN regexp_replace(r.sent, '^W/', '') = k.tag THEN 'merged' ELSE 'mismatch' END
-                        WHEN r.day = k.day THEN 'merged' ELSE 'mismatch' END AS status
-            FROM revisits r LEFT JOIN latest l USING (url_key) LEFT JOIN keyed k ON k.page_id = l.page_id
+                        WHEN r.day IS NOT NULL THEN CASE WHEN r.day = k.day THEN 'merged' ELSE 'mismatch' END
+                        ELSE 'unchecked' END AS status
+            FROM as_of r LEFT JOIN responses k ON k.record_id = r.held
         )
-        SELECT record_id, url_key, 2 * held AS refers_to, status,
+        SELECT record_id, url_key, held AS refers_to, status,
                CASE WHEN status = 'merged'
                     THEN 'cache-control: max-age=120' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10)
-                         || 'etag: ' || coalesce(sent, tag) || chr(10) || 'last-modified: ' || day
+                         || 'etag: ' || coalesce(sent, tag) || chr(10) || 'last-modified: ' || coalesce(day, old_day)
                     ELSE 'cache-control: max-age=120' || chr(10) || 'content-length: 0'
-                         || coalesce(chr(10) || 'etag: ' || sent, '') || chr(10) || 'last-modified: ' || day END AS headers
+                         || coalesce(chr(10) || 'etag: ' || sent, '') || coalesce(chr(10) || 'last-modified: ' || day, '') END AS headers
         FROM met""",
 }

@@ -6,7 +6,9 @@ the times of last modification), the revisit stands for that response, with the
 
 The as-of join works on different (URL, time) pairs, cut by quantiles of time into spans: a window takes
 the last response inside each span, a second one, over one row for each URL and span, carries the last
-response of earlier spans forward. A URL that holds a third of all records so makes many bounded groups.
+response of earlier spans forward. There are more spans where there are more records, so a URL that holds a third
+of them makes many groups of bounded size. Revisits that found a response fetch its headers by id; Spark splits
+the revisits of a response that many refer to, as a response is one row. Those that found none don't take part.
 
 Cases: a null URL or time matches nothing; responses of equal URL and time count as one, that of the
 greatest id; null headers are no headers; a header's null value counts as absent; repeated revisits are
@@ -40,18 +42,34 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(F.trim(tag), "^W/", "")
 
 
-def resolve(records: DataFrame, spans: int = 64) -> DataFrame:
+def record_kind(warc_type: Column, profile: Column, http_status: Column) -> Column:
+    """What resolve() calls a WARC record: "revisit" for one by a server's "not modified", "response" for a full one, else null.
+
+    A revisit that says its payload is identical has headers of its own and a payload elsewhere: it isn't one of these.
+    """
+    unchanged = F.coalesce(F.lower(profile).rlike("server-not-modified/?$"), http_status == 304, F.lit(False))
+    kind = F.lower(F.trim(warc_type))
+    return F.when((kind == "revisit") & unchanged, "revisit").when((kind == "response") & F.coalesce(http_status.between(200, 299), F.lit(True)), "response")
+
+
+#: Records in one span of time, about, and how many spans there may be.
+SPAN_ROWS, MOST_SPANS = 500_000, 4096
+
+
+def resolve(records: DataFrame, spans: int | None = None) -> DataFrame:
     """record_id, url_key, refers_to, status and headers for every revisit among `records`.
 
     records: record_id long, ts long, url string, kind ("response" or "revisit"), headers map<string,string>
     with lower-case names. status: "merged" (validators agree; headers are the response's, updated),
     "mismatch", "unchecked" (no validator on both sides) or "missing" (no earlier response); headers are the
-    revisit's own in the last three.
+    revisit's own in the last three. spans: of time; by default one for each SPAN_ROWS records, 64 at least.
     """
     of = F.map_filter(F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>")), lambda _, v: v.isNotNull())
     rows = records.select("record_id", "ts", canonical_url(F.col("url")).alias("url_key"), "kind", of.alias("headers"))
     full = rows.where(F.col("kind") == "response")
     revisits = rows.where(F.col("kind") == "revisit")
+    if spans is None:
+        spans = min(MOST_SPANS, max(64, -(-rows.count() // SPAN_ROWS)))
     cuts = rows.agg(F.percentile_approx("ts", [k / spans for k in range(1, spans)], 10_000).alias("at")).first()["at"] or []
     span = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: F.col("ts") > c)) if cuts else F.lit(0)
     known = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
@@ -66,8 +84,9 @@ def resolve(records: DataFrame, spans: int = 64) -> DataFrame:
     as_of = inside.where("asked > 0").join(carried, ["url_key", "span"]).select("url_key", "ts", F.coalesce("found", "before")["response_id"].alias("refers_to"))
     with_id = revisits.join(as_of, ["url_key", "ts"], "left")
     stored = full.select(F.col("record_id").alias("refers_to"), F.col("headers").alias("stored")).dropDuplicates(["refers_to"])
-    both = with_id.join(stored, "refers_to", "left")
-    return both.select("record_id", "url_key", "refers_to", *_merged())
+    met = with_id.where(F.col("refers_to").isNotNull()).join(stored, "refers_to", "left")
+    alone = with_id.where(F.col("refers_to").isNull()).withColumn("stored", F.lit(None).cast("map<string,string>"))
+    return met.unionByName(alone).select("record_id", "url_key", "refers_to", *_merged())
 
 
 def _merged() -> tuple[Column, Column]:
@@ -93,24 +112,29 @@ def header_lines(headers: str) -> Column:
     return F.array_join(F.array_sort(lines), "\n")
 
 
-def two_crawls(pages: DataFrame, gap: int = 1_000_000_000) -> DataFrame:
-    """Records of pages crawled twice, the second time as revisits.
+def crawls(pages: DataFrame) -> DataFrame:
+    """Records of pages crawled again and again: three full responses and two revisits of each page.
 
-    The first crawl stores each page in full, at the time page_id. The second, `gap` later, asks under the
-    page's URL with another fragment and gets "not modified"; every seventh page in turn has another entity
-    tag by then, every fifth sends none.
+    Times are pseudo-random in 0 to 9,999, so the responses and revisits of a URL interleave, some revisits come before
+    any response and some times are equal. The entity tags of the responses differ. A revisit asks under the page's URL
+    with another fragment and sends the tag of one of the responses; every seventh page in turn sends another, every
+    fifth none, and every third of those has no time of last modification either. A null page_id has null times.
     """
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), F.lit('"'))
-    day = F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string"))
-    size = F.octet_length(F.coalesce(F.col("html"), F.lit(""))).cast("string")
+    html = F.coalesce(F.col("html"), F.lit(""))
+    p = pages.select("page_id", "url", F.md5(html.cast("binary")).alias("md5"), F.octet_length(html).cast("string").alias("size"))
+    p = p.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    full = F.col("k") < 3
     text = lambda s: F.lit(s).cast("string")
-    first = pages.select(
-        (2 * F.col("page_id")).alias("record_id"), F.col("page_id").alias("ts"), "url", F.lit("response").alias("kind"),
-        F.create_map(text("etag"), tag, text("last-modified"), day, text("content-length"), size, text("content-type"), text("text/html"), text("cache-control"), text("max-age=60")).alias("headers"),
-    )
-    sent = F.when(F.col("page_id") % 7 == 3, text('"changed"')).when(F.col("page_id") % 5 != 1, F.concat(F.lit("W/"), tag))
-    again = pages.select(
-        (2 * F.col("page_id") + 1).alias("record_id"), (F.col("page_id") + gap).alias("ts"), F.concat("url", F.lit("#again")).alias("url"), F.lit("revisit").alias("kind"),
-        F.create_map(text("etag"), sent, text("last-modified"), day, text("content-length"), text("0"), text("cache-control"), text("max-age=120")).alias("headers"),
-    )
-    return first.unionByName(again)
+    tag = lambda k: F.concat(F.lit('"'), "md5", F.lit("-"), k.cast("string"), F.lit('"'))
+    day = F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string"))
+    sent = F.when(F.col("page_id") % 7 == 3, text('"changed"')).when(F.col("page_id") % 5 != 1, F.concat(F.lit("W/"), tag(F.col("page_id") % 3)))
+    changed = F.when(~((F.col("page_id") % 5 == 1) & (F.col("page_id") % 3 == 0)), day)
+    stored = F.create_map(text("etag"), tag(F.col("k")), text("last-modified"), day, text("content-length"), F.col("size"), text("content-type"), text("text/html"), text("cache-control"), text("max-age=60"))
+    again = F.create_map(text("etag"), sent, text("last-modified"), changed, text("content-length"), text("0"), text("cache-control"), text("max-age=120"))
+    return p.select(
+        (8 * F.col("page_id") + F.col("k")).alias("record_id"),
+        F.when(full, (F.col("page_id") * 7919 + F.col("k") * 3571) % 10_000).otherwise((F.col("page_id") * 104_729 + F.col("k") * 4999) % 10_000).alias("ts"),
+        F.when(full, F.col("url")).otherwise(F.concat("url", F.lit("#again"))).alias("url"),
+        F.when(full, "response").otherwise("revisit").alias("kind"),
+        F.when(full, stored).otherwise(again).alias("headers"),
+    )

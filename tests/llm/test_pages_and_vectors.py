@@ -56,7 +56,34 @@ def test_revisits_of_a_hot_url(spark, spans):
 def test_revisits_of_nothing(spark):
     assert resolved(spark, []) == {}
     pages = spark.createDataFrame([(None, None, None), (1, "http://a.org/", None)], "page_id long, url string, html string")
-    assert warc_revisits.resolve(warc_revisits.two_crawls(pages)).count() == 2
+    assert warc_revisits.resolve(warc_revisits.crawls(pages)).count() == 4
+
+
+def test_crawls_interleave(spark):
+    """The query's records ask for an as-of join: all outcomes occur, and a URL's last response is often not the one that is meant."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 40}.org/", f"page {i}") for i in range(200)], "page_id long, url string, html string")
+    rows = [tuple(r) for r in warc_revisits.crawls(pages).collect()]
+    got = {r["record_id"]: r for r in warc_revisits.resolve(warc_revisits.crawls(pages), spans=5).collect()}
+    assert {r["status"] for r in got.values()} == {"merged", "mismatch", "unchecked", "missing"}
+    late = 0
+    for i, ts, url, kind, _ in rows:
+        if kind == "revisit":
+            of = [(t, j) for j, t, u, k, _ in rows if k == "response" and u == url.removesuffix("#again")]
+            earlier = [x for x in of if x[0] < ts]
+            assert got[i]["refers_to"] == (max(earlier)[1] if earlier else None)
+            late += bool(earlier) and max(of) != max(earlier)
+    assert late > 100
+
+
+def test_kinds_of_records(spark):
+    rows = [
+        ("revisit", "http://netpreserve.org/warc/1.1/revisit/server-not-modified", None, "revisit"), ("Revisit ", None, 304, "revisit"),
+        ("revisit", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", 200, None), ("revisit", None, None, None),
+        ("response", None, 200, "response"), ("response", None, None, "response"), ("response", None, 404, None), ("request", None, None, None), (None, None, 304, None),
+    ]
+    made = spark.createDataFrame(rows, "t string, p string, s int, want string")
+    kind = warc_revisits.record_kind(*[made[c] for c in "tps"])
+    assert made.where(~kind.eqNullSafe(made["want"])).count() == 0
 
 
 def vectors(spark, rows):
@@ -112,6 +139,19 @@ def test_search_among_repeated_rows(spark, shard):
     assert found(thrice, asked, shard=shard) == found(once, asked, shard=shard)
 
 
+def test_search_where_a_near_row_is_repeated(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(16)]) for i in range(200)]
+    rows += [(7, rows[7][1])] * 11 + [(8, [x + 0.001 for x in rows[0][1]])] * 12
+    table = vectors(spark, rows)
+    for shard in (8192, 50):
+        got = found(table, table.where("vec_id % 100 = 0"), eps=1e6, shard=shard)
+        assert got == exact(rows, lambda i: i % 100 == 0, 10) and {len(x) for x in got.values()} == {10}
+        assert all(len(x) == 10 for x in found(table, table.where("vec_id % 100 = 0"), shard=shard).values())
+
+
 def test_search_of_an_id_with_vectors_at_one_distance(spark):
     mirrored = [(1, [1.0, 0.0]), (1, [-1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, -1.0]), (2, [1.5, 0.0]), (3, [0.0, 2.0]), (4, [5.0, 5.0])]
     rows = [*mirrored, (0, [1e-30, 0.0])]
