@@ -7,7 +7,8 @@ threshold in one aggregation for each condition; the driver gets those counts, w
 statistics and thresholds alone. The list comes out as ordered conditions of a Spark CASE expression.
 
 Cases: a null text has no words and no lines; rows with a null id or label teach nothing, a null id
-keeps its row; repeated rows count each time; without labels the list is empty and keeps everything.
+keeps its row; repeated rows count each time; an id whose labels differ counts as label 0, once; without
+labels the list is empty and keeps everything. Columns are read and carried by position, so their names may clash.
 """
 
 from __future__ import annotations
@@ -56,10 +57,11 @@ class DecisionList:
         return "\n".join(f"reject if {' and '.join(map(str, r))}" for r in self.rules) + "\nkeep"
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the five counts of COUNTS and the rates r_* that rules look at, for every row."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    d = d.select("doc_id", "t", F.filter(F.split("t", WHITE), lambda w: w != "").alias("w"))
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, the five counts of COUNTS, the rates r_* that rules look at and the columns `carry` as _0, _1, ..., for every row."""
+    also = [f"_{k}" for k in range(len(carry))]
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *[F.col(c).alias(k) for c, k in zip(carry, also, strict=True)])
+    d = d.select("doc_id", "t", F.filter(F.split("t", WHITE), lambda w: w != "").alias("w"), *also)
     spoken = F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     d = d.select(
         "doc_id",
@@ -68,6 +70,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         *[F.regexp_count("t", F.lit(kind)).cast("long").alias(name) for name, kind in (("n_symbols", "[#*$%&|<>]"), ("capitals", "\\p{Lu}"), ("marks", "[!?]"))],
         spoken.alias("lines"),
         F.transform("w", lambda w: F.xxhash64(w)).alias("h"),
+        *also,
     )
     d = d.withColumn("windows", F.expr("transform(slice(h, 1, cast(greatest(n_words - 2, 0) as int)), (x, i) -> xxhash64(x, h[i + 1], h[i + 2]))"))
     # neighbours in sorted order find the windows that come again; most texts have none and skip the sort
@@ -86,6 +89,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").alias("n_lines"),
         F.expr(covered).cast("long").alias("n_repeat_words"),
+        *also,
     )
     each = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     rates = {
@@ -97,7 +101,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "capitals": each("capitals", "word_chars"),
         "marks": each("marks", "word_chars"),
     }
-    return d.select("doc_id", *COUNTS, *[rates[r].alias(f"r_{r}") for r in RATES])
+    return d.select("doc_id", *COUNTS, *[rates[r].alias(f"r_{r}") for r in RATES], *also)
 
 
 def _thresholds(labelled: DataFrame, n: int) -> dict[str, list[float]]:
@@ -118,7 +122,7 @@ def learn(statistics: DataFrame, labels: DataFrame, label_col: str = "quality",
     least_rows: and if it meets fewer growing rows of label 0 than this.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.select("doc_id", (F.col(label_col) == 0).cast("int").alias("bad"))
+    known = known.groupBy("doc_id").agg(F.max((F.col(label_col) == 0).cast("int")).alias("bad"))
     rows = statistics.join(known, "doc_id").select("bad", *[f"r_{r}" for r in RATES], (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow"))
     rows = written(rows, "labelled")
     cuts = _thresholds(rows, quantiles)
@@ -187,13 +191,14 @@ def _pruned(rule: list[Condition], rows: DataFrame, least: float) -> list[Condit
     return rule[: k + 1] if p >= least * (p + n) else []
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, repeat_percent: int = 50, **how) -> DataFrame:
-    """doc_id, COUNTS, base_failed and kept for every row of docs.
+def quality_rules(docs: DataFrame, labels: DataFrame, min_words: int = 50, repeat_percent: int = 50, carry: tuple[str, ...] = (), **how) -> DataFrame:
+    """doc_id, COUNTS, base_failed, kept and the columns `carry` for every row of docs.
 
     base_failed: fewer than min_words words, or more than repeat_percent of a hundred of them lie in
     three-word windows that the text has twice. kept: not base_failed, and the learned list keeps it.
     """
-    s = written(text_statistics(docs), "statistics")
+    s = written(text_statistics(docs, carry=carry), "statistics")
     rules = learn(s, labels, **how)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return s.select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & rules.kept()).alias("kept"))
+    verdict = [failed.alias("base_failed"), (~failed & rules.kept()).alias("kept")]
+    return s.select("doc_id", *COUNTS, *verdict, *[F.col(f"_{k}").alias(c) for k, c in enumerate(carry)])

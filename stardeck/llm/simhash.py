@@ -132,10 +132,10 @@ def _within(count: list, d: tuple) -> Column:
     return inside
 
 
-def _printed(docs: DataFrame, shingle: int, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+def _printed(docs: DataFrame, shingle: int, id_col: str, text_col: str, carry: tuple[Column, ...] = ()) -> DataFrame:
     """(fp, row, doc_id, _0, _1, ...), written: a row for each row of docs, numbered, with the columns `carry`."""
     # the text goes first; it is carried on only if asked for
-    d = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
+    d = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *[c.alias(f"_{k}") for k, c in enumerate(carry)])
     names = ["fp", *d.columns[1:]]
     schema = "fp long, row long, doc_id long" + "".join(f", _{k} {d.schema[f'_{k}'].dataType.simpleString()}" for k in range(len(carry)))
     return written(d.mapInArrow(_fingerprints(shingle, names), schema), "fingerprints")
@@ -164,7 +164,8 @@ def first_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: st
     Of rows that share that id the one whose text has the smallest hash stays; of equal rows any.
     """
     columns = docs.columns
-    prints = _printed(docs.withColumn("_tie", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), shingle, id_col, text_col, (*columns, "_tie"))
+    tie = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    prints = _printed(docs, shingle, id_col, text_col, (*[F.col(c) for c in columns], tie))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(f"_{len(columns)}").alias("tie"), "row")
     ranked = prints.select("fp", "row", order.alias("o")).join(_grouped(prints, radius).select("fp", "group"), "fp")
     first = ranked.groupBy("group").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))

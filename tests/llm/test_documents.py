@@ -54,6 +54,85 @@ def test_quality_rules_learn_what_separates(spark):
     assert "symbols" in str(quality_rules.learn(s, marks))
 
 
+def rates(text):
+    words, chars, symbols, dup, repeat = statistics(text)
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    capitals, marks = sum(c.isupper() for c in text or ""), sum(c in "!?" for c in text or "")
+    of = lambda a, b: a / max(b, 1)
+    return {"words": float(words), "word_length": of(chars, words), "symbols": of(symbols, chars), "dup_lines": of(dup, len(lines)), "repeats": of(repeat, words), "capitals": of(capitals, chars), "marks": of(marks, chars)}
+
+
+def plain_rules(rows, quantiles=24, max_rules=8, max_conditions=3, least=0.9, least_rows=3):
+    """Sequential covering over (grow, bad, rates), in plain Python: [[(rate, above, at), ...], ...]."""
+    names = sorted(rows[0][2])
+    level = lambda xs, q: sorted(xs)[max(0, math.ceil(q * len(xs)) - 1)]
+    cuts = {}
+    for r in names:
+        values = sorted({level([x[r] for _, b, x in rows if b == bad], k / quantiles) for bad in {b for _, b, _ in rows} for k in range(quantiles + 1)})
+        cuts[r] = [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
+    holds = lambda rule, x: all((x[r] > at) == above for r, above, at in rule)
+    count = lambda rule, of: tuple(sum(1 for _, b, x in of if b == bad and holds(rule, x)) for bad in (1, 0))
+    out, left = [], rows
+    while len(out) < max_rules:
+        rule, now = [], [x for x in left if x[0]]
+        while len(rule) < max_conditions:
+            p0, n0 = count([], now)
+            best = None
+            for r in names if p0 else ():
+                for at in cuts[r]:
+                    for above in (True, False):
+                        p, n = count([(r, above, at)], now)
+                        worth = (p + 1) / (p + n + 2)
+                        if p >= least_rows and n < n0 and worth > (p0 + 1) / (p0 + n0 + 2) + 1e-12 and (best is None or worth > best[0] + 1e-12):
+                            best = worth, (r, above, at), n
+            if best is None:
+                break
+            rule.append(best[1])
+            now = [x for x in now if holds(rule, x[2])]
+            if best[2] == 0:
+                break
+        prune = [x for x in left if not x[0]]
+        parts = [(rule[: k + 1], count(rule[: k + 1], prune)) for k in range(len(rule))]
+        best = max(parts, key=lambda part: ((part[1][0] + 1) / (sum(part[1]) + 2), -len(part[0])), default=None)
+        if best is None or best[1][0] < least * sum(best[1]):
+            break
+        out.append(best[0])
+        left = [x for x in left if not holds(best[0], x[2])]
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quality_rules_are_those_of_plain_covering(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    vocabulary = ["tree", "Sea", "moon", "a", "longerword", "Élan"]
+    texts = []
+    for i in range(260):
+        bad = i % 3 == 0
+        words = rnd.choices(vocabulary, k=rnd.randrange(52, 120))
+        for _ in range(rnd.randrange(8, 30) if bad else rnd.randrange(0, 9) * (i % 5 == 0)):
+            words[rnd.randrange(len(words))] += rnd.choice(["!", "!?", "###", "|"] if i % 2 else ["?", "STOP"])
+        for k in range(9, len(words), 10):
+            words[k] += "\n"
+        texts.append((i, " ".join(words)))
+    marks = [(i, int(i % 3 > 0)) for i, _ in texts if i % 13] + [(1, 0), (None, 0), (2, None), (3, 5), (9999, 1)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    label = {}
+    for i, q in marks:
+        if q in (0, 1):
+            label[i] = max(label.get(i, 0), int(q == 0))
+    rows = [(hashed_long(i) % 3 > 0, label[i], rates(t)) for i, t in texts if i in label]
+    want = plain_rules(rows)
+    made = quality_rules.learn(quality_rules.text_statistics(docs), labels)
+    assert want and [[(c.rate, c.above, pytest.approx(c.at)) for c in rule] for rule in made.rules] == want
+    holds = lambda x: any(all((x[r] > at) == above for r, above, at in rule) for rule in want)
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs, labels).collect()}
+    for i, t in texts:
+        s = statistics(t)
+        assert got[i] == (s[0] >= 50 and 100 * s[4] <= 50 * s[0] and not holds(rates(t)))
+
+
 def test_quality_rules_without_rows_or_labels(odd, empty, labels, no_labels):
     assert quality_rules.quality_rules(empty, labels).count() == 0
     got = quality_rules.quality_rules(odd, no_labels)
