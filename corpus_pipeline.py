@@ -1,8 +1,8 @@
 """A corpus pipeline: quality rules, toxicity, line dedup, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives all rows that it keeps, with the columns of documents, but
-for the last, which gives the packed pieces. Decisions are by id: a row with a null id stays, and rows
-that repeat an id go together.
+for the last, which gives the packed pieces. The operators carry a row's columns along with their verdict, so each
+row is judged by itself, whatever its id: null ids and rows that repeat an id are no exception.
 """
 
 from __future__ import annotations
@@ -15,35 +15,27 @@ from stardeck.llm.common import bucket_of_id, written
 from stardeck.llm.line_dedup import dedup_lines
 from stardeck.llm.packing import pack
 from stardeck.llm.quality_rules import quality_rules
-from stardeck.llm.simhash import near_duplicates
+from stardeck.llm.simhash import first_of_each
 from stardeck.llm.toxicity import learn, score
 
-#: Ids (8 bytes each) that may go to every task.
-MOST_IDS = 1_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+CARRIED = ("text", "lang", "source", "n_chars")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the ids of `rejected`. Ids are counted first: few enough go to every task, more are shuffled."""
-    ids = written(rejected.where("doc_id IS NOT NULL").select("doc_id").distinct(), "rejected")
-    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
-    return docs.select(COLUMNS).join(ids, "doc_id", "left_anti").select(COLUMNS)
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality rules reject."""
-    return _without(docs, quality_rules(docs, _labels(spark, sf_dir)).where("NOT kept"))
+    return quality_rules(docs, _labels(spark, sf_dir), carry=CARRIED).where("kept").select(COLUMNS)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose toxicity score is 0.5 or more."""
     held_out = bucket_of_id("doc_id", 5) == 0
     lexicon = learn(docs, _labels(spark, sf_dir), ~held_out)
-    return _without(docs, score(docs, lexicon, held_out).where("predicted = 1"))
+    return score(docs, lexicon, held_out, CARRIED).where("predicted = 0").select(COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +45,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the smallest id."""
-    groups = near_duplicates(docs)
-    return _without(docs, groups.where("doc_id <> component_id"))
+    """Of each group of near-duplicates, the document of the smallest id, once."""
+    return first_of_each(docs.select(COLUMNS))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
