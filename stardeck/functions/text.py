@@ -64,17 +64,83 @@ def exposure_text(seconds: Column) -> Column:
 
 
 def temperature_text(degrees: Column) -> Column:
-    n = F.bround(degrees).cast("int")
-    return F.concat(F.when(n >= 0, "+").otherwise("-"), F.abs(n).cast("string"), F.lit("C"))
+    """Whole degrees with a sign, ties to even; what lies below zero keeps its minus even where it is rounded to zero."""
+    n = F.abs(F.bround(degrees).cast("int")).cast("string")
+    return F.concat(F.when(degrees < 0, "-").otherwise("+"), n, F.lit("C"))
 
 
 def flags_text(flags: Column, letters: str = "DBPFS") -> Column:
-    """The letters of the bits that are set, joined by commas."""
-    return F.array_join(F.array_compact(F.array(*[F.when(flags.bitwiseAND(1 << k) != 0, c) for k, c in enumerate(letters)])), ",")
+    """The letters of the bits that are set, without anything between them."""
+    return F.concat(*[F.when(flags.bitwiseAND(1 << k) != 0, c).otherwise("") for k, c in enumerate(letters)])
 
 
-def duration_text(seconds: Column) -> Column:
-    """Whole hours, minutes and seconds, the zero ones left out: "1 h. 5 min."."""
-    n = F.round(seconds).cast("long")
-    part = lambda c, unit: F.when(c > 0, F.concat(c.cast("string"), F.lit(f" {unit}.")))
-    return F.coalesce(F.nullif(F.concat_ws(" ", part(F.floor(n / 3600), "h"), part(F.floor(n / 60) % 60, "min"), part(n % 60, "s")), F.lit("")), F.lit("0 s."))
+def duration_text(seconds: Column, short: bool = False) -> Column:
+    """Hours with minutes, or minutes, or seconds, each cut to whole ones: "1 h. 5 min.", "7 min.", "45 sec."; short: "1h5m", "7m", "45s"."""
+    s = F.greatest(seconds, F.lit(0)).cast("long")
+    minutes = F.floor(s / 60)
+    number = lambda c: c.cast("long").cast("string")
+    h, m, unit = ("h", "m", "s") if short else (" h. ", " min.", " sec.")
+    hours = F.floor(minutes / 60)
+    return (
+        F.when(hours != 0, F.concat(number(hours), F.lit(h), number(minutes % 60), F.lit(m)))
+        .when(minutes != 0, F.concat(number(minutes), F.lit(m)))
+        .otherwise(F.concat(number(s), F.lit(unit)))
+    )
+
+
+def master_name(kind: Column, exposure: Column, gain: Column, offset: Column, width: Column, height: Column, binning: Column, temp: Column, date: Column) -> Column:
+    """The file name of a master frame: kind is "light", "flat", "dark" or "bias"; a bias has no exposure, only a flat a date. A null temperature is left out."""
+    head = F.when(kind == "bias", kind).otherwise(F.concat_ws("_", kind, exposure_text(exposure)))
+    day = F.when(kind == "flat", F.date_format(date, "yyyy-MM-dd"))
+    return F.concat(F.concat_ws("_", head, *_frame_part(gain, offset, width, height, binning, temp), day), F.lit(".fit"))
+
+
+def raw_folder(kind: Column, exposure: Column, gain: Column, offset: Column, width: Column, height: Column, binning: Column, temp: Column, date: Column) -> Column:
+    """The folder in which raw frames are kept; two underscores stand between its date and its exposure."""
+    return F.concat_ws("_", kind, F.date_format(date, "yyyy-MM-dd"), F.lit(""), exposure_text(exposure), *_frame_part(gain, offset, width, height, binning, temp))
+
+
+def defect_name(width: Column, height: Column, binning: Column) -> Column:
+    """The file name of a list of defective pixels."""
+    return F.concat(F.concat_ws("_", F.lit("defect_pixels"), _size(width, height), _binning(binning)), F.lit(".txt"))
+
+
+def _size(width: Column, height: Column) -> Column:
+    return F.concat(width.cast("string"), F.lit("x"), height.cast("string"))
+
+
+def _binning(n: Column) -> Column:
+    return F.when(n != 1, F.concat(F.lit("bin"), n.cast("string"), F.lit("x"), n.cast("string")))
+
+
+def _frame_part(gain: Column, offset: Column, width: Column, height: Column, binning: Column, temp: Column) -> list[Column]:
+    return [F.concat(F.lit("g"), gain.cast("string")), F.concat(F.lit("offs"), offset.cast("string")), _size(width, height), _binning(binning), F.when(temp.isNotNull(), temperature_text(temp))]
+
+
+def number_text(value: Column, form: Column) -> Column:
+    """A number in a form given as text: %w.pf (padded on the left to w), %...g (shortest), %w.pm (sexagesimal, p names the form); else 7 digits."""
+    parts = lambda k, kind: F.regexp_extract(form, rf"%(\d*)\.(\d*){kind}", k)
+    number = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
+    digits = lambda p: F.regexp_replace(F.format_number(value, p), ",", "")
+
+    def fixed(width: Column, places: Column) -> Column:
+        out = F.when(places == 0, digits(0))
+        for k in range(1, 16):
+            out = out.when(places == k, digits(k))
+        text = out.otherwise(digits(16))
+        return F.when(F.length(text) < width, F.lpad(text, F.greatest(width, F.lit(1)), F.lit(" "))).otherwise(text)
+
+    float_form, sexa_form = "[Ff]", "[Mm]"
+    is_float, is_sexa = form.rlike(r"%\d*\.\d*[Ff]"), form.rlike(r"%\d*\.\d*[Mm]")
+    shortest = lambda v: F.regexp_replace(F.regexp_replace(v.cast("decimal(38,17)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    frac, zero = number(parts(2, sexa_form)), parts(1, sexa_form).startswith("0")
+    sexa = shortest(F.abs(value))
+    for k in (3, 5, 6, 8, 9):
+        shown = F.when(zero, format_sexagesimal(value, k, zero=True)).otherwise(format_sexagesimal(value, k))
+        sexa = F.when(frac == k, shown).otherwise(sexa)
+    return (
+        F.when(is_float, fixed(number(parts(1, float_form)), number(parts(2, float_form))))
+        .when(form.rlike("%.*[Gg]"), shortest(value))
+        .when(is_sexa, sexa)
+        .otherwise(digits(7))
+    )

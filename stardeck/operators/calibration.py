@@ -55,15 +55,7 @@ def normalize_flat(rows: DataFrame, cfa: str | None, zero: int = 0) -> DataFrame
     p = to_pixels(rows).withColumn("chan", color(cfa))
     top = _rank(p, ["frame", "chan"], F.floor(99 * F.col("n") / 100), "top")
     ratio = F.expr(f"(cast(v - {zero} as bigint) * {MAX16}) div nullif(top - {zero}, 0)")
-    return p.join(F.broadcast(top), ["frame", "chan"]).select("frame", "y", "x", F.coalesce(saturate(ratio), F.col("v")).alias("v"))
-
-
-def neighbours(pixels: DataFrame, reach: int) -> DataFrame:
-    """Each pixel sent to the places within `reach` of it: (frame, y, x, sy, sx, v)."""
-    span = F.array(*[F.lit(k) for k in range(-reach, reach + 1)])
-    p = pixels.select("frame", F.col("y").alias("sy"), F.col("x").alias("sx"), "v", F.explode(span).alias("dy"))
-    p = p.select("frame", "sy", "sx", "v", (F.col("sy") + F.col("dy")).alias("y"), F.explode(span).alias("dx"))
-    return p.select("frame", "y", (F.col("sx") + F.col("dx")).alias("x"), "sy", "sx", "v")
+    return p.join(top, ["frame", "chan"]).select("frame", "y", "x", F.coalesce(saturate(ratio), F.col("v")).alias("v"))
 
 
 def _mean_of(values: list[Column]) -> Column:
@@ -103,35 +95,49 @@ def color_at(cfa: str, y: Column, x: Column) -> Column:
     return F.when(even & left, a).when(even, b).when(left, c).otherwise(d)
 
 
-def repair(pixels: DataFrame, bad: DataFrame, cfa: str | None, rounds: int = 3) -> DataFrame:
-    """Bad pixels (frame, y, x) as truncated means of their good neighbours of the same colour, in at most three rounds.
+def repair(rows: DataFrame, bad: DataFrame, cfa: str | None, rounds: int = 3) -> DataFrame:
+    """Row blocks with bad pixels (frame, y, x) as truncated means of their good neighbours of the same colour, in at most three rounds.
 
-    A round's repairs are sources in the next only. Joins are on the few bad pixels' neighbours, not on all pixels.
+    A round's repairs are sources in the next only. Rows meet by windows of one partitioning and order, so frames are
+    shuffled once; a pixel that no round can mend keeps its value.
     """
-    left = bad.select("frame", "y", "x").distinct()
-    p = pixels
+    at = bad.groupBy("frame", "y").agg(F.collect_set(F.col("x").cast("int")).alias("bad"))
+    r = rows.join(at, ["frame", "y"], "left").withColumn("a", F.when(F.col("bad").isNull(), F.col("row")).otherwise(F.transform("row", lambda v, x: F.when(~F.array_contains("bad", x), v))))
+    order = Window.partitionBy("frame").orderBy("y")
+    ring = {1: [(d, e) for d in (-1, 0, 1) for e in (-1, 0, 1) if d or e], 2: [(d, e) for d in (-2, 0, 2) for e in (-2, 0, 2) if d or e]}
+
+    def mean(near: list[tuple[int, int]], x: Column) -> Column:
+        got = F.array_compact(F.array(*[F.when(x + e >= 0, F.get(F.col(f"r{d + 2}"), x + e)) for d, e in near]))
+        return F.when(F.size(got) > 0, F.floor(F.aggregate(got, F.lit(0).cast("long"), lambda s, v: s + v) / F.size(got)).cast("int"))
+
+    def mended(x: Column) -> Column:
+        # green has its own colour on the diagonals, red and blue on every second row and column
+        if cfa is None:
+            return mean(ring[1], x)
+        return F.when(color_at(cfa, F.col("y"), x) == "G", mean([p for p in ring[1] if p[0] and p[1]], x)).otherwise(mean(ring[2], x))
+
     for _ in range(rounds):
-        reach = F.when(color(cfa).isin("G", "L"), 1).otherwise(2)
-        wanted = left.withColumn("c", color(cfa)).withColumn("reach", reach)
-        span = F.sequence(-F.col("reach"), F.col("reach"))
-        around = wanted.select("frame", "y", "x", "c", "reach", F.explode(span).alias("dy")).withColumn("dx", F.explode(F.sequence(-F.col("reach"), F.col("reach"))))
-        around = around.select("frame", F.col("y").alias("ty"), F.col("x").alias("tx"), "c", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
-        around = around.where(color(cfa) == F.col("c")).join(left, ["frame", "y", "x"], "left_anti")
-        fixed = around.join(p, ["frame", "y", "x"]).groupBy("frame", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.expr("cast(sum(v) div count(*) as int)").alias("fixed"))
-        p = p.join(fixed, ["frame", "y", "x"], "left").select("frame", "y", "x", F.coalesce("fixed", "v").alias("v"))
-        left = left.join(fixed, ["frame", "y", "x"], "left_anti")
-    return p
-
-
-def _contrast(pixels: DataFrame, line: str, along: str, n: int) -> DataFrame:
-    """6 v minus the sum of the six others of the nearest seven pixels along a line; at the ends the first or last seven."""
-    w = Window.partitionBy("frame", line).orderBy(along)
-    full = Window.partitionBy("frame", line)
-    middle = F.sum("v").over(w.rowsBetween(-3, 3))
-    first = F.sum(F.when(F.col(along) < 7, F.col("v"))).over(full)
-    last = F.sum(F.when(F.col(along) >= n - 7, F.col("v"))).over(full)
-    total = F.when(F.col(along) < 3, first).when(F.col(along) >= n - 3, last).otherwise(middle)
-    return pixels.withColumn("diff", 7 * F.col("v") - total)
+        r = r.select("*", *[(F.col("a") if d == 0 else F.lag("a", -d).over(order)).alias(f"r{d + 2}") for d in range(-2, 3)])
+        filled = F.transform("a", lambda v, x: F.coalesce(v, mended(x)))
+        r = r.withColumn("a", F.when(F.exists("a", lambda v: v.isNull()), filled).otherwise(F.col("a"))).drop(*[f"r{k}" for k in range(5)])
+    return r.select("frame", "y", F.when(F.col("bad").isNull(), F.col("row")).otherwise(F.zip_with("a", "row", lambda a, v: F.coalesce(a, v))).alias("row"))
+
+
+def _line_contrasts(rows: DataFrame, width: int, height: int) -> tuple[DataFrame, DataFrame]:
+    """(frame, y, diff) by rows and by columns: 7 times each pixel less the sum of the nearest seven along the line (at the ends the first or last seven)."""
+    first = lambda i, n: F.least(F.greatest(i - 3, F.lit(0)), F.lit(n - 7))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
+    along = rows.select("frame", "y", F.transform("row", lambda v, x: 7 * v.cast("long") - total(F.slice("row", first(x, width) + 1, 7))).alias("diff"))
+    order = Window.partitionBy("frame").orderBy("y")
+    seven = F.transform("row", lambda v: v.cast("long"))
+    for k in range(1, 7):
+        seven = F.zip_with(seven, F.lead("row", k).over(order), lambda a, b: a + b)
+    down = rows.select("frame", "y", "row", seven.alias("seven"))
+    back = F.col("y") - first(F.col("y"), height)
+    of = F.when(back == 0, F.col("seven"))
+    for k in range(1, 7):
+        of = of.when(back == k, F.lag("seven", k).over(order))
+    return along, down.select("frame", "y", F.zip_with("row", of, lambda v, s: 7 * v.cast("long") - s).alias("diff"))
 
 
 def _border(diffs: DataFrame) -> DataFrame:
@@ -152,13 +158,14 @@ def _border(diffs: DataFrame) -> DataFrame:
     return s.select("frame", cut.alias("border"))
 
 
-def hot_in_dark(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """(frame, y, x) of hot pixels in master darks: by rows or by columns."""
+def hot_in_dark(rows: DataFrame, width: int, height: int) -> DataFrame:
+    """(frame, y, x) of hot pixels in master darks (row blocks): by rows or by columns. Statistics look at every third line."""
     found = []
-    for line, along, n in (("y", "x", width), ("x", "y", height)):
-        d = _contrast(pixels, line, along, n)
-        border = _border(d.where(F.col(line) % 3 == 0))
-        found.append(d.join(F.broadcast(border), "frame").where(F.col("diff") > F.col("border")).select("frame", "y", "x"))
+    for d, third in zip(_line_contrasts(rows, width, height), ("y", "x"), strict=True):
+        seen = d.where("y % 3 = 0") if third == "y" else d.withColumn("diff", F.filter("diff", lambda v, x: x % 3 == 0))
+        border = _border(seen.select("frame", F.explode(F.filter("diff", lambda v: v > 0)).alias("diff")))
+        hot = F.filter(F.transform("diff", lambda v, x: F.when(v > F.col("border"), x)), lambda x: x.isNotNull())
+        found.append(d.join(border, "frame").select("frame", "y", F.explode(hot).alias("x")))
     return found[0].unionByName(found[1]).distinct()
 
 
@@ -178,7 +185,7 @@ def hot_in_light(pixels: DataFrame, cfa: str | None, max_value: int = MAX16) ->
     diffs = peaks.where(seen).select("frame", "c", (F.col("v") - F.expr("(v1 + v2) div 2")).alias("v"))
     top = _rank(diffs, ["frame", "c"], F.floor(99 * F.col("n") / 100), "p99")
     border = F.least(F.greatest(F.expr("150 * p99 div 100"), F.lit(max_value // 1000)), F.lit(MAX16 // 2))
-    strong = peaks.join(F.broadcast(top), ["frame", "c"]).withColumn("border", border).where((F.col("v") - F.col("v1") > F.col("border")) & (F.col("v") - F.col("v2") > F.col("border")))
+    strong = peaks.join(top, ["frame", "c"]).withColumn("border", border).where((F.col("v") - F.col("v1") > F.col("border")) & (F.col("v") - F.col("v2") > F.col("border")))
     strong = strong.select("frame", "y", "x", "v", "v1", "v2")
     ring = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(o * a).alias("dy"), F.lit(o * b).alias("dx")) for o in (4, 6) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])).alias("r")
     at = strong.select("frame", F.col("y").alias("ty"), F.col("x").alias("tx"), ring).select("frame", "ty", "tx", "r.o", (F.col("ty") + F.col("r.dy")).alias("y"), (F.col("tx") + F.col("r.dx")).alias("x"))
@@ -224,6 +231,70 @@ def demosaic(rows: DataFrame, width: int, height: int, cfa: str) -> DataFrame:
     return r.select("frame", "y", *[channel(c).alias(c.lower()) for c in "RGB"])
 
 
+def compatible(kind: Column, width: Column, height: Column, cfa: Column, wanted: list[str], master_kind: Column, master_width: Column, master_height: Column, master_cfa: Column) -> Column:
+    """What is wrong with a master for a frame, the first of: "type", "size", "pattern"; null for one that fits. Frames without a pattern have a null one."""
+    return (
+        F.when(~F.coalesce(master_kind.isin(wanted), F.lit(False)), "type")
+        .when((width != master_width) | (height != master_height), "size")
+        .when(~cfa.eqNullSafe(master_cfa), "pattern")
+    )
+
+
+#: Bits of what was done to a frame (fixed values).
+BY_DARK, BY_BIAS, BY_DEFECTS, BY_FLAT, BY_SEARCH = 1, 2, 4, 8, 16
+
+
+def calibrate(rows: DataFrame, cfa: str | None, width: int, height: int, offset: int = 0, dark: DataFrame | None = None, bias: DataFrame | None = None, defects: DataFrame | None = None, flat: DataFrame | None = None, flat_offset: int = 0, search: bool = True) -> tuple[DataFrame, int]:
+    """Row blocks of light frames of one camera setting, calibrated, and the bits of what was done.
+
+    dark, or without it bias, is subtracted; the flat divides, after it has been rid of defects and smoothed; defects (y, x) are
+    repaired. Without a list of defects the hot pixels of the dark are taken; without either, hot pixels are searched in each
+    frame. dark, bias and flat are rows (frame, y, row) of one frame each; the frames' offset grows by what the subtraction shifts.
+    """
+    done = 0
+    if defects is None and dark is not None:
+        defects = hot_in_dark(dark, width, height).select("y", "x")
+    known = defects is not None
+    if flat is not None:
+        if known:
+            flat = repair(flat, flat.select("frame").distinct().crossJoin(defects), cfa)
+        flat = smooth_flat(flat, cfa)
+    zero: Column | int = offset
+    out = rows
+    if dark is not None or bias is not None:
+        out = subtract_dark(out, dark if dark is not None else bias)
+        zero = F.col("shift") + offset
+        done |= BY_DARK if dark is not None else BY_BIAS
+    if flat is not None:
+        out = apply_flat(out, flat, zero, flat_offset)
+        done |= BY_FLAT
+    out = out.select("frame", "y", "row")
+    if known:
+        out = repair(out, out.select("frame").distinct().join(defects), cfa)
+        done |= BY_DEFECTS
+    elif search:
+        out = repair(out, hot_in_light(to_pixels(out), cfa), cfa)
+        done |= BY_SEARCH
+    return out, done
+
+
+def build_master(rows: DataFrame, good: DataFrame, kind: str, cfa: str | None, offset: int = 0) -> DataFrame:
+    """(y, x, v): the master of the calibration frames among `good` (frame) that passed the temperature's check.
+
+    Flats are normalised first, less `offset`; frames are stacked as the rounded mean of medians of five.
+    """
+    from .stacking import average_of_medians
+
+    taken = rows.join(good.select("frame").distinct(), "frame", "left_semi")
+    return average_of_medians(normalize_flat(taken, cfa, offset) if kind == "flat" else to_pixels(taken))
+
+
+def to_rows(pixels: DataFrame) -> DataFrame:
+    """(frame, y, row) of whole frames' pixels."""
+    row = F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"])
+    return pixels.groupBy("frame", "y").agg(row.alias("row"))
+
+
 def noise_gate(frames: DataFrame) -> DataFrame:
     """Quality flags of light frames, each true unless its check is on and fails.
 

@@ -152,10 +152,3 @@ def programme(temps: DataFrame, exposures: DataFrame, bins: DataFrame, count: in
     """Every combination of the parameters, each with the count rounded up to a multiple of five."""
     n = -(-count // 5) * 5
     return temps.crossJoin(F.broadcast(exposures)).crossJoin(F.broadcast(bins)).withColumn("count", F.lit(n))
-
-
-def master_key(kind: Column, exposure: Column, gain: Column, offset: Column, width: Column, height: Column, binning: Column, temp: Column) -> Column:
-    """The name under which a master frame is kept."""
-    from ..functions.text import exposure_text, temperature_text
-
-    return F.concat_ws("_", kind, exposure_text(exposure), F.concat(F.lit("g"), gain.cast("string")), F.concat(F.lit("offs"), offset.cast("string")), F.concat(width.cast("string"), F.lit("x"), height.cast("string")), F.when(binning > 1, F.concat(F.lit("bin"), binning.cast("string"))), temperature_text(temp))

@@ -84,7 +84,7 @@ def sample(pixels: DataFrame, places: DataFrame) -> DataFrame:
 
 def warp(rows: DataFrame, offsets: DataFrame, width: int, height: int) -> DataFrame:
     """Frames (frame, y, row) turned and moved by offsets (frame, dx, dy, angle): (frame, y, x, v), v null where nothing is."""
-    grid = rows.select("frame", "y").join(F.broadcast(offsets), "frame").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    grid = rows.select("frame", "y").join(offsets, "frame").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     sx, sy = source_place(width, height, F.col("dx"), F.col("dy"), F.col("angle"))
     places = grid.select("frame", "y", "x", sx.alias("sx"), sy.alias("sy"))
     return sample(rows, places).select("frame", "y", "x", "v")
@@ -96,23 +96,62 @@ def warped_average(rows: DataFrame, offsets: DataFrame, width: int, height: int)
     return w.groupBy("y", "x").agg(F.coalesce(saturate(F.expr("sum(v) div nullif(count(v), 0)")), F.lit(0)).alias("v"), F.count("v").alias("cnt"))
 
 
-def sliding_median(pixels: DataFrame, backgrounds: DataFrame, span: int = SPAN) -> DataFrame:
+#: Frames of a row that a task looks at together, beside the four before them.
+TOGETHER = 256
+
+
+def sliding_median(rows: DataFrame, backgrounds: DataFrame, span: int = SPAN) -> DataFrame:
     """(y, x, v, cnt): the mean over five-frame medians, taken from the fifth frame on, less each frame's background and plus the five's.
 
-    pixels (frame, y, x, v), v null where the frame covers nothing; backgrounds (frame, background), one row a frame.
+    rows (frame, y, row), null where the frame covers nothing; backgrounds (frame, background), one row a frame. Row blocks are
+    shuffled, by row and TOGETHER frames; what leaves a task are sums for its pixels.
     """
-    order = Window.partitionBy("y", "x").orderBy("frame")
     # a frame's background goes to its own five and to those of the four frames behind it
     k = numbered(backgrounds, "frame", span=span).select("frame", "background", "_k")
     last = F.max(F.when(F.col("_to") == F.col("_k"), F.col("frame"))).alias("frame")
     b = k.withColumn("_to", F.explode(F.sequence("_k", F.col("_k") + 4))).groupBy("_to").agg(last, F.collect_list("background").alias("five"))
     b = b.where("frame IS NOT NULL").where(F.size("five") == 5).select("frame", F.element_at(F.sort_array("five"), F.lit(3)).alias("common"))
-    seen = F.when(F.col("v").isNotNull(), F.greatest("v", F.lit(1)) - F.col("background"))
-    p = pixels.join(backgrounds, "frame").withColumn("d", seen)
-    p = p.withColumn("a", F.sort_array(F.collect_list("d").over(order.rowsBetween(-4, 0)))).join(b, "frame")
-    a = lambda k: F.get("a", F.lit(k))
+    seen = F.transform("row", lambda v: F.when(v.isNotNull(), F.greatest(v, F.lit(1)) - F.col("background")))
+    own = F.floor(F.col("_k") / TOGETHER).cast("int")
+    p = rows.join(k.join(b, "frame", "left"), "frame").select("y", "_k", "common", seen.alias("d"), own.alias("own"))
+    # the last four of a stretch come before the first of the next one, too
+    p = p.withColumn("part", F.explode(F.when(F.col("_k") % TOGETHER >= TOGETHER - 4, F.array(own, own + 1)).otherwise(F.array(own))))
+    order = Window.partitionBy("y", "part").orderBy("_k")
+    p = p.select("y", "common", "own", "part", "d", *[F.lag("d", n).over(order).alias(f"d{n}") for n in range(1, 5)]).where("own = part AND common IS NOT NULL")
     half = lambda s: F.when(s < 0, F.ceil(s / 2)).otherwise(F.floor(s / 2)).cast("int")
-    n = F.size("a")
-    m = F.when(n == 5, a(2)).when(n == 4, half(a(1) + a(2))).when(n == 3, a(1)).when(n == 2, half(a(0) + a(1))).when(n == 1, a(0)).otherwise(0)
-    out = F.greatest(m + F.col("common"), F.lit(0))
-    return p.withColumn("o", out).groupBy("y", "x").agg(saturate(F.expr("sum(o) div count(*)")).alias("v"), F.count("*").alias("cnt"))
+
+    def middle(a: Column) -> Column:
+        g, n = (lambda i: F.get(a, F.lit(i))), F.size(a)
+        return F.when(n == 5, g(2)).when(n == 4, half(g(1) + g(2))).when(n == 3, g(1)).when(n == 2, half(g(0) + g(1))).when(n == 1, g(0)).otherwise(0)
+
+    five = F.transform("d", lambda v, i: F.sort_array(F.array_compact(F.array(v, *[F.get(F.col(f"d{n}"), i) for n in range(1, 5)]))))
+    p = p.select("y", "common", five.alias("five"))
+    p = p.select("y", F.posexplode(F.transform("five", lambda a: F.greatest(middle(a) + F.col("common"), F.lit(0)))).alias("x", "o"))
+    return p.groupBy("y", "x").agg(saturate(F.expr("sum(o) div count(*)")).alias("v"), F.count("*").alias("cnt"))
+
+
+#: What a stack that grows keeps for each pixel of it.
+STACK = "sum long, cnt long"
+
+
+def add_to_stack(path: str):
+    """For foreachBatch over row blocks (frame, y, row): keeps sums and counts of each pixel in numbered folders under path.
+
+    Batch n reads folder n - 1 and writes folder n, so a batch that runs again writes the same; folders older than that are
+    left to whoever owns the path. stacked(path, n) gives the stack after batch n.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = batch.select("y", F.posexplode("row").alias("x", "v")).where("v IS NOT NULL").groupBy("y", "x").agg(F.sum(F.col("v").cast("long")).alias("sum"), F.count("*").alias("cnt"))
+        if number:
+            new = new.unionByName(batch.sparkSession.read.schema(new.schema).parquet(f"{path}/{number - 1}"))
+            new = new.groupBy("y", "x").agg(F.sum("sum").alias("sum"), F.sum("cnt").alias("cnt"))
+        new.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return write
+
+
+def stacked(spark, path: str, number: int) -> DataFrame:
+    """(y, x, v, cnt): the truncated mean after a batch, as warped_average() has it for what covers a pixel."""
+    s = spark.read.schema(f"y int, x int, {STACK}").parquet(f"{path}/{number}")
+    return s.select("y", "x", saturate(F.expr("sum div cnt")).alias("v"), "cnt")

@@ -18,7 +18,7 @@ from ..functions.numeric import upper_median
 from .frames import to_pixels
 
 #: Limits of the search (fixed values).
-DIAMETER, MOST_STARS, MOST_POINTS, FACTORS = 32, 500, 1024, {"low": 30.0, "normal": 15.0, "high": 9.0}
+DIAMETER, MOST_STARS, MOST_EXTREMA, MOST_POINTS, FACTORS = 32, 500, 5000, 1024, {"low": 30.0, "normal": 15.0, "high": 9.0}
 
 
 def _median(*values: Column) -> Column:
@@ -42,7 +42,7 @@ def detection_threshold(rows: DataFrame, sensitivity: str = "normal") -> DataFra
 
 
 def extrema(rows: DataFrame, thresholds: DataFrame, width: int, height: int) -> DataFrame:
-    """(frame, y, x, v): pixels whose smoothed value stands out of their stretch's baseline and of both sides.
+    """(frame, y, x, v, over): pixels whose smoothed value stands out, by `over`, of their stretch's baseline and of both sides.
 
     The value is the median of three; a side is the rounded-up median of four; the baseline is the median of nine of 72
     pixels (of all, in the last shorter stretch). Places nearer to the border than half a star are left out.
@@ -52,7 +52,7 @@ def extrema(rows: DataFrame, thresholds: DataFrame, width: int, height: int) ->
     nine = lambda c: F.when(F.size(c) == 72, F.sort_array(F.array(*[F.get(c, F.lit(4 + 8 * j)) for j in range(9)]))[4]).otherwise(upper_median(c))
     # a baseline for each pixel, as the array that is gone through: inside the function it would be made anew for every pixel
     base = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((width - 1) // 72)), lambda k: F.array_repeat(nine(chunk(k)), 72)))
-    r = rows.where(F.col("y").between(half, height - half)).join(F.broadcast(thresholds), "frame")
+    r = rows.where(F.col("y").between(half, height - half)).join(thresholds, "frame")
     first, last = max(half, 5), min(width - half, width - 6)
     get = lambda x, d: F.get("row", x + d)
 
@@ -66,7 +66,30 @@ def extrema(rows: DataFrame, thresholds: DataFrame, width: int, height: int) ->
 
     p = r.select("frame", "y", "threshold", F.explode(F.transform(F.slice(base, first + 1, last - first + 1), test)).alias("t"))
     # what stands out by `threshold` or more, and not less than the baseline
-    return p.where("t.v - t.f >= threshold AND t.l < t.v AND t.r < t.v").select("frame", "y", "t.x", "t.v")
+    return p.where("t.v - t.f >= threshold AND t.l < t.v AND t.r < t.v").select("frame", "y", "t.x", "t.v", F.expr("t.v - t.f").alias("over"))
+
+
+def few_extrema(points: DataFrame, thresholds: DataFrame, most: int = MOST_EXTREMA) -> tuple[DataFrame, DataFrame]:
+    """The extrema that remain, and the thresholds that leave them: raised by half until fewer than `most` remain.
+
+    points: extrema() of thresholds (frame, threshold), whose `over` says by how much each stands out, so that every higher
+    threshold is answered by counts and the frames are read once. A threshold that can't be raised any more stays.
+    """
+    levels = F.aggregate(
+        F.sequence(F.lit(1), F.lit(30)), F.array(F.col("threshold").cast("int")),
+        lambda a, _: F.when(F.floor(3 * (F.element_at(a, -1) + 1) / 2) > 65535, a).otherwise(F.array_append(a, F.floor(3 * (F.element_at(a, -1) + 1) / 2).cast("int"))),
+    )
+    t = thresholds.select("frame", F.array_distinct(levels).alias("levels"))
+    passed = F.size(F.filter("levels", lambda x: x <= F.col("over")))
+    counts = points.join(t, "frame").groupBy("frame", passed.alias("passed")).agg(F.count("*").alias("n"))
+    # how many points remain at each level: those that pass it or more
+    of = counts.groupBy("frame").agg(F.collect_list(F.struct("passed", "n")).alias("c"))
+    remain = lambda k: F.aggregate(F.filter("c", lambda x: x["passed"] > k), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    enough = F.filter(F.sequence(F.lit(0), F.size("levels") - 1), lambda k: remain(k) < most)
+    chosen = F.coalesce(F.get(enough, F.lit(0)), F.size("levels") - 1)
+    raised = t.join(of, "frame", "left").withColumn("c", F.coalesce("c", F.array().cast("array<struct<passed:int,n:bigint>>"))).select("frame", F.get("levels", chosen).alias("threshold"))
+    kept = points.join(raised, "frame").where("over >= threshold").drop("threshold")
+    return kept, raised
 
 
 def clusters(points: DataFrame, most: int = MOST_STARS) -> DataFrame:
@@ -106,7 +129,7 @@ def grow(rows: DataFrame, centres: DataFrame, thresholds: DataFrame, ignore_smal
     Rejected: what is wider than 32 pixels, has over 1,024 points, touches another star, or has too long an outline.
     """
     grouped = rows.select("frame", "y", "row").groupBy("frame")
-    return grouped.cogroup(centres.join(F.broadcast(thresholds), "frame").groupBy("frame")).applyInPandas(_grow(ignore_small), STAR)
+    return grouped.cogroup(centres.join(thresholds, "frame").groupBy("frame")).applyInPandas(_grow(ignore_small), STAR)
 
 
 def _grow(ignore_small: bool):

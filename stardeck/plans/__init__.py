@@ -1,6 +1,6 @@
 """Queries by name, with their SQL."""
 
-from . import display_queries, frame_queries, sky_queries, stack_queries, star_queries
+from . import device_queries, display_queries, frame_queries, sky_queries, stack_queries, star_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "display_queries", "frame_queries", "sky_queries", "stack_queries", "star_queries"]
+__all__ = ["QUERIES", "SQL", "device_queries", "display_queries", "frame_queries", "sky_queries", "stack_queries", "star_queries"]

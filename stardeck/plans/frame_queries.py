@@ -118,9 +118,9 @@ def rect_scan(spark, sf_dir):
     return fr.rect(rows(spark, sf_dir), 5, 10, 70, 19)
 
 
-@query(PIX + f" SELECT frame, y, x, {CFA} AS color, v FROM pix WHERE y = 7")
+@query(PIX + f" SELECT frame, y, x, {CFA} AS color, v FROM pix")
 def cfa_color(spark, sf_dir):
-    return fr.to_pixels(rows(spark, sf_dir).where("y = 7")).withColumn("color", fr.color(PATTERN))
+    return fr.to_pixels(rows(spark, sf_dir)).withColumn("color", fr.color(PATTERN))
 
 
 _DARK = """, means AS (SELECT frame, sum(v) // count(*) AS mean FROM pix GROUP BY frame),
@@ -169,8 +169,7 @@ _BAD = "((frame * 7919 + y * 104729 + x * 1299709) % 50 = 0)"
   fixed AS (SELECT frame, ty AS y, tx AS x, CAST(sum(v) // count(*) AS INT) AS v FROM near GROUP BY ALL)
   SELECT frame, y, x, coalesce(f.v, p.v) AS v FROM pix p LEFT JOIN fixed f USING (frame, y, x)""")
 def bad_pixel_repair(spark, sf_dir):
-    p = pixels(spark, sf_dir)
-    return cal.repair(p, p.where(_BAD), PATTERN)
+    return fr.to_pixels(cal.repair(rows(spark, sf_dir), pixels(spark, sf_dir).where(_BAD), PATTERN))
 
 
 def _line_sql(name: str, line: str, along: str, n: int) -> str:
@@ -190,7 +189,8 @@ _SPOT = "CASE WHEN (frame * 31 + y * 17 + x * 7) % 997 = 0 THEN 65000 ELSE 1000
 @query(PIX + f""", spotted AS (SELECT frame, y, x, {_SPOT} AS v FROM pix), {_line_sql('r', 'y', 'x', W)}, {_line_sql('c', 'x', 'y', H)}
   SELECT frame, y, x FROM r JOIN r_b USING (frame) WHERE diff > border UNION SELECT frame, y, x FROM c JOIN c_b USING (frame) WHERE diff > border""")
 def hot_dark(spark, sf_dir):
-    return cal.hot_in_dark(pixels(spark, sf_dir).withColumn("v", F.expr(_SPOT.replace("v // 200", "v div 200"))), W, H)
+    spotted = F.transform("row", lambda v, x: F.when((F.col("frame") * 31 + F.col("y") * 17 + x * 7) % 997 == 0, 65000).otherwise(1000 + F.floor(v / 200).cast("int")))
+    return cal.hot_in_dark(rows(spark, sf_dir).withColumn("row", spotted), W, H)
 
 
 _LIGHT = "CASE WHEN (frame * 13 + y * 17 + x * 7) % 499 = 0 THEN 65000 ELSE 1000 + v // 200 END"

@@ -204,7 +204,13 @@ def dither_accumulator(spark, sf_dir):
     return se.dither(shots(spark, sf_dir), 200.0)
 
 
-@query()
+@query("WITH RECURSIVE " + SHOTS.removeprefix("WITH ") + """, n AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY ts, shot) AS i FROM shots),
+  s AS (SELECT camera, CAST(0 AS BIGINT) AS shot, CAST(0 AS BIGINT) AS i, false AS refocus, CAST(0 AS DOUBLE) AS total, CAST(NULL AS DOUBLE) AS first, CAST(1e300 AS DOUBLE) AS low, CAST(-1e300 AS DOUBLE) AS high, 0 AS seen FROM n WHERE i = 1
+    UNION ALL SELECT camera, shot, i, fired, CASE WHEN fired THEN 0 ELSE total END, CASE WHEN fired THEN temp ELSE first END, CASE WHEN fired THEN 1e300 ELSE low END, CASE WHEN fired THEN -1e300 ELSE high END, CASE WHEN fired THEN 0 ELSE seen END
+    FROM (SELECT *, total >= 600 OR abs(temp - first) >= 3 OR (seen >= 2 AND high > low AND CAST(trunc(100 * (high - low) / low) AS INT) > 80) AS fired
+      FROM (SELECT s.camera, n.shot, n.i, n.temp, s.total + n.exposure AS total, coalesce(s.first, n.temp) AS first, CASE WHEN n.ok THEN least(s.low, n.fwhm) ELSE s.low END AS low,
+          CASE WHEN n.ok THEN greatest(s.high, n.fwhm) ELSE s.high END AS high, s.seen + n.ok::INT AS seen FROM s JOIN n ON n.camera = s.camera AND n.i = s.i + 1)))
+  SELECT camera, shot, refocus FROM s WHERE i > 0""")
 def refocus_trigger(spark, sf_dir):
     return se.refocus(shots(spark, sf_dir), 600.0, 3.0, 80)
 
@@ -282,18 +288,41 @@ def offset_argmin(spark, sf_dir):
     return se.offset_by_pairs(s.where("flag = 'A'"), s.where("flag = 'N'"))
 
 
-_KEY = "'dark_' || CAST(CASE WHEN p_size % 2 = 0 THEN p_size ELSE 300 END AS VARCHAR) || 's_g' || (p_partkey % 4) || '_offs' || (p_partkey % 2) || '_640x480' || CASE WHEN p_partkey % 3 > 0 THEN '_bin' || (1 + p_partkey % 3) ELSE '' END || '_-' || (p_size % 5) || 'C'"
+#: Lines of constellations: customers of a nation.
+_LINES = f"SELECT n_name AS name, {_place('c_custkey')} FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_CENTRES = """ SELECT name, CASE WHEN atan2(sum(sin(ra)), sum(cos(ra))) < 0 THEN atan2(sum(sin(ra)), sum(cos(ra))) + 6.283185307179586e0 ELSE atan2(sum(sin(ra)), sum(cos(ra))) END AS ra,
+    atan2(sum(sin(dec)), sum(cos(dec))) AS dec FROM lines GROUP BY name"""
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    return table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("name", *_exprs("c_custkey"))
+
+
+@query(f"WITH lines AS ({_LINES}), c AS ({_CENTRES}) SELECT name, round(ra, 6) AS ra, round(dec, 6) AS dec FROM c")
+def constellation_centres(spark, sf_dir):
+    return cat.constellation_centres(_lines(spark, sf_dir)).select("name", F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"))
+
+
+_FIND = """CASE WHEN {low} = 'an' {tokens} THEN {k} WHEN starts_with({low}, 'an') AND {low} <> 'an' THEN 3 + {k} WHEN contains({low}, 'an') AND NOT starts_with({low}, 'an') THEN 6 + {k} END"""
 
 
-@query(f"""WITH k AS (SELECT p_partkey, {_KEY.replace("'_-' || (p_size % 5)", "CASE WHEN p_size % 5 = 0 THEN '_+' ELSE '_-' END || (p_size % 5)")} AS key FROM part),
-  m AS (SELECT key, min(p_partkey) AS master FROM k WHERE p_partkey % 10 = 0 GROUP BY key) SELECT p_partkey, key, master FROM k LEFT JOIN m USING (key)""")
-def master_lookup(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    exposure = F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(300).cast("double")
-    key = se.master_key(F.lit("dark"), exposure, F.col("p_partkey") % 4, F.col("p_partkey") % 2, F.lit(640), F.lit(480), 1 + F.col("p_partkey") % 3, -(F.col("p_size") % 5).cast("double"))
-    keyed = p.select("p_partkey", key.alias("key"))
-    masters = keyed.where("p_partkey % 10 = 0").groupBy("key").agg(F.min("p_partkey").alias("master"))
-    return keyed.join(masters, "key", "left")
+@query(f"""WITH lines AS ({_LINES}), c AS ({_CENTRES}),
+  d AS (SELECT [p_name, p_brand] AS names, [p_type, 'An'] AS nicknames, p_partkey, {_place('(p_partkey + 0.25e0)')} FROM part),
+  s AS (SELECT s_name AS name, n_name || ' ' || s_suppkey AS bayer, {_place('(s_suppkey + 0.5e0)')} FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  e AS (SELECT {_FIND.format(low='lower(name)', k=0, tokens='')} AS stage, 'constellation' AS kind, name, ra, dec FROM c
+    UNION ALL SELECT least({', '.join(_FIND.format(low=f'lower(names[{i}])', k=1, tokens=f"OR regexp_extract_all(lower(names[{i}]), '([0-9]+|[^0-9 -]+)') = ['an']") for i in (1, 2))}, {_FIND.format(low='lower(nicknames[1])', k=1, tokens='')}, CASE WHEN p_partkey % 50 = 0 THEN 1 END), 'dso', array_to_string(names, '|'), ra, dec FROM d
+    UNION ALL SELECT least({', '.join(_FIND.format(low=f'lower({n})', k=2, tokens='') for n in ('name', 'bayer'))}), 'star', name, ra, dec FROM s),
+  f AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY stage, kind, ra, dec) AS r FROM e WHERE stage IS NOT NULL)
+  SELECT stage, kind, name, round(ra, 6) AS ra, {_UP.format(ra='ra', dec='dec')} > 0 AS above FROM f WHERE r = 1""")
+def object_search(spark, sf_dir):
+    """Names, nicknames, designations and constellations that match, and whether they stand above the horizon."""
+    d = table(spark, sf_dir, "part").selectExpr("array(p_name, p_brand) AS names", "CASE WHEN p_partkey % 50 = 0 THEN array(p_type, 'An') ELSE array(p_type) END AS nicknames", *_exprs("(p_partkey + 0.25e0)"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("s_name AS name", "concat(n_name, ' ', s_suppkey) AS bayer", *_exprs("(s_suppkey + 0.5e0)"))
+    up = sky.to_horizon(F.col("ra"), F.col("dec"), sky.lit(1), sky.lit(0), sky.lit(math.pi / 4))[0] > 0
+    found = cat.search_objects(" An", _lines(spark, sf_dir), d, s, up)
+    return found.select("stage", "kind", "name", F.round("ra", 6).alias("ra"), "above")
 
 
 @query("""WITH r AS (SELECT n_nationkey AS n, CASE n_nationkey % 5 WHEN 0 THEN 'start' WHEN 4 THEN 'end' ELSE 'vertex' END AS what, n_name AS name FROM nation),
@@ -301,7 +330,7 @@ def master_lookup(spark, sf_dir):
   SELECT CAST(outline AS BIGINT) AS outline, max(name) FILTER (what = 'start') AS name, count(*) AS vertices, round(sum(radians(n * 15e0)), 6) AS ra_sum FROM o WHERE outline > 0 GROUP BY outline""")
 def outline_sessions(spark, sf_dir):
     what = "CASE n_nationkey % 5 WHEN 0 THEN 'start' WHEN 4 THEN 'end' ELSE 'vertex' END"
-    lines = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS n", f"concat_ws(' ', n_nationkey, '-5', {what}, n_name) AS line")
-    o = cat.outlines(lines)
+    lines = table(spark, sf_dir, "nation").selectExpr("'all' AS file", "n_nationkey AS n", f"concat_ws(' ', n_nationkey, '-5', {what}, n_name) AS line")
+    o = cat.outlines(lines, "file")
     total = F.aggregate("polygon", sky.lit(0), lambda s, p: s + p["ra"])
     return o.select("outline", "name", F.size("polygon").cast("long").alias("vertices"), F.round(total, 6).alias("ra_sum"))

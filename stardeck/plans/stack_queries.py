@@ -22,10 +22,10 @@ def stack_average(spark, sf_dir):
 
 
 @query(PIX + """, n AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS i FROM (SELECT DISTINCT frame FROM pix)),
-  m AS (SELECT y, x, i // 5 AS five, list_sort(list(v))[3] AS m FROM pix JOIN n USING (frame) WHERE frame < 8 GROUP BY y, x, i // 5 HAVING count(*) = 5)
+  m AS (SELECT y, x, i // 5 AS five, list_sort(list(v))[3] AS m FROM pix JOIN n USING (frame) GROUP BY y, x, i // 5 HAVING count(*) = 5)
   SELECT y, x, CAST((sum(m) + count(*) // 2) // count(*) AS INT) AS v FROM m GROUP BY y, x""")
 def stack_avg_of_medians(spark, sf_dir):
-    return st.average_of_medians(pixels(spark, sf_dir).where("frame < 8"))
+    return st.average_of_medians(pixels(spark, sf_dir))
 
 
 _WARP = f""", off AS (SELECT frame, {", ".join(OFFSETS)} FROM (SELECT DISTINCT frame FROM pix)),
@@ -68,4 +68,15 @@ def sliding_median_stack(spark, sf_dir):
 
     p = pixels(spark, sf_dir)
     b = ranked(histogram(p, "frame"), ["frame"], {"background": median_rank(F.col("count"))})
-    return st.sliding_median(p, b)
+    return st.sliding_median(rows(spark, sf_dir), b)
+
+
+@query(PIX + """, good AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS i FROM (SELECT DISTINCT frame FROM pix WHERE frame % 4 <> 3)),
+  m AS (SELECT y, x, i // 5 AS five, list_sort(list(v))[3] AS m FROM pix JOIN good USING (frame) GROUP BY y, x, i // 5 HAVING count(*) = 5)
+  SELECT y, x, CAST((sum(m) + count(*) // 2) // count(*) AS INT) AS v FROM m GROUP BY y, x""")
+def master_build(spark, sf_dir):
+    """A master dark of the frames whose temperature was right: three of four."""
+    from ..operators.calibration import build_master
+
+    r = rows(spark, sf_dir)
+    return build_master(r, r.select("frame").where("frame % 4 <> 3"), "dark", None)

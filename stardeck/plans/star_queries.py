@@ -36,7 +36,8 @@ def star_metrics(spark, sf_dir):
     """Threshold, extrema, clusters, growth and profile of frames of stars, as one row a frame."""
     r = star_frames(spark, sf_dir).persist()
     t = st.detection_threshold(r)
-    found = st.grow(r, st.clusters(st.extrema(r, t, SIZE, SIZE)), t)
+    few, t = st.few_extrema(st.extrema(r, t, SIZE, SIZE), t)
+    found = st.grow(r, st.clusters(few), t)
     m = st.measure(r, found)
     return m.select("frame", "stars", *[F.round(c, 4).alias(c) for c in ("hfd", "fwhm", "ovality")])
 
@@ -46,7 +47,8 @@ def frame_offset(spark, sf_dir):
     """Offsets of all frames of stars against the first."""
     r = star_frames(spark, sf_dir).persist()
     t = st.detection_threshold(r)
-    found = st.grow(r, st.clusters(st.extrema(r, t, SIZE, SIZE)), t).select("frame", "x", "y", "brightness").persist()
+    few, t = st.few_extrema(st.extrema(r, t, SIZE, SIZE), t)
+    found = st.grow(r, st.clusters(few), t).select("frame", "x", "y", "brightness").persist()
     first = found.agg(F.min("frame")).first()[0]
     o = reg.offsets(found.where(F.col("frame") == F.lit(first)), found, SIZE, SIZE)
     return o.select("frame", *[F.round(c, 3).alias(c) for c in ("x", "y", "angle")])
@@ -78,7 +80,23 @@ def _extrema(spark, sf_dir) -> DataFrame:
 
 @query(PIX + _EXT + " SELECT frame, y, x, v FROM ext")
 def extrema(spark, sf_dir):
-    return _extrema(spark, sf_dir)
+    return _extrema(spark, sf_dir).drop("over")
+
+
+_LEVELS = ["1500"]
+for _ in range(4):
+    _LEVELS.append(f"(3 * ({_LEVELS[-1]} + 1) // 2)")
+
+
+@query(PIX + _EXT.replace("CAST(v AS INT) AS v FROM p", "CAST(v AS INT) AS v, CAST(v - f AS INT) AS over FROM p") + f""", l AS (SELECT k, t FROM (VALUES {', '.join(f'({k}, {t})' for k, t in enumerate(_LEVELS))}) x(k, t)),
+  n AS (SELECT f.frame, k, t, count(e.frame) AS n FROM (SELECT DISTINCT frame FROM pix) f CROSS JOIN l LEFT JOIN ext e ON e.frame = f.frame AND e.over >= t GROUP BY ALL),
+  c AS (SELECT frame, min(t) AS threshold FROM n WHERE n < 40 GROUP BY frame)
+  SELECT e.frame, y, x, v, threshold FROM ext e JOIN c ON c.frame = e.frame AND over >= threshold""")
+def extrema_escalated(spark, sf_dir):
+    r = rows(spark, sf_dir)
+    t = r.select("frame").distinct().withColumn("threshold", F.lit(1500))
+    few, raised = st.few_extrema(st.extrema(r, t, W, H), t, 40)
+    return few.join(raised, "frame").select("frame", "y", "x", "v", "threshold")
 
 
 @query("WITH RECURSIVE " + PIX.removeprefix("WITH ") + _EXT + """,

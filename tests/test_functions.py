@@ -80,8 +80,10 @@ def test_sexagesimal(spark):
 
 def test_names(spark):
     assert one(spark, text.name_tokens(F.lit("Test-1aaaa42 2 3"))) == ["test", "1", "aaaa", "42", "2", "3"]
-    assert one(spark, text.exposure_text(lit(2.5)), text.exposure_text(lit(0.5)), text.temperature_text(lit(-10.4)), text.flags_text(F.lit(21))) == ("2s", "500ms", "-10C", "D,P,S")
-    assert one(spark, text.duration_text(lit(3900)), text.duration_text(lit(0))) == ("1 h. 5 min.", "0 s.")
+    assert one(spark, text.exposure_text(lit(2.5)), text.exposure_text(lit(0.5)), text.temperature_text(lit(-10.4)), text.flags_text(F.lit(21))) == ("2s", "500ms", "-10C", "DPS")
+    assert one(spark, text.duration_text(lit(3900)), text.duration_text(lit(0)), text.duration_text(lit(7265.9)), text.duration_text(lit(66)), text.duration_text(lit(45.9))) == ("1 h. 5 min.", "0 sec.", "2 h. 1 min.", "1 min.", "45 sec.")
+    assert one(spark, text.duration_text(lit(7200), True), text.duration_text(lit(66), True), text.duration_text(lit(4), True)) == ("2h0m", "1m", "4s")
+    assert one(spark, text.temperature_text(lit(-0.4)), text.temperature_text(lit(0)), text.temperature_text(lit(2.5))) == ("-0C", "+0C", "+2C")
 
 
 def test_epochs(spark):
@@ -114,3 +116,17 @@ def test_display(spark):
     turned = [0.9 * axis + 0.4 * (math.cos(a) * side + math.sin(a) * np.cross(axis, side)) for a in (0, 0.5, 1.0)]
     alt, az = one(spark, *display.mount_pole(*[[lit(c) for c in p] for p in turned], lit(0.7)))
     assert alt == pytest.approx(math.asin(0.8) - 0.7) and az == pytest.approx(math.atan2(0.1, axis[2]))
+
+
+def test_number_forms(spark):
+    forms = [(3.14159, "%5.2f", " 3.14"), (-2.0, "%.0f", "-2"), (1234.5, "%3.1F", "1234.5"), (100.0, "%g", "100"), (0.00012, "%8.3g", "0.00012"), (59.9999, "%010.6m", "60:00:00"), (-5.5, "%9.6m", "-5:30:00"), (5.5, "%.3m", "5:30"), (5.5, "%05.5m", "05:30.0"), (2.25, "%3.4m", "2.25"), (2.25, "x", "2.2500000")]
+    for value, form, want in forms:
+        assert one(spark, text.number_text(lit(value), F.lit(form))) == want, form
+
+
+def test_master_names(spark):
+    import datetime
+
+    of = lambda kind, temp, binning=1, exposure=2.0: (F.lit(kind), lit(exposure), F.lit(10), F.lit(5), F.lit(100), F.lit(80), F.lit(binning), lit(temp) if temp is not None else F.lit(None).cast("double"), F.lit(datetime.date(2024, 3, 9)))
+    assert one(spark, text.master_name(*of("bias", -10.0, 2)), text.master_name(*of("flat", None)), text.master_name(*of("dark", 0.0, 1, 0.25))) == ("bias_g10_offs5_100x80_bin2x2_-10C.fit", "flat_2s_g10_offs5_100x80_2024-03-09.fit", "dark_250ms_g10_offs5_100x80_+0C.fit")
+    assert one(spark, text.raw_folder(*of("dark", -5.0)), text.defect_name(F.lit(100), F.lit(80), F.lit(4))) == ("dark_2024-03-09__2s_g10_offs5_100x80_-5C", "defect_pixels_100x80_bin4x4.txt")

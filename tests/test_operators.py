@@ -42,10 +42,71 @@ def test_repair_needs_rounds(spark):
     image = np.full((9, 9), 100)
     rows = rows_of(spark, [image])
     bad = spark.createDataFrame([(0, y, x) for y in range(2, 7) for x in range(2, 7)], "frame long, y int, x int")
-    p = fr.to_pixels(rows).withColumn("v", F.when(F.col("y").between(2, 6) & F.col("x").between(2, 6), 9999).otherwise(F.col("v")))
-    got = cal.repair(p, bad, None)
+    p = rows.withColumn("row", F.when(F.col("y").between(2, 6), F.transform("row", lambda v, x: F.when(x.between(2, 6), 9999).otherwise(v))).otherwise(F.col("row")))
+    got = fr.to_pixels(cal.repair(p, bad, None))
     assert got.where("v <> 100").count() == 0 and got.count() == 81
-    assert cal.repair(p, bad, None, rounds=1).where("v = 9999").count() == 9
+    assert fr.to_pixels(cal.repair(p, bad, None, rounds=1)).where("v = 9999").count() == 9
+    plan = cal.repair(p, bad, None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(frame") <= 3  # the rounds don't shuffle anew
+
+
+@pytest.mark.parametrize("cfa", [None, "RGGB"])
+def test_calibration_of_lights(spark, cfa):
+    """Subtraction, flat and defects as one, against the same steps in numpy."""
+    rng = np.random.default_rng(3)
+    h, w = 16, 20
+    light, dark, flat = rng.integers(900, 3000, (2, h, w)), rng.integers(90, 110, (h, w)), rng.integers(20000, 30000, (h, w))
+    light[:, 7, 8] = 60000
+    defects = spark.createDataFrame([(7, 8), (0, 0)], "y int, x int")
+    same = lambda y, x, j, i: cfa is None or ("RGGB"[2 * (y % 2) + x % 2] == "RGGB"[2 * (j % 2) + i % 2])
+
+    def near(y, x, reach):
+        return [(j, i) for j in range(max(0, y - reach), min(h, y + reach + 1)) for i in range(max(0, x - reach), min(w, x + reach + 1)) if same(y, x, j, i)]
+
+    def repaired(a):
+        out = a.copy()
+        for y, x in ((7, 8), (0, 0)):
+            reach = 1 if cfa is None or (y + x) % 2 else 2
+            out[y, x] = np.mean([a[p] for p in near(y, x, reach) if p not in ((7, 8), (0, 0))]) // 1
+        return out
+
+    fixed = repaired(flat)
+    smooth = np.array([[(sum(fixed[p] for p in near(y, x, 2)) + len(near(y, x, 2)) // 2) // len(near(y, x, 2)) for x in range(w)] for y in range(h)])
+    got, done = cal.calibrate(rows_of(spark, list(light)), cfa, w, h, 10, dark=rows_of(spark, [dark]), defects=defects, flat=rows_of(spark, [flat]), flat_offset=50)
+    assert done == cal.BY_DARK | cal.BY_FLAT | cal.BY_DEFECTS
+    got = {(r["frame"], r["y"]): r["row"] for r in got.collect()}
+    for f in (0, 1):
+        shift = int(light[f].sum()) // (h * w) - int(dark.sum()) // (h * w)
+        a = np.clip(light[f] - dark + shift, 0, 65535)
+        a = np.clip(np.trunc((a - 10 - shift) * 65535 / (smooth - 50)).astype(int) + 10 + shift, 0, 65535)
+        assert [got[f, y] for y in range(h)] == repaired(a).tolist()
+
+
+def test_calibration_searches_only_without_a_list(spark):
+    frame = np.random.default_rng(1).integers(100, 110, (24, 24))
+    frame[12, 11] = 50000
+    rows = rows_of(spark, [frame])
+    got, done = cal.calibrate(rows, None, 24, 24)
+    assert done == cal.BY_SEARCH and max(got.where("y = 12").first()["row"]) < 1000
+    got, done = cal.calibrate(rows, None, 24, 24, defects=spark.createDataFrame([], "y int, x int"))
+    assert done == cal.BY_DEFECTS and max(got.where("y = 12").first()["row"]) == 50000
+    assert cal.calibrate(rows, None, 24, 24, bias=rows, search=False)[1] == cal.BY_BIAS
+
+
+def test_few_extrema(spark):
+    from stardeck.operators import stars as st
+
+    points = spark.createDataFrame([(f, y, 5, 10, 100 * (y + 1)) for f in (1, 2) for y in range(40 if f == 1 else 5)], "frame long, y int, x int, v int, over int")
+    t = spark.createDataFrame([(1, 100), (2, 100), (3, 60000)], "frame long, threshold int")
+    kept, raised = st.few_extrema(points, t, 10)
+    want = 100
+    while sum(100 * (y + 1) >= want for y in range(40)) >= 10:
+        want = 3 * (want + 1) // 2
+    assert {r["frame"]: r["threshold"] for r in raised.collect()} == {1: want, 2: 100, 3: 60000}
+    assert kept.where("frame = 1").count() == sum(100 * (y + 1) >= want for y in range(40)) and kept.where("frame = 2").count() == 5
+    # no level leaves so few: the last that can be reached stays
+    kept, raised = st.few_extrema(points.withColumn("over", F.lit(65535)), t, 1)
+    assert raised.where("frame = 1").first()["threshold"] > 40000 and kept.where("frame = 1").count() == 40
 
 
 def test_demosaic_of_flat_colours(spark):

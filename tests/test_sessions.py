@@ -75,8 +75,9 @@ def test_axis_calibration(spark, span):
         assert got[axis] == (len(far), round(sum(x for x, _ in far) / sum(s for _, s in far), 9))
 
 
-@pytest.mark.parametrize("span", [2, 1000])
-def test_frames_are_numbered_in_spans(spark, span):
+@pytest.mark.parametrize("span,together", [(2, 256), (1000, 5)])
+def test_frames_are_numbered_in_spans(spark, span, together, monkeypatch):
+    monkeypatch.setattr(stacking, "TOGETHER", together)
     v = np.random.default_rng(6).integers(0, 4000, (13, 3))
     p = spark.createDataFrame([(3 * f, 0, x, int(v[f, x])) for f in range(13) for x in range(3)], "frame long, y int, x int, v int")
     medians = np.array([np.sort(v[i : i + 5], axis=0)[2] for i in (0, 5)])
@@ -84,7 +85,8 @@ def test_frames_are_numbered_in_spans(spark, span):
     assert {r["x"]: r["v"] for r in got.collect()} == dict(enumerate(((medians.sum(axis=0) + 1) // 2).tolist()))
     back = [int(np.sort(v[f])[1]) for f in range(13)]
     b = spark.createDataFrame([(3 * f, back[f]) for f in range(13)], "frame long, background int")
-    out = {r["x"]: (r["v"], r["cnt"]) for r in stacking.sliding_median(p, b, span).collect()}
+    rows = spark.createDataFrame([(3 * f, 0, v[f].tolist()) for f in range(13)], "frame long, y int, row array<int>")
+    out = {r["x"]: (r["v"], r["cnt"]) for r in stacking.sliding_median(rows, b, span).collect()}
     for x in range(3):
         o = [max(0, sorted(max(int(v[g, x]), 1) - back[g] for g in range(f - 4, f + 1))[2] + sorted(back[f - 4 : f + 1])[2]) for f in range(4, 13)]
         assert out[x] == (sum(o) // 9, 9)
