@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,18 +113,21 @@ def solver_field(output: Column) -> dict[str, Column]:
 
 
 def smooth_both_ways(values: Column, keep: float) -> Column:
-    """Exponential smoothing of an array forward and backward, the truncated mean of both. One pass each."""
+    """Exponential smoothing of an array forward and backward, the truncated mean of both. Linear in the array, hence in Python: an array that grows in an expression is copied at each step."""
 
-    def one(a: Column) -> Column:
-        first = F.struct(F.get(a, F.lit(0)).cast("double").alias("y"), F.array().cast("array<int>").alias("out"))
+    def one(a: list[int]) -> list[int]:
+        return [min(math.floor(y), 65535) for y in accumulate(map(float, a), lambda y, x: (1 - keep) * x + keep * y)]
 
-        def step(s: Column, x: Column) -> Column:
-            y = (1 - keep) * x + keep * s["y"]
-            return F.struct(y.alias("y"), F.concat(s["out"], F.array(F.least(F.floor(y), F.lit(65535)).cast("int"))).alias("out"))
+    def both(a: list[int]) -> list[int]:
+        first = one([a[0], *a])[1:] if len(a) else []
+        last = one([a[-1], *a[::-1]])[:0:-1] if len(a) else []
+        return [math.floor((f + b) / 2) for f, b in zip(first, last, strict=True)]
 
-        return F.aggregate(a, first, step, lambda s: s["out"])
+    @F.pandas_udf("array<int>")
+    def smooth(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda a: None if a is None else both(list(a)))
 
-    return F.zip_with(one(values), F.reverse(one(F.reverse(values))), lambda f, b: F.floor((f + b) / 2).cast("int"))
+    return smooth(values)
 
 
 def next_flat_exposure(exposure: Column, median: Column, bias: Column) -> Column:

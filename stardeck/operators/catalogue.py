@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,19 @@ def any_magnitude(v: str = "mag_v", b: str = "mag_b") -> Column:
     return F.coalesce(F.col(v), F.col(b))
 
 
+def night_altitudes(objects: DataFrame, times: DataFrame, longitude: float, latitude: float, limit: float = -math.pi / 10) -> DataFrame:
+    """objects (name, ra, dec) with `low` and `high`, their least and greatest altitude while the sun is below `limit`; null where it never is.
+
+    times (ts): a series of points of time, few: their sidereal times travel in one array.
+    """
+    where = (sky.lit(longitude), sky.lit(latitude))
+    jd = sky.julian_time(F.col("ts"))
+    sun = sky.altitude(*sky.sun(sky.centuries(jd)), sky.sidereal_time(jd), *where)
+    night = times.where(sun < limit).agg(F.collect_list(sky.sidereal_time(jd)).alias("_nights"))
+    alt = F.transform("_nights", lambda s: sky.altitude(F.col("ra"), F.col("dec"), s, *where))
+    return objects.crossJoin(F.broadcast(night)).select(*objects.columns, F.array_min(alt).alias("low"), F.array_max(alt).alias("high"))  # one row
+
+
 #: Objects in a cell, about, when the search for the nearest begins.
 CELL_OBJECTS = 16
 
@@ -133,8 +148,6 @@ def visible_zones(objects: DataFrame, sidereal: Column, longitude: float, latitu
 
     Written by zone, a catalogue is pruned by it before any object is read.
     """
-    import math
-
     spark = objects.sparkSession
     z = spark.range(n * n).select((F.col("id") % n).cast("int").alias("ra_key"), F.expr(f"cast(id div {n} as int)").alias("dec_key"))
     up = F.lit(False)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,3 +22,10 @@ def cut(df: DataFrame) -> DataFrame:
             folder = "file://" + tempfile.mkdtemp(prefix="stardeck-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark writes to; nothing if it isn't there."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

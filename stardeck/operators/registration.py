@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import wrap
+from .cuts import cut
 
 #: Attempts: stars taken and greatest error (fixed values).
 ATTEMPTS = ((50, 2.5), (70, 1.5), (100, 1.5))
@@ -78,7 +79,7 @@ def offsets(reference: DataFrame, stars: DataFrame, width: int, height: int) ->
     """
     # at most 100 points a frame; they are used by every attempt
     most = ATTEMPTS[-1][0]
-    few = lambda d: brightest(d, most).select("frame", "x", "y", (-F.col("i")).alias("brightness")).persist()
+    few = lambda d: cut(brightest(d, most).select("frame", "x", "y", (-F.col("i")).alias("brightness")))
     reference, points = few(reference), few(stars)
     todo = points.select("frame").distinct()
     out = None
@@ -107,7 +108,8 @@ def _agree(width: int, height: int, error: float):
             before = len(t)
             if before < LEAST_TRIANGLES:
                 return nothing
-            degrees = np.rint(np.degrees(t["angle"])).astype(int)
+            turned = np.degrees(t["angle"])
+            degrees = (np.sign(turned) * np.floor(np.abs(turned) + 0.5)).astype(int)  # halves go away from zero
             degrees = degrees.where(degrees > -180, degrees + 360)
             counts = degrees.value_counts()
             mode = math.radians(int(counts[counts == counts.max()].index.min()))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import drop_folder
 from .frames import saturate
 from .spans import SPAN, numbered
 
@@ -137,8 +138,8 @@ STACK = "sum long, cnt long"
 def add_to_stack(path: str):
     """For foreachBatch over row blocks (frame, y, row): keeps sums and counts of each pixel in numbered folders under path.
 
-    Batch n reads folder n - 1 and writes folder n, so a batch that runs again writes the same; folders older than that are
-    left to whoever owns the path. stacked(path, n) gives the stack after batch n.
+    Batch n reads folder n - 1 and writes folder n, so a batch that runs again writes the same; older folders are removed.
+    stacked(path, n) gives the stack after batch n.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -147,6 +148,7 @@ def add_to_stack(path: str):
             new = new.unionByName(batch.sparkSession.read.schema(new.schema).parquet(f"{path}/{number - 1}"))
             new = new.groupBy("y", "x").agg(F.sum("sum").alias("sum"), F.sum("cnt").alias("cnt"))
         new.write.mode("overwrite").parquet(f"{path}/{number}")
+        drop_folder(batch.sparkSession, f"{path}/{number - 2}")
 
     return write
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import display as dp
+from .frame_queries import PIX, rows
 from .registry import query, table
 
 _KIND = "CASE p_size % 5 WHEN 0 THEN 'G' WHEN 1 THEN 'cl+n' WHEN 2 THEN 'neb' WHEN 3 THEN '*Ass' ELSE 'what' END"
@@ -69,3 +70,36 @@ def periodic_saves(spark, sf_dir):
 def flat_exposure(spark, sf_dir):
     f = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber AS n", "cast(l_quantity * 1000 as int) AS median", "l_extendedprice / 1000e0 AS e")
     return f.select("n", "median", F.round(dp.next_flat_exposure(F.col("e"), F.col("median"), F.lit(100)), 6).alias("exposure"))
+
+
+@query("""WITH m AS (SELECT c_custkey, c_acctbal / 1000e0 AS mag FROM customer), d AS (SELECT *, greatest(0.7e0 * (pow(2e0, 0.4e0 * (8 - mag)) - 1), 1e0) AS d FROM m),
+  b AS (SELECT *, CASE WHEN mag < 1 THEN greatest(d, 6e0) ELSE d END AS e FROM d)
+  SELECT c_custkey, round(least(CASE WHEN e > 5 THEN 5 + (e - 5) / 2 ELSE e END, 9e0), 6) AS diameter FROM b""")
+def star_sizes(spark, sf_dir):
+    d = dp.star_diameter(F.col("c_acctbal") / 1000.0, F.lit(8.0), 0.7, 6.0, 5.0, 9.0)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(d, 6).alias("diameter"))
+
+
+@query("""SELECT p_partkey, round((log10(p_size) - log10(0.5e0)) * (16 / (log10(200e0) - log10(0.5e0))) + 4, 6) AS faintest, round(0.5e0 * (1000 + p_size) * 3.76e0 / 1000 / tan(radians(p_size / 20e0) / 2), 4) AS focal FROM part""")
+def zoom_and_focal_length(spark, sf_dir):
+    s = F.col("p_size").cast("double")
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(dp.faintest(s, 0.5, 200.0), 6).alias("faintest"), F.round(dp.focal_length(F.lit(3.76), 1000 + s, F.radians(s / 20)), 4).alias("focal"))
+
+
+@query("""WITH s AS (SELECT c_custkey, c_custkey % 11 AS x1, c_custkey % 7 AS y1, c_custkey % 13 AS x2, c_custkey % 5 + 4 AS y2, c_custkey % 3 AS u1, c_custkey % 9 AS v1, c_custkey % 8 + 3 AS u2, c_custkey % 4 AS v2 FROM customer),
+  d AS (SELECT *, (x2 - x1) * (v1 - v2) - (y2 - y1) * (u1 - u2) AS det FROM s),
+  p AS (SELECT *, ((u1 - x1) * (v1 - v2) - (v1 - y1) * (u1 - u2)) / nullif(det, 0)::DOUBLE AS t, ((x2 - x1) * (v1 - y1) - (y2 - y1) * (u1 - x1)) / nullif(det, 0)::DOUBLE AS u FROM d)
+  SELECT c_custkey, CASE WHEN t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 THEN round(x1 + (x2 - x1) * t, 6) END AS x, CASE WHEN t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 THEN round(y1 + (y2 - y1) * t, 6) END AS y FROM p""")
+def segment_crossing(spark, sf_dir):
+    k = F.col("c_custkey").cast("double")
+    x, y = dp.crossing([k % 11, k % 7, k % 13, k % 5 + 4], [k % 3, k % 9, k % 8 + 3, k % 4])
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query("WITH RECURSIVE " + PIX.removeprefix("WITH ") + """, p AS (SELECT frame, y, x, v, 63 - x AS b FROM pix),
+  f AS (SELECT frame, y, 0 AS i, v::DOUBLE AS s FROM p WHERE x = 0 UNION ALL SELECT f.frame, f.y, f.i + 1, 0.25e0 * p.v + 0.75e0 * f.s FROM f JOIN p ON p.frame = f.frame AND p.y = f.y AND p.x = f.i + 1),
+  g AS (SELECT frame, y, 0 AS i, v::DOUBLE AS s FROM p WHERE b = 0 UNION ALL SELECT g.frame, g.y, g.i + 1, 0.25e0 * p.v + 0.75e0 * g.s FROM g JOIN p ON p.frame = g.frame AND p.y = g.y AND p.b = g.i + 1)
+  SELECT f.frame, f.y, f.i AS x, CAST(floor((least(floor(f.s), 65535) + least(floor(g.s), 65535)) / 2) AS INT) AS v FROM f JOIN g ON g.frame = f.frame AND g.y = f.y AND g.i = 63 - f.i""")
+def smoothed_rows(spark, sf_dir):
+    smooth = dp.smooth_both_ways(F.col("row"), 0.75)
+    return rows(spark, sf_dir).select("frame", "y", smooth.alias("row")).select("frame", "y", F.posexplode("row").alias("x", "v"))

@@ -135,12 +135,58 @@ def sun_position(spark, sf_dir):
     return times.select("ts", F.round(dec, 5).alias("sun_dec"), F.round(near, 4).alias("sun_ra"))
 
 
-@query()
+def _moon_sql() -> str:
+    """The series in SQL, from the same coefficients."""
+    part = lambda x: f"(({x}) - trunc({x}))"
+    turns = ", ".join(f"{'' if k == 'l0' else '6.283185307179586e0 * '}{part(f'{x}e0 + {y}e0 * t')} AS {k}_" for k, (x, y) in sky.MOON_ARGUMENTS.items())
+    series = lambda terms: " + ".join(f"({c}) * sin({' + '.join(f'({k}) * {n}' for k, n in zip(ks, ('l_', 'ls_', 'd_', 'f_'), strict=True) if k)})" for c, *ks in terms)
+    circle = lambda x: f"(({part(f'({x}) / 360')}) * 360 + CASE WHEN {part(f'({x}) / 360')} < 0 THEN 360 ELSE 0 END)"
+    phase = ", ".join(f"{circle(' + '.join(f'({c!r}::DOUBLE) * pow(t, {i})' for i, c in enumerate(cs)))} AS p{k}" for k, cs in sky.PHASE_ARGUMENTS.items())
+    rad = lambda x: f"radians({x})"
+    return _JD + f""", c AS (SELECT ts, (day + part - 2451545e0) / 36525e0 AS t FROM j),
+  a AS (SELECT ts, t, {turns}, {phase} FROM c),
+  s AS (SELECT *, {series(sky.MOON_LONGITUDE)} AS dl, {series(sky.MOON_LATITUDE)} AS n FROM a),
+  e AS (SELECT *, 6.283185307179586e0 * {part('l0_ + dl / 1296e3')} AS lon, (18520 * sin(f_ + (dl + 412 * sin(2 * f_) + 541 * sin(ls_)) / 206264.8062e0) + n) / 206264.8062e0 AS lat FROM s),
+  q AS (SELECT *, 0.91748e0 * cos(lat) * sin(lon) - 0.39778e0 * sin(lat) AS y, 0.39778e0 * cos(lat) * sin(lon) + 0.91748e0 * sin(lat) AS z, cos(lat) * cos(lon) AS x FROM e),
+  r AS (SELECT ts, 2 * atan2(y, x + sqrt(1 - z * z)) AS ra, atan2(z, sqrt(1 - z * z)) AS dec,
+    180 - pd - 6.289e0 * sin({rad('pmp')}) + 2.1e0 * sin({rad('pm')}) - 1.274e0 * sin(2 * {rad('pd')} - {rad('pmp')}) - 0.658e0 * sin(2 * {rad('pd')}) - 0.214e0 * sin(2 * {rad('pmp')}) - 0.11e0 * sin({rad('pd')}) AS i FROM q)
+  SELECT ts, round(CASE WHEN ra < 0 THEN ra + 6.283185307179586e0 ELSE ra END, 6) AS ra, round(dec, 6) AS dec, round((1 + cos({rad('i')})) / 2, 6) AS phase FROM r"""
+
+
+@query(_moon_sql())
 def moon_position(spark, sf_dir):
     rows = sky.with_moon(_times(spark, sf_dir).withColumn("t", sky.centuries(sky.julian_time(F.col("ts")))))
     return rows.select("ts", F.round("moon_ra", 6).alias("ra"), F.round("moon_dec", 6).alias("dec"), F.round(sky.moon_phase(F.col("t")), 6).alias("phase"))
 
 
+_GMST = "6.283185307179586e0 * ({s} / 360e0 - trunc({s} / 360e0))"
+
+
+@query(f"""WITH n AS (SELECT unnest(range(288)) AS i), u AS (SELECT 8825.5e0 + i / 288e0 AS d, (8825.5e0 + i / 288e0) / 36525e0 AS t FROM n),
+  g AS (SELECT t, {_GMST.format(s='(' + _SID + ')')} AS sid, 6.283185307179586e0 * (0.993133e0 + 99.997361e0 * t - trunc(0.993133e0 + 99.997361e0 * t)) AS m FROM u),
+  l AS (SELECT sid, 0.7859453e0 + m / 6.283185307179586e0 + (6191.2e0 * t + 6893e0 * sin(m) + 72e0 * sin(2 * m)) / 1296e3 AS l FROM g),
+  k AS (SELECT sid, 6.283185307179586e0 * (l - trunc(l)) AS l FROM l),
+  e AS (SELECT sid, 0.39778e0 * sin(l) AS z, 0.91748e0 * sin(l) AS y, cos(l) AS x FROM k),
+  night AS (SELECT sid FROM e WHERE asin(z * 0.7071067811865476e0 + sqrt(1 - z * z) * 0.7071067811865476e0 * cos(2 * atan2(y, x + sqrt(1 - z * z)) - sid - 0.3e0)) < -0.3141592653589793e0),
+  o AS (SELECT s_name AS name, {_place('(s_suppkey + 0.5e0)')} FROM supplier),
+  alt AS (SELECT name, asin(sin(dec) * 0.7071067811865476e0 + cos(dec) * 0.7071067811865476e0 * cos(ra - sid - 0.3e0)) AS a FROM o, night)
+  SELECT name, round(min(a), 5) AS low, round(max(a), 5) AS high FROM alt GROUP BY name""")
+def night_altitudes(spark, sf_dir):
+    """Over the night of 2024-03-01, in steps of five minutes."""
+    times = spark.range(288).selectExpr("timestamp_ntz'2024-03-01 00:00:00' + make_dt_interval(0, 0, cast(id * 5 as int)) AS ts")
+    named = table(spark, sf_dir, "supplier").selectExpr("s_name AS name", *_exprs("(s_suppkey + 0.5e0)"))
+    n = cat.night_altitudes(named, times, 0.3, math.pi / 4)
+    return n.select("name", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
+
+
+@query("""SELECT p_partkey, coalesce(r_regionkey, -1) AS cnst_id, coalesce(v, b) AS mag FROM (SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_size / 2e0 END AS v, CASE WHEN p_size % 5 > 0 THEN p_size / 4e0 END AS b,
+    'REGION_' || (p_partkey % 8) AS c FROM part) LEFT JOIN (SELECT 'REGION_' || r_regionkey AS c, r_regionkey FROM region) USING (c)""".replace("coalesce(r_regionkey, -1)", "coalesce(r_regionkey + 1, 0)"))
+def objects_with_constellations(spark, sf_dir):
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "CASE WHEN p_size % 3 > 0 THEN p_size / 2e0 END AS mag_v", "CASE WHEN p_size % 5 > 0 THEN p_size / 4e0 END AS mag_b", "concat('REGION_', p_partkey % 8) AS constellation")
+    c = table(spark, sf_dir, "region").selectExpr("concat('REGION_', r_regionkey) AS abbrev", "r_regionkey + 1 AS cnst_id")
+    return cat.with_constellations(p, c).select("p_partkey", "cnst_id", cat.any_magnitude().alias("mag"))
+
+
 _SEXA = """CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || CAST(h AS INT) || ':' || lpad(CAST(s // 6000 AS VARCHAR), 2, '0') || ':' || lpad(CAST((s % 6000) // 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST(s % 100 AS VARCHAR), 2, '0')"""
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric
 from ..operators import registration as reg
 from ..operators import stars as st
+from ..operators.cuts import cut
 from .frame_queries import PIX, H, W, rows
 from .registry import query, table
 
@@ -34,7 +35,7 @@ def star_frames(spark, sf_dir) -> DataFrame:
 @query()
 def star_metrics(spark, sf_dir):
     """Threshold, extrema, clusters, growth and profile of frames of stars, as one row a frame."""
-    r = star_frames(spark, sf_dir).persist()
+    r = cut(star_frames(spark, sf_dir))
     t = st.detection_threshold(r)
     few, t = st.few_extrema(st.extrema(r, t, SIZE, SIZE), t)
     found = st.grow(r, st.clusters(few), t)
@@ -45,10 +46,10 @@ def star_metrics(spark, sf_dir):
 @query()
 def frame_offset(spark, sf_dir):
     """Offsets of all frames of stars against the first."""
-    r = star_frames(spark, sf_dir).persist()
+    r = cut(star_frames(spark, sf_dir))
     t = st.detection_threshold(r)
     few, t = st.few_extrema(st.extrema(r, t, SIZE, SIZE), t)
-    found = st.grow(r, st.clusters(few), t).select("frame", "x", "y", "brightness").persist()
+    found = cut(st.grow(r, st.clusters(few), t).select("frame", "x", "y", "brightness"))
     first = found.agg(F.min("frame")).first()[0]
     o = reg.offsets(found.where(F.col("frame") == F.lit(first)), found, SIZE, SIZE)
     return o.select("frame", *[F.round(c, 3).alias(c) for c in ("x", "y", "angle")])

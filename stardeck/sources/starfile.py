@@ -27,17 +27,21 @@ class Layout:
 
 
 class Bits:
-    """Bits of a byte string, the highest first; or, written to, the bytes of bits."""
+    """Bits of a byte string, the highest first; or, written to, the bytes of bits. A value is cut out of the few bytes that hold it."""
 
     def __init__(self, data: bytes = b""):
-        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
+        self.data, self.at, self.left = data, 0, 8 * len(data)
         self.parts: list[str] = []
 
     def take(self, n: int) -> int:
         self.left -= n
         if self.left < 0:
             raise EOFError("the file ends within a block")
-        return self.value >> self.left & ((1 << n) - 1)
+        end = self.at + n
+        last = (end + 7) >> 3
+        v = int.from_bytes(self.data[self.at >> 3 : last], "big") >> (8 * last - end) & ((1 << n) - 1)
+        self.at = end
+        return v
 
     def put(self, n: int, v: int) -> None:
         self.parts.append(format(v, f"0{n}b"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.cuts import drop_folder
 from ..operators.sessions import RefocusState, accumulate
 
 SHOT = "camera long, shot long, ts timestamp, exposure double, temp double, fwhm double, ok boolean"
@@ -94,7 +95,7 @@ def exposure_windows(shots: DataFrame, length: str = "10 minutes", late: str = "
 def upsert_properties(path: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: keeps the last change of each (device, prop, elem) in numbered folders under path.
 
-    Batch n reads the newest folder below n and writes folder n, so a batch that runs again writes the same.
+    Batch n reads folder n - 1 and writes folder n, so a batch that runs again writes the same; older folders are removed.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -105,6 +106,7 @@ def upsert_properties(path: str) -> Callable[[DataFrame, int], None]:
             new = new.unionByName(spark.read.schema(new.schema).parquet(f"{path}/{number - 1}"))
         last = new.groupBy("device", "prop", "elem").agg(F.max(F.struct(*names)).alias("c")).select("device", "prop", "elem", "c.*")
         last.write.mode("overwrite").parquet(f"{path}/{number}")
+        drop_folder(spark, f"{path}/{number - 2}")
 
     return write
 
