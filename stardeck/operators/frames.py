@@ -172,7 +172,47 @@ def preview_levels(hist: DataFrame, keys: list[str], dark_level: float = 0.5, li
     return p.select(*keys, F.when(near, dark - 1).otherwise(dark).alias("dark"), F.when(near, light + 1).otherwise(light).alias("light"))
 
 
-def tone(v: Column, dark: Column, light: Column, gamma: float = 2.2, gain: float = 1.0) -> Column:
+def tone(v: Column, dark: Column, light: Column, gamma: float = 2.2, gain: float | Column = 1.0) -> Column:
     """The 8-bit value of a pixel between two levels."""
     part = (v - dark) / (light - dark) * gain
     return F.when(part < 0, 0).when(part > 1, 255).otherwise(F.floor(F.pow(part, F.lit(1 / gamma)) * 255).cast("int")).cast("int")
+
+
+def rgb_levels(hist: DataFrame, dark_level: float = 0.5, light_level: float = 0.5, light_max: int = MAX16) -> DataFrame:
+    """(frame, chan, dark, light) of colour frames: green has its own levels, red and blue the same range, moved by how far their percentile 45 is from green's."""
+    green = preview_levels(hist.where("chan = 'G'"), ["frame"], dark_level, light_level, light_max)
+    mid = ranked(hist, ["frame", "chan"], {"mid": percentile_rank(45, F.col("count"))})
+    of = mid.where("chan = 'G'").select("frame", F.col("mid").alias("green"))
+    both = mid.join(green, "frame").join(of, "frame")
+    moved = F.col("mid") - F.col("green")
+    return both.select("frame", "chan", (F.col("dark") + moved).alias("dark"), (F.col("light") + moved).alias("light"))
+
+
+def pixel_at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """places (frame, y, x, ...) with the value v there; null outside of the frame."""
+    inside = F.when(F.col("x") >= 0, F.get(F.col("row"), F.col("x").cast("int")))
+    return places.join(rows.select("frame", "y", "row"), ["frame", "y"], "left").withColumn("v", inside).drop("row")
+
+
+def channel_extremes(medians: DataFrame) -> DataFrame:
+    """(frame, low, high): the least and the greatest of the medians (frame, median) of a frame's channels."""
+    return medians.groupBy("frame").agg(F.min("median").alias("low"), F.max("median").alias("high"))
+
+
+def monochrome(rows: DataFrame) -> DataFrame:
+    """Raw row blocks as an image of one channel: the values as they are, their colours forgotten."""
+    return rows.select("frame", F.lit("L").alias("chan"), "y", "row")
+
+
+#: What parts the pieces of a mosaic (fixed value).
+SPACING = 6
+
+
+def corners_and_centre(rows: DataFrame, width: int, height: int, side: int) -> DataFrame:
+    """(frame, y, x, v) of a square mosaic of nine pieces of a frame: its corners, the middles of its sides and its centre, in their true size."""
+    piece = (side - 2 * SPACING) // 3
+    places = lambda n: [0, (n - piece) // 2, n - piece]
+    tops = [F.when(F.col("y").between(a, a + piece - 1), F.col("y") - a + b) for a, b in zip(places(height), places(side), strict=True)]
+    lefts = F.array(*[F.struct(F.lit(a).alias("at"), F.lit(b).alias("to")) for a, b in zip(places(width), places(side), strict=True)])
+    r = rows.select("frame", "row", F.explode(F.array_compact(F.array(*tops))).alias("y")).select("frame", "y", "row", F.explode(lefts).alias("l"))
+    return r.select("frame", "y", F.col("l.to").alias("left"), F.posexplode(F.slice("row", F.col("l.at") + 1, piece)).alias("k", "v")).select("frame", "y", (F.col("left") + F.col("k")).alias("x"), "v")

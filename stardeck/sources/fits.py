@@ -68,16 +68,26 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    return headers_of(_files(spark, path))
+
+
+def headers_of(files: DataFrame) -> DataFrame:
+    """The keys of every unit of files (path, content)."""
+
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [(p, k, keys) for p, c in zip(part["path"], part["content"], strict=True) for k, (keys, _, _) in enumerate(units(c))]
             yield pd.DataFrame(rows, columns=["path", "hdu", "keys"])
 
-    return _files(spark, path).mapInPandas(parse, HEADERS)
+    return files.select("path", "content").mapInPandas(parse, HEADERS)
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Row blocks of every image unit: channel L for two axes, R, G and B for three planes."""
+    return rows_of(_files(spark, path))
+
+
+def rows_of(files: DataFrame) -> DataFrame:
+    """Row blocks of every image unit of files (path, content): channel L for two axes, R, G and B for three planes."""
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -91,7 +101,7 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
                     for chan, plane in zip("L" if axes == 2 else "RGB", planes, strict=True):
                         yield pd.DataFrame({"path": p, "hdu": k, "chan": chan, "y": range(height), "row": list(plane)})
 
-    return _files(spark, path).mapInPandas(parse, ROWS)
+    return files.select("path", "content").mapInPandas(parse, ROWS)
 
 
 def first_image(rows: DataFrame) -> DataFrame:
@@ -122,6 +132,19 @@ def frame_info(headers: DataFrame) -> DataFrame:
     )
 
 
+def info_cards(info: DataFrame) -> DataFrame:
+    """`cards`, a map from a key to its value as text, for rows of a frame's facts as frame_info() has them; null facts have no card."""
+    deep = F.col("max_value") > 255
+    text = lambda c: F.col(c).cast("string")
+    cards = {
+        "SIMPLE": F.lit("T"), "BITPIX": F.when(deep, "16").otherwise("8"), "NAXIS": F.lit("2"), "NAXIS1": text("width"), "NAXIS2": text("height"), "EXTEND": F.lit("T"),
+        "BZERO": F.when(deep, "32768"), "EXPTIME": text("exposure"), "TOTALEXP": text("integr_time"), "ROWORDER": F.lit("TOP-DOWN"), "FRAME": F.col("frame_type"),
+        "XBINNING": text("bin"), "YBINNING": text("bin"), "GAIN": text("gain"), "OFFSET": text("offset"), "INSTRUME": F.col("camera"), "BAYERPAT": F.col("cfa"), "CCD-TEMP": text("ccd_temp"),
+    }
+    every = F.create_map(*[x for k, v in cards.items() for x in (F.lit(k), v)])
+    return info.withColumn("cards", F.map_filter(every, lambda _, v: v.isNotNull()))
+
+
 def _card(name: str, value: object) -> bytes:
     text = f"'{value}'" if isinstance(value, str) else ("T" if value else "F") if isinstance(value, bool) else str(value)
     return f"{name:<8}= {text:>20}".ljust(CARD)[:CARD].encode("latin-1")

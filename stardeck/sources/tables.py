@@ -9,9 +9,13 @@ from ..functions.text import name_tokens, parse_sexagesimal
 
 
 def read_bad_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """(x, y) of lines with two whole numbers; other lines are skipped."""
+    return bad_pixels_of(spark.read.text(path))
+
+
+def bad_pixels_of(lines: DataFrame) -> DataFrame:
+    """(x, y) of lines (value) with two whole numbers; other lines are skipped."""
     p = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).select(F.get(p, F.lit(0)).try_cast("int").alias("x"), F.get(p, F.lit(1)).try_cast("int").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    return lines.select(F.get(p, F.lit(0)).try_cast("int").alias("x"), F.get(p, F.lit(1)).try_cast("int").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
 
 
 def write_bad_pixels(pixels: DataFrame, path: str) -> None:
@@ -78,3 +82,44 @@ def read_settings(spark: SparkSession, path: str, schema: str, defaults: dict[st
 def decode_base64(c: Column) -> Column:
     """Bytes of base64 text; characters outside the alphabet are ignored."""
     return F.unbase64(F.regexp_replace(c, "[^A-Za-z0-9+/]", ""))
+
+
+def free_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """wanted (name) with `free`: the name itself where it doesn't exist, else with the first of _2, _3, ... before its ending that doesn't."""
+    ending = lambda c: F.regexp_extract(c, r"^.+(\.[^.]*)$", 1)
+    stem = lambda c: F.regexp_replace(c, r"^(.+)\.[^.]*$", "$1")
+    number = F.regexp_extract(stem("name"), r"_([1-9]\d*)$", 1).try_cast("int")
+    e = existing.select("name").distinct().select("name", F.regexp_replace(stem("name"), r"_[1-9]\d*$", "").alias("_stem"), ending("name").alias("_end"), number.alias("_n"))
+    taken = e.where("_n IS NOT NULL").groupBy("_stem", "_end").agg(F.collect_set("_n").alias("_taken"))
+    w = wanted.withColumn("_stem", stem("name")).withColumn("_end", ending("name"))
+    w = w.join(e.select("name", F.lit(True).alias("_there")), "name", "left").join(taken, ["_stem", "_end"], "left")
+    used = F.coalesce("_taken", F.array().cast("array<int>"))
+    n = F.get(F.filter(F.sequence(F.lit(2), F.size(used) + 2), lambda k: ~F.array_contains(used, k)), F.lit(0))
+    free = F.when(F.col("_there"), F.concat("_stem", F.lit("_"), n.cast("string"), "_end")).otherwise(F.col("name"))
+    return w.select(*wanted.columns, free.alias("free"))
+
+
+_ELEMENT = "array<struct<_VALUE: string, _name: string, _label: string, _format: string, _min: string, _max: string, _step: string>>"
+_CHILDREN = [f"{verb}{kind}" for verb in ("def", "one") for kind in ("Text", "Number", "Switch", "Light", "BLOB")]
+
+
+def device_properties(messages: DataFrame, column: str = "value") -> DataFrame:
+    """(message columns, verb, kind, device, prop, elem, num, text, switch, state, label, form) of a device protocol's vectors, a row an element.
+
+    verb: "def" for a definition, "set" for an update, "new" for a wish. kind as operators.devices has it. A switch is on where its
+    text says so in any case. A number that can't be read is null; what is no vector gives no row.
+    """
+    head = r"^\s*<(def|set|new)(Text|Number|Switch|Light|BLOB)Vector"
+    schema = "_device string, _name string, _state string, " + ", ".join(f"{c} {_ELEMENT}" for c in _CHILDREN)
+    m = messages.withColumn("_verb", F.regexp_extract(column, head, 1)).where("_verb <> ''").withColumn("_kind", F.regexp_extract(column, head, 2)).withColumn("_x", F.from_xml(F.col(column), schema))
+    child = F.lit(None).cast(_ELEMENT)
+    for kind in ("Text", "Number", "Switch", "Light", "BLOB"):
+        child = F.when(F.col("_kind") == kind, F.when(F.col("_verb") == "def", F.col(f"_x.def{kind}")).otherwise(F.col(f"_x.one{kind}"))).otherwise(child)
+    e = m.select(*messages.columns, "_verb", "_kind", "_x", F.explode(child).alias("_e"))
+    value = F.trim(F.coalesce("_e._VALUE", F.lit("")))
+    kind = F.when(F.col("_kind") == "Number", "Num").when(F.col("_kind") == "BLOB", "Blob").otherwise(F.col("_kind"))
+    return e.select(
+        *messages.columns, F.col("_verb").alias("verb"), kind.alias("kind"), F.col("_x._device").alias("device"), F.col("_x._name").alias("prop"), F.col("_e._name").alias("elem"),
+        F.when(F.col("_kind") == "Number", value.try_cast("double")).alias("num"), F.when(F.col("_kind").isin("Text", "Light"), value).alias("text"),
+        F.when(F.col("_kind") == "Switch", F.lower(value) == "on").alias("switch"), F.col("_x._state").alias("state"), F.col("_e._label").alias("label"), F.col("_e._format").alias("form"),
+    )
