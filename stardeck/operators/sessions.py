@@ -152,3 +152,8 @@ def programme(temps: DataFrame, exposures: DataFrame, bins: DataFrame, count: in
     """Every combination of the parameters, each with the count rounded up to a multiple of five."""
     n = -(-count // 5) * 5
     return temps.crossJoin(F.broadcast(exposures)).crossJoin(F.broadcast(bins)).withColumn("count", F.lit(n))
+
+
+def first_good(shots: DataFrame) -> DataFrame:
+    """(camera, shot): the first shot of each camera that is ok, which later frames are registered against."""
+    return shots.where("ok").groupBy("camera").agg(F.min(F.struct("ts", "shot")).alias("s")).select("camera", "s.shot")

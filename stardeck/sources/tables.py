@@ -33,9 +33,12 @@ def _angle(c: str, hours: bool) -> Column:
 
 
 def read_dsos(spark: SparkSession, path: str) -> DataFrame:
-    """Deep-sky objects of a ;-separated file; names and nicknames are |-separated, rows without a place are left out."""
-    d = _csv(spark, path)
-    many = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    return dsos_of(_csv(spark, path))
+
+
+def dsos_of(d: DataFrame) -> DataFrame:
+    """Deep-sky objects of a ;-separated file's columns, all text; names and nicknames are |-separated, rows without a place are left out."""
+    many = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     names = F.transform(many("names"), lambda n: F.struct(n.alias("orig"), F.lower(n).alias("lc"), name_tokens(n).alias("parts")))
     nick = F.transform(many("nicknames"), lambda n: F.struct(n.alias("orig"), F.lower(n).alias("lc")))
     number = lambda c: F.col(c).try_cast("double")
@@ -47,7 +50,11 @@ def read_dsos(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_named_stars(spark: SparkSession, path: str) -> DataFrame:
-    d = _csv(spark, path)
+    return named_stars_of(_csv(spark, path))
+
+
+def named_stars_of(d: DataFrame) -> DataFrame:
+    """Named stars of a ;-separated file's columns, all text; rows without a place are left out."""
     out = d.select("name", F.lower("name").alias("name_lc"), "bayer", F.lower("bayer").alias("bayer_lc"), _angle("ra", True).alias("ra"), _angle("dec", False).alias("dec"), "constellation", F.col("mag").try_cast("double").alias("mag"), F.coalesce(F.col("bv").try_cast("double"), F.lit(0.0)).alias("bv"))
     return out.where("ra IS NOT NULL AND dec IS NOT NULL")
 
@@ -69,13 +76,21 @@ def read_drivers(spark: SparkSession, path: str) -> DataFrame:
     """(group, devices): devices of XML files, those of a group together, sorted by maker and name in lower case."""
     d = spark.read.format("xml").option("rowTag", "devGroup").schema("_group string, device array<struct<_label: string, _manufacturer: string, driver: struct<_VALUE: string, _name: string>>>").load(path)
     one = d.select(F.col("_group").alias("group"), F.explode("device").alias("d"))
-    entry = F.struct(F.lower(F.coalesce("d._manufacturer", F.lit(""))).alias("by"), F.lower("d._label").alias("label_lc"), F.col("d._label").alias("label"), F.col("d.driver._VALUE").alias("driver"))
-    return one.groupBy("group").agg(F.array_sort(F.collect_list(entry)).alias("devices"))
+    return driver_groups(one.select("group", F.col("d._manufacturer").alias("maker"), F.col("d._label").alias("label"), F.col("d.driver._VALUE").alias("driver")))
+
+
+def driver_groups(drivers: DataFrame) -> DataFrame:
+    """(group, devices) of rows (group, maker, label, driver) of any number of files."""
+    entry = F.struct(F.lower(F.coalesce("maker", F.lit(""))).alias("by"), F.lower("label").alias("label_lc"), "label", "driver")
+    return drivers.groupBy("group").agg(F.array_sort(F.collect_list(entry)).alias("devices"))
 
 
 def read_settings(spark: SparkSession, path: str, schema: str, defaults: dict[str, object]) -> DataFrame:
     """Settings of a JSON file under a schema, with defaults for keys that are missing."""
-    d = spark.read.schema(schema).json(path, multiLine=True)
+    return with_defaults(spark.read.schema(schema).json(path, multiLine=True), defaults)
+
+
+def with_defaults(d: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return d.select(*[F.coalesce(F.col(c), F.lit(defaults.get(c))).alias(c) for c in d.columns])
 
 

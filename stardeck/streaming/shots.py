@@ -118,8 +118,8 @@ GUIDER_STATES = {
 GUIDER_EVENT = "Event string, Timestamp double, Host string, Inst int, State string, Status int, Error string, dx double, dy double, id long"
 
 
-def guider_events(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Parsed lines of a guider's protocol: an event, or the answer to a call; what is neither is left out."""
+def guider_events(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed lines of a guider's protocol, with the columns `keep`: an event, or the answer to a call; what is neither is left out."""
     e = F.from_json(F.col(column), GUIDER_EVENT)
     failed = F.get_json_object(column, "$.error.message")
     d = lines.select(e.alias("e"), failed.alias("failed"), "*").where("e.Event IS NOT NULL OR e.id IS NOT NULL")
@@ -127,7 +127,7 @@ def guider_events(lines: DataFrame, column: str = "value") -> DataFrame:
     for event, name in GUIDER_STATES.items():
         state = state.when(F.col("e.Event") == event, name)
     done = F.when((F.col("e.Event") == "SettleDone") & (F.col("e.Status") == 0), "DitheringFinished").when(F.col("e.Event") == "SettleDone", "DitheringFailed")
-    return d.select(F.col("e.Timestamp").alias("timestamp"), F.col("e.Event").alias("event"), state.alias("state"), F.coalesce(done, F.when(F.col("failed").isNotNull(), "Error")).alias("outcome"), F.coalesce("e.Error", "failed").alias("message"))
+    return d.select(*keep, F.col("e.Timestamp").alias("timestamp"), F.col("e.Event").alias("event"), state.alias("state"), F.coalesce(done, F.when(F.col("failed").isNotNull(), "Error")).alias("outcome"), F.coalesce("e.Error", "failed").alias("message"))
 
 
 def guide_correction(distance: Column, dx: Column, dy: Column, limit: float) -> tuple[Column, Column]:

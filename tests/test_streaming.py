@@ -65,3 +65,34 @@ def test_guider(spark):
     ]
     dx, dy = st.guide_correction(F.lit(3.0), F.lit(1.0), F.lit(2.0), 2.0)
     assert tuple(spark.range(1).select(dx, dy).first()) == (0.5, 1.0)
+
+
+def test_live_stack(spark, tmp_path):
+    """A stack that grows batch by batch is the average of all frames, also when a batch is run again."""
+    import os
+
+    from stardeck.operators import stacking
+
+    frames = [[[1, 2], [3, None]], [[5, 7], [9, 11]], [[2, 2], [2, 2]]]
+    rows = [(f, y, r) for f, frame in enumerate(frames) for y, r in enumerate(frame)]
+    path = f"{tmp_path}/stack"
+    write = stacking.add_to_stack(path)
+    for n, f in enumerate((0, 1, 2, 2)):  # the third batch comes twice
+        write(spark.createDataFrame([r for r in rows if r[0] == f], "frame long, y int, row array<int>"), min(n, 2))
+    got = {(r["y"], r["x"]): (r["v"], r["cnt"]) for r in stacking.stacked(spark, path, 2).collect()}
+    want = {}
+    for y in range(2):
+        for x in range(2):
+            v = [frame[y][x] for frame in frames if frame[y][x] is not None]
+            want[y, x] = (sum(v) // len(v), len(v))
+    assert got == want
+    assert sorted(os.listdir(path)) == ["1", "2"]
+
+
+def test_shots_meet_the_masters_of_a_library(spark, folder):
+    from stardeck.operators import devices
+
+    masters = spark.createDataFrame([(0, "dark_0"), (5, "dark_5")], "key long, master string")
+    keyed = st.read_shots(spark, folder, 1).withColumn("key", F.col("camera"))
+    got = streamed(spark, devices.shots_with_masters(keyed, masters).select("camera", "shot", "master"), "masters")
+    assert got == sorted(((k % 2, k, "dark_0" if k % 2 == 0 else None) for k in range(60)), key=lambda r: (r[0], r[1]))
