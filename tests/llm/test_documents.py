@@ -360,7 +360,7 @@ def classified(rows, marks, sample, quantile, order):
         if i in trusted and hashed_long(i) % 2 == 0:
             lang.setdefault(i, []).append(la)
     lang = {i: min((x for x in v if x is not None), default=None) for i, v in lang.items()}
-    chosen = {i for la in set(lang.values()) for i in sorted((i for i in lang if lang[i] == la), key=hashed_long)[:sample]}
+    chosen = {i for i, la in lang.items() if ((hashed_long(i) % 2**64) >> 33) * list(lang.values()).count(la) < 2**31 * sample}
     log_p = kneser_ney([t for i, t, _ in rows if i in chosen], order)
     scored = [(i, la, len(WORD.findall(lower(t))) + 1, log_p(t)) for i, t, la in rows]
     worth = lambda r: 10 ** (-r[3] / r[2])
