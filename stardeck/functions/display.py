@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,6 +93,38 @@ def crossing(a: list[Column], b: list[Column]) -> tuple[Column, Column]:
     return F.when(met, a[0] + dx1 * t), F.when(met, a[1] + dy1 * t)
 
 
+def in_view(points: Column, left: float, top: float, right: float, bottom: float) -> Column:
+    """Whether an item shows on a screen: an array of its corners, structs (x, y, seen), in order.
+
+    One corner must be seen (stand above the horizon and not behind); and one must lie inside of the rectangle, or an edge of the
+    closed outline must meet one of its sides.
+    """
+    inside = F.exists(points, lambda p: (p["x"] > left) & (p["x"] < right) & (p["y"] > top) & (p["y"] < bottom))
+    after = F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
+    edges = F.zip_with(points, after, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+    sides = [(left, top, right, top), (left, bottom, right, bottom), (left, top, left, bottom), (right, top, right, bottom)]
+
+    def meets(e: Column) -> Column:
+        out = F.lit(False)
+        for side in sides:
+            out = out | crossing([e[k] for k in ("x1", "y1", "x2", "y2")], [lit(c) for c in side])[0].isNotNull()
+        return out
+
+    return F.exists(points, lambda p: p["seen"]) & (inside | ((F.size(points) >= 2) & F.exists(edges, meets)))
+
+
+def quad_matrix(corners: list[tuple[float, float]], width: int, height: int) -> list[list[float]]:
+    """The projective map from a quadrilateral of the plane to the pixels of a picture; its corners in order from the picture's first pixel. Rows give x, y and the divisor."""
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = corners
+    # eight equations for the map from the unit square, whose inverse is scaled
+    rows, right = [], []
+    for (u, v), (x, y) in zip(((0, 0), (1, 0), (1, 1), (0, 1)), ((x0, y0), (x1, y1), (x2, y2), (x3, y3)), strict=True):
+        rows += [[u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y]]
+        right += [x, y]
+    m = np.linalg.inv(np.append(np.linalg.solve(np.array(rows, float), np.array(right, float)), 1.0).reshape(3, 3))
+    return (np.diag([width, height, 1.0]) @ m).tolist()
+
+
 def focal_length(pixel_size: Column, pixels: Column, field: Column) -> Column:
     """In millimetres, from a field's angular width: pixel size in micrometres."""
     return 0.5 * pixels * pixel_size / 1000 / F.tan(field / 2)

@@ -98,3 +98,9 @@ def in_polygon(points: Column, x: Column, y: Column, eps: float = 1e-9) -> Colum
 
     odd = F.size(F.filter(edges, crosses)) % 2 == 1
     return F.when(F.size(points) < 3, False).otherwise(F.exists(edges, on) | odd)
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1; what can't be compared, as with a value that is not a number, counts as equal."""
+    known = ~F.isnan(a) & ~F.isnan(b)
+    return F.when(known & (a < b), -1).when(known & (a > b), 1).otherwise(0)

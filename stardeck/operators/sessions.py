@@ -6,10 +6,12 @@ one ordered pass over a camera's shots, in Arrow batches, and the streaming twin
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -157,3 +159,63 @@ def programme(temps: DataFrame, exposures: DataFrame, bins: DataFrame, count: in
 def first_good(shots: DataFrame) -> DataFrame:
     """(camera, shot): the first shot of each camera that is ok, which later frames are registered against."""
     return shots.where("ok").groupBy("camera").agg(F.min(F.struct("ts", "shot")).alias("s")).select("camera", "s.shot")
+
+
+FOCUS = "run long, outcome string, position double, more array<double>"
+
+
+def focus_result(samples: DataFrame, measures: int, step: float, more: bool = True, low: float = -math.inf, high: float = math.inf) -> DataFrame:
+    """FOCUS rows: what the samples (run, position, hfd) of each run, few by design, say of where the focus is.
+
+    A parabola is laid through the least size at each position; up to two samples at the ends are left out if that makes its error
+    less. With `more` its lowest point counts if it lies in the middle three fifths of the samples ("found"); else the line through
+    the samples says whether to measure on the left ("rising") or on the right ("falling"), at the positions of `more`. Without, the
+    lowest point counts wherever it lies between low and high. "failed" where nothing can be said.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        s = rows.dropna(subset=["position", "hfd"]).groupby("position")["hfd"].min().sort_index()
+        x, y = s.index.to_numpy(float), s.to_numpy(float)
+        outcome, position, then = _focus(x, y, measures, step, more, low, high)
+        return pd.DataFrame({"run": [rows["run"].iloc[0]], "outcome": [outcome], "position": [position], "more": [then]})
+
+    d = samples.select(F.col("run").cast("long"), F.col("position").cast("double"), F.col("hfd").cast("double"))
+    return d.groupBy("run").applyInPandas(one, FOCUS)
+
+
+def _parabola(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float] | None:
+    if len(x) < 3:
+        return None
+    mid, wide = x.mean(), max(np.ptp(x), 1.0)
+    c = np.polyfit((x - mid) / wide, y, 2)
+    error = math.sqrt(((np.polyval(c, (x - mid) / wide) - y) ** 2).mean())
+    a2 = c[0] / wide**2
+    a1 = c[1] / wide - 2 * a2 * mid
+    return np.array([a2, a1]), error
+
+
+def _focus(x: np.ndarray, y: np.ndarray, measures: int, step: float, more: bool, low: float, high: float) -> tuple:
+    fit = _parabola(x, y)
+    kept = slice(0, len(x))
+    for _ in range(2):
+        parts = [slice(kept.start + 1, kept.stop), slice(kept.start, kept.stop - 1)]
+        tried = [(f, p) for p in parts if (f := _parabola(x[p], y[p]))]
+        best = min(tried, key=lambda t: t[0][1], default=None)
+        if fit is None or best is None or best[0][1] >= fit[1]:
+            break
+        fit, kept = best
+    lowest = None
+    if fit is not None and fit[0][0] > 0:
+        at = -0.5 * fit[0][1] / fit[0][0]
+        lowest = math.copysign(math.floor(abs(at) + 0.5), at)
+    if not more:
+        return ("found", lowest, []) if lowest is not None and low <= lowest <= high else ("failed", None, [])
+    if lowest is not None and x[0] + 0.2 * np.ptp(x) <= lowest <= x[0] + 0.8 * np.ptp(x):
+        return "found", lowest, []
+    slope = ((x - x.mean()) * (y - y.mean())).sum() if len(x) > 1 else 0.0  # its sign is the line's
+    n = (measures + 1) // 2
+    if slope > 0:
+        return "rising", None, [x[0] - i * step for i in range(n - 1, 0, -1)]
+    if slope < 0:
+        return "falling", None, [x[-1] + i * step for i in range(1, n)]
+    return "failed", None, []

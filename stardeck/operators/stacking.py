@@ -97,6 +97,22 @@ def warped_average(rows: DataFrame, offsets: DataFrame, width: int, height: int)
     return w.groupBy("y", "x").agg(F.coalesce(saturate(F.expr("sum(v) div nullif(count(v), 0)")), F.lit(0)).alias("v"), F.count("v").alias("cnt"))
 
 
+def onto_quad(rows: DataFrame, corners: list[tuple[int, int]], width: int, height: int) -> DataFrame:
+    """(frame, y, x, v): frames drawn into a quadrilateral of the plane by perspective, each place with the source pixel it falls into; places outside are left out."""
+    from ..functions.display import quad_matrix
+    from .frames import pixel_at
+
+    m = quad_matrix(corners, width, height)
+    xs, ys = zip(*corners, strict=True)
+    line = F.explode(F.sequence(F.lit(min(ys)), F.lit(max(ys))))
+    grid = rows.select("frame").distinct().select("frame", line.alias("ty")).select("frame", "ty", F.explode(F.sequence(F.lit(min(xs)), F.lit(max(xs)))).alias("tx"))
+    at = [m[i][0] * F.col("tx") + m[i][1] * F.col("ty") + m[i][2] for i in range(3)]
+    # binary noise must not move what falls on the edge of a pixel
+    places = grid.select("frame", "ty", "tx", *[F.round(a / at[2], 9).cast("int").alias(c) for a, c in zip(at, "xy", strict=False)])
+    inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
+    return pixel_at(rows, places.where(inside)).select("frame", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
+
+
 #: Frames of a row that a task looks at together, beside the four before them.
 TOGETHER = 256
 

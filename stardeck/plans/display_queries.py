@@ -103,3 +103,42 @@ def segment_crossing(spark, sf_dir):
 def smoothed_rows(spark, sf_dir):
     smooth = dp.smooth_both_ways(F.col("row"), 0.75)
     return rows(spark, sf_dir).select("frame", "y", smooth.alias("row")).select("frame", "y", F.posexplode("row").alias("x", "v"))
+
+
+_TRIANGLE = "[(c_custkey % 97 - 20, c_custkey % 61 - 15), (c_custkey * 7 % 131 - 30, c_custkey * 3 % 89 - 20), (c_custkey * 11 % 71 - 10, c_custkey * 5 % 103 - 40)]"
+
+
+@query(f"""WITH t AS (SELECT c_custkey, unnest({_TRIANGLE}) AS p, unnest([1, 2, 3]) AS i FROM customer), c AS (SELECT c_custkey, i, p[1]::DOUBLE AS x, p[2]::DOUBLE AS y, (c_custkey + i) % 5 < 2 AS seen FROM t),
+  e AS (SELECT a.c_custkey, a.x AS x1, a.y AS y1, b.x - a.x AS dx, b.y - a.y AS dy FROM c a JOIN c b ON a.c_custkey = b.c_custkey AND b.i = a.i % 3 + 1),
+  s(u1, v1, du, dv) AS (VALUES (0e0, 0e0, 40e0, 0e0), (0e0, 30e0, 40e0, 0e0), (0e0, 0e0, 0e0, 30e0), (40e0, 0e0, 0e0, 30e0)),
+  m AS (SELECT c_custkey, bool_or(dx * dv <> dy * du AND ((u1 - x1) * dv - (v1 - y1) * du) / nullif(dx * dv - dy * du, 0) BETWEEN 0 AND 1 AND ((u1 - x1) * dy - (v1 - y1) * dx) / nullif(dx * dv - dy * du, 0) BETWEEN 0 AND 1) AS met FROM e, s GROUP BY c_custkey),
+  i AS (SELECT c_custkey, bool_or(x > 0 AND x < 40 AND y > 0 AND y < 30) AS inside, bool_or(seen) AS seen FROM c GROUP BY c_custkey)
+  SELECT c_custkey, seen AND (inside OR coalesce(met, false)) AS shown FROM i JOIN m USING (c_custkey)""")
+def items_in_view(spark, sf_dir):
+    k = F.col("c_custkey")
+    at = [(k % 97 - 20, k % 61 - 15), (k * 7 % 131 - 30, k * 3 % 89 - 20), (k * 11 % 71 - 10, k * 5 % 103 - 40)]
+    points = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), ((k + i + 1) % 5 < 2).alias("seen")) for i, (x, y) in enumerate(at)])
+    return table(spark, sf_dir, "customer").select("c_custkey", dp.in_view(points, 0.0, 0.0, 40.0, 30.0).alias("shown"))
+
+
+_QUAD = [(5, 3), (71, 8), (62, 55), (2, 46)]
+
+
+def _quad_sql() -> str:
+    """Places in the unit square from the closed form of the map's inverse, in SQL."""
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = _QUAD
+    det = (x1 - x2) * (y3 - y2) - (y1 - y2) * (x3 - x2)
+    sx, sy = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
+    g, h = f"({sx * (y3 - y2) - sy * (x3 - x2)}e0 / {det}e0)", f"({(x1 - x2) * sy - (y1 - y2) * sx}e0 / {det}e0)"
+    a, b, c = f"({x1 - x0} + {g} * {x1})", f"({x3 - x0} + {h} * {x3})", f"{x0}e0"
+    d, e, f = f"({y1 - y0} + {g} * {y1})", f"({y3 - y0} + {h} * {y3})", f"{y0}e0"
+    return f"""n AS (SELECT x, y, ({e} - {f} * {h}) * x + ({c} * {h} - {b}) * y + ({b} * {f} - {c} * {e}) AS u, ({f} * {g} - {d}) * x + ({a} - {c} * {g}) * y + ({c} * {d} - {a} * {f}) AS v,
+      ({d} * {h} - {e} * {g}) * x + ({b} * {g} - {a} * {h}) * y + ({a} * {e} - {b} * {d}) AS w FROM (SELECT unnest(range(2, 72)) AS x) CROSS JOIN (SELECT unnest(range(3, 56)) AS y)),
+    k AS (SELECT CAST(y AS INT) AS ty, CAST(x AS INT) AS tx, CAST(trunc(round(64 * u / w, 9)) AS INT) AS x, CAST(trunc(round(50 * v / w, 9)) AS INT) AS y FROM n)"""
+
+
+@query(PIX + f", {_quad_sql()} SELECT frame, ty AS y, tx AS x, v FROM k JOIN pix USING (y, x)")
+def perspective_warp(spark, sf_dir):
+    from ..operators.stacking import onto_quad
+
+    return onto_quad(rows(spark, sf_dir), _QUAD, 64, 50)

@@ -314,6 +314,13 @@ def focus_fit(spark, sf_dir):
     return se.best_focus(_focus(spark, sf_dir)).select("run", F.round("a2", 6).alias("a2"), F.round("extremum", 4).alias("extremum"))
 
 
+@query()
+def autofocus(spark, sf_dir):
+    """What the samples of each run say of the focus; their sizes follow parabolas of which some lie outside of the samples."""
+    s = table(spark, sf_dir, "part").selectExpr("p_partkey div 9 AS run", "1000 + 50 * (p_partkey % 9) AS position", "2 + pow((p_partkey % 9 - 4 + (p_partkey div 9) % 11 - 5) / 4e0, 2) + (p_partkey * 7 % 5) / 20e0 AS hfd")
+    return se.focus_result(s, 9, 50.0).select("run", "outcome", "position", F.size("more").alias("more"))
+
+
 @query("""WITH c AS (SELECT user_id AS device, event_type AS prop, CAST(event_id % 3 AS INT) AS elem, event_id AS change_id, CASE WHEN event_id % 11 = 0 THEN 'Delete' ELSE 'Change' END AS change, value FROM events)
   SELECT device, prop, elem, change_id, value FROM (SELECT *, row_number() OVER (PARTITION BY device, prop, elem ORDER BY change_id DESC) AS r FROM c) WHERE r = 1 AND change <> 'Delete'""")
 def property_latest(spark, sf_dir):

@@ -130,3 +130,8 @@ def test_master_names(spark):
     of = lambda kind, temp, binning=1, exposure=2.0: (F.lit(kind), lit(exposure), F.lit(10), F.lit(5), F.lit(100), F.lit(80), F.lit(binning), lit(temp) if temp is not None else F.lit(None).cast("double"), F.lit(datetime.date(2024, 3, 9)))
     assert one(spark, text.master_name(*of("bias", -10.0, 2)), text.master_name(*of("flat", None)), text.master_name(*of("dark", 0.0, 1, 0.25))) == ("bias_g10_offs5_100x80_bin2x2_-10C.fit", "flat_2s_g10_offs5_100x80_2024-03-09.fit", "dark_250ms_g10_offs5_100x80_+0C.fit")
     assert one(spark, text.raw_folder(*of("dark", -5.0)), text.defect_name(F.lit(100), F.lit(80), F.lit(4))) == ("dark_2024-03-09__2s_g10_offs5_100x80_-5C", "defect_pixels_100x80_bin4x4.txt")
+
+
+def test_compare(spark):
+    nan = float("nan")
+    assert [one(spark, numeric.compare(lit(a), lit(b))) for a, b in ((1.0, 2.0), (2.0, 1.0), (1.0, 1.0), (nan, 1.0), (1.0, nan), (nan, nan))] == [-1, 1, 0, 0, 0, 0]

@@ -90,3 +90,21 @@ def test_frames_are_numbered_in_spans(spark, span, together, monkeypatch):
     for x in range(3):
         o = [max(0, sorted(max(int(v[g, x]), 1) - back[g] for g in range(f - 4, f + 1))[2] + sorted(back[f - 4 : f + 1])[2]) for f in range(4, 13)]
         assert out[x] == (sum(o) // 9, 9)
+
+
+def test_focus_result(spark):
+    runs = {
+        1: [(x, 1 + ((x - 1030) / 100) ** 2) for x in range(900, 1200, 50)],
+        2: [(x, 1 + ((x - 1190) / 100) ** 2) for x in range(900, 1200, 50)],
+        3: [(x, 1 + ((x - 700) / 100) ** 2) for x in range(900, 1200, 50)],
+        4: [(1000, 3.0)],
+        5: [(x, 1 + ((x - 1030) / 100) ** 2 + (40 if x == 900 else 0)) for x in range(900, 1200, 50)],  # a bad sample at the end is left out
+        6: [(1000, 2.0), (1000, None), (1050, 2.0)],
+    }
+    samples = spark.createDataFrame([(r, float(x), y) for r, xs in runs.items() for x, y in xs], "run long, position double, hfd double")
+    got = {r["run"]: (r["outcome"], r["position"], r["more"]) for r in sessions.focus_result(samples, 5, 50.0).collect()}
+    assert got[1] == got[5] == ("found", 1030.0, [])
+    assert got[2] == ("falling", None, [1200.0, 1250.0]) and got[3] == ("rising", None, [800.0, 850.0])
+    assert got[4] == got[6] == ("failed", None, [])
+    last = {r["run"]: (r["outcome"], r["position"]) for r in sessions.focus_result(samples, 5, 50.0, more=False, low=800, high=2000).collect()}
+    assert last[2] == ("found", 1190.0) and last[3] == ("failed", None)
