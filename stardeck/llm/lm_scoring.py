@@ -9,12 +9,16 @@ shards again, so that no first word makes a large shard. (3) Continuations: how
 before each word, and how many pairs of count 1, 2 and more each word begins, go to the words' shards. The driver
 gets a row of sums for each shard. Scoring maps the arrays and looks a batch's different words and pairs up, sorted.
 
+Of order 3 there are two more. (4) Triples: tasks look up the place of each pair in its shard, and count (place, word), which
+go to that shard and become a sorted array there; what follows a pair is summed next to it. (5) How many different
+words come before each pair goes to the pair's shard, and takes the place of its count.
+
 Files are written under another name and renamed, so a task that runs again leaves the same files. The folder
 must be one that all workers see as a file system, as memory maps need; it is made in spark.checkpoint.dir.
 
-Texts are words with A-Z lower-cased and one end; a start, which is only ever a context, stands before them.
-P(w | v) = max(c(vw) - D(c), 0) / c(v) + g(v) P1(w), P1 from continuation counts, discounted likewise and
-interpolated with 1 / (V + 1), one share of which is for all unknown words.
+Texts are words with A-Z lower-cased and one end; starts, one less than the order, which are only ever contexts, stand
+before them. P(w | v) = max(c(vw) - D(c), 0) / c(v) + g(v) P1(w), P1 from continuation counts, discounted likewise and
+interpolated with 1 / (V + 1), one share of which is for all unknown words; and so on from pairs to triples.
 
 Cases: a null or empty text is its end alone; a row with a null id is held out; repeated rows count each time;
 with nothing to learn from, every token has probability 1 / (V + 1) = 1; an empty table gives an empty result.
@@ -91,21 +95,21 @@ def _by_shard(shard_of: np.ndarray) -> Iterator[tuple[int, slice]]:
             yield int(shard_of[a]), slice(a, b)
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of start, words and end of each text, in a row, and where the texts begin."""
+def tokens(texts: list[str | None], starts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of starts, words and end of each text, in a row, and where the texts begin."""
     parts, at, n = [], [], 0
     for t in texts:
         w = words_of(t)
         at.append(n)
-        parts += [np.array([START]), hashes(w), np.array([END])]
-        n += len(w) + 2
+        parts += [np.full(starts, START), hashes(w), np.array([END])]
+        n += len(w) + starts + 1
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(at, np.int64)
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _stretches(batches: Iterator[pa.RecordBatch], starts: int) -> Iterator[np.ndarray]:
     held, n = [], 0
     for batch in pieces(batches, 0):
-        held.append(tokens(batch.column(0).to_pylist())[0])
+        held.append(tokens(batch.column(0).to_pylist(), starts)[0])
         n += len(held[-1])
         if n >= STRETCH:
             yield np.concatenate(held)
@@ -114,9 +118,9 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _count_words(shards: int):
+def _count_words(shards: int, starts: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for stretch in _stretches(batches):
+        for stretch in _stretches(batches, starts):
             keys, counts = np.unique(stretch, return_counts=True)
             rows = [(s, pack(keys[k]), pack(counts[k].astype(np.uint64))) for s, k in _by_shard(_shard(keys, shards))]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["shard", "keys", "counts"]).astype({"shard": "int32"}))
@@ -134,7 +138,7 @@ def _write_words(folder: str, hot_share: float):
         real = counts[keys != START].sum()
         # of a shard's own words only those can be hot that have this share of it, too; the driver looks at these again
         hot = np.nonzero(counts > hot_share * real)[0] if len(counts) else np.empty(0, np.int64)
-        return pd.DataFrame({"shard": [key[0]], "n": [len(keys)], "tokens": [int(real)], "texts": [int(counts[keys == START].sum())], "hot": [hot.tolist()], "hot_counts": [counts[hot].tolist()]})
+        return pd.DataFrame({"shard": [key[0]], "n": [len(keys)], "tokens": [int(real)], "texts": [int(counts[keys == START].sum())], "hot": [hot.tolist()], "hot_counts": [counts[hot].tolist()], "start": [int(np.append(np.nonzero(keys == START)[0], -1)[0])]})
 
     return make
 
@@ -172,56 +176,189 @@ def _pair_shards(keys: np.ndarray, words: Words, hot: np.ndarray) -> np.ndarray:
     return at
 
 
-def _count_pairs(folder: str, offsets: list[int], hot: list[int]):
+def _count_pairs(folder: str, offsets: list[int], hot: list[int], starts: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, often = Words(folder, offsets), np.array(hot, np.int64)
-        for stretch in _stretches(batches):
+        for stretch in _stretches(batches, starts):
             different, place = np.unique(stretch, return_inverse=True)
             ids = words.look_up(different)[0][place].astype(np.uint64)
-            keys = ((ids[:-1] << np.uint64(32)) | ids[1:])[stretch[1:] != START]
+            # two starts are a context, too
+            keys = ((ids[:-1] << np.uint64(32)) | ids[1:])[(stretch[1:] != START) | (stretch[:-1] == START)]
             keys, counts = np.unique(keys, return_counts=True)
-            at = _pair_shards(keys, words, often)
-            order = np.argsort(at, kind="stable")
-            keys, counts, at = keys[order], counts[order].astype(np.uint32), at[order]
-            rows = []
-            for s, k in _by_shard(at):
-                first, begin, n = np.unique(keys[k] >> np.uint64(32), return_index=True, return_counts=True)
-                gaps = np.diff(first, prepend=np.uint64(0)).astype(np.uint32)
-                rows.append((s, pack(gaps), pack(n.astype(np.uint32)), pack((keys[k] & np.uint64(2**32 - 1)).astype(np.uint32)), pack(counts[k])))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["shard", "gaps", "n", "second", "counts"]).astype({"shard": "int32"}))
+            yield _sent(keys, counts, _pair_shards(keys, words, often))
+
+    return make
+
+
+SENT = "shard int, gaps binary, n binary, second binary, counts binary"
+LOW = np.uint64(2**32 - 1)
+
+
+def _sent(keys: np.ndarray, counts: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """SENT rows: sorted keys of two halves with counts, packed for each shard."""
+    order = np.argsort(at, kind="stable")
+    keys, counts, at = keys[order], counts[order].astype(np.uint32), at[order]
+    rows = []
+    for s, k in _by_shard(at):
+        first, n = np.unique(keys[k] >> np.uint64(32), return_counts=True)
+        gaps = np.diff(first, prepend=np.uint64(0)).astype(np.uint32)
+        rows.append((s, pack(gaps), pack(n.astype(np.uint32)), pack((keys[k] & LOW).astype(np.uint32)), pack(counts[k])))
+    return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["shard", "gaps", "n", "second", "counts"]).astype({"shard": "int32"}))
+
+
+def _received(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of SENT rows of a shard, sorted, and the sums of their counts."""
+    keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+    for r in rows.itertuples():
+        first = np.repeat(np.cumsum(unpack(r.gaps, np.uint32), dtype=np.uint64), unpack(r.n, np.uint32))
+        keys.append((first << np.uint64(32)) | unpack(r.second, np.uint32))
+        counts.append(unpack(r.counts, np.uint32))
+    return summed(np.concatenate(keys), np.concatenate(counts))
+
+
+def _save_small(folder: str, name: str, a: np.ndarray) -> None:
+    """An array of which most values are small: bytes, and the places and values of those that don't fit."""
+    big = np.nonzero(a >= BIG)[0]
+    _save(folder, name, np.where(a >= BIG, BIG, a).astype(np.uint8))
+    _save(folder, f"{name}-at", big.astype(np.uint64))
+    _save(folder, f"{name}-is", a[big].astype(np.uint64))
+
+
+def _small(folder: str, name: str, at: np.ndarray) -> np.ndarray:
+    """Values of such an array; 0 if there is none."""
+    held = _mapped(folder, name)
+    if not len(held):
+        return np.zeros(len(at), np.int64)
+    out = held[at].astype(np.int64)
+    big = np.nonzero(out == BIG)[0]
+    if len(big):
+        out[big] = _mapped(folder, f"{name}-is")[np.searchsorted(_mapped(folder, f"{name}-at"), at[big].astype(np.uint64))]
+    return out
+
+
+def _counts_of_counts(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _followed(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each of the sorted contexts: the sum of the counts, and how many are 1, 2 and more."""
+    context, begin = np.unique(first, return_index=True)
+    parts = (counts, counts == 1, counts == 2, counts >= 3)
+    return context, [np.add.reduceat(x.astype(np.int64), begin) if len(begin) else np.empty(0, np.int64) for x in parts]
+
+
+def _located(folder: str, keys: np.ndarray, words: Words, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shards of sorted pairs and their places there (-1: unknown)."""
+    at, place = _pair_shards(keys, words, hot), np.full(len(keys), -1, np.int64)
+    order = np.argsort(at, kind="stable")
+    for s, k in _by_shard(at[order]):
+        mine, held = order[k], _mapped(folder, f"pair-{s}")
+        if len(held):
+            found = np.minimum(np.searchsorted(held, keys[mine]), len(held) - 1)
+            place[mine] = np.where(held[found] == keys[mine], found, -1)
+    return at, place
+
+
+def _count_triples(folder: str, offsets: list[int], hot: list[int]):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, often = Words(folder, offsets), np.array(hot, np.int64)
+        for stretch in _stretches(batches, 2):
+            different, place = np.unique(stretch, return_inverse=True)
+            ids = words.look_up(different)[0][place].astype(np.uint64)
+            real = np.nonzero(stretch[2:] != START)[0]
+            context, back = np.unique(((ids[:-1] << np.uint64(32)) | ids[1:])[real], return_inverse=True)
+            shard, where = _located(folder, context, words, often)
+            keys, at = (where[back].astype(np.uint64) << np.uint64(32)) | ids[2:][real], shard[back]
+            order = np.lexsort((keys, at))
+            keys, at = keys[order], at[order]
+            first = np.nonzero(np.append(True, (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])))[0] if len(keys) else np.empty(0, np.int64)
+            yield _sent(keys[first], np.diff(np.append(first, len(keys))), at[first])
+
+    return make
+
+
+def _write_triples(folder: str, offsets: list[int], hot: list[int]):
+    def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        s, (keys, counts) = key[0], _received(rows)
+        pairs = _mapped(folder, f"pair-{s}")
+        _save(folder, f"triple-{s}", keys)
+        _save_small(folder, f"often-{s}", counts)
+        first = (keys >> np.uint64(32)).astype(np.int64)
+        context, sums = _followed(first, counts)
+        for name, x in zip(("after", "once", "twice", "thrice"), sums, strict=True):
+            whole = np.zeros(len(pairs), np.int64)
+            whole[context] = x
+            _save_small(folder, f"{name}-{s}", whole)
+        out = [(-1, pack(np.array(_counts_of_counts(counts), np.uint64)), b"")]
+        ends, before = np.unique(((pairs[first] & LOW) << np.uint64(32)) | (keys & LOW), return_counts=True)
+        at = _pair_shards(ends, Words(folder, offsets), np.array(hot, np.int64))
+        order = np.argsort(at, kind="stable")
+        for to, k in _by_shard(at[order]):
+            out.append((to, pack(ends[order[k]]), pack(before[order[k]].astype(np.uint32))))
+        return pd.DataFrame(out, columns=["shard", "keys", "before"]).astype({"shard": "int32"})
+
+    return make
+
+
+def _write_continuations(folder: str, offsets: list[int]):
+    def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        s = key[0]
+        if s < 0:
+            return pd.DataFrame([(-1, pack(np.sum([unpack(x, np.uint64) for x in rows["keys"]], axis=0)), b"", b"", b"", b"")], columns=["shard", "ids", "t", "a", "b", "c"]).astype({"shard": "int32"})
+        pairs = _mapped(folder, f"pair-{s}")
+        before = np.zeros(len(pairs), np.int64)
+        for r in rows.itertuples():
+            before[np.searchsorted(pairs, unpack(r.keys, np.uint64))] += unpack(r.before, np.uint32)
+        _save_small(folder, f"lead-{s}", before)
+        out = [(-2, pack(np.array(_counts_of_counts(before), np.uint64)), b"", b"", b"", b"")]
+        context, sums = _followed(pairs >> np.uint64(32), before)
+        for to, k in _by_shard(np.searchsorted(offsets, context, side="right") - 1):
+            out.append((to, pack((context[k] - np.uint64(offsets[to])).astype(np.uint32)), *[pack(x[k].astype(np.uint32)) for x in sums]))
+        return pd.DataFrame(out, columns=["shard", "ids", "t", "a", "b", "c"]).astype({"shard": "int32"})
 
     return make
 
 
-def _write_pairs(folder: str, offsets: list[int]):
+def _write_contexts(folder: str, sizes: list[int]):
+    """What follows each word in how many different places: a word's pairs may lie in several shards."""
+
     def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+        s = key[0]
+        if s < 0:
+            return pd.DataFrame({"shard": [s], "sums": [np.sum([unpack(x, np.uint64) for x in rows["ids"]], axis=0).astype(np.int64).tolist()]})
+        held = [np.zeros(sizes[s], np.uint32) for _ in range(4)]
         for r in rows.itertuples():
-            first = np.repeat(np.cumsum(unpack(r.gaps, np.uint32), dtype=np.uint64), unpack(r.n, np.uint32))
-            keys.append((first << np.uint64(32)) | unpack(r.second, np.uint32))
-            counts.append(unpack(r.counts, np.uint32))
-        keys, counts = summed(np.concatenate(keys), np.concatenate(counts))
-        big = counts >= BIG
+            ids = unpack(r.ids, np.uint32)
+            for total, x in zip(held, (r.t, r.a, r.b, r.c), strict=True):
+                total[ids] += unpack(x, np.uint32)
+        for name, x in zip(("total", "one", "two", "more"), held, strict=True):
+            _save(folder, f"{name}-{s}", x)
+        return pd.DataFrame({"shard": [s], "sums": [[0] * 4]})
+
+    return make
+
+
+def _write_pairs(folder: str, offsets: list[int], order: int, start: int):
+    def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = _received(rows)
         _save(folder, f"pair-{key[0]}", keys)
-        _save(folder, f"times-{key[0]}", np.where(big, BIG, counts).astype(np.uint8))
-        _save(folder, f"big-{key[0]}", keys[big])
-        _save(folder, f"bigtimes-{key[0]}", counts[big])
-        of = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        out = [(-1, pack(np.array([*of, len(keys)], np.uint64)), b"", b"", b"")]
-        second, before = np.unique(keys & np.uint64(2**32 - 1), return_counts=True)
+        if order == 2:
+            _save_small(folder, f"times-{key[0]}", counts)
+        predicted = (keys & LOW) != np.uint64(start)
+        out = [(-1, pack(np.array([*_counts_of_counts(counts), int(predicted.sum())], np.uint64)), b"", b"", b"")]
+        second, before = np.unique((keys & LOW)[predicted], return_counts=True)
         for s, k in _by_shard(np.searchsorted(offsets, second, side="right") - 1):
             out.append((s, pack((second[k] - np.uint64(offsets[s])).astype(np.uint32)), pack(before[k].astype(np.uint32)), b"", b""))
-        first, begin = np.unique(keys >> np.uint64(32), return_index=True)
-        if len(first):
-            by = [np.add.reduceat(x.astype(np.uint32), begin, dtype=np.uint32) for x in (counts == 1, counts == 2, counts >= 3)]
+        if order == 2:
+            first, (_, *by) = _followed(keys >> np.uint64(32), counts)
             for s, k in _by_shard(np.searchsorted(offsets, first, side="right") - 1):
-                out.append((s, pack((first[k] - np.uint64(offsets[s])).astype(np.uint32)), *[pack(x[k]) for x in by]))
+                out.append((s, pack((first[k] - np.uint64(offsets[s])).astype(np.uint32)), *[pack(x[k].astype(np.uint32)) for x in by]))
         return pd.DataFrame(out, columns=["shard", "ids", "a", "b", "c"]).astype({"shard": "int32"})
 
     return make
 
 
-def _write_statistics(folder: str, sizes: list[int]):
+def _write_statistics(folder: str, sizes: list[int], order: int):
     def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         s = key[0]
         if s < 0:
@@ -234,7 +371,7 @@ def _write_statistics(folder: str, sizes: list[int]):
             else:
                 for total, x in ((one, r.a), (two, r.b), (more, r.c)):
                     total[ids] += unpack(x, np.uint32)
-        for name, x in (("before", before), ("one", one), ("two", two), ("more", more)):
+        for name, x in (("before", before), ("one", one), ("two", two), ("more", more))[: 4 if order == 2 else 1]:
             _save(folder, f"{name}-{s}", x)
         return pd.DataFrame({"shard": [s], "sums": [[int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before > 0).sum())]]})
 
@@ -253,15 +390,16 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 class Model:
     """Where the arrays are, and the sums that probabilities need. Small; goes to tasks with their code."""
 
-    def __init__(self, folder: str, offsets: list[int], hot: list[int], tokens: int, texts: int, pairs: list[int], words: list[int]):
-        self.folder, self.offsets, self.hot = folder, offsets, hot
+    def __init__(self, folder: str, offsets: list[int], hot: list[int], tokens: int, texts: int, levels: list[list[int]], n_pairs: int, order: int):
+        """levels: of single words, pairs and so on up to the order, how many occur once, twice, ...; of words a fifth number, of all."""
+        self.folder, self.offsets, self.hot, self.order = folder, offsets, hot, order
         self.tokens, self.texts = tokens, texts
         self.vocabulary = max(0, offsets[-1] - (texts > 0))
-        self.d2, self.d1 = discounts(*pairs[:4]), discounts(*words[:4])
-        self.n_pairs = pairs[4]
+        self.d1, self.d2, *self.d3 = [discounts(*x[:4]) for x in levels]
+        self.n_pairs = n_pairs
         if self.n_pairs:
-            n1, n2 = words[0], words[1]
-            self.rest = (self.d1[1] * n1 + self.d1[2] * n2 + self.d1[3] * (words[4] - n1 - n2)) / self.n_pairs
+            n1, n2 = levels[0][:2]
+            self.rest = (self.d1[1] * n1 + self.d1[2] * n2 + self.d1[3] * (levels[0][4] - n1 - n2)) / self.n_pairs
         else:
             self.rest = 1.0
 
@@ -269,53 +407,81 @@ class Model:
         p = np.maximum(before - self.d1[np.minimum(before, 3)], 0) / max(self.n_pairs, 1)
         return p + self.rest / (self.vocabulary + 1)
 
-    def times(self, keys: np.ndarray, words: Words) -> np.ndarray:
-        """How often each of these sorted pairs is in the training texts."""
-        out = np.zeros(len(keys), np.int64)
-        at = _pair_shards(keys, words, np.array(self.hot, np.int64))
-        order = np.argsort(at, kind="stable")
-        for s, k in _by_shard(at[order]):
-            mine = order[k]
-            held = _mapped(self.folder, f"pair-{s}")
-            if not len(held):
-                continue
-            place = np.minimum(np.searchsorted(held, keys[mine]), len(held) - 1)
-            got = np.where(held[place] == keys[mine], _mapped(self.folder, f"times-{s}")[place], 0).astype(np.int64)
-            if (got == BIG).any():
-                big = np.nonzero(got == BIG)[0]
-                got[big] = _mapped(self.folder, f"bigtimes-{s}")[np.searchsorted(_mapped(self.folder, f"big-{s}"), keys[mine][big])]
-            out[mine] = got
+    def pairs(self, ids: np.ndarray, words: Words, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+        """Of each two neighbours in ids: the shard, the place there (-1: unknown) and the entries (0: unknown) of the arrays of these names."""
+        out = [np.zeros(len(ids) - 1, np.int64) for _ in range(2 + len(names))]
+        out[1][:] = -1
+        both = np.nonzero((ids[:-1] >= 0) & (ids[1:] >= 0))[0]
+        keys, back = np.unique((ids[both].astype(np.uint64) << np.uint64(32)) | ids[both + 1].astype(np.uint64), return_inverse=True)
+        shard, place = _located(self.folder, keys, words, np.array(self.hot, np.int64))
+        entries = [np.zeros(len(keys), np.int64) for _ in names]
+        known = np.nonzero(place >= 0)[0]
+        known = known[np.argsort(shard[known], kind="stable")]
+        for s, k in _by_shard(shard[known]):
+            mine = known[k]
+            for e, name in zip(entries, names, strict=True):
+                e[mine] = _small(self.folder, f"{name}-{s}", place[mine])
+        for o, x in zip(out, (shard, place, *entries), strict=True):
+            o[both] = x[back]
+        return tuple(out)
+
+    def triples(self, shard: np.ndarray, place: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """How often each word follows the pair at this place of this shard."""
+        out = np.zeros(len(w), np.int64)
+        known = np.nonzero((place >= 0) & (w >= 0))[0]
+        keys = (place[known].astype(np.uint64) << np.uint64(32)) | w[known].astype(np.uint64)
+        order = np.lexsort((keys, shard[known]))
+        for s, k in _by_shard(shard[known][order]):
+            mine, held = order[k], _mapped(self.folder, f"triple-{s}")
+            if len(held):
+                at = np.minimum(np.searchsorted(held, keys[mine]), len(held) - 1)
+                hit = held[at] == keys[mine]
+                out[known[mine[hit]]] = _small(self.folder, f"often-{s}", at[hit])
         return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """Of each text: tokens, known tokens, the base score and the model's, in log10."""
-        stream, at = tokens(texts)
+        starts = self.order - 1
+        stream, at = tokens(texts, starts)
         if not len(at):
             return (np.empty(0, np.int64),) * 2 + (np.empty(0),) * 2
         words = Words(self.folder, self.offsets)
         different, place = np.unique(stream, return_inverse=True)
-        ids, count, before, one, two, more = (x[place] for x in words.look_up(different, "count", "before", "one", "two", "more"))
+        names = ("count", "before", "one", "two", "more") + (("total",) if self.order == 3 else ())
+        ids, count, before, one, two, more, *total = (x[place] for x in words.look_up(different, *names))
         real = np.nonzero(stream != START)[0]
-        v, w = ids[real - 1], ids[real]
-        both = np.nonzero((v >= 0) & (w >= 0))[0]
-        keys, back = np.unique((v[both].astype(np.uint64) << np.uint64(32)) | w[both].astype(np.uint64), return_inverse=True)
-        c = np.zeros(len(real), np.int64)
-        c[both] = self.times(keys, words)[back]
-        # a context is followed by something each time it occurs; an unknown one leaves all to the unigrams
-        total = np.where(v >= 0, count[real - 1], 0)
-        left = self.d2[1] * one[real - 1] + self.d2[2] * two[real - 1] + self.d2[3] * more[real - 1]
-        seen = total > 0
-        p = np.where(seen, np.maximum(c - self.d2[np.minimum(c, 3)], 0) / np.maximum(total, 1), 0.0)
-        p += np.where(seen, left / np.maximum(total, 1), 1.0) * self.unigram(before[real])
+        v = real - 1
+        if self.order == 2:
+            # a context is followed by something each time it occurs
+            of = self.pairs(ids, words, ("times",))
+            all_v = np.where(ids[v] >= 0, count[v], 0)
+        else:
+            of = self.pairs(ids, words, ("lead", "after", "once", "twice", "thrice"))
+            all_v = total[0][v]
+        p = self.unigram(before[real])
+        p = _interpolated(p, self.d2, of[2][v], all_v, one[v], two[v], more[v])
+        if self.order == 3:
+            u = real - 2
+            c = self.triples(of[0][u], of[1][u], ids[real])
+            p = _interpolated(p, self.d3[0], c, *(x[u] for x in of[3:]))
         base = np.log10((count[real] + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
-        begin = at - np.arange(len(at))
+        begin = at - starts * np.arange(len(at))
         n = np.diff(np.append(begin, len(real)))
         known = np.add.reduceat((count[real] > 0).astype(np.int64), begin)
         return n, known, np.add.reduceat(base, begin), np.add.reduceat(np.log10(p), begin)
 
 
-def train(texts: DataFrame, shard_bytes: int = 16_000_000) -> Model:
-    """Counts the one column of `texts`. shard_bytes: text to a shard."""
+def _interpolated(lower: np.ndarray, d: np.ndarray, c: np.ndarray, total: np.ndarray, one: np.ndarray, two: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The discounted share of c in its context, and the rest by the lower order; an unknown context leaves all to it."""
+    seen, all_of = total > 0, np.maximum(total, 1)
+    own = np.where(seen, np.maximum(c - d[np.minimum(c, 3)], 0) / all_of, 0.0)
+    return own + np.where(seen, (d[1] * one + d[2] * two + d[3] * more) / all_of, 1.0) * lower
+
+
+def train(texts: DataFrame, shard_bytes: int = 16_000_000, order: int = 2) -> Model:
+    """Counts the one column of `texts`. shard_bytes: text to a shard; order: 2 or 3, the length of the longest n-grams."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = texts.sparkSession
     uri = urlparse(shared_dir(spark, "kn-model"))
     if uri.scheme not in ("", "file"):
@@ -323,22 +489,29 @@ def train(texts: DataFrame, shard_bytes: int = 16_000_000) -> Model:
     folder = uri.path
     size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
     shards = max(4, -(-size // shard_bytes))
-    texts = texts
     hot_share = 1 / (2 * shards)
-    counted = texts.mapInArrow(_count_words(shards), "shard int, keys binary, counts binary").groupBy("shard")
-    got = {r["shard"]: r for r in counted.applyInPandas(_write_words(folder, hot_share), "shard int, n long, tokens long, texts long, hot array<long>, hot_counts array<long>").collect()}
+    counted = texts.mapInArrow(_count_words(shards, order - 1), "shard int, keys binary, counts binary").groupBy("shard")
+    told = "shard int, n long, tokens long, texts long, hot array<long>, hot_counts array<long>, start long"
+    got = {r["shard"]: r for r in counted.applyInPandas(_write_words(folder, hot_share), told).collect()}
     sizes = [got[s]["n"] if s in got else 0 for s in range(shards)]
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(int).tolist()
     if offsets[-1] >= 2**32:
         raise ValueError("more than 2^32 different words")
     n_tokens = sum(r["tokens"] for r in got.values())
+    n_texts = sum(r["texts"] for r in got.values()) // (order - 1)
     hot = sorted(offsets[s] + i for s, r in got.items() for i, c in zip(r["hot"], r["hot_counts"], strict=True) if c > hot_share * n_tokens)
-    pairs = texts.mapInArrow(_count_pairs(folder, offsets, hot), "shard int, gaps binary, n binary, second binary, counts binary")
-    sent = pairs.groupBy("shard").applyInPandas(_write_pairs(folder, offsets), "shard int, ids binary, a binary, b binary, c binary")
-    sums = {r["shard"]: r["sums"] for r in sent.groupBy("shard").applyInPandas(_write_statistics(folder, sizes), "shard int, sums array<long>").collect()}
-    pair_sums = sums.pop(-1, [0] * 5)
-    word_sums = [sum(x[k] for x in sums.values()) for k in range(5)]
-    return Model(folder, offsets, hot, n_tokens, sum(r["texts"] for r in got.values()), pair_sums, word_sums)
+    start = max([offsets[s] + r["start"] for s, r in got.items() if r["start"] >= 0], default=2**32)
+    sent = texts.mapInArrow(_count_pairs(folder, offsets, hot, order - 1), SENT).groupBy("shard").applyInPandas(_write_pairs(folder, offsets, order, start), "shard int, ids binary, a binary, b binary, c binary")
+    sums = {r["shard"]: r["sums"] for r in sent.groupBy("shard").applyInPandas(_write_statistics(folder, sizes, order), "shard int, sums array<long>").collect()}
+    *pairs, n_pairs = sums.pop(-1, [0] * 5)
+    words = [sum(x[k] for x in sums.values()) for k in range(5)]
+    levels = [words, pairs]
+    if order == 3:
+        sent = texts.mapInArrow(_count_triples(folder, offsets, hot), SENT).groupBy("shard").applyInPandas(_write_triples(folder, offsets, hot), "shard int, keys binary, before binary")
+        sent = sent.groupBy("shard").applyInPandas(_write_continuations(folder, offsets), "shard int, ids binary, t binary, a binary, b binary, c binary")
+        sums = {r["shard"]: r["sums"] for r in sent.groupBy("shard").applyInPandas(_write_contexts(folder, sizes), "shard int, sums array<long>").collect()}
+        levels = [words, sums.get(-2, [0] * 4), sums.get(-1, [0] * 4)]
+    return Model(folder, offsets, hot, n_tokens, n_texts, levels, n_pairs, order)
 
 
 def _score(model: Model):

@@ -420,7 +420,7 @@ def test_chained_hashes_are_those_of_spark(spark):
 def kneser_ney(texts, order=2):
     """log10 P of a text under an interpolated modified Kneser-Ney model of texts."""
     stream = lambda t: [*["<s>"] * (order - 1), *WORD.findall(lower(t)), "</s>"]
-    grams = lambda t: [tuple((s := stream(t))[i - order + 1 : i + 1]) for i in range(order - 1, len(stream(t)))]
+    grams = lambda t: list(zip(*[stream(t)[k:] for k in range(order)], strict=False))
     count = {order: Counter(g for t in texts for g in grams(t))}
     for n in range(order - 1, 0, -1):
         count[n] = Counter(g[1:] for g in count[n + 1])
@@ -443,14 +443,15 @@ def kneser_ney(texts, order=2):
     return lambda t: sum(math.log10(p(g)) for g in grams(t))
 
 
-def test_lm_scoring(odd, empty):
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scoring(odd, empty, order):
     held = common.bucket_of_id("doc_id", 10) == 0
-    model = lm_scoring.train(odd.where(~held).select("text"), shard_bytes=20_000)
+    model = lm_scoring.train(odd.where(~held).select("text"), shard_bytes=20_000, order=order)
     got = lm_scoring.score(odd, model, held).collect()
     taught = [(i, t) for i, t, *_ in odd_rows() if i is not None and zlib.crc32(str(i).encode()) % 10]
     count = Counter(w for _, t in taught for w in [*WORD.findall(lower(t)), "</s>"])
     N, V = sum(count.values()), len(count)
-    want = kneser_ney([t for _, t in taught])
+    want = kneser_ney([t for _, t in taught], order)
     rows = Counter()
     for i, t, *_ in odd_rows():
         words = [*WORD.findall(lower(t)), "</s>"]
@@ -458,14 +459,18 @@ def test_lm_scoring(odd, empty):
         rows[i, i is None or not zlib.crc32(str(i).encode()) % 10, len(words), sum(count[w] > 0 for w in words), N, round(base, 5), round(want(t), 5)] += 1
     assert Counter((*r[:5], round(r[5], 5), round(r[6], 5)) for r in got) == rows
     assert lm_scoring.score(empty, model, held).count() == 0
-    nothing = lm_scoring.train(empty.select("text"))
+    nothing = lm_scoring.train(empty.select("text"), order=order)
     assert lm_scoring.score(odd, nothing, held).where("abs(score) > 1e-9").count() == 0
 
 
-def test_lm_scoring_counts_beyond_a_byte(spark):
-    docs = spark.createDataFrame([(i, "x y " * 400) for i in range(20)], "doc_id long, text string")
-    model = lm_scoring.train(docs.select("text"))
-    want = kneser_ney(["x y " * 400] * 20)("x y x")
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scoring_counts_beyond_a_byte(spark, order):
+    """Counts, and numbers of different neighbours, that don't fit a byte; a hot word's pairs lie in several shards."""
+    texts = [" ".join(f"a{k} x b{k * 7 % 300} x y" for k in range(i, 300)) for i in range(0, 300, 60)] + ["x y " * 400] * 4 + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = lm_scoring.train(docs.select("text"), shard_bytes=2_000, order=order)
+    assert model.hot
+    want = kneser_ney(texts, order)("x y x")
     assert lm_scoring.score(spark.createDataFrame([(1, "x y x")], "doc_id long, text string"), model, F.lit(False)).first()["score"] == pytest.approx(want)
 
 
