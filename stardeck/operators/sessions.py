@@ -146,14 +146,14 @@ def latest_properties(changes: DataFrame) -> DataFrame:
 
 def offset_by_pairs(low: DataFrame, high: DataFrame) -> DataFrame:
     """The median difference of the pair of shots (low, high) whose deviations are nearest; few shots each, by design."""
-    pairs = low.select(F.col("std_dev").alias("s1"), F.col("median").alias("m1")).crossJoin(F.broadcast(high.select(F.col("std_dev").alias("s2"), F.col("median").alias("m2"))))
+    pairs = low.select(F.col("std_dev").alias("s1"), F.col("median").alias("m1")).crossJoin(high.select(F.col("std_dev").alias("s2"), F.col("median").alias("m2")))
     return pairs.agg(F.min(F.struct(F.abs(F.col("s1") - F.col("s2")).alias("d"), (F.col("m2") - F.col("m1")).alias("offset"))).alias("o")).select("o.offset")
 
 
 def programme(temps: DataFrame, exposures: DataFrame, bins: DataFrame, count: int) -> DataFrame:
     """Every combination of the parameters, each with the count rounded up to a multiple of five."""
     n = -(-count // 5) * 5
-    return temps.crossJoin(F.broadcast(exposures)).crossJoin(F.broadcast(bins)).withColumn("count", F.lit(n))
+    return temps.crossJoin(exposures).crossJoin(bins).withColumn("count", F.lit(n))
 
 
 def first_good(shots: DataFrame) -> DataFrame:
