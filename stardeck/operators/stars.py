@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import upper_median
+from .cuts import cut
 from .frames import to_pixels
 
 #: Limits of the search (fixed values).
@@ -73,8 +74,10 @@ def few_extrema(points: DataFrame, thresholds: DataFrame, most: int = MOST_EXTRE
     """The extrema that remain, and the thresholds that leave them: raised by half until fewer than `most` remain.
 
     points: extrema() of thresholds (frame, threshold), whose `over` says by how much each stands out, so that every higher
-    threshold is answered by counts and the frames are read once. A threshold that can't be raised any more stays.
+    threshold is answered by counts and the frames are read once: the points are written for that. A threshold that can't be
+    raised any more stays.
     """
+    points = cut(points)
     levels = F.aggregate(
         F.sequence(F.lit(1), F.lit(30)), F.array(F.col("threshold").cast("int")),
         lambda a, _: F.when(F.floor(3 * (F.element_at(a, -1) + 1) / 2) > 65535, a).otherwise(F.array_append(a, F.floor(3 * (F.element_at(a, -1) + 1) / 2).cast("int"))),
