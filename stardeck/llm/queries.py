@@ -84,7 +84,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_simhash, op5_warc_revisits, op6_quality_classifier, op7_rotated_codes, op8_lm_scoring, op9_toxicity, op10_byte_bpe)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit, document_masks
+
+    return audit(document_masks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_simhash, op5_warc_revisits, op6_quality_classifier, op7_rotated_codes, op8_lm_scoring, op9_toxicity, op10_byte_bpe, op13_filter_audit)}
 SQL: dict[str, str] = {
     "op3_line_dedup": """
         WITH lines AS (
@@ -140,4 +146,42 @@ SQL: dict[str, str] = {
                     ELSE 'cache-control: max-age=120' || chr(10) || 'content-length: 0'
                          || coalesce(chr(10) || 'etag: ' || sent, '') || coalesce(chr(10) || 'last-modified: ' || day, '') END AS headers
         FROM met""",
+    "op13_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), owners AS (SELECT t, min(doc_id) AS owner FROM d GROUP BY t), masks AS (
+            SELECT part,
+                   CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+                   | CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                   | CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 4 ELSE 0 END
+                   | CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                   | CASE WHEN doc_id > owner THEN 16 ELSE 0 END AS mask,
+                   doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+                   doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic
+            FROM d JOIN owners USING (t)
+        ), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+            FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+                 JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+        ), steps AS (
+            SELECT filter_order, step::INT AS step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+                   list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(substr(filter_order, k, 1)) - 65)))::BIGINT AS before
+            FROM orders, generate_series(1, 5) g(step)
+        ), cells AS (
+            SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM masks GROUP BY ALL
+        ), met AS (
+            SELECT part, filter_order, step, bit,
+                   coalesce(sum(n) FILTER ((mask & (bit | coalesce(before, 0))) = 0), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER ((mask & bit) <> 0 AND (mask & coalesce(before, 0)) = 0), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER ((mask & bit) <> 0 AND (mask & coalesce(before, 0)) <> 0), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(n_good) FILTER ((mask & bit) <> 0 AND (mask & coalesce(before, 0)) = 0), 0)::BIGINT AS good_lost,
+                   coalesce(sum(n_toxic) FILTER ((mask & bit) <> 0 AND (mask & coalesce(before, 0)) = 0), 0)::BIGINT AS toxic_lost
+            FROM cells, steps GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM met""",
 }
