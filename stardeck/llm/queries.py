@@ -84,13 +84,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damaged, repair
+
+    return repair(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audit, document_masks
 
     return audit(document_masks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_simhash, op5_warc_revisits, op6_quality_classifier, op7_rotated_codes, op8_lm_scoring, op9_toxicity, op10_byte_bpe, op13_filter_audit)}
+def _step(cost: int, edit: str, states: str) -> str:
+    """SQL: the cheapest of the states, each nine digits of cost and then its edits, with one edit more."""
+    return f"lpad((substr(least({states}), 1, 9)::INT + {cost})::VARCHAR, 9, '0') || substr(least({states}), 10) || '{edit}'"
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_simhash, op5_warc_revisits, op6_quality_classifier, op7_rotated_codes, op8_lm_scoring, op9_toxicity, op10_byte_bpe, op11_conversation_repair, op13_filter_audit)}
 SQL: dict[str, str] = {
     "op3_line_dedup": """
         WITH lines AS (
@@ -146,6 +157,69 @@ SQL: dict[str, str] = {
                     ELSE 'cache-control: max-age=120' || chr(10) || 'content-length: 0'
                          || coalesce(chr(10) || 'etag: ' || sent, '') || coalesce(chr(10) || 'last-modified: ' || day, '') END AS headers
         FROM met""",
+    "op11_conversation_repair": rf"""
+        WITH RECURSIVE keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+            FROM conversations
+        ), dealt AS (
+            SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(k, ''),
+                       lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                   lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 20 AS kind
+            FROM keyed
+        ), rows AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM dealt, generate_series(1, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+        ), placed AS (
+            SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+            FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows)
+        ), marked AS (
+            SELECT *, left(role, 1) AS r,
+                   CASE WHEN bare = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+            FROM placed
+        ), counted AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM marked GROUP BY conv_id
+        ), layers AS (
+            SELECT conv_id, n, 0 AS i, '000000000' AS s0, NULL::VARCHAR AS s1, '000000003I' AS s2, '000000006II' AS s3 FROM counted
+            UNION ALL
+            SELECT conv_id, n, i, s0, s1, m2, least(m3, {_step(3, "I", "m2, NULL")}) FROM (
+                SELECT conv_id, n, i, n0 AS s0, n1 AS s1, least(n2, {_step(3, "I", "n0, n1, n3")}) AS m2, n3 AS m3 FROM (
+                    SELECT l.conv_id, l.n, m.i,
+                           {_step(4, "D", "s0, NULL")} AS n0,
+                           least({_step(4, "D", "s1, NULL")}, CASE WHEN r = 's' AND fault NOT IN ('b', 'd') THEN
+                               CASE WHEN fault = 't' THEN {_step(3, "K", "s0, NULL")} ELSE {_step(0, "K", "s0, NULL")} END END) AS n1,
+                           least({_step(4, "D", "s2, NULL")}, CASE WHEN fault NOT IN ('b', 'd') THEN least(
+                               CASE WHEN fault = 't' THEN {_step(6, "R", "s0, s1, s3")} ELSE {_step(3, "R", "s0, s1, s3")} END,
+                               CASE WHEN r = 'u' THEN CASE WHEN fault = 't' THEN {_step(3, "K", "s0, s1, s3")} ELSE {_step(0, "K", "s0, s1, s3")} END END) END) AS n2,
+                           least({_step(4, "D", "s3, NULL")}, CASE WHEN fault NOT IN ('b', 'd') THEN least(
+                               CASE WHEN fault = 't' THEN {_step(6, "R", "s2, NULL")} ELSE {_step(3, "R", "s2, NULL")} END,
+                               CASE WHEN r = 'a' THEN CASE WHEN fault = 't' THEN {_step(3, "K", "s2, NULL")} ELSE {_step(0, "K", "s2, NULL")} END END) END) AS n3
+                    FROM layers l JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.i = l.i + 1))
+        ), settled AS (SELECT conv_id, least(s0, s3) AS best FROM layers WHERE i = n),
+        edits AS (
+            SELECT conv_id, k, substr(best, 9 + k, 1) AS edit,
+                   len(replace(substr(best, 10, k), 'I', '')) AS i, len(replace(substr(best, 10, k), 'D', '')) AS made
+            FROM (SELECT conv_id, best, unnest(range(1, length(best) - 8)) AS k FROM settled)
+        ), led AS (
+            SELECT e.*, m.role, m.text, CASE WHEN edit = 'K' AND made = 1 AND m.r = 's' THEN 1 ELSE 0 END AS leads
+            FROM edits e LEFT JOIN marked m ON edit <> 'I' AND m.conv_id IS NOT DISTINCT FROM e.conv_id AND m.i = e.i
+            WHERE edit <> 'D'
+        ), lines AS (
+            SELECT conv_id, k, CASE WHEN edit = 'K' THEN role WHEN (made - max(leads) OVER (PARTITION BY conv_id)) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                   || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END AS line
+            FROM led
+        ), texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY k) AS repaired FROM lines GROUP BY conv_id),
+        every AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+               coalesce(substr(best, 1, 9), '0')::BIGINT AS cost, coalesce(substr(best, 10), '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM every e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+             LEFT JOIN settled s ON s.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM e.conv_id""",
     "op13_filter_audit": r"""
         WITH d AS (
             SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
