@@ -90,6 +90,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import bucket_of_id
+    from .language_id import predict, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = bucket_of_id("doc_id", 4) == 2
+    return predict(docs, train(docs, ~held_out), held_out)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audit, document_masks
 
@@ -101,7 +110,7 @@ def _step(cost: int, edit: str, states: str) -> str:
     return f"lpad((substr(least({states}), 1, 9)::INT + {cost})::VARCHAR, 9, '0') || substr(least({states}), 10) || '{edit}'"
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_simhash, op5_warc_revisits, op6_quality_classifier, op7_rotated_codes, op8_lm_scoring, op9_toxicity, op10_byte_bpe, op11_conversation_repair, op13_filter_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_line_dedup, op4_simhash, op5_warc_revisits, op6_quality_classifier, op7_rotated_codes, op8_lm_scoring, op9_toxicity, op10_byte_bpe, op11_conversation_repair, op12_language_id, op13_filter_audit)}
 SQL: dict[str, str] = {
     "op3_line_dedup": """
         WITH lines AS (
