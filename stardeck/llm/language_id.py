@@ -221,7 +221,8 @@ def sample(docs: DataFrame, allowed: Column, texts: int = 250) -> DataFrame:
     one = d.groupBy("h").agg(F.min("lang").alias("lang"), F.max("lang").alias("also")).where("lang = also").select("lang", "h")
     one = written(one, "texts-by-language")
     bound = -(2.0**63) + 2.0**64 * F.least(F.lit(1.0), (2.0 * texts + 100) / F.col("n"))
-    near = one.join(one.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(F.col("h").cast("double") <= bound)
+    # a row a language: less than the network, which has weights for each and goes to every task as well
+    near = one.join(F.broadcast(one.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.col("h").cast("double") <= bound)
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= texts)
     return d.join(first.select("lang", "h"), ["lang", "h"]).dropDuplicates(["lang", "h"])
 
