@@ -224,7 +224,8 @@ def sample(docs: DataFrame, allowed: Column, texts: int = 250) -> DataFrame:
     # a row a language: less than the network, which has weights for each and goes to every task as well
     near = one.join(F.broadcast(one.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.col("h").cast("double") <= bound)
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= texts)
-    return d.join(first.select("lang", "h"), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    # at most `texts` hashes a language
+    return d.join(F.broadcast(first.select("lang", "h")), ["lang", "h"]).dropDuplicates(["lang", "h"])
 
 
 def train(docs: DataFrame, allowed: Column, texts: int = 250, each: int = 6, epochs: int = 5, window: int = WINDOW) -> Network | None:
