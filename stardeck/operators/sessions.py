@@ -1,7 +1,7 @@
 """Observing sessions: accumulators with resets, triggers, calibrations and fits over ordered shots.
 
-Each function works on shots of many cameras at once, partitioned by camera; state that resets is kept by
-one ordered pass over a camera's shots, in Arrow batches, and the streaming twins keep the same state.
+Each function works on shots of many cameras at once. Running sums and state that resets are passed in spans of a camera's
+shots, side by side, so one camera may have most of the shots; the streaming twins keep the same state.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import line_fit, square_fit
-from .spans import SPAN, numbered
+from .cuts import cut
+from .spans import SPAN, dealt, numbered, place_of, running
 
 
-def with_running_exposure(shots: DataFrame) -> DataFrame:
-    order = Window.partitionBy("camera").orderBy("ts", "shot").rowsBetween(Window.unboundedPreceding, 0)
-    return shots.withColumn("total", F.sum("exposure").over(order)).withColumn("ok_count", F.sum(F.col("ok").cast("long")).over(order))
+def with_running_exposure(shots: DataFrame, span: int = SPAN) -> DataFrame:
+    """shots with `total`, the exposure so far, and `ok_count`, the good shots so far, by (ts, shot) in each camera; nulls come first."""
+    return running(shots, "ts", ("shot",), "camera", {"total": F.col("exposure"), "ok_count": F.col("ok").cast("long")}, span)
 
 
 def accumulate(exposures: np.ndarray, period: float, start: float = 0.0) -> tuple[np.ndarray, float]:
@@ -35,47 +36,172 @@ def accumulate(exposures: np.ndarray, period: float, start: float = 0.0) -> tupl
     return fired, total
 
 
-def _in_order(shots: DataFrame, columns: list[Column], name: str, start: Callable, step: Callable) -> DataFrame:
-    """(camera, shot, name): step(columns of some shots in order, state) gives a flag a shot and the state for the next ones.
+# --- state that resets, span by span ----------------------------------------------------------------------------------
 
-    A camera's shots are sorted by Spark, which spills, and reach one task batch by batch; only the state is kept.
+
+def _in_spans(shots: DataFrame, columns: dict[str, Column], span: int) -> DataFrame:
+    """(camera, shot, _span, _o, columns), written: spans of a camera's shots by time, those without one last."""
+    last = F.coalesce(place_of(shots, "ts"), F.lit(math.inf))
+    rows = shots.select(F.col("camera").cast("long").alias("camera"), F.col("shot").cast("long").alias("shot"), last.alias("_o"), *[c.alias(name) for name, c in columns.items()])
+    return cut(dealt(rows, "_o", "camera", span).drop("_key"))
+
+
+def _dealt_out(rows: DataFrame) -> DataFrame:
+    return rows.repartition("camera", "_span").sortWithinPartitions("camera", "_span", "_o", F.col("shot").asc_nulls_last())
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """((camera, span), whether it begins here, rows) for the runs of each batch; a span may go on in the next one."""
+    last: tuple | None = None
+    for batch in batches:
+        keys, at = list(zip(batch.column("camera").to_pylist(), batch.column("_span").to_pylist(), strict=True)), 0
+        for key, run in groupby(keys):
+            n = sum(1 for _ in run)
+            yield key, key != last, batch.slice(at, n).select(names)
+            last, at = key, at + n
+
+
+def carry_of(exposures: np.ndarray, period: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a stretch of shots makes of the sum that enters it: (steps, carries).
+
+    Entering with t, the sum resets at the first shot at which the exposures of the stretch reach period - t, and all behind that
+    depends on this shot alone. steps are the exposures so far at the shots where that may be, carries the sums they end with;
+    without one the sum leaves as t and all exposures.
+    """
+    so_far = np.cumsum(exposures)
+    # the next reset after one at shot i, or the length if there is none
+    then = np.maximum(np.searchsorted(so_far, so_far + period, side="left"), np.arange(1, len(so_far) + 1))
+    first = int(np.searchsorted(so_far, period, side="left")) + 1  # the last shot at which a sum that enters may reset
+    first = min(first, len(so_far))
+    end = so_far[-1] if len(so_far) else 0.0
+    left = np.empty(len(so_far))
+    for i in range(len(so_far) - 1, -1, -1):
+        left[i] = end - so_far[i] if then[i] >= len(so_far) else left[then[i]]
+    return so_far[:first], left[:first]
+
+
+def dither(shots: DataFrame, period: float, span: int = SPAN) -> DataFrame:
+    """(camera, shot, dither): a move after each time the summed exposure, in whole microseconds, reaches the period.
+
+    A camera's shots are taken by (ts, shot), those without a time last; a null or negative exposure is 0. Spans of about `span`
+    shots first say, side by side, what they make of the sum that enters them; a row a span is then followed through each camera,
+    and the spans are passed once more from where they start. A camera with most of the shots is spread over as many tasks as it has spans.
     """
-    by = [F.col("camera"), F.col("ts").asc_nulls_last(), F.col("shot").asc_nulls_last()]
-    rows = shots.select(F.col("camera").cast("long"), F.col("shot").cast("long"), "ts", *columns).repartition("camera").sortWithinPartitions(*by).drop("ts")
+    micro = F.greatest(F.coalesce(F.round(F.nanvl(F.col("exposure").cast("double"), F.lit(0.0)) * 1_000_000), F.lit(0.0)), F.lit(0.0))
+    rows, whole = _in_spans(shots, {"e": micro}, span), float(round(period * 1_000_000))
+
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now = None
+
+        def done() -> pa.RecordBatch:
+            e = np.concatenate(held)
+            steps, carries = carry_of(e, whole)
+            return pa.RecordBatch.from_pylist([{"camera": now[0], "_span": now[1], "steps": steps, "carries": carries, "whole": float(e.sum())}], schema=functions_schema)
+
+        for key, begins, part in _groups(batches, ["e"]):
+            if begins and now is not None:
+                yield done()
+                held = []
+            now = key
+            held.append(part.column(0).to_numpy())
+        if now is not None:
+            yield done()
+
+    functions_schema = pa.schema([("camera", pa.int64()), ("_span", pa.int32()), ("steps", pa.list_(pa.float64())), ("carries", pa.list_(pa.float64())), ("whole", pa.float64())])
+    of_spans = _dealt_out(rows).mapInArrow(functions, "camera long, _span int, steps array<double>, carries array<double>, whole double")
+
+    def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        camera, total = object(), 0.0
+        for batch in batches:
+            into = []
+            for c, steps, carries, all_of_it in zip(*[batch.column(k) for k in ("camera", "steps", "carries", "whole")], strict=True):
+                if c.as_py() != camera:
+                    camera, total = c.as_py(), 0.0
+                into.append(total)
+                at = int(np.searchsorted(steps.values.to_numpy(), whole - total, side="left"))
+                total = carries.values[at].as_py() if at < len(steps) else total + all_of_it.as_py()
+            yield pa.RecordBatch.from_arrays([batch.column("camera"), batch.column("_span"), pa.array(into, pa.float64())], ["camera", "_span", "enters"])
+
+    entries = of_spans.repartition("camera").sortWithinPartitions("camera", "_span").mapInArrow(followed, "camera long, _span int, enters double")
+    return _passed(rows, entries, ["enters"], ["e"], "dither", lambda enters: enters[0], lambda values, total: accumulate(values[0], whole, total))
+
+
+def _with_entries(rows: DataFrame, entries: DataFrame, states: list[str]) -> DataFrame:
+    e = entries.select(F.col("camera").alias("_ec"), F.col("_span").alias("_es"), *states)
+    return _dealt_out(rows.join(e, F.col("camera").eqNullSafe(F.col("_ec")) & (F.col("_span") == F.col("_es"))).drop("_ec", "_es"))
+
+
+def _passed(rows: DataFrame, entries: DataFrame, states: list[str], columns: list[str], name: str, start: Callable, step: Callable) -> DataFrame:
+    """(camera, shot, name): step(columns of some shots in order, state) gives a flag a shot and the state for the next ones, from entries (camera, _span, states) on."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = object(), None
-        for batch in batches:
-            values = [c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]
-            flags, at = np.zeros(batch.num_rows, bool), 0
-            for camera, run in groupby(batch.column(0).to_pylist()):
-                end = at + sum(1 for _ in run)
-                if camera != last:
-                    last, state = camera, start()
-                flags[at:end], state = step([v[at:end] for v in values], state)
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags)], ["camera", "shot", name])
+        state = None
+        for (camera, _), begins, part in _groups(batches, ["shot", *columns, *states]):
+            if begins:
+                state = start([part.column(c)[0].as_py() for c in states])
+            flags, state = step([part.column(c).to_numpy(zero_copy_only=False) for c in columns], state)
+            yield pa.RecordBatch.from_arrays([pa.array([camera] * part.num_rows, pa.int64()), part.column("shot"), pa.array(np.asarray(flags, bool))], ["camera", "shot", name])
 
-    return rows.mapInArrow(make, f"camera long, shot long, {name} boolean")
+    return _with_entries(rows, entries, states).mapInArrow(make, f"camera long, shot long, {name} boolean")
 
 
-def dither(shots: DataFrame, period: float) -> DataFrame:
-    """(camera, shot, dither): a move after each time the summed exposure reaches the period."""
-    exposure = F.col("exposure").cast("double")
-    return _in_order(shots, [exposure], "dither", float, lambda values, total: accumulate(values[0], period, total))
+REFOCUS_STATE = ["total", "first", "low", "high", "seen"]
+_NUMBERS = ", ".join(f"{c} double" for c in REFOCUS_STATE)
 
 
-def refocus(shots: DataFrame, period: float, temp_change: float, fwhm_percent: int) -> DataFrame:
+def refocus(shots: DataFrame, period: float, temp_change: float, fwhm_percent: int, span: int = SPAN) -> DataFrame:
     """(camera, shot, refocus): by summed exposure, by change of temperature, or by growth of FWHM since the last time.
 
-    shots: camera, shot, ts, exposure, temp, fwhm, ok. A refocus resets all three; temperatures that are null say nothing.
+    shots: camera, shot, ts, exposure, temp, fwhm, ok, taken by (ts, shot), those without a time last. A refocus resets all three;
+    temperatures that are null say nothing. Spans of about `span` shots are passed side by side, at first from nothing. As a refocus
+    forgets, they mostly end as they should even so: each is passed again from the end of the one before, until every span starts with
+    what the one before it ends with. Each round settles at least one more span of each camera, so the result is exact.
     """
+    columns = {**{c: F.col(c).cast("double") for c in ("exposure", "temp", "fwhm")}, "ok": F.col("ok").cast("boolean")}
+    rows, names = _in_spans(shots, columns, span), list(columns)
 
     def step(values: list[np.ndarray], state: RefocusState) -> tuple[list[bool], RefocusState]:
         return [state.add(e, t, f, ok, period, temp_change, fwhm_percent) for e, t, f, ok in zip(*values, strict=True)], state
 
-    columns = [*[F.col(c).cast("double") for c in ("exposure", "temp", "fwhm")], F.col("ok")]
-    return _in_order(shots, columns, "refocus", RefocusState, step)
+    def start(s: list[float | None]) -> RefocusState:
+        return RefocusState(s[0], s[1], s[2], s[3], int(s[4]))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, out = None, None, []
+        for key, begins, part in _groups(batches, [*names, *REFOCUS_STATE]):
+            if begins:
+                if now is not None:
+                    out.append((*now, *state.numbers()))
+                now, state = key, start([part.column(c)[0].as_py() for c in REFOCUS_STATE])
+            _, state = step([part.column(c).to_numpy(zero_copy_only=False) for c in names], state)
+        if now is not None:
+            out.append((*now, *state.numbers()))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["camera", "_span", *REFOCUS_STATE]), schema=ends_schema, preserve_index=False)
+
+    ends_schema = pa.schema([("camera", pa.int64()), ("_span", pa.int32()), *[(c, pa.float64()) for c in REFOCUS_STATE]])
+    nothing = dict(zip(REFOCUS_STATE, RefocusState().numbers(), strict=True))
+    fresh = [F.lit(v).cast("double").alias(c) for c, v in nothing.items()]
+    entries = cut(rows.select("camera", "_span").distinct().select("*", *fresh))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    order = Window.partitionBy("camera").orderBy("_span")
+    found, wrong = None, entries
+    while True:
+        ended = _with_entries(rows, wrong, REFOCUS_STATE).mapInArrow(ends, f"camera long, _span int, {_NUMBERS}")
+        end = F.struct(*REFOCUS_STATE)
+        ended = ended.select("camera", "_span", end.alias("end"))
+        if found is not None:  # the ends of spans that were right stand
+            kept = found.where("NOT wrong").select("camera", "_span", "end")
+            ended = ended.unionByName(kept)
+        met = entries.select(F.col("camera").alias("_ec"), F.col("_span").alias("_es"), F.struct(*REFOCUS_STATE).alias("start"))
+        d = ended.join(met, same("camera", "_ec") & (F.col("_span") == F.col("_es"))).drop("_ec", "_es")
+        d = d.withColumn("due", F.coalesce(F.lag("end").over(order), F.struct(*fresh)))
+        found = cut(d.withColumn("wrong", ~F.col("due").eqNullSafe(F.col("start"))))
+        if found.where("wrong").isEmpty():
+            break
+        entries = found.select("camera", "_span", "due.*")
+        wrong = found.where("wrong").select("camera", "_span", "due.*")
+    return _passed(rows, entries, REFOCUS_STATE, names, "refocus", start, step)
 
 
 class RefocusState:
@@ -84,6 +210,9 @@ class RefocusState:
     def __init__(self, total: float = 0.0, first: float | None = None, low: float = np.inf, high: float = -np.inf, seen: int = 0):
         self.total, self.first, self.low, self.high, self.seen = total, first, low, high, seen
 
+    def numbers(self) -> tuple:
+        return self.total, self.first, self.low, self.high, float(self.seen)
+
     def add(self, exposure: float, temp: float | None, fwhm: float | None, ok: bool, period: float, temp_change: float, percent: int) -> bool:
         if fwhm is not None and fwhm == fwhm and ok:
             self.low, self.high, self.seen = min(self.low, fwhm), max(self.high, fwhm), self.seen + 1

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import display as dp
+from ..operators.spans import running
 from .frame_queries import PIX, rows
 from .registry import query, table
 
@@ -51,16 +51,15 @@ def segment_crossing(spark, sf_dir):
 
 @query("""SELECT event_id, 'Light_' || lpad(CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS VARCHAR), 4, '0') AS name FROM events""")
 def sequential_names(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Light_"), F.lpad(F.row_number().over(order).cast("string"), 4, "0")).alias("name"))
+    n = running(table(spark, sf_dir, "events"), "ts", ("event_id",), "user_id", {"n": F.lit(1).cast("long")})
+    return n.select("event_id", F.concat(F.lit("Light_"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("name"))
 
 
 @query("""WITH r AS (SELECT user_id, event_id, ts, sum(value) OVER w AS total, sum(value) OVER w - value AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
   SELECT user_id, event_id FROM r WHERE floor(round(total, 6) / 300) > floor(round(before, 6) / 300)""")
 def periodic_saves(spark, sf_dir):
     """Shots after which a result is saved: each time 300 more seconds of exposure have come together."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    r = table(spark, sf_dir, "events").withColumn("total", F.sum("value").over(order))
+    r = running(table(spark, sf_dir, "events"), "ts", ("event_id",), "user_id", {"total": F.col("value")})
     part = lambda c: F.floor(F.round(c, 6) / 300)
     return r.where(part(F.col("total")) > part(F.col("total") - F.col("value"))).select("user_id", "event_id")
 

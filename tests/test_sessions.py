@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stardeck.operators import sessions, stacking
 from stardeck.operators.spans import numbered
@@ -29,13 +30,13 @@ def in_order(shots):
         yield camera, sorted((r for r in shots if r[0] == camera), key=lambda r: (r[2] is None, r[2] or 0, r[1]))
 
 
-@pytest.mark.parametrize("batch", [7, 10_000])
-def test_sessions_pass_in_batches(spark, shots, batch):
+@pytest.mark.parametrize(("batch", "span"), [(7, 1 << 18), (10_000, 9), (5, 40)])
+def test_sessions_pass_in_batches_and_spans(spark, shots, batch, span):
     key, table = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame(shots, SHOT)
     held = spark.conf.get(key)
     spark.conf.set(key, batch)
     try:
-        moves, focus = sessions.dither(table, 100.0), sessions.refocus(table, 400.0, 3.0, 80)
+        moves, focus = sessions.dither(table, 100.0, span), sessions.refocus(table, 400.0, 3.0, 80, span)
         assert "FlatMapGroupsInPandas" not in plan(moves) + plan(focus)  # that would hold a camera whole
         got = [{(r[0], r[1]): r[2] for r in df.collect()} for df in (moves, focus)]
     finally:
@@ -50,6 +51,46 @@ def test_sessions_pass_in_batches(spark, shots, batch):
     assert got == want
 
 
+@pytest.mark.parametrize("span", [3, 64])
+def test_dither_keeps_its_phase_over_spans(spark, span):
+    """Equal exposures never bring two phases together; a camera with all shots is in many spans."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(1, k, start + dt.timedelta(seconds=k), 0.1 if k % 50 else 0.0, None, None, True) for k in range(500)]
+    df = spark.createDataFrame(rows, SHOT)
+    for period in (0.7, 30.0, 0.1, 1e9):
+        want, total = [], 0
+        for r in rows:
+            total += round(r[3] * 1_000_000)
+            want.append(total >= round(period * 1_000_000))
+            total = 0 if want[-1] else total
+        assert [r["dither"] for r in sessions.dither(df, period, span).orderBy("shot").collect()] == want
+    dealt_rows = sessions._in_spans(df, {"e": F.col("exposure")}, span)
+    sizes = [r["count"] for r in dealt_rows.groupBy("_span").count().collect()]
+    assert len(sizes) >= 500 // span and max(sizes) <= 2 * span
+
+
+@pytest.mark.parametrize("span", [4, 1000])
+def test_refocus_that_forgets_nothing(spark, span):
+    """Without a reset every span has to wait for the one before it."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [(1, k, start + dt.timedelta(seconds=k), 1.0, None if k < 11 else 20.0 + k / 10, 2.0, True) for k in range(30)]
+    got = [r["refocus"] for r in sessions.refocus(spark.createDataFrame(rows, SHOT), 0.0, 1.5, 80, span).orderBy("shot").collect()]
+    state = sessions.RefocusState()
+    assert got == [state.add(*r[3:], 0.0, 1.5, 80) for r in rows] and any(got)
+
+
+@pytest.mark.parametrize("span", [5, 1 << 18])
+def test_running_sums_in_spans(spark, shots, span):
+    got = {(r["camera"], r["shot"]): (r["total"], r["ok_count"]) for r in sessions.with_running_exposure(spark.createDataFrame(shots, SHOT), span).collect()}
+    want = {}
+    for camera in (None, 1, 2, 3):
+        total, good = 0.0, 0
+        for r in sorted((r for r in shots if r[0] == camera), key=lambda r: (r[2] is not None, r[2] or 0, r[1])):
+            total, good = total + r[3], good + r[6]
+            want[camera, r[1]] = (total, good)
+    assert got == want
+
+
 @pytest.mark.parametrize("span", [1, 7, 1000])
 def test_numbers_and_rows_before(spark, span):
     rows = [(None if k % 5 == 0 else "ab"[k % 2], k * k % 409 if k != 7 else None, k) for k in range(150)]
