@@ -13,8 +13,8 @@ Of order 3 there are two more. (4) Triples: tasks look up the place of each pair
 go to that shard and become a sorted array there; what follows a pair is summed next to it. (5) How many different
 words come before each pair goes to the pair's shard, and takes the place of its count.
 
-Files are written under another name and renamed, so a task that runs again leaves the same files. The folder
-must be one that all workers see as a file system, as memory maps need; it is made in spark.checkpoint.dir.
+A shard's arrays lie in a few files, written under another name and renamed, so a task that runs again leaves the same files,
+and every shard has all of them, be they empty. The folder must be one that all workers see as a file system, as memory maps need; it is made in spark.checkpoint.dir.
 
 Texts are words with A-Z lower-cased and one end; starts, one less than the order, which are only ever contexts, stand
 before them. P(w | v) = max(c(vw) - D(c), 0) / c(v) + g(v) P1(w), P1 from continuation counts, discounted likewise and
@@ -26,7 +26,9 @@ with nothing to learn from, every token has probability 1 / (V + 1) = 1; an empt
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import urlparse
@@ -35,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, hashes, mix, shared_dir, words_of
@@ -70,17 +72,59 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _save(folder: str, name: str, a: np.ndarray) -> None:
+def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file of several arrays: the length of a header, the header (their names, kinds and lengths), then each from a multiple of 64 bytes on."""
     os.makedirs(folder, exist_ok=True)
-    own = f"{folder}/.{name}-{os.getpid()}-{id(a)}.npy"
-    np.save(own, a)
-    os.replace(own, f"{folder}/{name}.npy")
+    own = f"{folder}/.{name}-{os.getpid()}-{uuid.uuid4().hex}"
+    header = json.dumps([[k, a.dtype.str, len(a)] for k, a in arrays.items()]).encode()
+    with open(own, "wb") as f:
+        f.write(len(header).to_bytes(8, "little") + header)
+        for a in arrays.values():
+            f.write(b"\0" * (-f.tell() % 64) + np.ascontiguousarray(a).tobytes())
+    os.replace(own, f"{folder}/{name}")
 
 
 @lru_cache(20_000)
-def _mapped(folder: str, name: str) -> np.ndarray:
-    path = f"{folder}/{name}.npy"
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else np.empty(0, np.uint64)
+def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file. Every shard has all its files, so one that is missing or cut short is an error."""
+    path = f"{folder}/{name}"
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"{path} of the model is missing, or {folder} is not the same folder on all machines")
+    raw = np.memmap(path, np.uint8, "r")
+    at = 8 + int.from_bytes(raw[:8].tobytes(), "little")
+    out = {}
+    for key, kind, n in json.loads(raw[8:at].tobytes()):
+        at += -at % 64
+        size = n * np.dtype(kind).itemsize
+        if at + size > len(raw):
+            raise ValueError(f"{path} of the model is cut short")
+        out[key] = raw[at : at + size].view(kind) if size else np.empty(0, kind)
+        at += size
+    return out
+
+
+#: The kind of file that holds an array of words, and of pairs.
+PAIR_FILE = {"times": "pairs", "lead": "leads", "after": "triples", "once": "triples", "twice": "triples", "thrice": "triples"}
+FILE = {"word": "words", "count": "words", "before": "statistics", "total": "contexts", "one": "contexts", "two": "contexts", "more": "contexts"}
+
+
+def _on_all_machines(spark: SparkSession, folder: str) -> None:
+    """Raises where a task does not see what the driver writes: before hours of counting, not after."""
+    _save(folder, "seen", {})
+    n = 4 * spark.sparkContext.defaultParallelism
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _mapped(folder, "seen")
+            yield batch
+
+    spark.range(0, n, 1, n).mapInArrow(look, "id long").count()
+
+
+def _every_shard(rows: DataFrame, shards: int) -> DataFrame:
+    """rows and, for each shard, one that holds nothing: so each shard's task runs, and writes its files, whatever falls to it."""
+    nothing = [F.lit(bytearray(pack(np.empty(0, np.uint64)))).alias(c) for c in rows.columns if c != "shard"]
+    return rows.unionByName(rows.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), *nothing))
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -133,8 +177,7 @@ def _write_words(folder: str, hot_share: float):
         keys = np.concatenate([unpack(x, np.uint64) for x in rows["keys"]])
         counts = np.concatenate([unpack(x, np.uint64) for x in rows["counts"]])
         keys, counts = summed(keys, counts)
-        _save(folder, f"word-{key[0]}", keys)
-        _save(folder, f"count-{key[0]}", counts)
+        _save(folder, f"words-{key[0]}", {"word": keys, "count": counts})
         real = counts[keys != START].sum()
         # of a shard's own words only those can be hot that have this share of it, too; the driver looks at these again
         hot = np.nonzero(counts > hot_share * real)[0] if len(counts) else np.empty(0, np.int64)
@@ -154,16 +197,14 @@ class Words:
         ids = np.full(len(h), -1, np.int64)
         out = [np.zeros(len(h), np.int64) for _ in names]
         for s, k in _by_shard(_shard(h, self.shards)):
-            held = _mapped(self.folder, f"word-{s}")
+            held = _mapped(self.folder, f"words-{s}")["word"]
             if not len(held):
                 continue
             at = np.minimum(np.searchsorted(held, h[k]), len(held) - 1)
             known = held[at] == h[k]
             ids[k] = np.where(known, at + self.offsets[s], -1)
             for o, name in zip(out, names, strict=True):
-                values = _mapped(self.folder, f"{name}-{s}")
-                if len(values):
-                    o[k] = np.where(known, values[at], 0)
+                o[k] = np.where(known, _mapped(self.folder, f"{FILE[name]}-{s}")[name][at], 0)
         return (ids, *out)
 
 
@@ -216,23 +257,18 @@ def _received(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
-def _save_small(folder: str, name: str, a: np.ndarray) -> None:
+def _small(name: str, a: np.ndarray) -> dict[str, np.ndarray]:
     """An array of which most values are small: bytes, and the places and values of those that don't fit."""
     big = np.nonzero(a >= BIG)[0]
-    _save(folder, name, np.where(a >= BIG, BIG, a).astype(np.uint8))
-    _save(folder, f"{name}-at", big.astype(np.uint64))
-    _save(folder, f"{name}-is", a[big].astype(np.uint64))
+    return {name: np.where(a >= BIG, BIG, a).astype(np.uint8), f"{name}-at": big.astype(np.uint64), f"{name}-is": a[big].astype(np.uint64)}
 
 
-def _small(folder: str, name: str, at: np.ndarray) -> np.ndarray:
-    """Values of such an array; 0 if there is none."""
-    held = _mapped(folder, name)
-    if not len(held):
-        return np.zeros(len(at), np.int64)
-    out = held[at].astype(np.int64)
+def _values(held: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    """Values of such an array."""
+    out = held[name][at].astype(np.int64)
     big = np.nonzero(out == BIG)[0]
     if len(big):
-        out[big] = _mapped(folder, f"{name}-is")[np.searchsorted(_mapped(folder, f"{name}-at"), at[big].astype(np.uint64))]
+        out[big] = held[f"{name}-is"][np.searchsorted(held[f"{name}-at"], at[big].astype(np.uint64))]
     return out
 
 
@@ -252,7 +288,7 @@ def _located(folder: str, keys: np.ndarray, words: Words, hot: np.ndarray) -> tu
     at, place = _pair_shards(keys, words, hot), np.full(len(keys), -1, np.int64)
     order = np.argsort(at, kind="stable")
     for s, k in _by_shard(at[order]):
-        mine, held = order[k], _mapped(folder, f"pair-{s}")
+        mine, held = order[k], _mapped(folder, f"pairs-{s}")["pair"]
         if len(held):
             found = np.minimum(np.searchsorted(held, keys[mine]), len(held) - 1)
             place[mine] = np.where(held[found] == keys[mine], found, -1)
@@ -280,15 +316,15 @@ def _count_triples(folder: str, offsets: list[int], hot: list[int]):
 def _write_triples(folder: str, offsets: list[int], hot: list[int]):
     def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         s, (keys, counts) = key[0], _received(rows)
-        pairs = _mapped(folder, f"pair-{s}")
-        _save(folder, f"triple-{s}", keys)
-        _save_small(folder, f"often-{s}", counts)
+        pairs = _mapped(folder, f"pairs-{s}")["pair"]
+        arrays = {"triple": keys} | _small("often", counts)
         first = (keys >> np.uint64(32)).astype(np.int64)
         context, sums = _followed(first, counts)
         for name, x in zip(("after", "once", "twice", "thrice"), sums, strict=True):
             whole = np.zeros(len(pairs), np.int64)
             whole[context] = x
-            _save_small(folder, f"{name}-{s}", whole)
+            arrays |= _small(name, whole)
+        _save(folder, f"triples-{s}", arrays)
         out = [(-1, pack(np.array(_counts_of_counts(counts), np.uint64)), b"")]
         ends, before = np.unique(((pairs[first] & LOW) << np.uint64(32)) | (keys & LOW), return_counts=True)
         at = _pair_shards(ends, Words(folder, offsets), np.array(hot, np.int64))
@@ -305,11 +341,11 @@ def _write_continuations(folder: str, offsets: list[int]):
         s = key[0]
         if s < 0:
             return pd.DataFrame([(-1, pack(np.sum([unpack(x, np.uint64) for x in rows["keys"]], axis=0)), b"", b"", b"", b"")], columns=["shard", "ids", "t", "a", "b", "c"]).astype({"shard": "int32"})
-        pairs = _mapped(folder, f"pair-{s}")
+        pairs = _mapped(folder, f"pairs-{s}")["pair"]
         before = np.zeros(len(pairs), np.int64)
         for r in rows.itertuples():
             before[np.searchsorted(pairs, unpack(r.keys, np.uint64))] += unpack(r.before, np.uint32)
-        _save_small(folder, f"lead-{s}", before)
+        _save(folder, f"leads-{s}", _small("lead", before))
         out = [(-2, pack(np.array(_counts_of_counts(before), np.uint64)), b"", b"", b"", b"")]
         context, sums = _followed(pairs >> np.uint64(32), before)
         for to, k in _by_shard(np.searchsorted(offsets, context, side="right") - 1):
@@ -331,8 +367,7 @@ def _write_contexts(folder: str, sizes: list[int]):
             ids = unpack(r.ids, np.uint32)
             for total, x in zip(held, (r.t, r.a, r.b, r.c), strict=True):
                 total[ids] += unpack(x, np.uint32)
-        for name, x in zip(("total", "one", "two", "more"), held, strict=True):
-            _save(folder, f"{name}-{s}", x)
+        _save(folder, f"contexts-{s}", dict(zip(("total", "one", "two", "more"), held, strict=True)))
         return pd.DataFrame({"shard": [s], "sums": [[0] * 4]})
 
     return make
@@ -341,9 +376,7 @@ def _write_contexts(folder: str, sizes: list[int]):
 def _write_pairs(folder: str, offsets: list[int], order: int, start: int):
     def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _received(rows)
-        _save(folder, f"pair-{key[0]}", keys)
-        if order == 2:
-            _save_small(folder, f"times-{key[0]}", counts)
+        _save(folder, f"pairs-{key[0]}", {"pair": keys} | (_small("times", counts) if order == 2 else {}))
         predicted = (keys & LOW) != np.uint64(start)
         out = [(-1, pack(np.array([*_counts_of_counts(counts), int(predicted.sum())], np.uint64)), b"", b"", b"")]
         second, before = np.unique((keys & LOW)[predicted], return_counts=True)
@@ -371,8 +404,9 @@ def _write_statistics(folder: str, sizes: list[int], order: int):
             else:
                 for total, x in ((one, r.a), (two, r.b), (more, r.c)):
                     total[ids] += unpack(x, np.uint32)
-        for name, x in (("before", before), ("one", one), ("two", two), ("more", more))[: 4 if order == 2 else 1]:
-            _save(folder, f"{name}-{s}", x)
+        _save(folder, f"statistics-{s}", {"before": before})
+        if order == 2:
+            _save(folder, f"contexts-{s}", {"one": one, "two": two, "more": more})
         return pd.DataFrame({"shard": [s], "sums": [[int((before == k).sum()) for k in (1, 2, 3, 4)] + [int((before > 0).sum())]]})
 
     return make
@@ -420,7 +454,7 @@ class Model:
         for s, k in _by_shard(shard[known]):
             mine = known[k]
             for e, name in zip(entries, names, strict=True):
-                e[mine] = _small(self.folder, f"{name}-{s}", place[mine])
+                e[mine] = _values(_mapped(self.folder, f"{PAIR_FILE[name]}-{s}"), name, place[mine])
         for o, x in zip(out, (shard, place, *entries), strict=True):
             o[both] = x[back]
         return tuple(out)
@@ -432,11 +466,11 @@ class Model:
         keys = (place[known].astype(np.uint64) << np.uint64(32)) | w[known].astype(np.uint64)
         order = np.lexsort((keys, shard[known]))
         for s, k in _by_shard(shard[known][order]):
-            mine, held = order[k], _mapped(self.folder, f"triple-{s}")
-            if len(held):
+            mine, file = order[k], _mapped(self.folder, f"triples-{s}")
+            if len(held := file["triple"]):
                 at = np.minimum(np.searchsorted(held, keys[mine]), len(held) - 1)
                 hit = held[at] == keys[mine]
-                out[known[mine[hit]]] = _small(self.folder, f"often-{s}", at[hit])
+                out[known[mine[hit]]] = _values(file, "often", at[hit])
         return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
@@ -478,8 +512,22 @@ def _interpolated(lower: np.ndarray, d: np.ndarray, c: np.ndarray, total: np.nda
     return own + np.where(seen, (d[1] * one + d[2] * two + d[3] * more) / all_of, 1.0) * lower
 
 
+#: Shards up to which each has shard_bytes of text; beyond, shards grow with the fourth root of the text: 18 times as large at 100 TB.
+EVEN_SHARDS = 64
+
+
+def shards_for(size: int, shard_bytes: int) -> int:
+    """How many shards for so many bytes of text."""
+    grown = shard_bytes * max(1.0, size / (EVEN_SHARDS * shard_bytes)) ** 0.25
+    return max(4, -(-size // int(grown)))
+
+
 def train(texts: DataFrame, shard_bytes: int = 16_000_000, order: int = 2) -> Model:
-    """Counts the one column of `texts`. shard_bytes: text to a shard; order: 2 or 3, the length of the longest n-grams."""
+    """Counts the one column of `texts`. shard_bytes: text to a shard of a small table; order: 2 or 3, the length of the longest n-grams.
+
+    Each shard has four files (of order 3: six) of sorted arrays and gives the driver one row of sums. All of them are there
+    once this returns; a file that a worker doesn't find later is an error, never an empty shard.
+    """
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
     spark = texts.sparkSession
@@ -488,9 +536,10 @@ def train(texts: DataFrame, shard_bytes: int = 16_000_000, order: int = 2) -> Mo
         raise ValueError(f"memory maps need a shared folder that is mounted as a file system, not {uri.scheme}://")
     folder = uri.path
     size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
-    shards = max(4, -(-size // shard_bytes))
+    shards = shards_for(size, shard_bytes)
+    _on_all_machines(spark, folder)
     hot_share = 1 / (2 * shards)
-    counted = texts.mapInArrow(_count_words(shards, order - 1), "shard int, keys binary, counts binary").groupBy("shard")
+    counted = _every_shard(texts.mapInArrow(_count_words(shards, order - 1), "shard int, keys binary, counts binary"), shards).groupBy("shard")
     told = "shard int, n long, tokens long, texts long, hot array<long>, hot_counts array<long>, start long"
     got = {r["shard"]: r for r in counted.applyInPandas(_write_words(folder, hot_share), told).collect()}
     sizes = [got[s]["n"] if s in got else 0 for s in range(shards)]
@@ -501,15 +550,16 @@ def train(texts: DataFrame, shard_bytes: int = 16_000_000, order: int = 2) -> Mo
     n_texts = sum(r["texts"] for r in got.values()) // (order - 1)
     hot = sorted(offsets[s] + i for s, r in got.items() for i, c in zip(r["hot"], r["hot_counts"], strict=True) if c > hot_share * n_tokens)
     start = max([offsets[s] + r["start"] for s, r in got.items() if r["start"] >= 0], default=2**32)
-    sent = texts.mapInArrow(_count_pairs(folder, offsets, hot, order - 1), SENT).groupBy("shard").applyInPandas(_write_pairs(folder, offsets, order, start), "shard int, ids binary, a binary, b binary, c binary")
-    sums = {r["shard"]: r["sums"] for r in sent.groupBy("shard").applyInPandas(_write_statistics(folder, sizes, order), "shard int, sums array<long>").collect()}
+    both = 2 * shards if hot else shards  # pairs of hot words have shards of their own
+    sent = _every_shard(texts.mapInArrow(_count_pairs(folder, offsets, hot, order - 1), SENT), both).groupBy("shard").applyInPandas(_write_pairs(folder, offsets, order, start), "shard int, ids binary, a binary, b binary, c binary")
+    sums = {r["shard"]: r["sums"] for r in _every_shard(sent, shards).groupBy("shard").applyInPandas(_write_statistics(folder, sizes, order), "shard int, sums array<long>").collect()}
     *pairs, n_pairs = sums.pop(-1, [0] * 5)
     words = [sum(x[k] for x in sums.values()) for k in range(5)]
     levels = [words, pairs]
     if order == 3:
-        sent = texts.mapInArrow(_count_triples(folder, offsets, hot), SENT).groupBy("shard").applyInPandas(_write_triples(folder, offsets, hot), "shard int, keys binary, before binary")
-        sent = sent.groupBy("shard").applyInPandas(_write_continuations(folder, offsets), "shard int, ids binary, t binary, a binary, b binary, c binary")
-        sums = {r["shard"]: r["sums"] for r in sent.groupBy("shard").applyInPandas(_write_contexts(folder, sizes), "shard int, sums array<long>").collect()}
+        sent = _every_shard(texts.mapInArrow(_count_triples(folder, offsets, hot), SENT), both).groupBy("shard").applyInPandas(_write_triples(folder, offsets, hot), "shard int, keys binary, before binary")
+        sent = _every_shard(sent, both).groupBy("shard").applyInPandas(_write_continuations(folder, offsets), "shard int, ids binary, t binary, a binary, b binary, c binary")
+        sums = {r["shard"]: r["sums"] for r in _every_shard(sent, shards).groupBy("shard").applyInPandas(_write_contexts(folder, sizes), "shard int, sums array<long>").collect()}
         levels = [words, sums.get(-2, [0] * 4), sums.get(-1, [0] * 4)]
     return Model(folder, offsets, hot, n_tokens, n_texts, levels, n_pairs, order)
 

@@ -474,6 +474,41 @@ def test_lm_scoring_counts_beyond_a_byte(spark, order):
     assert lm_scoring.score(spark.createDataFrame([(1, "x y x")], "doc_id long, text string"), model, F.lit(False)).first()["score"] == pytest.approx(want)
 
 
+def test_a_model_file_that_is_missing_is_an_error(spark, odd):
+    """Never an empty shard, whichever file it is."""
+    import os
+    import shutil
+
+    model = lm_scoring.train(odd.where("doc_id < 12").select("text"), shard_bytes=2_000)
+    files = sorted(x for x in os.listdir(model.folder) if not x.startswith("."))
+    shards = len(model.offsets) - 1
+    assert {x.split("-")[0] for x in files} == {"seen", "words", "pairs", "statistics", "contexts"} and len(files) >= 4 * shards + 1
+    texts = [r["text"] for r in odd.where("doc_id < 12").collect()]
+    want = model.score(texts)
+    for kind in ("words", "pairs", "statistics", "contexts"):
+        for k in range(shards):
+            lm_scoring._mapped.cache_clear()
+            shutil.move(f"{model.folder}/{kind}-{k}", f"{model.folder}/.away")
+            try:
+                got = model.score(texts)
+            except FileNotFoundError as e:
+                assert f"{kind}-{k}" in str(e)
+            else:  # no word of these texts has anything in the shard
+                assert all((a == b).all() for a, b in zip(got, want, strict=True))
+                assert kind == "pairs" or not lm_scoring.Words(model.folder, model.offsets).offsets[k + 1] > model.offsets[k]
+            shutil.move(f"{model.folder}/.away", f"{model.folder}/{kind}-{k}")
+    lm_scoring._mapped.cache_clear()
+    with open(f"{model.folder}/words-0", "r+b") as f:
+        f.truncate(os.path.getsize(f"{model.folder}/words-0") - 1)
+    with pytest.raises(ValueError, match="cut short"):
+        lm_scoring._mapped(model.folder, "words-0")
+
+
+def test_shards_grow_with_the_text():
+    assert [lm_scoring.shards_for(n, 16_000_000) for n in (0, 10**9, 10**14)] == [4, 63, lm_scoring.shards_for(10**14, 16_000_000)]
+    assert lm_scoring.shards_for(10**14, 16_000_000) < 400_000
+
+
 def test_toxicity(spark, odd, empty, labels, no_labels):
     held = common.bucket_of_id("doc_id", 5) == 0
     lexicon = toxicity.learn(odd, labels, ~held)
