@@ -11,12 +11,16 @@ of them makes many groups of bounded size. Revisits that found a response fetch
 the revisits of a response that many refer to, as a response is one row. Those that found none don't take part.
 
 Cases: a null URL or time matches nothing; responses of equal URL and time count as one, that of the
-greatest id; null headers are no headers; a header's null value counts as absent; repeated revisits are
+greatest id; of responses with one id the greatest sorted headers; null headers are no headers; a header's null value counts as absent; repeated revisits are
 resolved each; other columns don't matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +56,19 @@ def record_kind(warc_type: Column, profile: Column, http_status: Column) -> Colu
     return F.when((kind == "revisit") & unchanged, "revisit").when((kind == "response") & F.coalesce(http_status.between(200, 299), F.lit(True)), "response")
 
 
-#: Records in one span of time, about, and how many spans there may be.
-SPAN_ROWS, MOST_SPANS = 500_000, 4096
+#: Records in one span of time, about.
+SPAN_ROWS = 500_000
+
+
+def _span_of(cuts: list[int]) -> Callable[[Column], Column]:
+    """The number of cuts below a time, by binary search; null for null."""
+    at = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def place(ts: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, ts.to_numpy(), side="left").astype(np.int32))
+
+    return place if cuts else lambda _: F.lit(0)
 
 
 def resolve(records: DataFrame, spans: int | None = None) -> DataFrame:
@@ -62,28 +77,33 @@ def resolve(records: DataFrame, spans: int | None = None) -> DataFrame:
     records: record_id long, ts long, url string, kind ("response" or "revisit"), headers map<string,string>
     with lower-case names. status: "merged" (validators agree; headers are the response's, updated),
     "mismatch", "unchecked" (no validator on both sides) or "missing" (no earlier response); headers are the
-    revisit's own in the last three. spans: of time; by default one for each SPAN_ROWS records, 64 at least.
+    revisit's own in the last three. spans: of time; by default one for each SPAN_ROWS records, 64 at least, so that what a task
+    orders of one URL stays as it is however many records there are. Of responses at one time the greatest record_id counts. A
+    record_id that several responses have is one response: that whose headers, as sorted lines, are the greatest text.
     """
     of = F.map_filter(F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>")), lambda _, v: v.isNotNull())
     rows = records.select("record_id", "ts", canonical_url(F.col("url")).alias("url_key"), "kind", of.alias("headers"))
     full = rows.where(F.col("kind") == "response")
     revisits = rows.where(F.col("kind") == "revisit")
     if spans is None:
-        spans = min(MOST_SPANS, max(64, -(-rows.count() // SPAN_ROWS)))
-    cuts = rows.agg(F.percentile_approx("ts", [k / spans for k in range(1, spans)], 10_000).alias("at")).first()["at"] or []
-    span = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: F.col("ts") > c)) if cuts else F.lit(0)
+        spans = max(64, -(-rows.count() // SPAN_ROWS))
+    # as fine as the spans need, and never finer than the sketch holds: a row of numbers at the driver
+    cuts = rows.agg(F.percentile_approx("ts", [k / spans for k in range(1, spans)], max(10_000, 4 * spans)).alias("at")).first()["at"] or []
+    span = _span_of(sorted(set(cuts)))
     known = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
     responses = full.where(known).groupBy("url_key", "ts").agg(F.max("record_id").alias("response_id"))
     asked = revisits.where(known).select("url_key", "ts").distinct().withColumn("response_id", F.lit(None).cast("long"))
     points = responses.unionByName(asked).groupBy("url_key", "ts").agg(F.max("response_id").alias("response_id"), F.count(F.when(F.col("response_id").isNull(), 1)).alias("asked"))
-    points = points.withColumn("span", span)
+    points = points.withColumn("span", span(F.col("ts")))
     latest = F.max(F.when(F.col("response_id").isNotNull(), F.struct("ts", "response_id")))
     inside = points.withColumn("found", latest.over(Window.partitionBy("url_key", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)))
     carried = points.groupBy("url_key", "span").agg(latest.alias("last"))
     carried = carried.withColumn("before", F.max("last").over(Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
     as_of = inside.where("asked > 0").join(carried, ["url_key", "span"]).select("url_key", "ts", F.coalesce("found", "before")["response_id"].alias("refers_to"))
     with_id = revisits.join(as_of, ["url_key", "ts"], "left")
-    stored = full.select(F.col("record_id").alias("refers_to"), F.col("headers").alias("stored")).dropDuplicates(["refers_to"])
+    # of several responses of one id the one whose sorted headers are the greatest text; they are compared before the join, in part on the map side
+    stored = full.groupBy(F.col("record_id").alias("refers_to")).agg(F.max(F.struct(header_lines("headers").alias("lines"), F.map_entries("headers").alias("h"))).alias("s"))
+    stored = stored.select("refers_to", F.map_from_entries("s.h").alias("stored"))
     met = with_id.where(F.col("refers_to").isNotNull()).join(stored, "refers_to", "left")
     alone = with_id.where(F.col("refers_to").isNull()).withColumn("stored", F.lit(None).cast("map<string,string>"))
     return met.unionByName(alone).select("record_id", "url_key", "refers_to", *_merged())

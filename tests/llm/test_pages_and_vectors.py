@@ -53,6 +53,18 @@ def test_revisits_of_a_hot_url(spark, spans):
             assert got[i]["refers_to"] == (max(earlier)[1] if earlier else None)
 
 
+def test_responses_of_one_id(spark):
+    """In any order of the rows the greatest sorted headers count."""
+    rows = [
+        record(1, 10, "http://a.com/", "response", etag='"1"', x="a"), record(1, 10, "http://a.com/", "response", etag='"1"', x="b"),
+        record(1, 10, "http://a.com/", "response", etag='"1"', a="z"), (1, 10, "http://a.com/", "response", None, None, None),
+        record(2, 20, "http://a.com/", "revisit", etag='"1"'), record(2, 20, "http://a.com/", "revisit", etag='"1"'),
+    ]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        got = warc_revisits.resolve(spark.createDataFrame(order, RECORD)).collect()
+        assert [(r["status"], r["headers"]) for r in got] == [("merged", {"etag": '"1"', "x": "b"})] * 2
+
+
 def test_revisits_of_nothing(spark):
     assert resolved(spark, []) == {}
     pages = spark.createDataFrame([(None, None, None), (1, "http://a.org/", None)], "page_id long, url string, html string")
