@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import SEED, pieces, shared_dir, written
 
 WHITE = b" \t\n\x0b\x0c\r"
+#: The id that rows without one are sorted by, behind all others: their tie is over 0, that of a row with an id is 0.
 LAST = 2**63 - 1
 
 
@@ -84,20 +85,62 @@ def _without(least: int, names: list[str]):
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
-    """(id, tie, text, _0, _1, ...): null ids come last and are told apart by a hash of their text."""
+    """(id, tie, text, _0, _1, ...): null ids come last, also behind the greatest id, and are told apart by a hash of their text."""
     i = F.col(id_col).cast("long")
-    tie = F.when(i.isNull(), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).otherwise(F.lit(0).cast("long"))
+    tie = F.when(i.isNull(), F.shiftright(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 1) + F.lit(2**62 + 1)).otherwise(F.lit(0).cast("long"))
     return docs.select(F.coalesce(i, F.lit(LAST)).alias("id"), tie.alias("tie"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
 
 
+MANIFEST = "level int, place int, path string, buckets int, fanout int, least int"
+
+
 class LineRuns:
-    """Runs by level, each a table of (h1, h2, owner, owner_tie). To be used in a `with` block, or forgotten at the end."""
+    """Runs by level, each a table of (h1, h2, owner, owner_tie). To be used in a `with` block, or forgotten at the end.
+
+    With a folder, one that all machines share, the runs lie there, and keep() writes which they are: opened() has them again in
+    a later session. Without one they last as long as this object.
+    """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 3, least_length: int = 10):
-        self.spark, self.fanout, self.least = spark, fanout, least_length
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 3, least_length: int = 10, folder: str | None = None):
+        self.spark, self.fanout, self.least, self.folder = spark, fanout, least_length, folder
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
         self.names: list[str] = []
+        self.paths: dict[int, str] = {}
+        self.version = 0
+
+    @classmethod
+    def opened(cls, spark: SparkSession, folder: str) -> LineRuns:
+        """The runs that the last keep() of this folder has named."""
+        kept = spark.read.schema(f"{MANIFEST}, version int").option("basePath", f"{folder}/manifest").parquet(f"{folder}/manifest")
+        version = kept.agg(F.max("version")).first()[0]
+        rows = sorted(kept.where(F.col("version") == version).collect(), key=lambda r: (r["level"], r["place"]))
+        runs = cls(spark, rows[0]["buckets"], rows[0]["fanout"], rows[0]["least"], folder)
+        runs.version = version
+        for r in rows:
+            if r["path"] is not None:
+                name = runs._named()
+                columns = ", ".join(f"{c} BIGINT" for c in ("h1", "h2", "owner", "owner_tie"))
+                spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {runs.buckets} BUCKETS LOCATION '{r['path']}'")
+                while len(runs.levels) <= r["level"]:
+                    runs.levels.append([])
+                runs.levels[r["level"]].append(runs._known(spark.table(name), r["path"]))
+        return runs
+
+    def keep(self) -> None:
+        """Writes a new version of which runs there are. A write that fails leaves the version before it."""
+        held = [(level, k, self.paths[id(run)]) for level, runs in enumerate(self.levels) for k, run in enumerate(runs)]
+        rows = [(level, k, path, self.buckets, self.fanout, self.least) for level, k, path in [(-1, 0, None), *held]]
+        self.version += 1
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/version={self.version}")
+
+    def _named(self) -> str:
+        self.names.append(f"line_run_{uuid.uuid4().hex[:12]}")
+        return self.names[-1]
+
+    def _known(self, run: DataFrame, path: str) -> DataFrame:
+        self.paths[id(run)] = path
+        return run
 
     def __enter__(self) -> LineRuns:
         return self
@@ -137,11 +180,11 @@ class LineRuns:
             self._push(self._write(_merged(full)), level + 1)
 
     def _write(self, rows: DataFrame) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex[:12]}"
-        self.names.append(name)
+        name = self._named()
+        path = f"{self.folder.rstrip('/')}/{name}" if self.folder else shared_dir(self.spark, "line-run")
         made = rows.select("h1", "h2", "owner", "owner_tie").write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-        made.option("path", shared_dir(self.spark, "line-run")).saveAsTable(name)
-        return self.spark.table(name)
+        made.option("path", path).saveAsTable(name)
+        return self._known(self.spark.table(name), path)
 
 
 def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -178,13 +221,16 @@ def dedup_lines(docs: DataFrame, least_length: int = 10, batches: int = 4, fanou
     for k in range(len(cuts) + 1):  # ids rise from batch to batch, so the first that has a line has its smallest id
         mine = hashed.where(F.col("batch") == k).groupBy("h1", "h2").agg(first.alias("o"))
         runs.add(mine.select("h1", "h2", F.col("o.id").alias("owner"), F.col("o.tie").alias("owner_tie")))
+    if runs.folder:
+        runs.keep()
     drops = written(_drops(hashed, runs.owners()), "drops")
     d = d.join(drops, ["id", "tie"], "left")
     also = [f"_{k}" for k in range(len(carry))]
     schema = "doc_id long, text string, n_lines long, n_dropped long" + "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in also)
     names = ["doc_id", "text", "n_lines", "n_dropped", *also]
-    out = d.select("id", "text", "drops", *also).mapInArrow(_without(least, names), schema)
-    return out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), *names[1:4], *[F.col(f"_{k}").alias(c) for k, c in enumerate(carry)])
+    given = F.when(F.col("tie") == 0, F.col("id")).alias("id")
+    out = d.select(given, "text", "drops", *also).mapInArrow(_without(least, names), schema)
+    return out.select(*names[:4], *[F.col(f"_{k}").alias(c) for k, c in enumerate(carry)])
 
 
 def _drops(hashed: DataFrame, owners: DataFrame, often: int = 1000) -> DataFrame:

@@ -245,6 +245,31 @@ def test_line_dedup_of_later_batches(spark, odd):
     assert names and not any(spark.catalog.tableExists(n) for n in names)
 
 
+def test_line_runs_that_a_later_session_opens(spark, tmp_path):
+    """Two objects over one folder, in two sessions, give what one object gives."""
+    nights = [[(k, f"a line of night {k % 3}\nfirst {n} {k}\nsaid every night") for k in range(10 * n, 10 * n + 6)] for n in range(4)]
+    tables = [spark.createDataFrame(x, "doc_id long, text string") for x in nights]
+    folder = f"{tmp_path}/runs"
+    with line_dedup.LineRuns(spark, buckets=3, fanout=2) as one:
+        want = [sorted(map(tuple, line_dedup.dedup_lines(t, batches=1, runs=one).collect())) for t in tables]
+    got = []
+    for n, rows in enumerate(nights):
+        session = spark.newSession()
+        session.conf.set("spark.sql.shuffle.partitions", "4")
+        runs = line_dedup.LineRuns(session, buckets=3, fanout=2, folder=folder) if n == 0 else line_dedup.LineRuns.opened(session, folder)
+        with runs:
+            got.append(sorted(map(tuple, line_dedup.dedup_lines(session.createDataFrame(rows, "doc_id long, text string"), batches=1, runs=runs).collect())))
+        assert runs.version == n + 1 and runs.fanout == 2
+    assert got == want and all(r[3] == 2 for r in got[3])
+
+
+def test_line_dedup_of_the_greatest_id(spark):
+    last = 2**63 - 1
+    rows = [(last, "a line of some length"), (None, "a line of some length"), (None, "another such line\nx"), (last, "another such line\ny"), (5, "said by five alone")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=1).select("doc_id", "text", "n_dropped").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(last, "a line of some length", 0), (None, "", 1), (None, "x", 1), (last, "another such line\ny", 0), (5, "said by five alone", 0)], key=str)
+
+
 def test_line_dedup_of_a_line_that_many_have(spark):
     rows = [(i, f"a line that all of them have\nline number {i} of its own" + ("\nevery third has this line" if i % 3 == 0 else "")) for i in range(60)]
     hashed = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
