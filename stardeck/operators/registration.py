@@ -1,7 +1,7 @@
 """Registration of star lists: triangles, their matching, and the offset and angle between two frames.
 
 Triangles are made of a frame's brightest stars only, a number fixed by the caller, so their count is bounded
-however many stars or frames there are. Matching is an equi-join on perimeter bins, with the exact test after
+however many stars or frames there are. Matching is an equi-join on cells of perimeter and sides, with the exact test after
 it; nothing compares all triangles with all.
 """
 
@@ -52,14 +52,19 @@ def triangles(points: DataFrame, least: float) -> DataFrame:
 def matches(reference: DataFrame, others: DataFrame, error: float) -> DataFrame:
     """Pairs of similar triangles: perimeters within the error and squared side differences under its square.
 
-    reference: triangles of one frame. Perimeters fall into bins as wide as the error; a triangle meets its bin and both neighbours.
+    reference: triangles of one frame. The perimeter, the first and the second side lie in cells as wide as the error: as none
+    of them differs by more, a triangle of the reference stands in its own cell and the 26 around it, and others meet it there.
     """
-    bin_of = F.floor(F.col("len") / error).cast("long")
-    r = reference.select(*[F.col(c).alias(f"r{c}") for c in ("i", "j", "k", "a", "b", "c", "len", "p")], F.explode(F.array(bin_of - 1, bin_of, bin_of + 1)).alias("bin"))
-    o = others.withColumn("bin", bin_of)
-    both = o.join(r, "bin").where((F.col("len") >= F.col("rlen") - error) & (F.col("len") < F.col("rlen") + error))
+    names = ("len", "a", "b")
+    cell = lambda c: F.floor(F.col(c) / error).cast("long")
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1)).alias(f"cell_{c}")
+    r = reference.select(*[F.col(c).alias(f"r{c}") for c in ("i", "j", "k", "a", "b", "c", "len", "p")], *names)
+    for c in names:
+        r = r.select("*", around(c))
+    o = others.select("*", *[cell(c).alias(f"cell_{c}") for c in names])
+    both = o.join(r.drop(*names), [f"cell_{c}" for c in names]).where((F.col("len") >= F.col("rlen") - error) & (F.col("len") < F.col("rlen") + error))
     diff = sum(((F.col(x) - F.col(f"r{x}")) ** 2 for x in "abc"), F.lit(0.0))
-    return both.where(diff < error * error).drop("bin")
+    return both.where(diff < error * error).drop(*[f"cell_{c}" for c in names])
 
 
 def turn_between(mine: str = "rp", other: str = "p") -> Column:

@@ -38,17 +38,6 @@ def solver_field(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", *[F.round(f[k], 9).alias(k) for k in ("ra", "dec", "height")])
 
 
-@query("""WITH s AS (SELECT s_suppkey, 0e0 AS x1, 0e0 AS y1, 10e0 AS x2, 10e0 AS y2, CAST(s_suppkey % 13 AS DOUBLE) AS x3, 12e0 AS y3, CAST(s_suppkey % 7 AS DOUBLE) AS x4, CAST(s_suppkey % 5 AS DOUBLE) AS y4 FROM supplier),
-  t AS (SELECT *, (x2-x1)*(-(y4-y3)) + (x4-x3)*(y2-y1) AS det FROM s),
-  u AS (SELECT *, ((x3-x1)*(-(y4-y3)) + (x4-x3)*(y3-y1)) / nullif(det, 0) AS t, ((x2-x1)*(y3-y1) - (y2-y1)*(x3-x1)) / nullif(det, 0) AS u FROM t)
-  SELECT s_suppkey, round(CASE WHEN t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 THEN x1 + (x2-x1)*t END, 6) AS x FROM u""")
-def segment_crossing(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    d = lambda e: F.expr(f"cast({e} as double)")
-    x, _ = dp.crossing([d(0), d(0), d(10), d(10)], [d("s_suppkey % 13"), d(12), d("s_suppkey % 7"), d("s_suppkey % 5")])
-    return s.select("s_suppkey", F.round(x, 6).alias("x"))
-
-
 @query("""SELECT event_id, 'Light_' || lpad(CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS VARCHAR), 4, '0') AS name FROM events""")
 def sequential_names(spark, sf_dir):
     n = running(table(spark, sf_dir, "events"), "ts", ("event_id",), "user_id", {"n": F.lit(1).cast("long")})

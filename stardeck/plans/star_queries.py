@@ -109,32 +109,37 @@ def extrema_clusters(spark, sf_dir):
     return st.clusters(_extrema(spark, sf_dir))
 
 
-POINTS = "SELECT c_nationkey % 3 AS frame, CAST(c_custkey * 37 % 211 AS DOUBLE) AS x, CAST(c_custkey * 53 % 199 AS DOUBLE) AS y, c_acctbal AS brightness FROM customer"
+#: Customers as star lists: 150 a frame, so frames grow in number; the 50 brightest make triangles, as in the first attempt at an offset.
+POINTS = "SELECT c_custkey // 150 AS frame, CAST(c_custkey * 37 % 211 AS DOUBLE) AS x, CAST(c_custkey * 53 % 199 AS DOUBLE) AS y, c_acctbal AS brightness FROM customer"
+BRIGHT, LEAST, ERROR = reg.ATTEMPTS[0][0], 41.0, reg.ATTEMPTS[0][1]
 
 
 def points(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("c_nationkey % 3 AS frame", "cast(c_custkey * 37 % 211 as double) AS x", "cast(c_custkey * 53 % 199 as double) AS y", "c_acctbal AS brightness")
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey div 150 AS frame", "cast(c_custkey * 37 % 211 as double) AS x", "cast(c_custkey * 53 % 199 as double) AS y", "c_acctbal AS brightness")
 
 
 _TRI = f"""WITH p AS (SELECT frame, x, y, row_number() OVER (PARTITION BY frame ORDER BY brightness DESC, x, y) AS i FROM ({POINTS})),
   t AS (SELECT a.frame, a.i, b.i AS j, c.i AS k, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS l1, sqrt(pow(b.x - c.x, 2) + pow(b.y - c.y, 2)) AS l2, sqrt(pow(c.x - a.x, 2) + pow(c.y - a.y, 2)) AS l3
-    FROM p a JOIN p b ON a.frame = b.frame AND a.i < b.i JOIN p c ON a.frame = c.frame AND b.i < c.i WHERE c.i <= 20),
+    FROM p a JOIN p b ON a.frame = b.frame AND a.i < b.i JOIN p c ON a.frame = c.frame AND b.i < c.i WHERE c.i <= {BRIGHT}),
   s AS (SELECT frame, CASE WHEN l1 <= l2 AND l1 <= l3 THEN i WHEN l2 <= l3 THEN j ELSE k END AS i, CASE WHEN l1 <= l2 AND l1 <= l3 THEN l1 WHEN l2 <= l3 THEN l2 ELSE l3 END AS a,
-    CASE WHEN l1 <= l2 AND l1 <= l3 THEN l2 WHEN l2 <= l3 THEN l3 ELSE l1 END AS b, CASE WHEN l1 <= l2 AND l1 <= l3 THEN l3 WHEN l2 <= l3 THEN l1 ELSE l2 END AS c, l1 + l2 + l3 AS len FROM t WHERE l1 + l2 + l3 >= 41)"""
+    CASE WHEN l1 <= l2 AND l1 <= l3 THEN l2 WHEN l2 <= l3 THEN l3 ELSE l1 END AS b, CASE WHEN l1 <= l2 AND l1 <= l3 THEN l3 WHEN l2 <= l3 THEN l1 ELSE l2 END AS c, l1 + l2 + l3 AS len FROM t WHERE l1 + l2 + l3 >= {LEAST})"""
 
 
-@query(_TRI + " SELECT frame, i, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM s")
+@query(_TRI + " SELECT frame, i, count(*) AS triangles, round(sum(a), 3) AS a, round(sum(b), 3) AS b, round(sum(c), 3) AS c FROM s GROUP BY frame, i")
 def star_triangles(spark, sf_dir):
-    t = reg.triangles(reg.brightest(points(spark, sf_dir), 20), 41.0)
-    return t.select("frame", "i", *[F.round(c, 6).alias(c) for c in "abc"])
+    """All triangles of each frame's brightest stars, summed by the corner that their sides begin at."""
+    t = reg.triangles(reg.brightest(points(spark, sf_dir), BRIGHT), LEAST)
+    return t.groupBy("frame", "i").agg(F.count("*").alias("triangles"), *[F.round(F.sum(c), 3).alias(c) for c in "abc"])
 
 
-@query(_TRI + """ SELECT o.frame, o.i, r.i AS ri, round(o.len, 6) AS len, round(r.len, 6) AS rlen FROM s o JOIN s r ON r.frame = 0 AND o.frame > 0
-  AND o.len >= r.len - 1.5 AND o.len < r.len + 1.5 AND pow(o.a - r.a, 2) + pow(o.b - r.b, 2) + pow(o.c - r.c, 2) < 2.25""")
+@query(_TRI + f""", n AS (SELECT *, CAST(floor(len / {ERROR}) AS BIGINT) AS bin FROM s), r AS (SELECT *, bin + d AS near FROM n, (VALUES (-1), (0), (1)) t(d) WHERE frame = 0)
+  SELECT o.frame, r.i AS ri, count(*) AS pairs, round(sum(o.len), 3) AS len, round(sum(r.len), 3) AS rlen FROM n o JOIN r ON o.bin = r.near
+  WHERE o.frame > 0 AND o.len >= r.len - {ERROR} AND o.len < r.len + {ERROR} AND pow(o.a - r.a, 2) + pow(o.b - r.b, 2) + pow(o.c - r.c, 2) < {ERROR} * {ERROR} GROUP BY o.frame, r.i""")
 def triangle_match(spark, sf_dir):
-    t = reg.triangles(reg.brightest(points(spark, sf_dir), 20), 41.0)
-    m = reg.matches(t.where("frame = 0"), t.where("frame > 0"), 1.5)
-    return m.select("frame", "i", "ri", F.round("len", 6).alias("len"), F.round("rlen", 6).alias("rlen"))
+    """Every frame's triangles that are similar to those of the first frame, counted by the corner in that."""
+    t = reg.triangles(reg.brightest(points(spark, sf_dir), BRIGHT), LEAST)
+    m = reg.matches(t.where("frame = 0"), t.where("frame > 0"), ERROR)
+    return m.groupBy("frame", "ri").agg(F.count("*").alias("pairs"), F.round(F.sum("len"), 3).alias("len"), F.round(F.sum("rlen"), 3).alias("rlen"))
 
 
 @query("""WITH z AS (SELECT s_nationkey AS g, CAST(s_suppkey % 17 AS DOUBLE) AS x, CAST(s_suppkey % 23 AS DOUBLE) AS y, s_acctbal / 100e0 AS z FROM supplier),
@@ -148,18 +153,21 @@ def gradient_plane(spark, sf_dir):
     return z.groupBy("g").agg(F.round(a, 6).alias("a"), F.round(b, 6).alias("b"), F.round(d, 6).alias("d"))
 
 
-@query("""WITH r AS (SELECT CAST(i // 640 AS INT) AS y, CAST(i % 640 AS INT) AS x, CAST(100 + (i * 7919) % 11 + (i % 640) // 4 + (i // 640) // 8 AS INT) AS v FROM (SELECT unnest(range(640 * 512)) AS i)),
-  c AS (SELECT x, y FROM (VALUES (13), (30), (47), (64), (81), (98), (115)) t(x), (VALUES (13)) u(y) UNION SELECT 13, y FROM (VALUES (30), (47), (64), (81), (98)) t(y)),
-  corner AS (SELECT x, y FROM c UNION ALL SELECT 640 - x, y FROM c UNION ALL SELECT x, 512 - y FROM c UNION ALL SELECT 640 - x, 512 - y FROM c),
-  n AS (SELECT k.x, k.y, list_sort(list(v)) AS a FROM corner k JOIN r ON r.x BETWEEN k.x - 8 AND k.x + 8 AND r.y BETWEEN k.y - 8 AND k.y + 8 GROUP BY k.x, k.y),
-  m AS (SELECT x, y, list_avg(a[len(a) // 3 + 1 : 2 * len(a) // 3]) AS z FROM n)
-  SELECT count(*) AS cells, round(avg(z), 6) AS level, round(min(z), 6) AS low, round(max(z), 6) AS high FROM m""")
+#: The pixels of gradient_frames() in the cells of the four corners.
+_CELLS = """f AS (SELECT vec_id // 1000 AS frame, arg_min(embedding, vec_id) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 1 GROUP BY ALL),
+  g AS (SELECT frame, 2e-1 + CAST(e[1] AS DOUBLE) / 4 AS gx, 1e-1 + CAST(e[2] AS DOUBLE) / 4 AS gy FROM f),
+  l AS (SELECT x, y FROM (VALUES (13), (30), (47), (64), (81), (98), (115)) t(x), (VALUES (13)) u(y) UNION SELECT 13, y FROM (VALUES (30), (47), (64), (81), (98)) t(y)),
+  corner AS (SELECT x, y FROM l UNION ALL SELECT 640 - x, y FROM l UNION ALL SELECT x, 512 - y FROM l UNION ALL SELECT 640 - x, 512 - y FROM l),
+  near AS (SELECT frame, gx, gy, k.x AS cx, k.y AS cy, k.x + dx AS x, k.y + dy AS y FROM g, corner k, range(-8, 9) a(dx), range(-8, 9) b(dy)),
+  n AS (SELECT frame, cx AS x, cy AS y, list_sort(list(CAST(500 + ((y * 640 + x) * 7919) % 11 + floor(x * gx + y * gy) AS INT))) AS a FROM near GROUP BY ALL),
+  cell AS (SELECT frame, x, y, list_avg(a[len(a) // 3 + 1 : 2 * len(a) // 3]) AS z FROM n)"""
+
+
+@query("WITH " + _CELLS + " SELECT frame, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(z, 6) AS z FROM cell")
 def gradient_cells(spark, sf_dir):
     from ..operators import gradient
 
-    i = spark.range(640 * 512).selectExpr("0L AS frame", "cast(id div 640 as int) AS y", "cast(id % 640 as int) AS x", "cast(100 + (id * 7919) % 11 + (id % 640) div 4 + (id div 640) div 8 as int) AS v")
-    c = gradient.cells(i, 640, 512)
-    return c.agg(F.count("*").alias("cells"), F.round(F.avg("z"), 6).alias("level"), F.round(F.min("z"), 6).alias("low"), F.round(F.max("z"), 6).alias("high"))
+    return gradient.cells(gradient_frames(spark, sf_dir), 640, 512).select("frame", "x", "y", F.round("z", 6).alias("z"))
 
 
 def gradient_frames(spark, sf_dir) -> DataFrame:
@@ -171,7 +179,17 @@ def gradient_frames(spark, sf_dir) -> DataFrame:
     return f.selectExpr("frame", "y", "x", "cast(500 + ((y * 640L + x) * 7919) % 11 + floor(x * gx + y * gy) AS int) AS v")
 
 
-@query()
+@query("WITH " + _CELLS + """, m AS (SELECT frame, x, y, z - avg(z) OVER (PARTITION BY frame) AS z FROM cell),
+  q AS (SELECT frame, sum(x*x)::DOUBLE xx, sum(x*y)::DOUBLE xy, sum(y*y)::DOUBLE yy, sum(x)::DOUBLE sx, sum(y)::DOUBLE sy, count(*)::DOUBLE n, -sum(x*z) xz, -sum(y*z) yz, -sum(z) sz FROM m GROUP BY frame),
+  d AS (SELECT *, xx*(yy*n - sy*sy) - xy*(xy*n - sy*sx) + sx*(xy*sy - yy*sx) AS det FROM q),
+  p AS (SELECT frame, (xz*(yy*n - sy*sy) - xy*(yz*n - sy*sz) + sx*(yz*sy - yy*sz)) / det AS a, (xx*(yz*n - sy*sz) - xz*(xy*n - sy*sx) + sx*(xy*sz - yz*sx)) / det AS b,
+    (xx*(yy*sz - yz*sy) - xy*(xy*sz - yz*sx) + xz*(xy*sy - yy*sx)) / det AS d FROM d),
+  e AS (SELECT *, greatest(-d, -(640*a + d), -(512*b + d), -(640*a + 512*b + d)) - least(-d, -(640*a + d), -(512*b + d), -(640*a + 512*b + d)) < 5 AS flat FROM p),
+  r AS (SELECT frame, y, flat, CAST(round(-(b*y + d)) AS INT) AS z1, CAST(round(-(640*a + b*y + d)) AS INT) AS z2, gx, gy FROM g JOIN e USING (frame), range(512) t(y)),
+  v AS (SELECT frame, y, x, CAST(500 + ((y * 640 + x) * 7919) % 11 + floor(x * gx + y * gy) AS INT) AS v,
+    CASE WHEN flat THEN 0 ELSE z1 + CASE WHEN z1 < z2 THEN 1 ELSE -1 END * ((320 + x * (abs(z1 - z2) + 1)) // 640) END AS ramp FROM r, range(640) u(x)),
+  o AS (SELECT frame, y, least(greatest(v - ramp, 0), 65535) AS v FROM v)
+  SELECT frame, y, sum(v)::BIGINT AS sum, min(v)::INT AS low, max(v)::INT AS high FROM o GROUP BY frame, y""")
 def gradient_remove(spark, sf_dir):
     from ..operators import gradient
 
