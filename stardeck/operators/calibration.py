@@ -1,15 +1,21 @@
 """Calibration of raw frames: darks, flats, defects.
 
 Masters are single frames; they are joined to the row blocks of any number of frames by row, so the shuffle
-is of row blocks, never of pixels, and a master small enough goes to every task by Spark's own size check.
+is of row blocks, never of pixels, and a master small enough goes to every task by Spark's own size check. What looks at
+neighbouring rows works on bands of a frame, in numpy.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import MAX16, color, saturate, to_pixels
+from .blocks import BAND, Band, by_bands, clipped, colours, lists, matrix, value_counts
+from .frames import MAX16, saturate, to_pixels, to_rows
 
 
 def _mean(rows: DataFrame) -> DataFrame:
@@ -42,85 +48,120 @@ def apply_flat(rows: DataFrame, flat: DataFrame, zero: int = 0, flat_zero: int =
     return both.select("frame", "y", F.zip_with("row", "f", one).alias("row"))
 
 
-def _rank(pixels: DataFrame, keys: list[str], rank: Column, name: str) -> DataFrame:
-    """The value of 0-based rank `rank` (a function of n), by running sums over a histogram."""
-    h = pixels.groupBy(*keys, "v").agg(F.count("*").alias("freq"))
+def _rank(hist: DataFrame, keys: list[str], rank: Column, name: str) -> DataFrame:
+    """The value of 0-based rank `rank` (a function of n), by running sums over a histogram (keys, v, freq)."""
     order = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumn("cum", F.sum("freq").over(order)).withColumn("n", F.sum("freq").over(Window.partitionBy(*keys)))
+    h = hist.withColumn("cum", F.sum("freq").over(order)).withColumn("n", F.sum("freq").over(Window.partitionBy(*keys)))
     return h.where(F.col("cum") > rank).groupBy(*keys).agg(F.min("v").alias(name))
 
 
-def normalize_flat(rows: DataFrame, cfa: str | None, zero: int = 0) -> DataFrame:
-    """v - zero as a share of the 99th rank of its colour, times 65535, truncated and saturated."""
-    p = to_pixels(rows).withColumn("chan", color(cfa))
-    top = _rank(p, ["frame", "chan"], F.floor(99 * F.col("n") / 100), "top")
-    ratio = F.expr(f"(cast(v - {zero} as bigint) * {MAX16}) div nullif(top - {zero}, 0)")
-    return p.join(top, ["frame", "chan"]).select("frame", "y", "x", F.coalesce(saturate(ratio), F.col("v")).alias("v"))
+def _by_channel(values: DataFrame, name: str, otherwise: int) -> DataFrame:
+    """(frame, name_L, name_R, name_G, name_B): a row a frame of values (frame, chan, name)."""
+    of = [F.coalesce(F.max(F.when(F.col("chan") == c, F.col(name))), F.lit(otherwise)).cast("long").alias(f"{name}_{c}") for c in "LRGB"]
+    return values.groupBy("frame").agg(*of)
 
 
-def _mean_of(values: list[Column]) -> Column:
-    """The rounded mean of the values that are there."""
-    a = F.array_compact(F.array(*values))
-    total = F.aggregate(a, F.lit(0), lambda s, v: s + v)
-    return F.floor((total + F.floor(F.size(a) / 2)) / F.size(a)).cast("int")
+def _channel_rows(cfa: str | None) -> Callable[[int, np.ndarray, np.ndarray], Iterator[tuple[str, np.ndarray]]]:
+    def of_row(y: int, row: np.ndarray, there: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+        c = colours(cfa, y, 1, len(row))[0]
+        for chan in dict.fromkeys(c[:2].tolist()):
+            yield chan, row[there & (c == chan)]
 
+    return of_row
 
-def smooth_flat(rows: DataFrame, cfa: str | None) -> DataFrame:
-    """The mean of each pixel's 5 x 5 neighbours of its colour, rounded.
 
-    Rows meet by windows over row blocks: the four neighbouring rows ride along with each, and sums are array expressions.
-    """
-    order = Window.partitionBy("frame").orderBy("y")
-    near = [F.col("row") if d == 0 else F.lag("row", -d).over(order) for d in range(-2, 3)]
-    r = rows.select("frame", "y", "row", *[c.alias(f"r{k}") for k, c in enumerate(near)])
+def normalized_rows(rows: DataFrame, cfa: str | None, zero: int = 0) -> DataFrame:
+    """Row blocks of v - zero as a share of the 99th rank of its colour, times 65535, truncated and saturated; unchanged where that is 0."""
+    top = _by_channel(_rank(value_counts(rows, _channel_rows(cfa)), ["frame", "chan"], F.floor(99 * F.col("n") / 100), "top"), "top", zero)
+    both = rows.select(F.col("frame").cast("long"), F.col("y").cast("int"), "row").join(top, "frame")
 
-    def at(x: Column, d: int, e: int) -> Column:
-        return F.when(x + e >= 0, F.get(F.col(f"r{d + 2}"), x + e))
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, there = matrix(batch.column("row"))
+            c = colours(cfa, 0, 2, v.shape[1])[batch.column("y").to_numpy() % 2]
+            span = np.zeros(v.shape, np.int64)
+            for chan in "LRGB":
+                span = np.where(c == chan, batch.column(f"top_{chan}").to_numpy()[:, None] - zero, span)
+            ratio = np.sign(v - zero) * (np.abs(v - zero) * MAX16 // np.maximum(np.abs(span), 1)) * np.sign(span)
+            yield pa.RecordBatch.from_arrays([batch.column("frame"), batch.column("y"), lists(np.where(span == 0, v, clipped(ratio)), there)], ["frame", "y", "row"])
 
-    def one(v: Column, x: Column) -> Column:
-        # green repeats on diagonals, red and blue on every second row and column
-        pairs = [(d, e) for d in range(-2, 3) for e in range(-2, 3)]
-        of = {"L": pairs, "G": [p for p in pairs if sum(p) % 2 == 0], "RB": [p for p in pairs if p[0] % 2 == p[1] % 2 == 0]}
-        mean = {k: _mean_of([at(x, d, e) for d, e in p]) for k, p in of.items()}
-        return mean["L"] if cfa is None else F.when(color_at(cfa, F.col("y"), x) == "G", mean["G"]).otherwise(mean["RB"])
+    return both.mapInArrow(shares, ROWS)
 
-    return r.select("frame", "y", F.transform("row", one).alias("row"))
 
+def normalize_flat(rows: DataFrame, cfa: str | None, zero: int = 0) -> DataFrame:
+    """(frame, y, x, v) of normalized_rows()."""
+    return to_pixels(normalized_rows(rows, cfa, zero))
 
-def color_at(cfa: str, y: Column, x: Column) -> Column:
-    from .frames import CFA
 
-    (a, b), (c, d) = CFA[cfa]
-    even, left = F.pmod(y, F.lit(2)) == 0, F.pmod(x, F.lit(2)) == 0
-    return F.when(even & left, a).when(even, b).when(left, c).otherwise(d)
+#: Neighbours of the same colour: of green on diagonals, of red and blue on every second row and column.
+_NEAR = [(d, e) for d in range(-2, 3) for e in range(-2, 3)]
+SAME = {"L": _NEAR, "G": [p for p in _NEAR if sum(p) % 2 == 0], "RB": [p for p in _NEAR if p[0] % 2 == p[1] % 2 == 0]}
 
 
-def repair(rows: DataFrame, bad: DataFrame, cfa: str | None, rounds: int = 3) -> DataFrame:
-    """Row blocks with bad pixels (frame, y, x) as truncated means of their good neighbours of the same colour, in at most three rounds.
+def smooth_flat(rows: DataFrame, cfa: str | None, band: int = BAND) -> DataFrame:
+    """The mean of each pixel's 5 x 5 neighbours of its colour, rounded, in bands of rows."""
 
-    A round's repairs are sources in the next only. Rows meet by windows of one partitioning and order, so frames are
-    shuffled once; a pixel that no round can mend keeps its value.
-    """
-    at = bad.groupBy("frame", "y").agg(F.collect_set(F.col("x").cast("int")).alias("bad"))
-    r = rows.join(at, ["frame", "y"], "left").withColumn("a", F.when(F.col("bad").isNull(), F.col("row")).otherwise(F.transform("row", lambda v, x: F.when(~F.array_contains("bad", x), v))))
-    order = Window.partitionBy("frame").orderBy("y")
-    ring = {1: [(d, e) for d in (-1, 0, 1) for e in (-1, 0, 1) if d or e], 2: [(d, e) for d in (-2, 0, 2) for e in (-2, 0, 2) if d or e]}
+    def smooth(b: Band) -> pa.RecordBatch:
+        if cfa is None:
+            out = b.mean(SAME["L"])
+        else:
+            out = np.where(b.colour(cfa) == "G", b.mean(SAME["G"]), b.mean(SAME["RB"]))
+        return _band_rows(b, out)
 
-    def mean(near: list[tuple[int, int]], x: Column) -> Column:
-        got = F.array_compact(F.array(*[F.when(x + e >= 0, F.get(F.col(f"r{d + 2}"), x + e)) for d, e in near]))
-        return F.when(F.size(got) > 0, F.floor(F.aggregate(got, F.lit(0).cast("long"), lambda s, v: s + v) / F.size(got)).cast("int"))
+    return by_bands(rows.select("frame", "y", "row"), 2, smooth, ROWS, band)
 
-    def mended(x: Column) -> Column:
-        # green has its own colour on the diagonals, red and blue on every second row and column
-        if cfa is None:
-            return mean(ring[1], x)
-        return F.when(color_at(cfa, F.col("y"), x) == "G", mean([p for p in ring[1] if p[0] and p[1]], x)).otherwise(mean(ring[2], x))
 
-    for _ in range(rounds):
-        r = r.select("*", *[(F.col("a") if d == 0 else F.lag("a", -d).over(order)).alias(f"r{d + 2}") for d in range(-2, 3)])
-        filled = F.transform("a", lambda v, x: F.coalesce(v, mended(x)))
-        r = r.withColumn("a", F.when(F.exists("a", lambda v: v.isNull()), filled).otherwise(F.col("a"))).drop(*[f"r{k}" for k in range(5)])
-    return r.select("frame", "y", F.when(F.col("bad").isNull(), F.col("row")).otherwise(F.zip_with("a", "row", lambda a, v: F.coalesce(a, v))).alias("row"))
+ROWS = "frame long, y int, row array<int>"
+
+
+def _band_rows(b: Band, *images: np.ndarray) -> pa.RecordBatch:
+    names = ["frame", "y", "row"] if len(images) == 1 else ["frame", "y", "r", "g", "b"]
+    return pa.RecordBatch.from_arrays([pa.array([b.frame] * len(b.ys), pa.int64()), pa.array(b.ys, pa.int32()), *[lists(x) for x in images]], names)
+
+
+def repair(rows: DataFrame, bad: DataFrame, cfa: str | None, rounds: int = 3, band: int = BAND) -> DataFrame:
+    """Row blocks with bad pixels (frame, y, x), or (y, x) of every frame, as truncated means of their good neighbours of the same colour.
+
+    In at most three rounds: a round's repairs are sources in the next only. Bands take two rows more on each side for every round,
+    so frames are shuffled once; a pixel that no round can mend keeps its value.
+    """
+    keys = ["frame", "y"] if "frame" in bad.columns else ["y"]
+    at = bad.groupBy(*keys).agg(F.collect_set(F.col("x").cast("int")).alias("bad"))
+    ring = {k: [p for p in near if p != (0, 0)] for k, near in (("L", [p for p in _NEAR if max(map(abs, p)) < 2]), ("G", [p for p in SAME["G"] if max(map(abs, p)) < 2]), ("RB", SAME["RB"]))}
+
+    def mend(b: Band) -> pa.RecordBatch:
+        image, good = b.values.copy(), b.there.copy()
+        ys = b.table.column("y").to_numpy().astype(np.int64) - b.y0
+        for y, xs in zip(ys.tolist(), b.table.column("bad").to_pylist(), strict=True):
+            if xs:
+                good[y, b.halo + np.array([x for x in xs if 0 <= x < b.width], np.int64)] = False
+        green = colours(cfa, b.y0, len(image), b.width)
+        ty, tx = np.nonzero(b.there & ~good)
+        for _ in range(rounds):
+            # what has a full ring within the band; rows further out are the neighbours' own
+            inside = (ty >= 2) & (ty < len(image) - 2)
+            py, px = ty[inside], tx[inside]
+            if not len(py):
+                break
+            kind = np.full(len(py), "L") if cfa is None else np.where(green[py, px - b.halo] == "G", "G", "RB")
+            value, known = np.zeros(len(py), np.int64), np.zeros(len(py), bool)
+            for k in np.unique(kind):
+                mine = kind == k
+                s, n = np.zeros(mine.sum(), np.int64), np.zeros(mine.sum(), np.int64)
+                for dy, dx in ring[k]:
+                    g = good[py[mine] + dy, px[mine] + dx]
+                    s += np.where(g, image[py[mine] + dy, px[mine] + dx], 0)
+                    n += g
+                value[mine], known[mine] = s // np.maximum(n, 1), n > 0
+            if not known.any():
+                break
+            image[py[known], px[known]] = value[known]
+            good[py[known], px[known]] = True
+            left = ~good[ty, tx]
+            ty, tx = ty[left], tx[left]
+        return _band_rows(b, b.shifted(image, 0, 0))
+
+    return by_bands(rows.select("frame", "y", "row").join(at, keys, "left"), 2 * rounds, mend, ROWS, band)
 
 
 def _line_contrasts(rows: DataFrame, width: int, height: int) -> tuple[DataFrame, DataFrame]:
@@ -169,31 +210,57 @@ def hot_in_dark(rows: DataFrame, width: int, height: int) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
-def hot_in_light(pixels: DataFrame, cfa: str | None, max_value: int = MAX16) -> DataFrame:
-    """(frame, y, x) of hot pixels in light frames: local maxima of their colour over a border, in contrast to two rings."""
+def hot_in_light(frames: DataFrame, cfa: str | None, max_value: int = MAX16, band: int = BAND) -> DataFrame:
+    """(frame, y, x) of hot pixels in light frames: local maxima of their colour over a border, in contrast to two rings.
+
+    frames: row blocks, or pixels (frame, y, x, v). A first pass counts how far the maxima of every fourth row of a colour stand out,
+    a second one looks at the rings in bands of rows.
+    """
+    rows = frames if "row" in frames.columns else to_rows(frames)
     step = 1 if cfa is None else 2
-    p = pixels.withColumn("c", color(cfa))
-    w = Window.partitionBy("frame", "y", F.col("x") % step).orderBy("x")
-    p = p.withColumn("v1", F.lag("v").over(w)).withColumn("v2", F.lead("v").over(w))
-    peaks = p.where((F.col("v") > F.col("v1")) & (F.col("v") > F.col("v2")))
-    # statistics look at every fourth row of a colour: each has rows at a stride of 2, green at a stride of 1
-    first = {None: {"L": 0}}.get(cfa) or _first_rows(cfa)
+    first = {"L": 0} if cfa is None else _first_rows(cfa)
     stride = {c: 4 * (1 if c in "LG" else 2) for c in first}
-    seen = F.lit(False)
-    for c, y in first.items():
-        seen = seen | ((F.col("c") == c) & (F.col("y") >= y) & (F.pmod(F.col("y") - y, F.lit(stride[c])) == 0))
-    diffs = peaks.where(seen).select("frame", "c", (F.col("v") - F.expr("(v1 + v2) div 2")).alias("v"))
-    top = _rank(diffs, ["frame", "c"], F.floor(99 * F.col("n") / 100), "p99")
-    border = F.least(F.greatest(F.expr("150 * p99 div 100"), F.lit(max_value // 1000)), F.lit(MAX16 // 2))
-    strong = peaks.join(top, ["frame", "c"]).withColumn("border", border).where((F.col("v") - F.col("v1") > F.col("border")) & (F.col("v") - F.col("v2") > F.col("border")))
-    strong = strong.select("frame", "y", "x", "v", "v1", "v2")
-    ring = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(o * a).alias("dy"), F.lit(o * b).alias("dx")) for o in (4, 6) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])).alias("r")
-    at = strong.select("frame", F.col("y").alias("ty"), F.col("x").alias("tx"), ring).select("frame", "ty", "tx", "r.o", (F.col("ty") + F.col("r.dy")).alias("y"), (F.col("tx") + F.col("r.dx")).alias("x"))
-    means = at.join(pixels, ["frame", "y", "x"]).groupBy("frame", "ty", "tx", "o").agg(F.expr("sum(v) div count(*)").alias("m"))
-    low = means.groupBy("frame", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.min("m").alias("low"))
-    both = strong.join(low, ["frame", "y", "x"], "left").withColumn("low", F.coalesce("low", F.lit(MAX16)))
-    sharp = lambda s: F.col("v") - F.col(s) > 2 * (F.col(s) - F.col("low"))
-    return both.where(sharp("v1") & sharp("v2")).select("frame", "y", "x")
+
+    def peaks(v: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which pixels of some rows stand over both neighbours of their colour, and these."""
+        v1, v2, ok = np.zeros_like(v), np.zeros_like(v), np.zeros_like(there)
+        if v.shape[1] > 2 * step:
+            v1[:, step:], v2[:, :-step] = v[:, :-step], v[:, step:]
+            ok[:, step:-step] = there[:, step:-step] & there[:, : -2 * step] & there[:, 2 * step :]
+        return ok & (v > v1) & (v > v2), v1, v2
+
+    def heights(y: int, row: np.ndarray, there: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+        seen = [c for c, y0 in first.items() if y >= y0 and (y - y0) % stride[c] == 0]
+        if seen:
+            peak, v1, v2 = (a[0] for a in peaks(row[None], there[None]))
+            c = colours(cfa, y, 1, len(row))[0]
+            for chan in seen:
+                mine = peak & (c == chan)
+                yield chan, (row - (v1 + v2) // 2)[mine]
+
+    top = _rank(value_counts(rows, heights), ["frame", "chan"], F.floor(99 * F.col("n") / 100), "p99")
+    border = F.greatest(F.expr("150 * p99 div 100"), F.lit(max_value // 1000))
+    borders = _by_channel(top.select("frame", "chan", F.least(border, F.lit(MAX16 // 2)).alias("border")), "border", 2**31)
+
+    def find(b: Band) -> pa.RecordBatch:
+        peak, v1, v2 = peaks(b.shifted(b.values, 0, 0), b.shifted(b.there, 0, 0))
+        v, c, least = b.shifted(b.values, 0, 0), b.colour(cfa), np.zeros(peak.shape, np.int64)
+        for chan in "LRGB":
+            least = np.where(c == chan, b.table.column(f"border_{chan}")[0].as_py(), least)
+        y, x = np.nonzero(peak & (v - v1 > least) & (v - v2 > least))
+        v, v1, v2, low = v[y, x], v1[y, x], v2[y, x], np.full(len(y), MAX16, np.int64)
+        for o in (4, 6):
+            s, n = np.zeros(len(y), np.int64), np.zeros(len(y), np.int64)
+            for dy, dx in ((a * o, e * o) for a in (-1, 0, 1) for e in (-1, 0, 1) if a or e):
+                at = (b.rows[y] + dy, b.halo + x + dx)
+                s += np.where(b.there[at], b.values[at], 0)
+                n += b.there[at]
+            low = np.where(n > 0, np.minimum(low, s // np.maximum(n, 1)), low)
+        hot = (v - v1 > 2 * (v1 - low)) & (v - v2 > 2 * (v2 - low))
+        y, x = y[hot], x[hot]
+        return pa.RecordBatch.from_arrays([pa.array([b.frame] * len(y), pa.int64()), pa.array(b.ys[y], pa.int32()), pa.array(x, pa.int32())], ["frame", "y", "x"])
+
+    return by_bands(rows.select(F.col("frame").cast("long"), "y", "row").join(borders, "frame"), 6, find, "frame long, y int, x int", band)
 
 
 def _first_rows(cfa: str) -> dict[str, int]:
@@ -202,33 +269,20 @@ def _first_rows(cfa: str) -> dict[str, int]:
     return {c: 0 if c in CFA[cfa][0] else 1 for c in "RGB"}
 
 
-def demosaic(rows: DataFrame, width: int, height: int, cfa: str) -> DataFrame:
-    """(frame, y, r ARRAY, g ARRAY, b ARRAY): bilinear, with rounding; at the border the mean of same-coloured pixels of the 3 x 3.
+def demosaic(rows: DataFrame, width: int, height: int, cfa: str, band: int = BAND) -> DataFrame:
+    """(frame, y, r ARRAY, g ARRAY, b ARRAY): bilinear, with rounding; at the border the mean of same-coloured pixels of the 3 x 3."""
+    beside, above, corners = [(0, -1), (0, 1)], [(-1, 0), (1, 0)], [(d, e) for d in (-1, 1) for e in (-1, 1)]
 
-    The rows above and below ride along by one window over row blocks; the rest are array expressions.
-    """
-    order = Window.partitionBy("frame").orderBy("y")
-    r = rows.select("frame", "y", "row", F.lag("row").over(order).alias("up"), F.lead("row").over(order).alias("down"))
-    line = {-1: "up", 0: "row", 1: "down"}
-
-    def at(x: Column, dy: int, dx: int) -> Column:
-        return F.when(x + dx >= 0, F.get(F.col(line[dy]), x + dx))
-
-    def channel(which: str) -> Column:
-        def one(v: Column, x: Column) -> Column:
-            beside = [at(x, 0, e) for e in (-1, 1)]
-            above = [at(x, d, 0) for d in (-1, 1)]
-            corners = [at(x, d, e) for d in (-1, 1) for e in (-1, 1)]
-            mine = color_at(cfa, F.col("y"), x)
-            inside = x.between(1, width - 2) & F.col("y").between(1, height - 2)
-            if which == "G":
-                return F.when(mine != "G", _mean_of(beside + above)).when(inside, v).otherwise(_mean_of([v, *corners]))
-            in_row = color_at(cfa, F.col("y"), x + 1) == which
-            return F.when(mine == which, v).when(mine != "G", _mean_of(corners)).when(in_row, _mean_of(beside)).otherwise(_mean_of(above))
+    def channels(b: Band) -> pa.RecordBatch:
+        v, mine = b.shifted(b.values, 0, 0), b.colour(cfa)
+        inside = ((b.ys >= 1) & (b.ys <= height - 2))[:, None] & ((np.arange(b.width) >= 1) & (np.arange(b.width) <= width - 2))[None]
+        in_row = colours(cfa, b.y0, len(b.values), b.width + 1)[b.rows][:, 1:]  # the colour of the next pixel
+        across, up, diagonal = b.mean(beside), b.mean(above), b.mean(corners)
+        green = np.where(mine != "G", b.mean(beside + above), np.where(inside, v, b.mean([(0, 0), *corners])))
+        red, blue = (np.where(mine == c, v, np.where(mine != "G", diagonal, np.where(in_row == c, across, up))) for c in "RB")
+        return _band_rows(b, red, green, blue)
 
-        return F.transform("row", one)
-
-    return r.select("frame", "y", *[channel(c).alias(c.lower()) for c in "RGB"])
+    return by_bands(rows.select("frame", "y", "row"), 1, channels, "frame long, y int, r array<int>, g array<int>, b array<int>", band)
 
 
 def compatible(kind: Column, width: Column, height: Column, cfa: Column, wanted: list[str], master_kind: Column, master_width: Column, master_height: Column, master_cfa: Column) -> Column:
@@ -257,7 +311,7 @@ def calibrate(rows: DataFrame, cfa: str | None, width: int, height: int, offset:
     known = defects is not None
     if flat is not None:
         if known:
-            flat = repair(flat, flat.select("frame").distinct().crossJoin(defects), cfa)
+            flat = repair(flat, defects.select("y", "x"), cfa)
         flat = smooth_flat(flat, cfa)
     zero: Column | int = offset
     out = rows
@@ -270,10 +324,10 @@ def calibrate(rows: DataFrame, cfa: str | None, width: int, height: int, offset:
         done |= BY_FLAT
     out = out.select("frame", "y", "row")
     if known:
-        out = repair(out, out.select("frame").distinct().join(defects), cfa)
+        out = repair(out, defects.select("y", "x"), cfa)
         done |= BY_DEFECTS
     elif search:
-        out = repair(out, hot_in_light(to_pixels(out), cfa), cfa)
+        out = repair(out, hot_in_light(out, cfa), cfa)
         done |= BY_SEARCH
     return out, done
 
@@ -286,13 +340,7 @@ def build_master(rows: DataFrame, good: DataFrame, kind: str, cfa: str | None, o
     from .stacking import average_of_medians
 
     taken = rows.join(good.select("frame").distinct(), "frame", "left_semi")
-    return average_of_medians(normalize_flat(taken, cfa, offset) if kind == "flat" else to_pixels(taken))
-
-
-def to_rows(pixels: DataFrame) -> DataFrame:
-    """(frame, y, row) of whole frames' pixels."""
-    row = F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"])
-    return pixels.groupBy("frame", "y").agg(row.alias("row"))
+    return average_of_medians(normalized_rows(taken, cfa, offset) if kind == "flat" else taken)
 
 
 def noise_gate(frames: DataFrame) -> DataFrame:

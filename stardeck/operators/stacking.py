@@ -6,40 +6,66 @@ the shuffle is a row block. Sliding medians look at five frames at a time and ho
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import each_row, matrix, runs, sums_of_rows
 from .cuts import drop_folder
-from .frames import saturate
+from .frames import saturate, to_rows
 from .spans import SPAN, numbered
 
 #: Fixed-point steps of a coordinate, and of a sine or cosine (fixed values).
 SUB, TURN = 256, 65536
 
 
-def average(pixels: DataFrame, *keys: str) -> DataFrame:
-    """The rounded mean of all frames at each pixel; partial sums are made before the shuffle."""
-    return pixels.groupBy(*keys, "y", "x").agg(F.expr("cast((sum(v) + count(*) div 2) div count(*) as int)").alias("v"))
+def _rows(frames: DataFrame) -> DataFrame:
+    return frames if "row" in frames.columns else to_rows(frames)
+
+
+def _means(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, v) of sums of rows: the rounded mean where something is there."""
+    mean = F.zip_with("s", "n", lambda s, n: F.when(n > 0, F.floor((s + F.floor(n / 2)) / F.when(n > 0, n)).cast("int")))
+    return sums.select(*keys, F.posexplode(mean).alias("x", "v")).where("v IS NOT NULL")
+
+
+def average(frames: DataFrame, *keys: str) -> DataFrame:
+    """(keys, y, x, v): the rounded mean of all frames at each pixel. frames: row blocks, or pixels, which are made rows first.
+
+    Rows are summed in each task, then by row; only the result is opened into pixels.
+    """
+    by = [*keys, "y"]
+    return _means(sums_of_rows(_rows(frames).select(*by, "row"), by, each_row(by)), by)
 
 
 def median_of(values: list[Column]) -> Column:
     return F.element_at(F.sort_array(F.array(*values)), len(values) // 2 + 1)
 
 
-def average_of_medians(pixels: DataFrame, span: int = SPAN) -> DataFrame:
-    """The rounded mean of medians of five frames in a row (by frame number); frames left over are dropped.
+def average_of_medians(frames: DataFrame, span: int = SPAN) -> DataFrame:
+    """(y, x, v): the rounded mean of medians of five frames in a row (by frame number); frames left over are dropped.
 
-    With fewer than five frames in all, their rounded mean.
+    With fewer than five frames in all, their rounded mean. frames: row blocks, or pixels. The five rows of one y meet in a task, and
+    their median is summed there.
     """
+    rows = _rows(frames).select("frame", "y", "row")
     # one row a frame: numbering them takes frames, not pixels
-    order = numbered(pixels.select("frame").distinct(), "frame", span=span)
-    count = order.agg(F.max("_k").alias("frames"))
-    p = pixels.join(order.select("frame", (F.col("_k") - 1).alias("i")), "frame").withColumn("five", F.expr("i div 5")).crossJoin(F.broadcast(count))
-    fives = p.groupBy("y", "x", "five").agg(F.sort_array(F.collect_list("v")).alias("a"), F.max("frames").alias("frames"))
-    fives = fives.select("y", "x", F.when(F.size("a") == 5, F.element_at("a", F.lit(3))).alias("m"), F.expr("aggregate(a, 0L, (s, v) -> s + v)").alias("s"), F.size("a").alias("n"), "frames")
-    few = F.expr("(sum(s) + sum(n) div 2) div sum(n)")
-    many = F.expr("(sum(m) + count(m) div 2) div nullif(count(m), 0)")
-    return fives.groupBy("y", "x").agg(F.when(F.max("frames") < 5, few).otherwise(many).cast("int").alias("v"))
+    order = numbered(rows.select("frame").distinct(), "frame", span=span).select("frame", (F.col("_k") - 1).alias("i"))
+    if order.limit(5).count() < 5:
+        return average(rows)
+    fives = rows.join(order, "frame").select("y", F.expr("i div 5").alias("five"), "i", "row")
+    fives = fives.repartition("y", "five").sortWithinPartitions("y", "five", "i")
+
+    def medians(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+        for (y, _), table in runs(batches, ["y", "five"]):
+            values, there = matrix(table.column("row").combine_chunks())
+            if len(values) == 5:
+                yield (y,), np.where(there.all(0), np.sort(values, axis=0)[2], 0), there.all(0)
+
+    return _means(sums_of_rows(fives, ["y"], medians), ["y"])
 
 
 def fixed(c: Column, k: int) -> Column:

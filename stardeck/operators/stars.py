@@ -8,15 +8,16 @@ them; frames run side by side.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import upper_median
+from .blocks import matrix
 from .cuts import cut
-from .frames import to_pixels
 
 #: Limits of the search (fixed values).
 DIAMETER, MOST_STARS, MOST_EXTREMA, MOST_POINTS, FACTORS = 32, 500, 5000, 1024, {"low": 30.0, "normal": 15.0, "high": 9.0}
@@ -46,28 +47,33 @@ def extrema(rows: DataFrame, thresholds: DataFrame, width: int, height: int) ->
     """(frame, y, x, v, over): pixels whose smoothed value stands out, by `over`, of their stretch's baseline and of both sides.
 
     The value is the median of three; a side is the rounded-up median of four; the baseline is the median of nine of 72
-    pixels (of all, in the last shorter stretch). Places nearer to the border than half a star are left out.
+    pixels (of all, in the last shorter stretch). Places nearer to the border than half a star are left out. Each row is looked at by
+    itself where it is, nothing is shuffled but the thresholds.
     """
     half = DIAMETER // 2
-    chunk = lambda k: F.slice("row", k * 72 + 1, 72)
-    nine = lambda c: F.when(F.size(c) == 72, F.sort_array(F.array(*[F.get(c, F.lit(4 + 8 * j)) for j in range(9)]))[4]).otherwise(upper_median(c))
-    # a baseline for each pixel, as the array that is gone through: inside the function it would be made anew for every pixel
-    base = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((width - 1) // 72)), lambda k: F.array_repeat(nine(chunk(k)), 72)))
-    r = rows.where(F.col("y").between(half, height - half)).join(thresholds, "frame")
     first, last = max(half, 5), min(width - half, width - 6)
-    get = lambda x, d: F.get("row", x + d)
-
-    def side(x: Column, ds: tuple[int, ...]) -> Column:
-        s = F.sort_array(F.array(*[get(x, d) for d in ds]))
-        return F.floor((s[1] + s[2] + 1) / 2)
-
-    def test(f: Column, i: Column) -> Column:
-        x = i + first
-        return F.struct(x.alias("x"), _median(get(x, -1), get(x, 0), get(x, 1)).alias("v"), side(x, (-5, -4, -3, -2)).alias("l"), side(x, (2, 3, 4, 5)).alias("r"), f.alias("f"))
-
-    p = r.select("frame", "y", "threshold", F.explode(F.transform(F.slice(base, first + 1, last - first + 1), test)).alias("t"))
-    # what stands out by `threshold` or more, and not less than the baseline
-    return p.where("t.v - t.f >= threshold AND t.l < t.v AND t.r < t.v").select("frame", "y", "t.x", "t.v", F.expr("t.v - t.f").alias("over"))
+    r = rows.where(F.col("y").between(half, height - half)).join(thresholds, "frame").select(F.col("frame").cast("long"), F.col("y").cast("int"), F.col("threshold").cast("long"), "row")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, _ = matrix(batch.column("row"))
+            base = np.empty_like(a)
+            for k in range(0, a.shape[1], 72):
+                part = a[:, k : k + 72]
+                nine = part[:, 4::8] if part.shape[1] == 72 else part
+                base[:, k : k + 72] = np.sort(nine, axis=1)[:, nine.shape[1] // 2][:, None]
+            at = lambda d: a[:, first + d : last + 1 + d]  # noqa: B023, E731
+            v = np.maximum(np.minimum(at(-1), at(0)), np.minimum(np.maximum(at(-1), at(0)), at(1)))
+
+            def side(ds: tuple[int, ...]) -> np.ndarray:
+                four = [at(d) for d in ds]  # noqa: B023
+                return (sum(four) - np.maximum.reduce(four) - np.minimum.reduce(four) + 1) // 2
+
+            over = v - base[:, first : last + 1]
+            y, x = np.nonzero((over >= batch.column("threshold").to_numpy()[:, None]) & (side((-5, -4, -3, -2)) < v) & (side((2, 3, 4, 5)) < v))
+            yield pa.RecordBatch.from_arrays([batch.column("frame").take(pa.array(y)), batch.column("y").take(pa.array(y)), *[pa.array(c, pa.int32()) for c in (x + first, v[y, x], over[y, x])]], ["frame", "y", "x", "v", "over"])
+
+    return r.mapInArrow(find, "frame long, y int, x int, v int, over int")
 
 
 def few_extrema(points: DataFrame, thresholds: DataFrame, most: int = MOST_EXTREMA) -> tuple[DataFrame, DataFrame]:

@@ -208,7 +208,8 @@ _LIGHT = "CASE WHEN (frame * 13 + y * 17 + x * 7) % 499 = 0 THEN 65000 ELSE 1000
   SELECT frame, y, x FROM strong JOIN low USING (frame, y, x)
   WHERE v - v1 > border AND v - v2 > border AND v - v1 > 2 * (v1 - low) AND v - v2 > 2 * (v2 - low)""")
 def hot_light(spark, sf_dir):
-    return cal.hot_in_light(pixels(spark, sf_dir).withColumn("v", F.expr(_LIGHT.replace("v // 200", "v div 200"))), PATTERN)
+    spotted = F.transform("row", lambda v, x: F.when((F.col("frame") * 13 + F.col("y") * 17 + x * 7) % 499 == 0, 65000).otherwise(1000 + F.floor(v / 200).cast("int")))
+    return cal.hot_in_light(rows(spark, sf_dir).withColumn("row", spotted), PATTERN)
 
 
 @query(PIX + f""", off AS (SELECT CAST(unnest([-1, 0, 1]) AS INT) AS d),

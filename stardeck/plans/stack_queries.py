@@ -18,14 +18,14 @@ OFFSETS = [
 
 @query(PIX + " SELECT y, x, CAST((sum(v) + count(*) // 2) // count(*) AS INT) AS v FROM pix GROUP BY y, x")
 def stack_average(spark, sf_dir):
-    return st.average(pixels(spark, sf_dir))
+    return st.average(rows(spark, sf_dir))
 
 
 @query(PIX + """, n AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS i FROM (SELECT DISTINCT frame FROM pix)),
   m AS (SELECT y, x, i // 5 AS five, list_sort(list(v))[3] AS m FROM pix JOIN n USING (frame) GROUP BY y, x, i // 5 HAVING count(*) = 5)
   SELECT y, x, CAST((sum(m) + count(*) // 2) // count(*) AS INT) AS v FROM m GROUP BY y, x""")
 def stack_avg_of_medians(spark, sf_dir):
-    return st.average_of_medians(pixels(spark, sf_dir))
+    return st.average_of_medians(rows(spark, sf_dir))
 
 
 _WARP = f""", off AS (SELECT frame, {", ".join(OFFSETS)} FROM (SELECT DISTINCT frame FROM pix)),

@@ -191,6 +191,40 @@ def test_offsets_with_a_turn_and_without_agreement(spark):
     assert o[1]["angle"] == pytest.approx(0.3, abs=1e-3) and o[2]["x"] is None
 
 
+@pytest.mark.parametrize("cfa", [None, "GRBG"])
+def test_bands_of_any_height_give_the_same(spark, cfa):
+    """Stencils over bands of 3 rows are those over whole frames, and of 7 x 5 neighbours in plain Python."""
+    rng = np.random.default_rng(17)
+    images = rng.integers(0, 4000, (2, 23, 19))
+    images[0, 11, 9] = images[1, 3, 3] = 65000
+    r = rows_of(spark, list(images)).repartition(3)
+    bad = spark.createDataFrame([(f, int(y), int(x)) for f in range(2) for y in range(5, 18) for x in range(6, 12)] + [(1, 0, 0), (1, 22, 18), (0, 99, 1), (0, 1, 99)], "frame long, y int, x int")
+    every = bad.where("frame = 0").select("y", "x")
+    table = lambda d: sorted(map(str, d.collect()))
+    for make in (lambda n: cal.smooth_flat(r, cfa, n), lambda n: cal.repair(r, bad, cfa, band=n), lambda n: cal.repair(r, every, cfa, band=n), lambda n: cal.hot_in_light(r, cfa, band=n), lambda n: cal.demosaic(r, 19, 23, cfa or "RGGB", n)):
+        assert table(make(3)) == table(make(64))
+    near = {"L": lambda d, e: True, "G": lambda d, e: (d + e) % 2 == 0, "RB": lambda d, e: d % 2 == 0 and e % 2 == 0}
+    got = {(x["frame"], x["y"]): x["row"] for x in cal.smooth_flat(r, cfa, 3).collect()}
+    for f, y, x in [(0, 0, 0), (0, 11, 9), (1, 22, 18), (1, 2, 1), (0, 12, 4), (1, 13, 17)]:
+        kind = "L" if cfa is None else "G" if (y + x) % 2 == 0 else "RB"
+        v = [images[f, y + d, x + e] for d in range(-2, 3) for e in range(-2, 3) if 0 <= y + d < 23 and 0 <= x + e < 19 and near[kind](d, e)]
+        assert got[f, y][x] == (sum(v) + len(v) // 2) // len(v)
+
+
+def test_no_pixel_is_shuffled(spark, noise):
+    """Nothing is exploded below the last exchange of the stacks and of the flats' normalisation."""
+    r = rows_of(spark, list(noise) if noise.ndim == 3 else [noise])
+    for d in (stacking.average(r), stacking.average_of_medians(spark.range(5).selectExpr("id frame").crossJoin(r.drop("frame"))), cal.normalize_flat(r, "RGGB")):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_rows_of_unlike_lengths_and_nulls_are_summed(spark):
+    rows = [(0, 0, [1, None, 5]), (1, 0, [2, 4]), (2, 0, None), (3, 1, [])]
+    got = sorted(map(tuple, stacking.average(spark.createDataFrame(rows, "frame long, y int, row array<int>")).collect()))
+    assert got == [(0, 0, 2), (0, 1, 4), (0, 2, 5)]
+
+
 def test_results_do_not_depend_on_partitions(spark, noise):
     p = fr.to_pixels(rows_of(spark, noise))
     results = []
