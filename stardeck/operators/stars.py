@@ -1,8 +1,8 @@
 """Star detection and measurement.
 
-Everything up to the candidates is windows and arrays over row blocks. Growing stars is sequential within a
-frame (a star may block the next), so each frame's candidates are grown in one task, with only the pixels near
-them; frames run side by side.
+Everything up to the candidates works on row blocks by themselves. Growing stars is sequential where they are near one another
+(a star may block the next), so tiles of a frame grow theirs in rounds, with the pixels around them; measuring cuts out
+what lies under the stars that make the profile.
 """
 
 from __future__ import annotations
@@ -130,69 +130,158 @@ def clusters(points: DataFrame, most: int = MOST_STARS) -> DataFrame:
 
 
 STAR = "frame long, star int, x double, y double, background int, max_value int, brightness long, width int, height int, area int, overexposed boolean"
+#: Pixels that growing a star can look at on each side of its centre, and how far apart two centres are that can meet.
+REACH = DIAMETER + 2
+MEET = 2 * REACH
+TILE = 512
 
+#: What became of a candidate: number of points it takes, whether it failed, was passed over as taken, and its star if it is one.
+FATE = "frame long, k int, y int, x int, v int, threshold int, n int, failed boolean, passed boolean, star array<double>, points array<int>"
 
-def grow(rows: DataFrame, centres: DataFrame, thresholds: DataFrame, ignore_small: bool = False) -> DataFrame:
+
+def grow(rows: DataFrame, centres: DataFrame, thresholds: DataFrame, ignore_small: bool = False, tile: int = TILE) -> DataFrame:
     """STAR rows: each candidate, brightest first, flooded down to a third of its height over the local background.
 
     Rejected: what is wider than 32 pixels, has over 1,024 points, touches another star, or has too long an outline.
-    """
-    grouped = rows.select("frame", "y", "row").groupBy("frame")
-    return grouped.cogroup(centres.join(thresholds, "frame").groupBy("frame")).applyInPandas(_grow(ignore_small), STAR)
-
 
-def _grow(ignore_small: bool):
-    def one(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(centres):
-            return pd.DataFrame(columns=[c.split()[0] for c in STAR.split(", ")])
+    A candidate only depends on brighter ones near it. Tiles of the frame that hold candidates, with what lies around them, are cut
+    out once. In each round a tile grows those of its candidates for which every brighter one within reach has been settled, in this
+    or an earlier round; the brightest that is left can always be grown, so the rounds end, after as many as tiles hang together.
+    """
+    order = Window.partitionBy("frame").orderBy(F.desc("v"), "y", "x")
+    c = centres.select("frame", "y", "x", "v").join(thresholds.select("frame", "threshold"), "frame")
+    # at most MOST_STARS rows a frame
+    c = c.select(F.col("frame").cast("long").alias("frame"), (F.row_number().over(order) - 1).alias("k"), *[F.col(n).cast("int").alias(n) for n in ("y", "x", "v", "threshold")])
+    todo = cut(c.withColumn("n", F.lit(None).cast("int")).withColumn("failed", F.lit(False)).withColumn("passed", F.lit(False)).withColumn("star", F.lit(None).cast("array<double>")).withColumn("points", F.lit(None).cast("array<int>")))
+    size = rows.groupBy(F.col("frame").cast("long").alias("frame")).agg(F.count("*").alias("height"), F.max(F.size("row")).alias("width"))
+    of = lambda x: F.floor(x / tile).cast("int")
+    pieces = _pieces(rows, todo.select("frame", of(F.col("y")).alias("ty"), of(F.col("x")).alias("tx")).distinct(), tile)
+    settled = None
+    while not todo.isEmpty():
+        every = todo if settled is None else todo.unionByName(settled)
+        near = lambda x: F.explode(F.sequence(of(F.col(x) - MEET), of(F.col(x) + MEET))).alias(f"t{x}")
+        met = every.select("*", near("y")).select("*", near("x"))
+        left = todo.select("frame", of(F.col("y")).alias("ty"), of(F.col("x")).alias("tx")).distinct()
+        keys = ["frame", "ty", "tx"]
+        images, met = pieces.join(left, keys, "left_semi").groupBy(*keys), met.join(left, keys, "left_semi").groupBy(*keys)
+        found = cut(images.cogroup(met).applyInPandas(_round(tile, ignore_small), FATE))
+        settled = found if settled is None else settled.unionByName(found)
+        todo = cut(todo.join(found.select("frame", "k"), ["frame", "k"], "left_anti"))
+    if settled is None:
+        return rows.sparkSession.createDataFrame([], STAR)
+    return settled.join(size, "frame").groupBy("frame").applyInPandas(_ranked, STAR)
+
+
+def _pieces(rows: DataFrame, tiles: DataFrame, tile: int) -> DataFrame:
+    """(frame, ty, tx, y, x0, part), written: of each tile, and REACH pixels around it, the parts of the rows."""
+    of = lambda x: F.floor(x / tile).cast("int")
+    r = rows.select(F.col("frame").cast("long").alias("frame"), F.col("y").cast("int").alias("y"), "row", F.explode(F.sequence(of(F.col("y") - REACH), of(F.col("y") + REACH))).alias("ty"))
+    r = r.join(tiles, ["frame", "ty"]).withColumn("x0", F.greatest(F.col("tx") * tile - REACH, F.lit(0)))
+    part = F.slice("row", F.col("x0") + 1, (F.col("tx") + 1) * tile + REACH - F.col("x0"))
+    return cut(r.select("frame", "ty", "tx", "y", "x0", part.alias("part")))
+
+
+def _round(tile: int, ignore_small: bool):
+    def one(key: tuple, rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in FATE.split(", ")]
+        if not len(rows) or not len(near):
+            return pd.DataFrame(columns=names)
+        _, ty, tx = key
         rows = rows.sort_values("y")
-        image = np.stack(rows["row"].to_numpy()).astype(np.int64)
-        found = grow_in(image, [tuple(c) for c in centres.sort_values(["v", "y", "x"], ascending=[False, True, True])[["y", "x", "v"]].to_numpy()], int(centres["threshold"].iloc[0]), ignore_small)
-        return pd.DataFrame([(int(rows["frame"].iloc[0]), k, *s) for k, s in enumerate(found)], columns=[c.split()[0] for c in STAR.split(", ")])
+        image, y0, x0 = np.stack(rows["part"].to_numpy()).astype(np.int64), int(rows["y"].iloc[0]), int(rows["x0"].iloc[0])
+        near = near.sort_values("k")
+        waiting: list[tuple[int, int]] = []
+        taken: set[tuple[int, int]] = set()
+        for p in near["points"]:
+            if p is not None:
+                taken |= {(int(y) - y0, int(x) - x0) for y, x in zip(p[::2], p[1::2], strict=True)}
+        out = []
+        for r in near.itertuples():
+            if r.n == r.n and r.n is not None:
+                continue
+            mine = r.y // tile == ty and r.x // tile == tx
+            if not mine or any(abs(r.y - y) <= MEET and abs(r.x - x) <= MEET for y, x in waiting):
+                waiting.append((r.y, r.x))
+                continue
+            fate = grow_one(image, r.y - y0, r.x - x0, r.v, r.threshold, taken, ignore_small, y0, x0)
+            taken |= fate.points
+            points = [c for y, x in sorted(fate.points) for c in (y + y0, x + x0)]
+            out.append((r.frame, r.k, r.y, r.x, r.v, r.threshold, len(fate.points), fate.failed, fate.passed, None if fate.star is None else [float(s) for s in fate.star], points))
+        return pd.DataFrame(out, columns=names)
 
     return one
 
 
-def grow_in(image: np.ndarray, centres: list[tuple], threshold: int, ignore_small: bool) -> list[tuple]:
+def _ranked(fates: pd.DataFrame) -> pd.DataFrame:
+    """A frame's stars by brightness, from what became of its at most MOST_STARS candidates."""
+    names = [c.split()[0] for c in STAR.split(", ")]
+    f = fates.sort_values("k")
+    stars = _chosen([(n, failed, passed, None if star is None else tuple(star)) for n, failed, passed, star in zip(f["n"], f["failed"], f["passed"], f["star"], strict=True)], int(f["width"].iloc[0]) * int(f["height"].iloc[0]))
+    whole = lambda s: (s[0], s[1], *map(int, s[2:8]), bool(s[8]))
+    return pd.DataFrame([(int(f["frame"].iloc[0]), k, *whole(s)) for k, s in enumerate(stars)], columns=names)
+
+
+class Fate:
+    """What became of a candidate."""
+
+    def __init__(self, points: set | None = None, failed: bool = False, passed: bool = False, star: tuple | None = None):
+        self.points, self.failed, self.passed, self.star = points or set(), failed, passed, star
+
+
+def grow_one(image: np.ndarray, cy: int, cx: int, top: int, threshold: int, taken: set[tuple[int, int]], ignore_small: bool, y0: int = 0, x0: int = 0) -> Fate:
+    """One candidate, where the points `taken` belong to brighter ones. The image's corner is at (y0, x0) of the frame."""
     height, width = image.shape
-    taken: set[tuple[int, int]] = set()
-    stars, failures = [], 0
-    for cy, cx, top in centres:
-        if (cy, cx) in taken:
-            continue
-        if len(taken) > width * height // 10 or failures > 1000:
+    if (cy, cx) in taken:
+        return Fate(passed=True)
+    window = np.sort(image[max(cy - DIAMETER, 0) : cy + DIAMETER + 1, max(cx - DIAMETER, 0) : cx + DIAMETER + 1], axis=None)
+    ground = int(window[len(window) // 3])
+    if top - ground < max(threshold, 1):
+        return Fate()
+    floor = ground + (top - ground + 1) // 3
+    points, fits = _flood(image, cy, cx, floor, taken)
+    if not points or ignore_small and len(points) <= 3:
+        return Fate()
+    if not fits:
+        return Fate(failed=True)
+    ys, xs = (np.array(a) for a in zip(*sorted(points), strict=True))
+    v = image[ys, xs]
+    part = (v - ground) / (top - ground)
+    y, x = float((part * (ys + y0)).sum() / part.sum()), float((part * (xs + x0)).sum() / part.sum())
+    grown = {(a + d, b + e) for a, b in points for d in (-1, 0, 1) for e in (-1, 0, 1)}
+    if int((v - ground).sum()) <= 0 or not _round_enough(grown):
+        return Fate(points)
+    box = (ys.min(), ys.max(), xs.min(), xs.max())
+    over = _plateau(image, grown, round_half(y) - y0, round_half(x) - x0, box, ground)
+    inside = sum(0 <= a < height and 0 <= b < width for a, b in grown)
+    size = (3 * max(cx - box[2] + 1, box[3] - cx + 1), 3 * max(cy - box[0] + 1, box[1] - cy + 1))
+    return Fate(points, star=(x, y, ground, int(top), int((v - ground).sum()), int(size[0]), int(size[1]), inside, over))
+
+
+def _chosen(fates: list[tuple[int, bool, bool, tuple | None]], pixels: int) -> list[tuple]:
+    """The stars of (points, failed, passed, star) in the order of their candidates; none where too much is taken or too many have failed."""
+    points = failures = 0
+    for n, failed, passed, _ in fates:
+        if not passed and (points > pixels // 10 or failures > 1000):
             return []
-        window = np.sort(image[max(cy - DIAMETER, 0) : cy + DIAMETER + 1, max(cx - DIAMETER, 0) : cx + DIAMETER + 1], axis=None)
-        ground = int(window[len(window) // 3])
-        if top - ground < max(threshold, 1):
-            continue
-        floor = ground + (top - ground + 1) // 3
-        points, fits = _flood(image, cy, cx, floor, taken)
-        if not points or ignore_small and len(points) <= 3:
-            continue
-        if not fits:
-            failures += 1
-            continue
-        taken |= points
-        ys, xs = (np.array(a) for a in zip(*sorted(points), strict=True))
-        v = image[ys, xs]
-        part = (v - ground) / (top - ground)
-        y, x = float((part * ys).sum() / part.sum()), float((part * xs).sum() / part.sum())
-        grown = {(a + d, b + e) for a, b in points for d in (-1, 0, 1) for e in (-1, 0, 1)}
-        if int((v - ground).sum()) <= 0 or not _round_enough(grown):
-            continue
-        box = (ys.min(), ys.max(), xs.min(), xs.max())
-        over = _plateau(image, grown, round_half(y), round_half(x), box, ground)
-        inside = sum(0 <= a < height and 0 <= b < width for a, b in grown)
-        size = (3 * max(cx - box[2] + 1, box[3] - cx + 1), 3 * max(cy - box[0] + 1, box[1] - cy + 1))
-        stars.append((x, y, ground, int(top), int((v - ground).sum()), int(size[0]), int(size[1]), inside, over))
-    stars.sort(key=lambda s: -s[4])
+        points, failures = points + int(n), failures + bool(failed)
+    stars = sorted((s for *_, s in fates if s is not None), key=lambda s: -s[4])
     plain = sorted(s[7] for s in stars if not s[8])
     if plain:
         stars = [s for s in stars if s[8] or s[7] < 2 * plain[len(plain) // 2]]
     return stars[:MOST_STARS]
 
 
+def grow_in(image: np.ndarray, centres: list[tuple], threshold: int, ignore_small: bool) -> list[tuple]:
+    """The stars of a whole image, one candidate (y, x, v) after another."""
+    taken: set[tuple[int, int]] = set()
+    fates = []
+    for cy, cx, top in centres:
+        f = grow_one(image, cy, cx, top, threshold, taken, ignore_small)
+        taken |= f.points
+        fates.append((len(f.points), f.failed, f.passed, f.star))
+    return _chosen(fates, image.size)
+
+
 def round_half(x: float) -> int:
     return int(math.floor(x + 0.5))
 
@@ -232,26 +321,35 @@ def _plateau(image: np.ndarray, points: set, y: int, x: int, box: tuple, ground:
     return True
 
 
-def profile(image: np.ndarray, stars: list[tuple], k: int = 4) -> np.ndarray | None:
-    """The median image of stars (x, y, background, max_value, width, height), k times finer, scaled to 65535."""
+def profile_stars(stars: list[tuple], width: int, height: int) -> list[tuple]:
+    """Of stars (x, y, background, max_value, width, height) those that make a frame's profile: from the middle outwards until over 50 are found, 101 at most."""
     stars = [s for s in stars if s[3] > s[2]]
-    if not stars:
-        return None
-    half = min(image.shape) / 2
-    centre = (image.shape[1] // 2, image.shape[0] // 2)
+    half, centre = min(width, height) / 2, (width // 2, height // 2)
     far = [math.hypot(s[0] - centre[0], s[1] - centre[1]) for s in stars]
+    chosen: list[tuple] = []
     for ring in (0.5, 0.66, 0.75, 1.0, math.inf):
         chosen = [s for s, d in zip(stars, far, strict=True) if d < ring * half][:101]
         if len(chosen) > 50:
             break
+    return chosen
+
+
+def profile_size(chosen: list[tuple], k: int = 4) -> tuple[int, int]:
+    """Width and height of the profile, in parts of a pixel: the means of the stars', odd."""
+    odd = lambda n: n + 1 - n % 2
+    w, h = (odd(min(sum(int(s[i]) for s in chosen) // len(chosen), DIAMETER) * k) for i in (4, 5))
+    return w, h
+
+
+def profile(patches: list[tuple[np.ndarray, int, int]], chosen: list[tuple], width: int, height: int, k: int = 4) -> np.ndarray | None:
+    """The median image of the chosen stars, k times finer, scaled to 65535. patches: for each star a part of the frame and where its corner is."""
     if not chosen:
         return None
-    odd = lambda n: n + 1 - n % 2
-    w, h = (odd(min(sum(s[i] for s in chosen) // len(chosen), DIAMETER) * k) for i in (4, 5))
+    w, h = profile_size(chosen, k)
     gy, gx = np.mgrid[0:h, 0:w]
     layers = []
-    for x, y, ground, top, *_ in chosen:
-        v = bilinear(image, x + (gx - w // 2) / k, y + (gy - h // 2) / k)
+    for (patch, y0, x0), (x, y, ground, top, *_) in zip(patches, chosen, strict=True):
+        v = bilinear(patch, x + (gx - w // 2) / k, y + (gy - h // 2) / k, y0, x0, width, height)
         layers.append(np.where(v < 0, np.nan, np.trunc(65535.0 * (v - ground) / (top - ground))))
     stack = np.sort(np.stack(layers), axis=0)
     n = (~np.isnan(stack)).sum(axis=0)
@@ -259,15 +357,16 @@ def profile(image: np.ndarray, stars: list[tuple], k: int = 4) -> np.ndarray | N
     return np.clip(np.nan_to_num(middle), 0, 65535).astype(np.int64)
 
 
-def bilinear(image: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Values at places in 1/256 pixels; -1 outside."""
-    height, width = image.shape
+def bilinear(image: np.ndarray, x: np.ndarray, y: np.ndarray, y0: int = 0, x0: int = 0, width: int | None = None, height: int | None = None) -> np.ndarray:
+    """Values at places in 1/256 pixels; -1 outside of the frame, of which image is the part at (y0, x0)."""
+    height, width = height or image.shape[0], width or image.shape[1]
     fx, fy = (np.trunc(c * 256).astype(np.int64) for c in (x, y))
     ix, iy = fx // 256, fy // 256
     u, w = fx % 256, fy % 256
     out = (ix < -1) | (iy < -1) | (ix > width - 1) | (iy > height - 1)
-    a, b = np.clip(ix, 0, width - 1), np.clip(ix + 1, 0, width - 1)
-    c, d = np.clip(iy, 0, height - 1), np.clip(iy + 1, 0, height - 1)
+    at = lambda i, n, o, m: np.clip(np.clip(i, 0, n - 1) - o, 0, m - 1)
+    a, b = at(ix, width, x0, image.shape[1]), at(ix + 1, width, x0, image.shape[1])
+    c, d = at(iy, height, y0, image.shape[0]), at(iy + 1, height, y0, image.shape[0])
     top = image[c, a] * (256 - u) + image[c, b] * u
     low = image[d, a] * (256 - u) + image[d, b] * u
     return np.where(out, -1, (top * (256 - w) + low * w) >> 16)
@@ -294,20 +393,44 @@ def sizes(p: np.ndarray, k: int = 4) -> tuple[float | None, float, float]:
     return hfd, fwhm, (widths[widest] - widths[(widest + 16) % 32]) / k
 
 
+CHOSEN = "frame long, n int, x double, y double, background int, max_value int, width int, height int, frame_width int, frame_height int, y0 int, y1 int, x0 int, x1 int"
+
+
 def measure(rows: DataFrame, stars: DataFrame) -> DataFrame:
-    """(frame, stars, hfd, fwhm, ovality) of each frame, from the median profile of its stars that are not overexposed."""
-
-    def one(r: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        out = {"frame": int((r if len(r) else s)["frame"].iloc[0]), "stars": len(s), "hfd": None, "fwhm": None, "ovality": None}
-        plain = s[~s["overexposed"].astype(bool)].sort_values("star") if len(s) else s
-        if len(r) and len(plain):
-            image = np.stack(r.sort_values("y")["row"].to_numpy()).astype(np.int64)
-            p = profile(image, [tuple(t) for t in plain[["x", "y", "background", "max_value", "width", "height"]].itertuples(index=False)])
-            if p is not None:
-                out["hfd"], out["fwhm"], out["ovality"] = sizes(p)
+    """(frame, stars, hfd, fwhm, ovality) of each frame, from the median profile of its stars that are not overexposed.
+
+    At most 101 stars of a frame are chosen, and of each only what lies under the profile is cut out of the rows.
+    """
+    size = rows.groupBy(F.col("frame").cast("long").alias("frame")).agg(F.count("*").cast("int").alias("frame_height"), F.max(F.size("row")).alias("frame_width"))
+    names = [c.split()[0] for c in CHOSEN.split(", ")]
+
+    def choose(s: pd.DataFrame) -> pd.DataFrame:
+        width, height = int(s["frame_width"].iloc[0]), int(s["frame_height"].iloc[0])
+        plain = s[~s["overexposed"].astype(bool)].sort_values("star")
+        chosen = profile_stars([tuple(t) for t in plain[["x", "y", "background", "max_value", "width", "height"]].itertuples(index=False)], width, height)
+        w, h = profile_size(chosen) if chosen else (0, 0)
+        box = lambda c, d, most: (max(int(c - d / 8) - 2, 0), min(int(c + d / 8) + 3, most - 1))
+        out = [(int(s["frame"].iloc[0]), n, *c, width, height, *box(c[1], h, height), *box(c[0], w, width)) for n, c in enumerate(chosen)]
+        return pd.DataFrame(out, columns=names)
+
+    chosen = cut(stars.join(size, "frame").groupBy("frame").applyInPandas(choose, CHOSEN))
+    lines = chosen.select("frame", "n", "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y"))
+    parts = rows.select(F.col("frame").cast("long").alias("frame"), F.col("y").cast("int").alias("y"), "row").join(lines, ["frame", "y"])
+    parts = parts.select("frame", "n", "y", F.slice("row", F.col("x0") + 1, F.col("x1") - F.col("x0") + 1)).toDF("frame", "of", "y", "part")
+
+    def one(key: tuple, c: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = {"frame": int(key[0]), "hfd": None, "fwhm": None, "ovality": None}
+        c = c.sort_values("n")
+        of = {n: np.stack(g.sort_values("y")["part"].to_numpy()).astype(np.int64) for n, g in p.groupby("of")}
+        patches = [(of[n], int(y0), int(x0)) for n, y0, x0 in zip(c["n"], c["y0"], c["x0"], strict=True)]
+        image = profile(patches, [tuple(t) for t in c[["x", "y", "background", "max_value", "width", "height"]].itertuples(index=False)], int(c["frame_width"].iloc[0]), int(c["frame_height"].iloc[0]))
+        out["hfd"], out["fwhm"], out["ovality"] = sizes(image)
         return pd.DataFrame([out]).astype({k: "float64" for k in ("hfd", "fwhm", "ovality")})
 
-    return rows.select("frame", "y", "row").groupBy("frame").cogroup(stars.groupBy("frame")).applyInPandas(one, "frame long, stars int, hfd double, fwhm double, ovality double")
+    found = chosen.groupBy("frame").cogroup(parts.groupBy("frame")).applyInPandas(one, "frame long, hfd double, fwhm double, ovality double")
+    counts = stars.groupBy("frame").agg(F.count("*").cast("int").alias("n"))
+    every = size.select("frame").join(counts, "frame", "left").select("frame", F.coalesce("n", F.lit(0)).alias("stars"))
+    return every.join(found, "frame", "left")
 
 
 def angular_width(fwhm: Column, pixel_size: Column, focal_length: Column) -> Column:

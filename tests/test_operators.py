@@ -168,6 +168,64 @@ def test_stars_are_found_where_they_are(sky):
     assert sum(near) >= 0.9 * len(inside) and len(at) <= 25
 
 
+def crowded(seed, height=210, width=230, n=60):
+    """An image where stars touch, cover one another and lie on borders."""
+    r = np.random.default_rng(seed)
+    y, x = np.mgrid[0:height, 0:width]
+    image = 100 + r.integers(0, 9, (height, width)).astype(float)
+    for k in range(n):
+        cy, cx = r.uniform(0, height), r.uniform(0, width)
+        if k % 3:
+            cy, cx = cy // 35 * 35 + r.uniform(-4, 4), cx // 50 * 50 + r.uniform(-4, 4)
+        image += r.uniform(300, 20_000) * np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / (2 * r.uniform(0.8, 4) ** 2))
+    return np.clip(image, 0, 65535).astype(int)
+
+
+@pytest.mark.parametrize("tile", [40, 100, 512])
+def test_growth_in_tiles_is_growth_of_the_whole(spark, tile):
+    images = [crowded(s) for s in range(3)]
+    r = rows_of(spark, images)
+    t = spark.createDataFrame([(f, 40) for f in range(3)], "frame long, threshold int")
+    centres = stars.clusters(stars.extrema(r, t, 230, 210)).cache()
+    got = stars.grow(r, centres, t, tile=tile).orderBy("frame", "star").collect()
+    for f, image in enumerate(images):
+        order = sorted(((c["y"], c["x"], c["v"]) for c in centres.where(F.col("frame") == f).collect()), key=lambda c: (-c[2], c[0], c[1]))
+        want = stars.grow_in(image, order, 40, False)
+        mine = [tuple(s)[2:] for s in got if s["frame"] == f]
+        assert len(want) > 10 and len(mine) == len(want)
+        for a, b in zip(mine, want, strict=True):
+            assert a[2:] == tuple(b[2:]) and a[:2] == pytest.approx(b[:2], abs=1e-9)
+        assert len(want) < len(order)
+
+
+def test_growth_gives_up_where_too_much_is_taken(spark):
+    image = np.full((60, 60), 100)
+    image[4:56:8, 4:56:8] = 9000
+    image[5:57:8, 4:56:8] = 8000
+    image[4:56:8, 5:57:8] = 8000
+    r, t = rows_of(spark, [image]), spark.createDataFrame([(0, 10)], "frame long, threshold int")
+    centres = spark.createDataFrame([(0, y, x, 9000) for y in range(4, 56, 8) for x in range(4, 56, 8)], "frame long, y int, x int, v int")
+    assert stars.grow(r, centres, t, tile=40).count() == len(stars.grow_in(image, [(y, x, 9000) for y in range(4, 56, 8) for x in range(4, 56, 8)], 10, False)) > 0
+    image[:, :40] = 9000
+    assert stars.grow(rows_of(spark, [image]), centres, t).count() == len(stars.grow_in(image, [(y, x, 9000) for y in range(4, 56, 8) for x in range(4, 56, 8)], 10, False))
+    assert stars.grow(r, centres.where("v < 0"), t).count() == 0
+
+
+def test_profile_of_patches_is_that_of_the_frame(spark):
+    """What measure() gives of the patches is what the whole image gives."""
+    image = crowded(5)
+    r = rows_of(spark, [image])
+    t = spark.createDataFrame([(0, 40)], "frame long, threshold int")
+    found = stars.grow(r, stars.clusters(stars.extrema(r, t, 230, 210)), t).cache()
+    plain = [tuple(s)[2:] for s in found.orderBy("star").collect() if not s["overexposed"]]
+    chosen = stars.profile_stars([(s[0], s[1], s[2], s[3], s[5], s[6]) for s in plain], 230, 210)
+    want = stars.sizes(stars.profile([(image, 0, 0)] * len(chosen), chosen, 230, 210))
+    got = stars.measure(r, found).first()
+    assert (got["hfd"], got["fwhm"], got["ovality"]) == pytest.approx(want) and got["stars"] == found.count()
+    nothing = stars.measure(rows_of(spark, [image, image]), found).where("frame = 1").first()
+    assert tuple(nothing) == (1, 0, None, None, None)
+
+
 def test_star_sizes(sky):
     m = stars.measure(*sky).where("frame = 0").first()
     assert 1.8 < m["fwhm"] < 3.2 and 1.5 < m["hfd"] < 4 and m["ovality"] < 1
