@@ -150,16 +150,23 @@ def _card(name: str, value: object) -> bytes:
     return f"{name:<8}= {text:>20}".ljust(CARD)[:CARD].encode("latin-1")
 
 
-def encode(image: np.ndarray, keys: dict[str, object] | None = None, bits: int = 16) -> bytes:
-    """A FITS file of one plane (height, width) or three (3, height, width); 16-bit values are stored less 32768."""
-    cards = [_card("SIMPLE", True), _card("BITPIX", bits), _card("NAXIS", image.ndim)]
-    cards += [_card(f"NAXIS{k + 1}", n) for k, n in enumerate(reversed(image.shape))]
+def _padded(data: bytes, fill: bytes) -> bytes:
+    return data.ljust(-(-len(data) // BLOCK) * BLOCK, fill)
+
+
+def header_block(shape: tuple[int, ...], keys: dict[str, object] | None = None, bits: int = 16) -> bytes:
+    """The header of an image of this shape, whose last axis comes first in the file; 16-bit values are stored less 32768."""
+    cards = [_card("SIMPLE", True), _card("BITPIX", bits), _card("NAXIS", len(shape))]
+    cards += [_card(f"NAXIS{k + 1}", n) for k, n in enumerate(reversed(shape))]
     cards += [_card("BZERO", 32768)] if bits == 16 else []
     cards += [_card(k, v) for k, v in (keys or {}).items() if v is not None] + [b"END".ljust(CARD)]
-    head = b"".join(cards)
+    return _padded(b"".join(cards), b" ")
+
+
+def encode(image: np.ndarray, keys: dict[str, object] | None = None, bits: int = 16) -> bytes:
+    """A FITS file of one plane (height, width) or three (3, height, width)."""
     data = (image.astype(np.int64) - 32768).astype(">i2").tobytes() if bits == 16 else image.astype(">u1").tobytes()
-    pad = lambda b, fill: b.ljust(-(-len(b) // BLOCK) * BLOCK, fill)
-    return pad(head, b" ") + pad(data, b"\0")
+    return header_block(image.shape, keys, bits) + _padded(data, b"\0")
 
 
 def encode_table(columns: dict[str, np.ndarray]) -> bytes:

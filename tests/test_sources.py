@@ -1,12 +1,14 @@
 """Sources and sinks by round trip."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from stardeck.operators import frames as fr
-from stardeck.sources import fits, starfile, tables, tiff
+from stardeck.sources import fits, fits_format, starfile, tables, tiff
 
 
 def test_fits_round_trip(spark, tmp_path):
@@ -38,6 +40,60 @@ def test_fits_files_are_written_for_each_frame(spark, tmp_path):
     assert sorted(r["s"] for r in got) == [33, 63]
 
 
+def test_fits_format_reads_in_shares(spark, tmp_path):
+    """The format gives what whole files give, however many shares a file has."""
+    rng = np.random.default_rng(5)
+    mono, colour = rng.integers(0, 65536, (41, 30)), rng.integers(0, 256, (3, 9, 7))
+    (tmp_path / "a.fits").write_bytes(fits.encode(mono, {"EXPTIME": 2.5}) + fits.encode(mono[:5] // 300, bits=8))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.fit").write_bytes(fits.encode(colour, bits=8))
+    (tmp_path / "c.fits").write_bytes(fits.encode_table({"X": np.arange(3.0)}))
+    (tmp_path / "_d.fits").write_bytes(b"not one")
+    (tmp_path / "e.txt").write_bytes(b"nor this")
+    os.rename(tmp_path / "_d.fits", tmp_path / "d.away")
+    key = lambda rows: sorted((r["path"].rpartition("/")[2], r["hdu"], r["chan"], r["y"], tuple(r["row"])) for r in rows.collect())
+    want = key(fits.read_rows(spark, str(tmp_path)).where("path NOT LIKE '%.away' AND path NOT LIKE '%.txt'"))
+    for share in ("1000", "700000"):
+        got = fits_format.read_rows(spark, str(tmp_path), shareBytes=share)
+        assert key(got) == want and len(want) == 41 + 5 + 27
+    assert got.rdd.getNumPartitions() == 3 < fits_format.read_rows(spark, str(tmp_path), shareBytes="1000").rdd.getNumPartitions()
+    some = fits_format.read_rows(spark, f"{tmp_path}/a.fits", rows="38:40")
+    assert key(some) == [("a.fits", 0, "L", y, tuple(mono[y])) for y in (38, 39)]
+    (tmp_path / "f.fits").write_bytes(fits.encode(mono)[: 2880 + 600])
+    with pytest.raises(Exception, match="ends within its data"):
+        fits_format.read_rows(spark, str(tmp_path)).count()
+
+
+def test_fits_format_reads_rows_of_a_file_larger_than_binary_files(spark, tmp_path):
+    """5 GB, of which a few rows are read; the file has holes, so it takes no room."""
+    height, width = 50_000, 50_000
+    head = fits.header_block((height, width))
+    with open(tmp_path / "large.fits", "wb") as f:
+        f.write(head)
+        f.seek(len(head) + 2 * width * 49_998)
+        f.write((np.arange(2 * width) % 1000).astype(">i2").tobytes())
+        f.truncate(len(head) + 2 * width * height)
+    got = fits_format.read_rows(spark, str(tmp_path), rows="49997:50000").select("y", F.element_at("row", 8).alias("v"), F.size("row").alias("n")).orderBy("y").collect()
+    assert [tuple(r) for r in got] == [(49_997, 32_768, width), (49_998, 32_775, width), (49_999, 32_775, width)]
+
+
+def test_fits_format_writes_all_or_nothing(spark, tmp_path):
+    rows = [(f, y, [f * 1000 + y * 10 + x for x in range(4)]) for f in range(5) for y in range(6)]
+    table = spark.createDataFrame(rows, "frame long, y int, row array<int>")
+    folder = f"{tmp_path}/out"
+    fits_format.write_rows(table.repartition(7), folder, cards='{"EXPTIME": 3.5}')
+    assert sorted(os.listdir(folder)) == [f"frame_{f:04d}.fits" for f in range(5)]
+    got = fits_format.read_rows(spark, folder)
+    assert sorted((int(r["path"][-9:-5]), r["y"], r["row"]) for r in got.collect()) == rows
+    assert {r["exposure"] for r in fits.frame_info(fits.read_headers(spark, folder)).collect()} == {3.5}
+    broken = table.where("frame <> 3 OR y <> 2").withColumn("frame", F.col("frame") + 10)
+    with pytest.raises(Exception, match="row 3 of 4 pixels where row 2"):
+        fits_format.write_rows(broken, folder)
+    assert sorted(os.listdir(folder)) == [f"frame_{f:04d}.fits" for f in range(5)]  # what was there stays, and nothing is left of the other
+    fits_format.write_rows(table.where("frame < 2").withColumn("row", F.transform("row", lambda v: v % 256)), folder, overwrite=True, bits="8", prefix="small_")
+    assert sorted(os.listdir(folder)) == ["small_0000.fits", "small_0001.fits"]
+
+
 def test_star_file(spark, tmp_path):
     rng = np.random.default_rng(2)
     n = 200
