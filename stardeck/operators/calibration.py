@@ -36,16 +36,21 @@ def subtract_dark(rows: DataFrame, dark: DataFrame) -> DataFrame:
     return both.select("frame", "y", row.alias("row"), "shift")
 
 
-def apply_flat(rows: DataFrame, flat: DataFrame, zero: int = 0, flat_zero: int = 0) -> DataFrame:
-    """(v - zero) x 65535 / (flat - flat_zero) + zero, truncated and saturated; unchanged where the divisor is 0."""
-    both = rows.join(flat.select("y", F.col("row").alias("f")), "y")
+def flat_of(zero: Column | int, flat_zero: Column | int) -> Callable[[Column, Column], Column]:
+    """How a flat's pixel divides a frame's: (v - zero) x 65535 / (flat - flat_zero) + zero."""
 
     def one(v: Column, f: Column) -> Column:
         # products stay below 2^53, so the double quotient cut toward zero is the integer quotient
         ratio = (v - zero).cast("double") * MAX16 / F.when(f != flat_zero, (f - flat_zero).cast("double"))
         return F.coalesce(saturate(ratio.cast("long") + zero), v)
 
-    return both.select("frame", "y", F.zip_with("row", "f", one).alias("row"))
+    return one
+
+
+def apply_flat(rows: DataFrame, flat: DataFrame, zero: Column | int = 0, flat_zero: int = 0) -> DataFrame:
+    """(v - zero) x 65535 / (flat - flat_zero) + zero, truncated and saturated; unchanged where the divisor is 0."""
+    both = rows.join(flat.select("y", F.col("row").alias("f")), "y")
+    return both.select("frame", "y", F.zip_with("row", "f", flat_of(zero, flat_zero)).alias("row"))
 
 
 def _rank(hist: DataFrame, keys: list[str], rank: Column, name: str) -> DataFrame:
@@ -120,12 +125,12 @@ def _band_rows(b: Band, *images: np.ndarray) -> pa.RecordBatch:
 
 
 def repair(rows: DataFrame, bad: DataFrame, cfa: str | None, rounds: int = 3, band: int = BAND) -> DataFrame:
-    """Row blocks with bad pixels (frame, y, x), or (y, x) of every frame, as truncated means of their good neighbours of the same colour.
+    """Row blocks with bad pixels (frame, y, x), or (y, x) of every frame, or of another column that rows has, too, as truncated means of their good neighbours of the same colour.
 
     In at most three rounds: a round's repairs are sources in the next only. Bands take two rows more on each side for every round,
     so frames are shuffled once; a pixel that no round can mend keeps its value.
     """
-    keys = ["frame", "y"] if "frame" in bad.columns else ["y"]
+    keys = [c for c in bad.columns if c != "x"]
     at = bad.groupBy(*keys).agg(F.collect_set(F.col("x").cast("int")).alias("bad"))
     ring = {k: [p for p in near if p != (0, 0)] for k, near in (("L", [p for p in _NEAR if max(map(abs, p)) < 2]), ("G", [p for p in SAME["G"] if max(map(abs, p)) < 2]), ("RB", SAME["RB"]))}
 
@@ -161,7 +166,7 @@ def repair(rows: DataFrame, bad: DataFrame, cfa: str | None, rounds: int = 3, ba
             ty, tx = ty[left], tx[left]
         return _band_rows(b, b.shifted(image, 0, 0))
 
-    return by_bands(rows.select("frame", "y", "row").join(at, keys, "left"), 2 * rounds, mend, ROWS, band)
+    return by_bands(rows.join(at, keys, "left").select("frame", "y", "row", "bad"), 2 * rounds, mend, ROWS, band)
 
 
 def _line_contrasts(rows: DataFrame, width: int, height: int) -> tuple[DataFrame, DataFrame]:

@@ -248,3 +248,29 @@ def preview_tone(spark, sf_dir):
     p = pixels(spark, sf_dir)
     levels = fr.preview_levels(fr.histogram(p, "frame"), ["frame"])
     return p.join(levels, "frame").select("frame", "y", "x", fr.tone(F.col("v"), F.col("dark"), F.col("light")).alias("level"))
+
+
+#: Of each five frames two are darks, one is a flat and two are lights; a frame's setting is whether its number is odd, its time the number.
+@query(PIX + f""", pairs AS (SELECT l.frame, max(d.frame) AS dark FROM (SELECT DISTINCT frame FROM pix) l JOIN (SELECT DISTINCT frame FROM pix) d ON d.frame < l.frame AND d.frame % 2 = l.frame % 2 AND d.frame % 5 < 2 WHERE l.frame % 5 > 2 GROUP BY l.frame),
+  flats AS (SELECT l.frame, max(d.frame) AS flat FROM (SELECT DISTINCT frame FROM pix) l JOIN (SELECT DISTINCT frame FROM pix) d ON d.frame < l.frame AND d.frame % 2 = l.frame % 2 AND d.frame % 5 = 2 WHERE l.frame % 5 > 2 GROUP BY l.frame),
+  means AS (SELECT frame, sum(v) // count(*) AS mean FROM pix GROUP BY frame), off AS (SELECT CAST(unnest(range(-2, 3)) AS INT) AS d),
+  raw AS (SELECT frame, y, x, 32768 + v // 4 AS v FROM pix WHERE frame % 5 = 2),
+  smooth AS (SELECT p.frame, p.y, p.x, (sum(q.v) + count(*) // 2) // count(*) AS f FROM raw p, off a, off b JOIN raw q ON q.frame = p.frame AND q.y = p.y + a.d AND q.x = p.x + b.d
+    WHERE {COLOR.format(y='p.y', x='p.x')} = {COLOR.format(y='q.y', x='q.x')} GROUP BY p.frame, p.y, p.x),
+  less AS (SELECT p.frame, p.y, p.x, coalesce(m.mean - n.mean, 0) AS shift, greatest(0, least(65535, p.v - coalesce(d.v, 0) + coalesce(m.mean - n.mean, 0))) AS v
+    FROM pix p LEFT JOIN pairs k ON k.frame = p.frame LEFT JOIN pix d ON d.frame = k.dark AND d.y = p.y AND d.x = p.x LEFT JOIN means m ON m.frame = p.frame LEFT JOIN means n ON n.frame = k.dark WHERE p.frame % 5 > 2)
+  SELECT l.frame, l.y, l.x, CAST(CASE WHEN s.f IS NULL THEN v ELSE greatest(0, least(65535, CAST(trunc((v - 100 - shift)::BIGINT * 65535::DOUBLE / (s.f - 200)) AS BIGINT) + 100 + shift)) END AS INT) AS v,
+    CAST(CASE WHEN k.dark IS NULL THEN 0 ELSE 5 END + CASE WHEN t.flat IS NULL THEN 0 ELSE 8 END AS INT) AS done
+  FROM less l LEFT JOIN flats t ON t.frame = l.frame LEFT JOIN smooth s ON s.frame = t.flat AND s.y = l.y AND s.x = l.x LEFT JOIN pairs k ON k.frame = l.frame""")
+def calibrate_settings(spark, sf_dir):
+    """Lights of two settings by the masters of each that came before them."""
+    from ..operators import library
+
+    r = rows(spark, sf_dir).withColumn("setting", F.expr("cast(frame % 2 as string)"))
+    flat = F.expr("frame % 5 = 2")
+    row = F.when(flat, F.transform("row", lambda v: F.floor(v / 4).cast("int") + 32768)).otherwise(F.col("row"))
+    masters = r.where("frame % 5 <= 2").select(F.col("frame").alias("master"), F.when(flat, "flat").otherwise("dark").alias("kind"), "setting", F.col("frame").alias("since"), F.lit(200).alias("offset"), "y", row.alias("row"))
+    lights = r.where("frame % 5 > 2")
+    frames = lights.select("frame", "setting", F.col("frame").alias("time"), F.lit(100).alias("offset")).distinct()
+    out = library.calibrate_by(lights, frames, library.prepare(masters, W, H, PATTERN, defects=False), PATTERN)
+    return out.select("frame", "y", F.posexplode("row").alias("x", "v"), "done")

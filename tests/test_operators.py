@@ -249,6 +249,50 @@ def test_offsets_with_a_turn_and_without_agreement(spark):
     assert o[1]["angle"] == pytest.approx(0.3, abs=1e-3) and o[2]["x"] is None
 
 
+def test_library_calibrates_as_each_setting_alone(spark, tmp_path):
+    """Frames of two settings by the masters of their time; one that comes between batches counts from then on."""
+    from stardeck.operators import library
+
+    rng = np.random.default_rng(23)
+    h, w, cfa = 24, 26, "RGGB"
+
+    def dark(level, y, x):
+        d = rng.integers(level, level + 20, (h, w))
+        d[y, x] = 60_000
+        return d
+
+    made = {1: ("dark", "a", 0, dark(100, 5, 7)), 2: ("dark", "b", 0, dark(300, 11, 3)), 3: ("flat", "a", 1, rng.integers(30_000, 40_000, (h, w))), 4: ("bias", "c", 0, dark(50, 2, 2)), 5: ("dark", "a", 10, dark(140, 20, 20))}
+    lights = {10: ("a", 5), 11: ("b", 5), 12: ("c", 5), 13: ("d", 5), 14: ("a", 12), 15: ("a", 0)}
+    images = {f: rng.integers(1000, 9000, (h, w)) for f in lights}
+    masters = lambda ids: spark.createDataFrame([(m, made[m][0], made[m][1], made[m][2], 50, y, [int(v) for v in row]) for m in ids for y, row in enumerate(made[m][3])], "master long, kind string, setting string, since long, offset int, y int, row array<int>")
+    blocks = lambda fs: spark.createDataFrame([(f, y, [int(v) for v in row], *lights[f], 10) for f in fs for y, row in enumerate(images[f])], "frame long, y int, row array<int>, setting string, time long, offset int")
+    kept = library.Library(spark, f"{tmp_path}/lib", w, h, cfa)
+    write = kept.calibrating(f"{tmp_path}/out")
+    write(blocks([10]), 0)  # nothing is there yet
+    kept.add(masters([1, 2, 4]))
+    kept.add(masters([3]))
+    write(blocks([10, 11, 12, 13, 14, 15]), 1)
+    kept.add(masters([5]))
+    write(blocks([14]), 2)
+    image = lambda n, f: image_of(spark.read.parquet(f"{tmp_path}/out/batch={n}"), f)
+    done = {(r["batch"], r["frame"]): r["done"] for r in spark.read.parquet(f"{tmp_path}/out").select("batch", "frame", "done").distinct().collect()}
+
+    def alone(f, **by):
+        out, bits = cal.calibrate(rows_of(spark, [images[f]]), cfa, w, h, 10, **{k: rows_of(spark, [made[m][3]]) for k, m in by.items()}, **({"flat_offset": 50} if "flat" in by else {}), search=False)
+        return image_of(out), bits
+
+    for n, f, by in [(0, 10, {}), (1, 10, {"dark": 1, "flat": 3}), (1, 11, {"dark": 2}), (1, 12, {"bias": 4}), (1, 13, {}), (1, 14, {"dark": 1, "flat": 3}), (1, 15, {"dark": 1}), (2, 14, {"dark": 5, "flat": 3})]:
+        want, bits = alone(f, **by)
+        if n == 2:  # the flat was made ready when the first dark was the one of its time
+            bad = cal.hot_in_dark(rows_of(spark, [made[1][3]]), w, h).select("y", "x")
+            flat = cal.smooth_flat(cal.repair(rows_of(spark, [made[3][3]]), bad, cfa), cfa)
+            d = cal.subtract_dark(rows_of(spark, [images[f]]), rows_of(spark, [made[5][3]]))
+            d = cal.apply_flat(d, flat, F.col("shift") + 10, 50)
+            want = image_of(cal.repair(d, cal.hot_in_dark(rows_of(spark, [made[5][3]]), w, h).select("y", "x"), cfa))
+        assert np.array_equal(image(n, f), want), (n, f)
+        assert done[n, f] == bits, (n, f)
+
+
 @pytest.mark.parametrize("cfa", [None, "GRBG"])
 def test_bands_of_any_height_give_the_same(spark, cfa):
     """Stencils over bands of 3 rows are those over whole frames, and of 7 x 5 neighbours in plain Python."""
