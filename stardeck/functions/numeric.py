@@ -49,6 +49,30 @@ def solve3(m: list[list[Column]], r: list[Column]) -> tuple[Column, ...]:
     return tuple(det3(put(k)) / det for k in range(3))
 
 
+def inverse3(m: list[list[Column]]) -> list[list[Column]]:
+    """The inverse of a 3 x 3 matrix, by cofactors; null without one."""
+    det = det3(m)
+    det = F.when(det != 0, det)
+
+    def minor(i: int, j: int) -> Column:
+        (a, b), (c, d) = [[m[r][k] for k in range(3) if k != j] for r in range(3) if r != i]
+        return a * d - b * c
+
+    return [[(1 if (i + j) % 2 == 0 else -1) * minor(j, i) / det for j in range(3)] for i in range(3)]
+
+
+def lines_meet(a1: Column, b1: Column, a2: Column, b2: Column) -> tuple[Column, Column]:
+    """Where y = a1 x + b1 and y = a2 x + b2 meet; null for lines of one slope."""
+    x = (b2 - b1) / F.when(a1 != a2, a1 - a2)
+    return x, a1 * x + b1
+
+
+def plane_cut(a: Column, b: Column, c: Column, d: Column, y: Column) -> tuple[Column, Column]:
+    """The line z = a' x + b' in which the plane a x + b y + c z + d = 0 meets the one of this y; null where c is 0."""
+    c = F.when(c != 0, c)
+    return -a / c, (-b * y - d) / c
+
+
 def square_fit(x: Column, y: Column) -> tuple[Column, ...]:
     """Aggregates: a0, a1, a2 of the parabola of least squares through (x, y); null for fewer than three places."""
     s = [F.sum(x**k) if k else F.count(x).cast("double") for k in range(5)]

@@ -31,6 +31,11 @@ def any_magnitude(v: str = "mag_v", b: str = "mag_b") -> Column:
     return F.coalesce(F.col(v), F.col(b))
 
 
+def colour_index(v: str = "mag_v", b: str = "mag_b") -> Column:
+    """B - V, where both are known."""
+    return F.col(b) - F.col(v)
+
+
 def night_altitudes(objects: DataFrame, times: DataFrame, longitude: float, latitude: float, limit: float = -math.pi / 10) -> DataFrame:
     """objects (name, ra, dec) with `low` and `high`, their least and greatest altitude while the sun is below `limit`; null where it never is.
 
@@ -86,6 +91,13 @@ def nearest(probes: DataFrame, stars: DataFrame, dsos: DataFrame, max_mag: float
     return best.select("probe_id", kind.alias("kind"), "o.name", "o.angle")
 
 
+def nearest_dso(probes: DataFrame, dsos: DataFrame, max_mag: float, wanted: Column | None = None) -> DataFrame:
+    """As nearest(), of those deep-sky objects for which `wanted`, such as a condition on their type, holds."""
+    some = dsos if wanted is None else dsos.where(wanted)
+    no_stars = some.select("name", "ra", "dec", "mag", F.lit(False).alias("named")).limit(0)
+    return nearest(probes, no_stars, some, max_mag)
+
+
 def search(text: str, constellations: DataFrame, dsos: DataFrame, stars: DataFrame) -> DataFrame:
     """(stage, kind, name) of what matches: nine stages, equal, begins and contains, each of constellations, objects, stars.
 

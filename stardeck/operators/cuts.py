@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed now, once, and written to the folder that the cluster names in spark.checkpoint.dir, from which it is read.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder, not yet made, in the one that the cluster names in spark.checkpoint.dir.
 
     Where that is unset a local master gets a temporary folder; a cluster gets an error, as a folder on one machine is of no
     use to the others.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stardeck-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed now, once, and written to shared_path(), from which it is read."""
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

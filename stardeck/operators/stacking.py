@@ -173,22 +173,26 @@ def sliding_median(rows: DataFrame, backgrounds: DataFrame, span: int = SPAN) ->
     return p.groupBy("y", "x").agg(saturate(F.expr("sum(o) div count(*)")).alias("v"), F.count("*").alias("cnt"))
 
 
-#: What a stack that grows keeps for each pixel of it.
-STACK = "sum long, cnt long"
+#: What a stack that grows keeps for each row: sums and counts.
+STACK = "y int, s array<long>, n array<long>"
+
+
+def _each_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        yield from (((y,), s.values.to_numpy(), n.values.to_numpy()) for y, s, n in zip(batch.column("y").to_pylist(), batch.column("s"), batch.column("n"), strict=True))
 
 
 def add_to_stack(path: str):
-    """For foreachBatch over row blocks (frame, y, row): keeps sums and counts of each pixel in numbered folders under path.
+    """For foreachBatch over row blocks (frame, y, row): keeps sums and counts of each row in numbered folders under path.
 
     Batch n reads folder n - 1 and writes folder n, so a batch that runs again writes the same; older folders are removed.
-    stacked(path, n) gives the stack after batch n.
+    stacked(path, n) gives the stack after batch n. streaming.live_stack keeps a stack as state instead, and can leave tracks out.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        new = batch.select("y", F.posexplode("row").alias("x", "v")).where("v IS NOT NULL").groupBy("y", "x").agg(F.sum(F.col("v").cast("long")).alias("sum"), F.count("*").alias("cnt"))
+        new = sums_of_rows(batch.select("y", "row"), ["y"], each_row(["y"]))
         if number:
-            new = new.unionByName(batch.sparkSession.read.schema(new.schema).parquet(f"{path}/{number - 1}"))
-            new = new.groupBy("y", "x").agg(F.sum("sum").alias("sum"), F.sum("cnt").alias("cnt"))
+            new = sums_of_rows(new.unionByName(batch.sparkSession.read.schema(new.schema).parquet(f"{path}/{number - 1}")), ["y"], _each_sum)
         new.write.mode("overwrite").parquet(f"{path}/{number}")
         drop_folder(batch.sparkSession, f"{path}/{number - 2}")
 
@@ -197,5 +201,5 @@ def add_to_stack(path: str):
 
 def stacked(spark, path: str, number: int) -> DataFrame:
     """(y, x, v, cnt): the truncated mean after a batch, as warped_average() has it for what covers a pixel."""
-    s = spark.read.schema(f"y int, x int, {STACK}").parquet(f"{path}/{number}")
-    return s.select("y", "x", saturate(F.expr("sum div cnt")).alias("v"), "cnt")
+    s = spark.read.schema(STACK).parquet(f"{path}/{number}").select("y", F.posexplode(F.arrays_zip("s", "n")).alias("x", "p")).where("p.n > 0")
+    return s.select("y", "x", saturate(F.expr("p.s div p.n")).alias("v"), F.col("p.n").alias("cnt"))

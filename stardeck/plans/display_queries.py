@@ -22,10 +22,12 @@ def object_visibility(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT c_custkey, round(c_acctbal / 3000e0 - 0.5, 3) AS bv FROM customer)
-  SELECT c_custkey, round(CASE WHEN bv <= -0.3 THEN 0.4 WHEN bv <= 0 THEN 0.4 + (bv + 0.3) * (0.5e0 / 0.3e0) WHEN bv <= 0.65 THEN 0.9 + bv * (0.1e0 / 0.65e0) ELSE 1.0 END, 6) AS red FROM b""")
+  SELECT c_custkey, round(CASE WHEN bv <= -0.3 THEN 0.4 WHEN bv <= 0 THEN 0.4 + (bv + 0.3) * (0.5e0 / 0.3e0) WHEN bv <= 0.65 THEN 0.9 + bv * (0.1e0 / 0.65e0) ELSE 1.0 END, 6) AS red,
+    round(CASE WHEN bv <= -0.3 THEN 0.66 WHEN bv <= 0 THEN 0.66 + (bv + 0.3) * (0.24e0 / 0.3e0) WHEN bv <= 0.65 THEN 0.9 + bv * (0.1e0 / 0.65e0) WHEN bv <= 1.6 THEN 1 - (bv - 0.65) * (0.1e0 / 0.95e0) WHEN bv <= 2.5 THEN 0.9 - (bv - 1.6) * (0.5e0 / 0.9e0) ELSE 0.4 END, 6) AS green,
+    round(CASE WHEN bv <= -0.3 THEN 1 WHEN bv <= 0 THEN 1 - (bv + 0.3) * (0.1e0 / 0.3e0) WHEN bv <= 0.65 THEN 0.9 - bv * (0.2e0 / 0.65e0) WHEN bv <= 1.6 THEN 0.7 - (bv - 0.65) * (0.1e0 / 0.95e0) WHEN bv <= 2.5 THEN 0.6 - (bv - 1.6) * (0.2e0 / 0.9e0) ELSE 0.4 END, 6) AS blue FROM b""")
 def star_colour(spark, sf_dir):
     b = table(spark, sf_dir, "customer").selectExpr("c_custkey", "round(c_acctbal / 3000e0 - 0.5, 3) AS bv")
-    return b.select("c_custkey", F.round(dp.star_colour(F.col("bv"))[0], 6).alias("red"))
+    return b.select("c_custkey", *[F.round(c, 6).alias(n) for c, n in zip(dp.star_colour(F.col("bv")), ("red", "green", "blue"), strict=True)])
 
 
 _OUT = "'Field center: (RA,Dec) = (' || n_nationkey || '.5, -' || n_nationkey || ') deg.' || chr(10) || 'Field size: 2.5 x 1.' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN ' degrees' ELSE ' arcminutes' END"

@@ -20,9 +20,9 @@ def fits_round_trip(spark, sf_dir):
     return fits.first_image(fits.rows_of(_files(spark, sf_dir))).select("path", "y", F.posexplode("row").alias("x", "v"))
 
 
-@query("SELECT 'frame_' || vec_id // 50 || '.fits' AS path, 64 AS width, CAST(count(*) AS INT) AS height, 65535 AS max_value, 'Light' AS frame_type FROM embeddings GROUP BY vec_id // 50")
+@query("SELECT 'frame_' || vec_id // 50 || '.fits' AS path, 64 AS width, CAST(count(*) AS INT) AS height, 65535 AS max_value, 'Light' AS frame_type, 0e0 AS exposure, 1 AS bin, 0 AS gain, 0 AS \"offset\", '' AS camera FROM embeddings GROUP BY vec_id // 50")
 def fits_headers(spark, sf_dir):
-    return fits.frame_info(fits.headers_of(_files(spark, sf_dir))).select("path", "width", "height", "max_value", "frame_type")
+    return fits.frame_info(fits.headers_of(_files(spark, sf_dir))).select("path", "width", "height", "max_value", "frame_type", "exposure", "bin", "gain", "offset", "camera")
 
 
 _INFO = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 255 ELSE 65535 END AS max_value, 64 AS width, 50 AS height, p_size / 4e0 AS exposure, CASE WHEN p_size % 2 = 0 THEN p_size * 2e0 END AS integr_time, 'Dark' AS frame_type,

@@ -58,6 +58,21 @@ def nearest_object(spark, sf_dir):
     return cat.nearest(probes(spark, sf_dir), stars(spark, sf_dir), dsos(spark, sf_dir), 6.0)
 
 
+@query(CATALOGUE + f""", d AS (SELECT probe_id, name, round({_HAV.format(a='p', b='c')}, 9) AS angle FROM probes p, (SELECT * FROM dsos WHERE mag <= 6 AND kind IN ('PROMO', 'LARGE')) c)
+  SELECT probe_id, name, angle FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY angle, name) AS r FROM d) WHERE r = 1""")
+def nearest_dso_of_type(spark, sf_dir):
+    return cat.nearest_dso(probes(spark, sf_dir), dsos(spark, sf_dir), 6.0, F.col("kind").isin("PROMO", "LARGE")).select("probe_id", "name", "angle")
+
+
+@query("""WITH s AS (SELECT s_suppkey, 1.5e0 + s_suppkey % 9 / 4e0 AS fwhm, 2e0 + s_suppkey % 5 AS pixel, 300e0 + s_suppkey % 700 AS focal FROM supplier)
+  SELECT s_suppkey, round(degrees(2 * atan2(0.5e0 * fwhm * pixel / 1e6, focal / 1e3)) * 3600, 6) AS arcsec FROM s""")
+def angular_fwhm(spark, sf_dir):
+    from ..operators.stars import angular_width
+
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "1.5e0 + s_suppkey % 9 / 4e0 AS fwhm", "2e0 + s_suppkey % 5 AS pixel", "300e0 + s_suppkey % 700 AS focal")
+    return s.select("s_suppkey", F.round(F.degrees(angular_width(F.col("fwhm"), F.col("pixel"), F.col("focal"))) * 3600, 6).alias("arcsec"))
+
+
 def _search_sql(want: str, tokens: str) -> str:
     return f"""WITH e AS (SELECT 0 AS k, 'constellation' AS kind, n_name AS name FROM nation UNION ALL SELECT 1, 'dso', p_name FROM part UNION ALL SELECT 2, 'star', s_name FROM supplier),
   m AS (SELECT CASE WHEN lower(name) = '{want}' OR (kind = 'dso' AND regexp_extract_all(lower(name), '(\\d+|[^\\d\\s-]+)') = {tokens}) THEN k
@@ -268,13 +283,13 @@ def temperature_stability(spark, sf_dir):
 
 
 @query(SHOTS + """, g AS (SELECT *, CASE WHEN shot % 3 > 0 THEN temp END AS t, CASE WHEN shot % 5 > 0 THEN fwhm END AS f FROM shots)
-  SELECT shot, coalesce(abs(t - 1.8e0) <= 1, true) AS temp_ok, coalesce(f < 3.5, true) AS fwhm_ok, coalesce(abs(t - 1.8e0) <= 1, true) AND coalesce(f < 3.5, true) AND ok AS is_ok FROM g""")
+  SELECT shot, coalesce(abs(t - 1.8e0) <= 1, true) AS temp_ok, coalesce(f < 3.5, true) AS fwhm_ok, shot % 7 / 10e0 < 0.45 AS ovality_ok, coalesce(abs(t - 1.8e0) <= 1, true) AND coalesce(f < 3.5, true) AND shot % 7 / 10e0 < 0.45 AND ok AS is_ok FROM g""")
 def quality_gate(spark, sf_dir):
     s = shots(spark, sf_dir).selectExpr(
         "shot", "true AS cooler_on", "true AS check_temp", "CASE WHEN shot % 3 > 0 THEN temp END AS temp", "1.8e0 AS target_temp", "1e0 AS max_diff",
-        "true AS check_fwhm", "CASE WHEN shot % 5 > 0 THEN fwhm END AS fwhm", "3.5e0 AS max_fwhm", "false AS check_ovality", "0e0 AS ovality", "0e0 AS max_ovality", "ok AS offset_found",
+        "true AS check_fwhm", "CASE WHEN shot % 5 > 0 THEN fwhm END AS fwhm", "3.5e0 AS max_fwhm", "true AS check_ovality", "shot % 7 / 10e0 AS ovality", "45e-2 AS max_ovality", "ok AS offset_found",
     )
-    return cal.noise_gate(s).select("shot", "temp_ok", "fwhm_ok", "is_ok")
+    return cal.noise_gate(s).select("shot", "temp_ok", "fwhm_ok", "ovality_ok", "is_ok")
 
 
 @query(SHOTS + " SELECT camera, min(fwhm) AS low, max(fwhm) AS high, CAST(floor(round(100 * (max(fwhm) - min(fwhm)) / min(fwhm), 6)) AS INT) AS growth FROM shots WHERE ok GROUP BY camera")

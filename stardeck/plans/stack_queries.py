@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import stacking as st
-from .frame_queries import PIX, H, W, pixels, rows
+from .frame_queries import CFA, PATTERN, PIX, H, W, pixels, rows
 from .registry import query
 
 #: Offsets of each frame in the warp queries.
@@ -57,12 +58,15 @@ def warp_stack(spark, sf_dir):
     return st.warped_average(r, _offsets(r), W, H)
 
 
-@query(PIX + """, bg AS (SELECT frame, CAST(list_sort(list(v))[count(*) // 2 + 1] AS INT) AS b FROM pix GROUP BY frame),
+_MEDIANS = PIX + """, bg AS (SELECT frame, CAST(list_sort(list(v))[count(*) // 2 + 1] AS INT) AS b FROM pix GROUP BY frame),
   five AS (SELECT frame, list_sort(list(b) OVER (ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS a FROM bg),
   d AS (SELECT p.frame, y, x, list_sort(list(greatest(v, 1) - b) OVER (PARTITION BY y, x ORDER BY p.frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS a
     FROM pix p JOIN bg USING (frame)),
   o AS (SELECT y, x, greatest(d.a[3] + five.a[3], 0) AS o FROM d JOIN five USING (frame) WHERE len(five.a) = 5)
-  SELECT y, x, CAST(least(sum(o) // count(*), 65535) AS INT) AS v, count(*) AS cnt FROM o GROUP BY y, x""")
+  SELECT y, x, CAST(least(sum(o) // count(*), 65535) AS INT) AS v, count(*) AS cnt FROM o GROUP BY y, x"""
+
+
+@query(_MEDIANS)
 def sliding_median_stack(spark, sf_dir):
     from ..operators.frames import histogram, median_rank, ranked
 
@@ -79,4 +83,53 @@ def master_build(spark, sf_dir):
     from ..operators.calibration import build_master
 
     r = rows(spark, sf_dir)
-    return build_master(r, r.select("frame").where("frame % 4 <> 3"), "dark", None)
+    return build_master(r, _in_time(r), "dark", None)
+
+
+def _in_time(r: DataFrame) -> DataFrame:
+    """The frames that the quality gate lets through by their temperature: all but every fourth, which is 5 degrees too warm."""
+    from ..operators.calibration import noise_gate
+
+    f = r.select("frame").distinct().selectExpr(
+        "frame", "true AS cooler_on", "true AS check_temp", "-10e0 + CASE WHEN frame % 4 = 3 THEN 5e0 ELSE frame % 3 / 5e0 END AS temp", "-10e0 AS target_temp", "1e0 AS max_diff",
+        "false AS check_fwhm", "cast(null as double) AS fwhm", "0e0 AS max_fwhm", "false AS check_ovality", "cast(null as double) AS ovality", "0e0 AS max_ovality", "true AS offset_found",
+    )
+    return noise_gate(f).where("temp_ok AND is_ok").select("frame")
+
+
+@query(PIX + f""", c AS (SELECT *, {CFA} AS chan FROM pix WHERE frame % 4 <> 3), top AS (SELECT frame, chan, list_sort(list(v))[99 * count(*) // 100 + 1] - 50 AS top FROM c GROUP BY ALL),
+  f AS (SELECT frame, y, x, CAST(greatest(0, least(65535, (v - 50)::BIGINT * 65535 // top)) AS INT) AS v FROM c JOIN top USING (frame, chan)),
+  good AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS i FROM (SELECT DISTINCT frame FROM f)),
+  m AS (SELECT y, x, i // 5 AS five, list_sort(list(v))[3] AS m FROM f JOIN good USING (frame) GROUP BY y, x, i // 5 HAVING count(*) = 5)
+  SELECT y, x, CAST((sum(m) + count(*) // 2) // count(*) AS INT) AS v FROM m GROUP BY y, x""")
+def master_flat(spark, sf_dir):
+    """A master flat: frames less their offset, normalised by colour, of those whose temperature was right."""
+    from ..operators.calibration import build_master
+
+    r = rows(spark, sf_dir)
+    return build_master(r, _in_time(r), "flat", PATTERN, 50)
+
+
+@query(_MEDIANS)
+def live_stack(spark, sf_dir):
+    """The stack of sliding medians as a stream: the frames come in two halves, each with what the first has left as state."""
+    from ..operators.cuts import shared_path
+    from ..operators.frames import histogram, median_rank, ranked
+    from ..streaming import live_stack as ls
+
+    b = ranked(histogram(pixels(spark, sf_dir), "frame"), ["frame"], {"background": median_rank(F.col("count"))})
+    blocks = rows(spark, sf_dir).join(b, "frame").selectExpr("0L session", "'L' channel", "y", "frame", "cast(background as long) background", "row")
+    middle = blocks.agg(F.percentile_approx("frame", 0.5)).first()[0] or 0
+    at, store = shared_path(spark, "live"), "spark.sql.streaming.stateStore.providerClass"
+    held = spark.conf.get(store, None)
+    ls.keep_state(spark)
+    try:
+        for part in ("frame <= {}", "frame > {}"):
+            blocks.where(part.format(middle)).write.mode("append").parquet(f"{at}/in")
+            stream = ls.live_stack(spark.readStream.schema(ls.BLOCKS).parquet(f"{at}/in"), tracks=False)
+            write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+            stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, held) if held else spark.conf.unset(store)
+    last = ls.latest(spark.read.schema(ls.STACKED).parquet(f"{at}/out")).where("frames >= 5")
+    return last.select("y", F.posexplode(F.arrays_zip("v", "cnt")).alias("x", "p")).selectExpr("y", "x", "p.v AS v", "cast(p.cnt as long) AS cnt")

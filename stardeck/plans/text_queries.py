@@ -42,6 +42,36 @@ def linear_systems(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *[F.floor(c * 1000000 + 0.3).alias(name) for c, name in ((x, "x"), (y, "y"), (z, "z"))])
 
 
+_MINORS = [[f"({a} * {d} - {b} * {c})" for a, b, c, d in row] for row in (
+    [("m22", "m23", "m32", "m33"), ("m13", "m12", "m33", "m32"), ("m12", "m13", "m22", "m23")],
+    [("m23", "m21", "m33", "m31"), ("m11", "m13", "m31", "m33"), ("m13", "m11", "m23", "m21")],
+    [("m21", "m22", "m31", "m32"), ("m12", "m11", "m32", "m31"), ("m11", "m12", "m21", "m22")],
+)]
+_MATRIX = ["p_size", "p_partkey % 7", "2", "p_partkey % 5", "p_size % 9", "1", "3", "p_partkey % 4", "p_size % 6"]
+_CELLS = [f"m{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
+
+
+@query(f"""WITH m AS (SELECT p_partkey, {', '.join(f'({e})::DOUBLE AS {c}' for e, c in zip(_MATRIX, _CELLS, strict=True))} FROM part),
+  d AS (SELECT *, m11 * {_MINORS[0][0]} + m12 * {_MINORS[1][0]} + m13 * {_MINORS[2][0]} AS det FROM m)
+  SELECT p_partkey, {', '.join(f"round({_MINORS[i][j]} / nullif(det, 0), 9) + 0 AS {_CELLS[3 * i + j]}" for i in range(3) for j in range(3))} FROM d""")
+def matrix_inverse(spark, sf_dir):
+    m = [[F.expr(f"cast({_MATRIX[3 * i + j]} as double)") for j in range(3)] for i in range(3)]
+    inverse = [c for row in numeric.inverse3(m) for c in row]
+    return table(spark, sf_dir, "part").select("p_partkey", *[(F.round(c, 9) + 0.0).alias(n) for c, n in zip(inverse, _CELLS, strict=True)])
+
+
+@query("""WITH p AS (SELECT s_suppkey, s_suppkey % 5 - 2e0 AS a, s_suppkey % 7 - 3e0 AS b, s_suppkey % 3 - 1e0 AS c, s_suppkey % 11 - 4e0 AS d FROM supplier),
+  l AS (SELECT s_suppkey, -a / nullif(c, 0) AS slope, (-b * 2 - d) / nullif(c, 0) AS level FROM p),
+  m AS (SELECT *, (1.5e0 - level) / nullif(slope - 0.25e0, 0) AS x FROM l)
+  SELECT s_suppkey, round(slope, 9) + 0 AS slope, round(level, 9) + 0 AS level, round(x, 9) + 0 AS x, round(slope * x + level, 9) + 0 AS z FROM m""")
+def plane_cuts(spark, sf_dir):
+    """The lines in which planes meet that of y = 2, and where those meet the line z = x / 4 + 1.5."""
+    a, b, c, d = (F.expr(f"s_suppkey % {n} - {k}e0") for n, k in ((5, 2), (7, 3), (3, 1), (11, 4)))
+    slope, at = numeric.plane_cut(a, b, c, d, F.lit(2.0))
+    x, z = numeric.lines_meet(slope, at, F.lit(0.25), F.lit(1.5))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", *[(F.round(v, 9) + 0.0).alias(n) for v, n in ((slope, "slope"), (at, "level"), (x, "x"), (z, "z"))])
+
+
 _LINE = """CASE event_id % 8 WHEN 0 THEN '{"Event":"GuideStep","Timestamp":' || event_id || '.5,"dx":' || value || '}' WHEN 1 THEN '{"Event":"SettleDone","Timestamp":1,"Status":' || event_id % 2 || ',"Error":"late"}'
     WHEN 2 THEN '{"Event":"AppState","State":"Looping"}' WHEN 3 THEN '{"jsonrpc":"2.0","error":{"code":1,"message":"no star"},"id":' || event_id || '}' WHEN 4 THEN '{"Event":"Paused"}' WHEN 5 THEN '{"jsonrpc":"2.0","result":0,"id":7}'
     WHEN 6 THEN '{"Event":"SettleDone","Status":0}' ELSE 'no message' END"""

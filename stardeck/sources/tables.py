@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_tokens, parse_sexagesimal
@@ -100,17 +100,24 @@ def decode_base64(c: Column) -> Column:
 
 
 def free_names(wanted: DataFrame, existing: DataFrame) -> DataFrame:
-    """wanted (name) with `free`: the name itself where it doesn't exist, else with the first of _2, _3, ... before its ending that doesn't."""
+    """wanted (name) with `free`: the name itself where it doesn't exist, else with the first of _2, _3, ... before its ending that doesn't.
+
+    Names that are wanted count as taken, too, and rows that want the same name get different ones.
+    """
     ending = lambda c: F.regexp_extract(c, r"^.+(\.[^.]*)$", 1)
     stem = lambda c: F.regexp_replace(c, r"^(.+)\.[^.]*$", "$1")
     number = F.regexp_extract(stem("name"), r"_([1-9]\d*)$", 1).try_cast("int")
-    e = existing.select("name").distinct().select("name", F.regexp_replace(stem("name"), r"_[1-9]\d*$", "").alias("_stem"), ending("name").alias("_end"), number.alias("_n"))
+    there = existing.select("name").distinct().withColumn("_there", F.lit(True))
+    e = existing.select("name").unionByName(wanted.select("name")).distinct().select("name", F.regexp_replace(stem("name"), r"_[1-9]\d*$", "").alias("_stem"), ending("name").alias("_end"), number.alias("_n"))
     taken = e.where("_n IS NOT NULL").groupBy("_stem", "_end").agg(F.collect_set("_n").alias("_taken"))
     w = wanted.withColumn("_stem", stem("name")).withColumn("_end", ending("name"))
-    w = w.join(e.select("name", F.lit(True).alias("_there")), "name", "left").join(taken, ["_stem", "_end"], "left")
+    w = w.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy(*wanted.columns)))
+    w = w.join(there, "name", "left").join(taken, ["_stem", "_end"], "left")
     used = F.coalesce("_taken", F.array().cast("array<int>"))
-    n = F.get(F.filter(F.sequence(F.lit(2), F.size(used) + 2), lambda k: ~F.array_contains(used, k)), F.lit(0))
-    free = F.when(F.col("_there"), F.concat("_stem", F.lit("_"), n.cast("string"), "_end")).otherwise(F.col("name"))
+    # of rows that want the same name the first may have it, if it is free; the others get one number after another
+    which = F.col("_r") - F.when(F.col("_there"), 1).otherwise(2)
+    n = F.get(F.filter(F.sequence(F.lit(2), F.size(used) + F.col("_r") + 2), lambda k: ~F.array_contains(used, k)), which)
+    free = F.when(which >= 0, F.concat("_stem", F.lit("_"), n.cast("string"), "_end")).otherwise(F.col("name"))
     return w.select(*wanted.columns, free.alias("free"))
 
 

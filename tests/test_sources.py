@@ -161,3 +161,12 @@ def test_tiff_round_trip(spark, tmp_path):
         assert np.array_equal(tiff.decode(tiff.encode(image)), image)
     got = {(r["path"][-5], r["chan"], r["y"]): r["row"] for r in tiff.read_rows(spark, f"{tmp_path}/*.tif").collect()}
     assert len(got) == 70 + 15 and got["g", "L", 69] == list(grey[0, 69]) and got["c", "B", 2] == list(colour[2, 2])
+
+
+def test_free_names_of_equal_wishes(spark):
+    """Rows that want the same name get different ones, and none gets a name that another wants."""
+    wanted = [("a.fit", 1), ("a.fit", 2), ("a.fit", 3), ("b.fit", 1), ("a_2.fit", 1), ("c", 1), ("c", 2)]
+    got = tables.free_names(spark.createDataFrame(wanted, "name string, k int"), spark.createDataFrame([("b.fit",), ("a_4.fit",), ("c_2",)], "name string")).collect()
+    by = {(r["name"], r["k"]): r["free"] for r in got}
+    assert by == {("a.fit", 1): "a.fit", ("a.fit", 2): "a_3.fit", ("a.fit", 3): "a_5.fit", ("b.fit", 1): "b_2.fit", ("a_2.fit", 1): "a_2.fit", ("c", 1): "c", ("c", 2): "c_3"}
+    assert len(set(by.values())) == len(wanted)
