@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stardeck.operators import frames as fr
-from stardeck.sources import fits, fits_format, starfile, tables, tiff
+from stardeck.sources import fits, fits_format, images, png, starfile, tables, tiff
 
 
 def test_fits_round_trip(spark, tmp_path):
@@ -170,3 +170,134 @@ def test_free_names_of_equal_wishes(spark):
     by = {(r["name"], r["k"]): r["free"] for r in got}
     assert by == {("a.fit", 1): "a.fit", ("a.fit", 2): "a_3.fit", ("a.fit", 3): "a_5.fit", ("b.fit", 1): "b_2.fit", ("a_2.fit", 1): "a_2.fit", ("c", 1): "c", ("c", 2): "c_3"}
     assert len(set(by.values())) == len(wanted)
+
+
+# --- images -----------------------------------------------------------------------------------------------------------
+
+
+def png_of(pixels, bits, colour, kinds, extra=()):
+    """A PNG of (height, width, samples), its rows filtered by `kinds` in turn, byte by byte."""
+    import struct
+    import zlib
+
+    height, width, samples = pixels.shape
+    rows = []
+    for row in pixels.reshape(height, -1).tolist():
+        if bits == 16:
+            rows.append(b"".join(v.to_bytes(2, "big") for v in row))
+        elif bits == 8:
+            rows.append(bytes(row))
+        else:
+            text = "".join(format(v, f"0{bits}b") for v in row)
+            rows.append(int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big"))
+    step, before, data = max(1, samples * bits // 8), bytes(len(rows[0])), b""
+    for y, row in enumerate(rows):
+        kind = kinds[y % len(kinds)]
+        out = []
+        for x, v in enumerate(row):
+            a, b, c = row[x - step] if x >= step else 0, before[x], before[x - step] if x >= step else 0
+            p = a + b - c
+            paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            out.append((v - (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+        data += bytes([kind, *out])
+        before = row
+    packed = zlib.compress(data)
+    parts = [(b"IHDR", struct.pack(">IIBBBBB", width, height, bits, colour, 0, 0, 0)), *extra, (b"IDAT", packed[:20]), (b"IDAT", packed[20:]), (b"IEND", b"")]
+    return png.SIGNATURE + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in parts)
+
+
+LINEAR = (((np.arange(256, dtype=np.float32) / np.float32(255)) ** np.float32(2.4)) * np.float32(65535)).astype(int)
+
+
+@pytest.mark.parametrize(("bits", "colour", "samples"), [(8, 2, 3), (8, 0, 1), (16, 2, 3), (8, 6, 4), (16, 4, 2), (1, 0, 1), (2, 0, 1), (4, 0, 1)])
+def test_png_of_every_filter(bits, colour, samples):
+    r = np.random.default_rng(bits + colour)
+    pixels = r.integers(0, 1 << bits, (12, 9, samples))
+    if samples in (2, 4):
+        pixels[..., -1] = r.choice([0, (1 << bits) - 1, (1 << bits) // 2], (12, 9))
+    got = png.decode(png_of(pixels, bits, colour, [0, 1, 2, 3, 4, 4, 3]))
+    byte = pixels >> 8 if bits == 16 else pixels if bits == 8 else pixels * (255 // ((1 << bits) - 1))
+    shown = byte[..., -1] == 255 if samples in (2, 4) else np.ones((12, 9), bool)
+    plain = byte[..., : samples - (samples in (2, 4))]
+    for k in range(3):
+        assert np.array_equal(got[k], np.where(shown, LINEAR[plain[..., k % plain.shape[2]]], 0))
+
+
+def test_png_of_palettes_and_large_ones():
+    palette = np.random.default_rng(3).integers(0, 256, (5, 3), dtype=np.uint8)
+    index = np.random.default_rng(4).integers(0, 5, (6, 7, 1))
+    got = png.decode(png_of(index, 4, 3, [1, 4], [(b"PLTE", palette.tobytes()), (b"tRNS", b"\xff\x10")]))
+    assert np.array_equal(got, np.moveaxis(np.where(index == 1, 0, LINEAR[palette[index[..., 0]]]), 2, 0))
+    wide = np.arange(7 * 40).reshape(7, 40, 1) % 256
+    small = png.decode(png_of(wide, 8, 0, [2]), longest=20)
+    assert small.shape == (3, 3, 20) and small[0, 0, 0] == LINEAR[wide[:2, :2, 0]].sum() // 4
+    with pytest.raises(ValueError, match="checksum"):
+        png.decode(png_of(wide, 8, 0, [2])[:-20] + bytes(20))
+
+
+def lzw(data):
+    """Codes of 9 to 12 bits, as a TIFF has them."""
+    table, width, codes, word = {bytes([k]): k for k in range(256)}, 9, [(256, 9)], b""
+    n = 258
+    for k in range(len(data)):
+        more = word + data[k : k + 1]
+        if more in table:
+            word = more
+            continue
+        codes.append((table[word], width))
+        table[more] = n
+        n += 1
+        if n in (512, 1024, 2048):
+            width += 1
+        if n == 4094:
+            codes.append((256, width))
+            table, width, n = {bytes([k]): k for k in range(256)}, 9, 258
+        word = data[k : k + 1]
+    codes += [(table[word], width)] if word else []
+    codes.append((257, 9 if n < 511 else 10 if n < 1023 else 11 if n < 2047 else 12))
+    text = "".join(format(c, f"0{w}b") for c, w in codes)
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def test_packed_strips():
+    import zlib
+
+    r = np.random.default_rng(9)
+    for data in (b"", b"a", bytes(1000), bytes(r.integers(0, 256, 20_000, dtype=np.uint8)), bytes(r.integers(0, 3, 30_000, dtype=np.uint8)), b"ab" * 500):
+        assert tiff.unpack_lzw(lzw(data)) == data
+        assert tiff.UNPACK[8](zlib.compress(data)) == data
+    assert tiff.unpack_bits(bytes([0xFE, 0xAA, 2, 0x80, 0, 0x2A, 0xFD, 0xAA, 0x80, 3, 1, 2, 3, 4])) == bytes([0xAA] * 3 + [0x80, 0, 0x2A] + [0xAA] * 4 + [1, 2, 3, 4])
+
+
+def test_packed_tiff_with_differences():
+    """A file of two strips, packed by LZW, each value less the one on its left."""
+    import struct
+
+    image = np.random.default_rng(12).integers(0, 65536, (6, 5)).astype(np.uint16)
+    less = np.diff(image, axis=1, prepend=np.uint16(0)).astype("<u2")
+    strips = [lzw(less[:4].tobytes()), lzw(less[4:].tobytes())]
+    plain = tiff.encode(image[None].astype(np.int64), strip=4)
+    fields = [(256, 4, 5), (257, 4, 6), (258, 3, 16), (259, 3, 5), (262, 3, 1), (277, 3, 1), (278, 4, 4), (317, 3, 2)]
+    at = 8 + sum(map(len, strips))
+    entries = b"".join(struct.pack("<HHI", t, k, 1) + struct.pack("<I" if k == 4 else "<HH", *([v] if k == 4 else [v, 0])) for t, k, v in fields)
+    after = at + 2 + 12 * (len(fields) + 2) + 4
+    entries += struct.pack("<HHII", 273, 4, 2, after) + struct.pack("<HHII", 279, 4, 2, after + 8)
+    content = struct.pack("<2sHI", b"II", 42, at) + b"".join(strips) + struct.pack("<H", len(fields) + 2) + entries + struct.pack("<I", 0) + struct.pack("<IIII", 8, 8 + len(strips[0]), *map(len, strips))
+    assert np.array_equal(tiff.decode(content), tiff.decode(plain)) and np.array_equal(tiff.decode(content)[0], image)
+
+
+def test_images_by_their_endings(spark, tmp_path):
+    r = np.random.default_rng(6)
+    mono, colour = r.integers(0, 65536, (4, 5)), r.integers(0, 256, (3, 4, 5))
+    (tmp_path / "a.FIT").write_bytes(fits.encode(colour, bits=8) + fits.encode(mono))
+    (tmp_path / "b.fits").write_bytes(fits.encode(colour, bits=8))
+    (tmp_path / "c.tiff").write_bytes(tiff.encode(colour.astype(np.int64)))
+    (tmp_path / "d.Png").write_bytes(png_of(np.moveaxis(colour, 0, 2), 8, 2, [4]))
+    got = images.read_images(spark, str(tmp_path)).collect()
+    kinds = {(r["path"].rpartition("/")[2], r["kind"], r["chan"]) for r in got}
+    assert kinds == {("a.FIT", "raw", "L"), *[(n, "image", c) for n in ("b.fits", "c.tiff", "d.Png") for c in "RGB"]}
+    rows = {(r["path"].rpartition(".")[2], r["chan"], r["y"]): r["row"] for r in got}
+    assert all(rows["FIT", "L", y] == list(mono[y]) and rows["fits", "G", y] == list(colour[1, y]) and rows["tiff", "B", y] == list(colour[2, y]) and rows["Png", "R", y] == list(LINEAR[colour[0, y]]) for y in range(4))
+    (tmp_path / "e.jpg").write_bytes(b"?")
+    with pytest.raises(Exception, match="ending jpg"):
+        images.read_images(spark, str(tmp_path)).count()
