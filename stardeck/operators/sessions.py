@@ -335,7 +335,7 @@ def _focus(x: np.ndarray, y: np.ndarray, measures: int, step: float, more: bool,
         fit, kept = best
     lowest = None
     if fit is not None and fit[0][0] > 0:
-        at = -0.5 * fit[0][1] / fit[0][0]
+        at = round(float(-0.5 * fit[0][1] / fit[0][0]), 9)  # binary noise must not move what lies on a half
         lowest = math.copysign(math.floor(abs(at) + 0.5), at)
     if not more:
         return ("found", lowest, []) if lowest is not None and low <= lowest <= high else ("failed", None, [])

@@ -329,7 +329,32 @@ def focus_fit(spark, sf_dir):
     return se.best_focus(_focus(spark, sf_dir)).select("run", F.round("a2", 6).alias("a2"), F.round("extremum", 4).alias("extremum"))
 
 
-@query()
+def _focus_sql() -> str:
+    """The parabola of least squares over all samples of a run and over those without up to two at the ends, by sums of t = (position - 1200) / 50."""
+    sums = ", ".join(f"sum(pow(t, {k})) AS s{k}" for k in range(5)) + ", " + ", ".join(f"sum(y * pow(t, {k})) AS y{k}" for k in range(3))
+    det = "(s0*(s2*s4 - s3*s3) - s1*(s1*s4 - s2*s3) + s2*(s1*s3 - s2*s2))"
+    a0 = "(y0*(s2*s4 - s3*s3) - s1*(y1*s4 - y2*s3) + s2*(y1*s3 - y2*s2))"
+    a1 = "(s0*(y1*s4 - y2*s3) - y0*(s1*s4 - s2*s3) + s2*(s1*y2 - s2*y1))"
+    a2 = "(s0*(s2*y2 - s3*y1) - s1*(s1*y2 - s2*y1) + y0*(s1*s3 - s2*s2))"
+    better = lambda a, b: f"CASE WHEN coalesce({a} <= {b}, {a} IS NOT NULL) THEN {{0}} ELSE {{1}} END"
+    step = lambda now, x, y: f"CASE WHEN least({x}, {y}) < {now} THEN {better(x, y)} ELSE {{2}} END"
+    return f"""WITH p AS (SELECT p_partkey // 9 AS run, (p_partkey % 9 - 4)::DOUBLE AS t, 2 + pow((p_partkey % 9 - 4 + (p_partkey // 9) % 11 - 5) / 4e0, 2) + (p_partkey * 7 % 5) / 20e0 AS y FROM part),
+  n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY run) AS n FROM p),
+  w(s, e) AS (VALUES (0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2)),
+  f AS (SELECT run, s, e, {sums} FROM n JOIN w ON i >= s AND i < n - e GROUP BY run, s, e HAVING count(*) >= 3),
+  c AS (SELECT run, s, e, {a0} / {det} AS a0, {a1} / {det} AS a1, {a2} / {det} AS a2 FROM f),
+  r AS (SELECT c.run, c.s, c.e, a1, a2, round(sqrt(avg(pow(a0 + a1*t + a2*t*t - y, 2))), 12) AS error FROM c JOIN n ON n.run = c.run AND i >= c.s AND i < n.n - c.e GROUP BY c.run, c.s, c.e, a0, a1, a2),
+  o AS (SELECT run, {', '.join(f"max(error) FILTER (s = {a} AND e = {b}) AS e{a}{b}" for a, b in ((0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2)))} FROM r GROUP BY run),
+  k1 AS (SELECT *, {step('e00', 'e10', 'e01').format("'10'", "'01'", "'00'")} AS first FROM o),
+  k AS (SELECT run, CASE first WHEN '00' THEN '00' WHEN '10' THEN {step('e10', 'e20', 'e11').format("'20'", "'11'", "'10'")} ELSE {step('e01', 'e11', 'e02').format("'11'", "'02'", "'01'")} END AS kept FROM k1),
+  l AS (SELECT r.run, CASE WHEN a2 > 0 THEN sign(1200 - 25 * a1 / a2) * floor(round(abs(1200 - 25 * a1 / a2), 9) + 0.5) END AS lowest FROM r JOIN k ON k.run = r.run AND k.kept = r.s::VARCHAR || r.e::VARCHAR),
+  m AS (SELECT run, 1200 + 50 * min(t) AS low, 50 * (max(t) - min(t)) AS wide, round(count(*) * sum(t * y) - sum(t) * sum(y), 9) AS slope FROM p GROUP BY run),
+  q AS (SELECT m.*, lowest, coalesce(lowest BETWEEN low + 0.2 * wide AND low + 0.8 * wide, false) AS found FROM m LEFT JOIN l USING (run))
+  SELECT run, CASE WHEN found THEN 'found' WHEN slope > 0 THEN 'rising' WHEN slope < 0 THEN 'falling' ELSE 'failed' END AS outcome, CASE WHEN found THEN lowest END AS position,
+    CASE WHEN NOT found AND slope <> 0 THEN 4 ELSE 0 END AS more FROM q"""
+
+
+@query(_focus_sql())
 def autofocus(spark, sf_dir):
     """What the samples of each run say of the focus; their sizes follow parabolas of which some lie outside of the samples."""
     s = table(spark, sf_dir, "part").selectExpr("p_partkey div 9 AS run", "1000 + 50 * (p_partkey % 9) AS position", "2 + pow((p_partkey % 9 - 4 + (p_partkey div 9) % 11 - 5) / 4e0, 2) + (p_partkey * 7 % 5) / 20e0 AS hfd")
