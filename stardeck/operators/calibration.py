@@ -130,7 +130,7 @@ def repair(rows: DataFrame, bad: DataFrame, cfa: str | None, rounds: int = 3, ba
     In at most three rounds: a round's repairs are sources in the next only. Bands take two rows more on each side for every round,
     so frames are shuffled once; a pixel that no round can mend keeps its value.
     """
-    keys = [c for c in bad.columns if c != "x"]
+    keys = [c for c in bad.columns if c in rows.columns and c not in ("x", "row")]
     at = bad.groupBy(*keys).agg(F.collect_set(F.col("x").cast("int")).alias("bad"))
     ring = {k: [p for p in near if p != (0, 0)] for k, near in (("L", [p for p in _NEAR if max(map(abs, p)) < 2]), ("G", [p for p in SAME["G"] if max(map(abs, p)) < 2]), ("RB", SAME["RB"]))}
 
