@@ -62,9 +62,11 @@ def matches(reference: DataFrame, others: DataFrame, error: float) -> DataFrame:
     for c in names:
         r = r.select("*", around(c))
     o = others.select("*", *[cell(c).alias(f"cell_{c}") for c in names])
-    both = o.join(r.drop(*names), [f"cell_{c}" for c in names]).where((F.col("len") >= F.col("rlen") - error) & (F.col("len") < F.col("rlen") + error))
+    # few bytes make many candidates, so partitions are not to be merged by their size
+    cells, parts = [f"cell_{c}" for c in names], int(others.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = o.repartition(parts, *cells).join(r.drop(*names).repartition(parts, *cells), cells).where((F.col("len") >= F.col("rlen") - error) & (F.col("len") < F.col("rlen") + error))
     diff = sum(((F.col(x) - F.col(f"r{x}")) ** 2 for x in "abc"), F.lit(0.0))
-    return both.where(diff < error * error).drop(*[f"cell_{c}" for c in names])
+    return both.where(diff < error * error).drop(*cells)
 
 
 def turn_between(mine: str = "rp", other: str = "p") -> Column:
