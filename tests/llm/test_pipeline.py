@@ -114,5 +114,5 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert set(queries.QUERIES) <= set(names) and names["pipeline"] is corpus_pipeline.run
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(__spark_entry__.oracle_sql()) <= set(names)
