@@ -124,9 +124,8 @@ def warped_average(rows: DataFrame, offsets: DataFrame, width: int, height: int)
 
 
 def onto_quad(rows: DataFrame, corners: list[tuple[int, int]], width: int, height: int) -> DataFrame:
-    """(frame, y, x, v): frames drawn into a quadrilateral of the plane by perspective, each place with the source pixel it falls into; places outside are left out."""
+    """(frame, y, x, v): frames drawn into a quadrilateral of the plane by perspective, each place with the source pixel it falls into; places outside, or in rows that a frame lacks, are left out."""
     from ..functions.display import quad_matrix
-    from .frames import pixel_at
 
     m = quad_matrix(corners, width, height)
     xs, ys = zip(*corners, strict=True)
@@ -136,7 +135,8 @@ def onto_quad(rows: DataFrame, corners: list[tuple[int, int]], width: int, heigh
     # binary noise must not move what falls on the edge of a pixel
     places = grid.select("frame", "ty", "tx", *[F.round(a / at[2], 9).cast("int").alias(c) for a, c in zip(at, "xy", strict=False)])
     inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
-    return pixel_at(rows, places.where(inside)).select("frame", F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
+    met = places.where(inside).join(rows.select("frame", "y", "row"), ["frame", "y"]).where(F.col("x") < F.size("row"))
+    return met.select("frame", F.col("ty").alias("y"), F.col("tx").alias("x"), F.get("row", F.col("x")).alias("v"))
 
 
 #: Frames of a row that a task looks at together, beside the four before them.

@@ -343,3 +343,14 @@ def test_search_ranks_and_dedupes(spark):
     got = catalogue.search(" M 31 ", named("Andromeda"), named("M31", "M 310", "NGC 1 (M 31)", "Other"), named("M 31", "m 31 b"))
     assert sorted((r["stage"], r["kind"], r["name"]) for r in got.collect()) == [(1, "dso", "M31"), (2, "star", "M 31"), (4, "dso", "M 310"), (5, "star", "m 31 b"), (7, "dso", "NGC 1 (M 31)")]
     assert catalogue.search("  ", named("a"), named("b"), named("c")).count() == 0
+
+
+def test_a_quadrilateral_leaves_out_what_a_frame_lacks(spark, noise):
+    """A frame without its last rows, and one with a shorter row, give no places for them."""
+    rows = rows_of(spark, noise)
+    whole = stacking.onto_quad(rows, [(0, 0), (22, 0), (22, 20), (0, 20)], 22, 20)
+    assert whole.where("frame = 0").count() == 22 * 20 and whole.where("v IS NULL").count() == 0
+    less = rows.where("frame <> 1 OR y < 7").withColumn("row", F.when(F.expr("frame = 2 AND y = 3"), F.slice("row", 1, 5)).otherwise(F.col("row")))
+    got = stacking.onto_quad(less, [(0, 0), (22, 0), (22, 20), (0, 20)], 22, 20)
+    assert got.where("v IS NULL").count() == 0
+    assert [got.where(f"frame = {k}").count() for k in range(3)] == [22 * 20, 22 * 7, 22 * 20 - 17]
