@@ -62,42 +62,67 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tup
 
 
 def carry_of(exposures: np.ndarray, period: float) -> tuple[np.ndarray, np.ndarray]:
-    """What a stretch of shots makes of the sum that enters it: (steps, carries).
+    """What a stretch of shots makes of the sum that enters it: (lead, carries).
 
-    Entering with t, the sum resets at the first shot at which the exposures of the stretch reach period - t, and all behind that
-    depends on this shot alone. steps are the exposures so far at the shots where that may be, carries the sums they end with;
-    without one the sum leaves as t and all exposures.
+    Entering with some sum, it resets at a shot of the lead at the latest, and all behind that depends on this shot alone: carries are the
+    sums that the stretch ends with, one for each shot of the lead. Where the lead is all of the stretch there are no carries.
+    Sums are those of accumulate(), rounding and all: where the running sum of the stretch leaves a reset open, it is added up anew.
     """
-    so_far = np.cumsum(exposures)
-    # the next reset after one at shot i, or the length if there is none
-    then = np.maximum(np.searchsorted(so_far, so_far + period, side="left"), np.arange(1, len(so_far) + 1))
-    first = int(np.searchsorted(so_far, period, side="left")) + 1  # the last shot at which a sum that enters may reset
-    first = min(first, len(so_far))
-    end = so_far[-1] if len(so_far) else 0.0
-    left = np.empty(len(so_far))
-    for i in range(len(so_far) - 1, -1, -1):
-        left[i] = end - so_far[i] if then[i] >= len(so_far) else left[then[i]]
-    return so_far[:first], left[:first]
+    n, so_far = len(exposures), np.cumsum(exposures)
+    slack = 4 * n * np.finfo(float).eps * (so_far[-1] + abs(period))  # more than rounding may move a sum
+    lead = int(np.searchsorted(so_far, period + slack)) + 1
+    if lead >= n:
+        return exposures, np.empty(0)
+    # the next reset after one at shot i, or the length if there is none, lies within these
+    after = np.arange(1, n + 1)
+    then, latest = (np.maximum(np.searchsorted(so_far, so_far + (period + s)), after) for s in (-slack, slack))
+    met = np.arange(n) < lead
+    for i in range(n):
+        if not met[i]:
+            continue
+        if then[i] < latest[i]:
+            then[i] = i + 1 + np.searchsorted(np.cumsum(exposures[i + 1 : latest[i] + 1]), period)
+        if then[i] < n:
+            met[then[i]] = True
+    left = np.zeros(n)
+    for i in np.nonzero(met)[0][::-1]:
+        left[i] = left[then[i]] if then[i] < n else np.cumsum(np.append(0.0, exposures[i + 1 :]))[-1]
+    return exposures[:lead], left[:lead]
+
+
+def carried(total: float, lead: np.ndarray, carries: np.ndarray, period: float) -> float:
+    """What a sum that enters a stretch leaves it with, by carry_of()."""
+    while True:
+        sums = np.cumsum(np.append(total, lead))
+        at = int(np.searchsorted(sums[1:], period))
+        if at == len(lead):
+            return float(sums[-1])
+        if len(carries):
+            return float(carries[at])
+        total, lead = 0.0, lead[at + 1 :]
 
 
-def dither(shots: DataFrame, period: float, span: int = SPAN) -> DataFrame:
-    """(camera, shot, dither): a move after each time the summed exposure, in whole microseconds, reaches the period.
+def dither(shots: DataFrame, period: float, span: int = SPAN, unit: float | None = 1e-6) -> DataFrame:
+    """(camera, shot, dither): a move after each time the summed exposure, in whole units (microseconds), reaches the period.
 
+    Without a unit, exposures are added as the doubles that they are, one after the other, as SQL and the streaming twin add them.
     A camera's shots are taken by (ts, shot), those without a time last; a null or negative exposure is 0. Spans of about `span`
     shots first say, side by side, what they make of the sum that enters them; a row a span is then followed through each camera,
     and the spans are passed once more from where they start. A camera with most of the shots is spread over as many tasks as it has spans.
     """
-    micro = F.greatest(F.coalesce(F.round(F.nanvl(F.col("exposure").cast("double"), F.lit(0.0)) * 1_000_000), F.lit(0.0)), F.lit(0.0))
-    rows, whole = _in_spans(shots, {"e": micro}, span), float(round(period * 1_000_000))
+    counted = lambda c: c if unit is None else F.round(c * round(1 / unit))
+    whole = float(period if unit is None else round(period * round(1 / unit)))
+    exposure = F.greatest(F.coalesce(counted(F.nanvl(F.col("exposure").cast("double"), F.lit(0.0))), F.lit(0.0)), F.lit(0.0))
+    # more than the period is no more than the period
+    rows = _in_spans(shots, {"e": F.least(exposure, F.lit(max(whole, 0.0)))}, span)
 
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         now = None
 
         def done() -> pa.RecordBatch:
-            e = np.concatenate(held)
-            steps, carries = carry_of(e, whole)
-            return pa.RecordBatch.from_pylist([{"camera": now[0], "_span": now[1], "steps": steps, "carries": carries, "whole": float(e.sum())}], schema=functions_schema)
+            lead, carries = carry_of(np.concatenate(held), whole)
+            return pa.RecordBatch.from_pylist([{"camera": now[0], "_span": now[1], "lead": lead, "carries": carries}], schema=functions_schema)
 
         for key, begins, part in _groups(batches, ["e"]):
             if begins and now is not None:
@@ -108,19 +133,18 @@ def dither(shots: DataFrame, period: float, span: int = SPAN) -> DataFrame:
         if now is not None:
             yield done()
 
-    functions_schema = pa.schema([("camera", pa.int64()), ("_span", pa.int32()), ("steps", pa.list_(pa.float64())), ("carries", pa.list_(pa.float64())), ("whole", pa.float64())])
-    of_spans = _dealt_out(rows).mapInArrow(functions, "camera long, _span int, steps array<double>, carries array<double>, whole double")
+    functions_schema = pa.schema([("camera", pa.int64()), ("_span", pa.int32()), ("lead", pa.list_(pa.float64())), ("carries", pa.list_(pa.float64()))])
+    of_spans = _dealt_out(rows).mapInArrow(functions, "camera long, _span int, lead array<double>, carries array<double>")
 
     def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         camera, total = object(), 0.0
         for batch in batches:
             into = []
-            for c, steps, carries, all_of_it in zip(*[batch.column(k) for k in ("camera", "steps", "carries", "whole")], strict=True):
+            for c, lead, carries in zip(*[batch.column(k) for k in ("camera", "lead", "carries")], strict=True):
                 if c.as_py() != camera:
                     camera, total = c.as_py(), 0.0
                 into.append(total)
-                at = int(np.searchsorted(steps.values.to_numpy(), whole - total, side="left"))
-                total = carries.values[at].as_py() if at < len(steps) else total + all_of_it.as_py()
+                total = carried(total, lead.values.to_numpy(), carries.values.to_numpy(), whole)
             yield pa.RecordBatch.from_arrays([batch.column("camera"), batch.column("_span"), pa.array(into, pa.float64())], ["camera", "_span", "enters"])
 
     entries = of_spans.repartition("camera").sortWithinPartitions("camera", "_span").mapInArrow(followed, "camera long, _span int, enters double")

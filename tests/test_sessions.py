@@ -69,6 +69,19 @@ def test_dither_keeps_its_phase_over_spans(spark, span):
     assert len(sizes) >= 500 // span and max(sizes) <= 2 * span
 
 
+@pytest.mark.parametrize(("span", "equal"), [(64, True), (30, False)])
+def test_dither_without_a_unit_adds_doubles(spark, span, equal):
+    """Sums that reach the period in decimals, but not in doubles, or that do so by their phase only."""
+    start, rnd = dt.datetime(2024, 1, 1), random.Random(3)
+    rows = [(c, k, start + dt.timedelta(seconds=k), 0.1 if equal else rnd.choice([0.1, 0.2, 0.3, 0.7]), None, None, True) for c in (1, 2) for k in range(700)]
+    df = spark.createDataFrame(rows, SHOT)
+    for period in (0.8, 7.7, 1e9):
+        want = [f for c in (1, 2) for f in sessions.accumulate(np.array([r[3] for r in rows if r[0] == c]), period)[0]]
+        assert [r["dither"] for r in sessions.dither(df, period, span, unit=None).orderBy("camera", "shot").collect()] == want
+    exact = [r["dither"] for r in sessions.dither(df, 0.8, span).orderBy("camera", "shot").collect()]
+    assert exact != [r["dither"] for r in sessions.dither(df, 0.8, span, unit=None).orderBy("camera", "shot").collect()]
+
+
 @pytest.mark.parametrize("span", [4, 1000])
 def test_refocus_that_forgets_nothing(spark, span):
     """Without a reset every span has to wait for the one before it."""
