@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chained, hashes, pieces, words_of, written
+from .common import chained, dropped, hashes, pieces, words_of, written
 from .lm_scoring import discounts, pack, unpack
 
 START, END = hashes([b"\n start", b"\n end"])
@@ -86,10 +86,16 @@ def _count(order: int):
 def model(trusted: DataFrame, order: int = 3, text_col: str = "text") -> tuple[DataFrame, float] | None:
     """(key, value, n), written, and the logarithm of an unknown word's share; None without text. n: how often, roughly."""
     counted = trusted.select(text_col).mapInArrow(_count(order), ", ".join(f"{c} long" for c in [*_words(order), "c"]))
-    rows = {order: written(counted.groupBy(*_words(order)).agg(F.sum("c").alias("c")), "ngrams")}
+    made: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
+    rows = {order: put(counted.groupBy(*_words(order)).agg(F.sum("c").alias("c")), "ngrams")}
     for n in range(order - 1, 0, -1):  # below the highest order, in how many different places an n-gram ends one of the next
         ends = rows[n + 1].groupBy(*_words(n + 1, 2)).agg(F.count("*").alias("c"))
-        rows[n] = written(ends.select(*[F.col(f"w{k + 1}").alias(f"w{k}") for k in range(1, n + 1)], "c"), "ngrams")
+        rows[n] = put(ends.select(*[F.col(f"w{k + 1}").alias(f"w{k}") for k in range(1, n + 1)], "c"), "ngrams")
     of = [F.coalesce(F.sum((F.col("c") == k).cast("long")), F.lit(0)) for k in (1, 2, 3, 4)]
     low = rows[1].agg(F.count("*"), *of, F.sum("c")).first()
     if not low[0]:
@@ -103,18 +109,25 @@ def model(trusted: DataFrame, order: int = 3, text_col: str = "text") -> tuple[D
     for n in range(2, order + 1):
         d = discounts(*rows[n].agg(*of).first())
         keyed = rows[n].select(F.xxhash64(*_words(n)).alias("key"), F.xxhash64(*_words(n - 1)).alias("before"), F.xxhash64(*_words(n, 2)).alias("end"), "c")
-        contexts = written(keyed.groupBy("before").agg((F.sum(_cut(d)) / F.sum("c")).alias("g"), F.sum("c").alias("total")), "contexts")
+        contexts = put(keyed.groupBy("before").agg((F.sum(_cut(d)) / F.sum("c")).alias("g"), F.sum("c").alias("total")), "contexts")
         values.append(contexts.select(F.col("before").alias("key"), F.log10("g").alias("value"), F.col("total").alias("n")))
         met = keyed.join(contexts, "before").join(full.select(F.col("key").alias("end"), F.col("full").alias("lower")), "end")
         backed = F.col("g") * F.col("lower")
         probability = F.greatest(F.col("c") - _cut(d), F.lit(0.0)) / F.col("total") + backed
-        full = written(met.select("key", probability.alias("full"), "c", backed.alias("backed")), "probabilities")
+        full = met.select("key", probability.alias("full"), "c", backed.alias("backed"))
+        if n < order:  # those of the highest order are read but once
+            full = put(full, "probabilities")
         values.append(full.select("key", F.log10(F.col("full") / F.col("backed")).alias("value"), F.col("c").alias("n")))
-    table = values[0]
+    # an n-gram has up to two values, one as such and one as a context; both count wherever it stands. Those of the highest order, nearly all, have one
+    table = values.pop() if order > 1 else None
+    lower = values[0]
     for v in values[1:]:
-        table = table.unionByName(v)
-    # an n-gram has up to two values, one as such and one as a context; both count wherever it stands
-    return written(table.groupBy("key").agg(F.sum("value").alias("value"), F.sum("n").alias("n")), "model"), log10(unknown)
+        lower = lower.unionByName(v)
+    lower = lower.groupBy("key").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+    table = written(lower if table is None else table.unionByName(lower), "model")
+    for df in made:
+        dropped(df)
+    return table, log10(unknown)
 
 
 def _cut(d: np.ndarray) -> Column:
@@ -210,7 +223,9 @@ def perplexity(docs: DataFrame, table: DataFrame, unknown: float, order: int = 3
     by = np.argsort(known.column("key").to_numpy().view(np.uint64))
     held = tuple(known.column(c).to_numpy()[by] for c in ("key", "value"))
     held = (held[0].view(np.uint64), held[1])
-    rest = written(table.join(F.broadcast(hot.select("key")), "key", "left_anti").select("key", "value"), "shards")
+    # a bounded list of keys; the rest is read thrice, which takes less than a copy of it
+    keys = docs.sparkSession.createDataFrame(known.select(["key"]))
+    rest = table.join(F.broadcast(keys), "key", "left_anti").select("key", "value")
     size = rest.count()
     bits = min(MOST_BITS, max(6, (BITS_A_KEY * size).bit_length()))
     shards = max(4, -(-size // shard_rows))
@@ -233,13 +248,16 @@ def perplexity(docs: DataFrame, table: DataFrame, unknown: float, order: int = 3
     return scored.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(keep)], "n_tokens", log_prob.alias("log10_prob"), F.pow(F.lit(10.0), -log_prob / F.col("n_tokens")).alias("perplexity"))
 
 
-def training_ids(trusted: DataFrame, docs: DataFrame, sample: int) -> DataFrame:
-    """Half of the trusted ids at most, and about `sample` of each language: those whose hash lies in the share that gives so many.
+def training_ids(trusted: DataFrame, docs: DataFrame, sample: int | None = None) -> DataFrame:
+    """The half of the trusted ids that the model is made of, by their hash; the other half is held out for the quantiles.
 
+    With a sample, about so many of them a language: those whose hash lies in the share that gives so many.
     So many are expected; how many there are strays from it as a count of independent draws does, by its square root.
     """
     hashed = F.xxhash64("doc_id")
     half = trusted.where(F.pmod(hashed, F.lit(2)) == 0)
+    if sample is None:
+        return half
     of = written(docs.select("doc_id", "lang").join(half, "doc_id").groupBy("doc_id").agg(F.min("lang").alias("lang")), "half")
     # written, so that Spark sees how few languages there are
     sizes = written(of.groupBy(F.coalesce("lang", F.lit("\n")).alias("l")).agg(F.count("*").alias("n")), "languages")
@@ -247,10 +265,10 @@ def training_ids(trusted: DataFrame, docs: DataFrame, sample: int) -> DataFrame:
     return of.withColumn("l", F.coalesce("lang", F.lit("\n"))).join(sizes, "l").where(share).select("doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 750, quantile: float = 0.99, label_col: str = "quality", order: int = 2) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int | None = None, quantile: float = 0.99, label_col: str = "quality", order: int = 2) -> DataFrame:
     """doc_id, n_tokens, log10_prob, perplexity, threshold and kept for every row of docs.
 
-    Trusted is what has label 1 only. sample: about so many texts of each language train the model; all other
+    Trusted is what has label 1 only. Half of it trains the model, with a sample about so many texts of each language; all other
     trusted texts give the quantiles. order: the length of the longest n-grams.
     """
     trusted = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).alias("q")).where("q = 1").select("doc_id")

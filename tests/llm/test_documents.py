@@ -419,6 +419,18 @@ def test_perplexity_filter_without_rows_or_labels(odd, empty, labels, no_labels)
     assert perplexity_filter.classify(empty, labels).count() == 0
 
 
+def test_perplexity_filter_learns_from_half_of_the_trusted_texts(spark):
+    """Without a sample no trusted text is left out, however many there are: half of them make the model, the others the threshold."""
+    import random
+
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choices(["tree", "sea", "Road", "sun", "moon", "star", f"w{i}"], k=12)), "en") for i in range(2400)]
+    marks = [(i, 1) for i in range(2400)]
+    got = perplexity_filter.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int"))
+    want = {r[0]: (r[1], round(r[2], 6), round(r[3], 6)) for r in classified(rows, marks, 10**6, 0.99, 2)}
+    assert {r["doc_id"]: (r["n_tokens"], round(r["log10_prob"], 6), round(r["threshold"], 6)) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_perplexity_matches_the_formula(spark, order):
     """However few keys are hot, however the shards are cut, whatever a task sends in vain."""
