@@ -128,20 +128,25 @@ def axis_step(extent: Column, most: Column) -> Column:
     return F.when(extent == 0, 1.0).otherwise(F.get(F.filter(steps, lambda s: extent / s < most), F.lit(0)))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def descend(point: Column, step: float, most: int, f: Callable[[Column], Column]) -> Column:
     """Coordinate descent: in each round every coordinate of an array moves by a step up or down if that lessens f; ends when nothing does, or after `most` rounds."""
 
     def one(s: Column, i: Column) -> Column:
         moved = lambda by: F.transform(s["p"], lambda x, j: F.when(j == i, x + by).otherwise(x))
-        up, down = moved(step), moved(-step)
-        to = F.when(f(up) < s["v"], up).when(f(down) < s["v"], down).otherwise(s["p"])
-        return F.struct(to.alias("p"), F.least(s["v"], f(to)).alias("v"))
+        valued = lambda p: _bound(p, lambda q: F.struct(q.alias("p"), f(q).alias("v")))
+        lower = lambda t, otherwise: F.when(t["v"] < s["v"], t).otherwise(otherwise)
+        return _bound(valued(moved(step)), lambda up: lower(up, _bound(valued(moved(-step)), lambda down: lower(down, s))))
 
     def round_of(s: Column, _: Column) -> Column:
-        done = F.aggregate(F.sequence(F.lit(0), F.size(point) - 1), F.struct(s["p"].alias("p"), s["v"].alias("v")), one)
-        ended = s["ended"] | (done["v"] >= s["v"])
-        keep = lambda k: F.when(s["ended"], s[k]).otherwise(done[k])
-        return F.struct(keep("p").alias("p"), keep("v").alias("v"), ended.alias("ended"))
+        start = F.struct(s["p"].alias("p"), s["v"].alias("v"))
+        done = F.aggregate(F.sequence(F.lit(0), F.size(point) - 1), start, one)
+        moved = _bound(done, lambda d: F.struct(d["p"].alias("p"), d["v"].alias("v"), (~F.coalesce(d["v"] < s["v"], F.lit(False))).alias("ended")))
+        return F.when(s["ended"], s).otherwise(moved)
 
-    start = F.struct(point.alias("p"), f(point).alias("v"), F.lit(False).alias("ended"))
+    start = _bound(point, lambda p: F.struct(p.alias("p"), f(p).alias("v"), F.lit(False).alias("ended")))
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, round_of, lambda s: s["p"])

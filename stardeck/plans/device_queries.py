@@ -176,7 +176,9 @@ def coordinate_descent(spark, sf_dir):
     k = F.col("c_custkey")
     a, b = (k % 31 - 15) * 0.3, (k % 17 - 8) * 0.7
     at = cam.descend(F.array(lit(0), lit(0)), 0.25, 12, lambda p: (p[0] - a) ** 2 + (p[1] - b) ** 2)
-    return table(spark, sf_dir, "customer").select("c_custkey", at.alias("p")).select("c_custkey", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    # few bytes make much work, so Spark's shares of a file are too large
+    c = table(spark, sf_dir, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return c.select("c_custkey", at.alias("p")).select("c_custkey", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
 @query("""WITH r AS (SELECT event_type, min(epoch(ts)) AS min_x, max(epoch(ts)) AS max_x, min(value) AS min_y, max(value) AS max_y FROM events GROUP BY event_type),

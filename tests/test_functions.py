@@ -135,3 +135,14 @@ def test_master_names(spark):
 def test_compare(spark):
     nan = float("nan")
     assert [one(spark, numeric.compare(lit(a), lit(b))) for a, b in ((1.0, 2.0), (2.0, 1.0), (1.0, 1.0), (nan, 1.0), (1.0, nan), (nan, nan))] == [-1, 1, 0, 0, 0, 0]
+
+
+def test_descent_computes_each_value_once(spark):
+    """The function stands in the plan once for the start and once for each way, not anew wherever its value is used."""
+    from stardeck.functions import camera
+
+    f = lambda p: (p[0] - F.col("a")) ** 2 + F.abs(p[1] - F.col("b") * 7919)
+    d = spark.createDataFrame([(0.6, 0.0), (-9.0, 1 / 7919), (0.0, 0.0)], "a double, b double").repartition(2)
+    out = d.select("a", camera.descend(F.array(F.lit(0.0), F.lit(0.0)), 0.25, 12, f).alias("p"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("7919") <= 5
+    assert {r["a"]: r["p"] for r in out.collect()} == {0.6: [0.5, 0.0], -9.0: [-3.0, 1.0], 0.0: [0.0, 0.0]}
