@@ -1,8 +1,8 @@
 """Registration of star lists: triangles, their matching, and the offset and angle between two frames.
 
 Triangles are made of a frame's brightest stars only, a number fixed by the caller, so their count is bounded
-however many stars or frames there are. Matching is an equi-join on cells of perimeter and sides, with the exact test after
-it; nothing compares all triangles with all.
+however many stars or frames there are. Matching looks up cells of perimeter and sides in the reference's triangles, which every
+task has, with the exact test after it; nothing compares all triangles with all, and no triangle is shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ LEAST_TRIANGLES, ROUNDS, ANGLE_ERROR = 10, 10, math.radians(1.5)
 
 def brightest(stars: DataFrame, n: int) -> DataFrame:
     """(frame, i, x, y): the n brightest stars of each frame, numbered."""
+    # few bytes make many triangles, so partitions are not to be merged by their size
+    stars = stars.repartition(int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")), "frame")
     order = Window.partitionBy("frame").orderBy(F.desc("brightness"), "x", "y")
     return stars.withColumn("i", F.row_number().over(order)).where(F.col("i") <= n).select("frame", "i", "x", "y")
 
@@ -52,21 +54,21 @@ def triangles(points: DataFrame, least: float) -> DataFrame:
 def matches(reference: DataFrame, others: DataFrame, error: float) -> DataFrame:
     """Pairs of similar triangles: perimeters within the error and squared side differences under its square.
 
-    reference: triangles of one frame. The perimeter, the first and the second side lie in cells as wide as the error: as none
-    of them differs by more, a triangle of the reference stands in its own cell and the 26 around it, and others meet it there.
+    reference: triangles of one frame, at most those of 100 points. The perimeter, the first and the second side lie in cells as
+    wide as the error: as none of them differs by more, a triangle finds those of the reference in its own cell and the 26 around it.
     """
     names = ("len", "a", "b")
     cell = lambda c: F.floor(F.col(c) / error).cast("long")
-    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1)).alias(f"cell_{c}")
-    r = reference.select(*[F.col(c).alias(f"r{c}") for c in ("i", "j", "k", "a", "b", "c", "len", "p")], *names)
+    # one number for three cells; those far apart may share one, as the exact test follows, but none of the 27 does
+    key = lambda parts: sum((F.pmod(p, F.lit(1 << 20)) * F.lit(k) for p, k in zip(parts, (1 << 40, 1 << 20, 1), strict=True)), F.lit(0).cast("long"))
+    r = reference.select(*[F.col(c).alias(f"r{c}") for c in ("i", "j", "k", "a", "b", "c", "len", "p")], key([cell(c) for c in names]).alias("_cell"))
+    o = others
     for c in names:
-        r = r.select("*", around(c))
-    o = others.select("*", *[cell(c).alias(f"cell_{c}") for c in names])
-    # few bytes make many candidates, so partitions are not to be merged by their size
-    cells, parts = [f"cell_{c}" for c in names], int(others.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = o.repartition(parts, *cells).join(r.drop(*names).repartition(parts, *cells), cells).where((F.col("len") >= F.col("rlen") - error) & (F.col("len") < F.col("rlen") + error))
+        o = o.select("*", F.explode(F.sequence(cell(c) - 1, cell(c) + 1)).alias(f"_{c}"))
+    o = o.withColumn("_cell", key([F.col(f"_{c}") for c in names])).drop(*[f"_{c}" for c in names])
+    both = o.join(F.broadcast(r), "_cell").where((F.col("len") >= F.col("rlen") - error) & (F.col("len") < F.col("rlen") + error))
     diff = sum(((F.col(x) - F.col(f"r{x}")) ** 2 for x in "abc"), F.lit(0.0))
-    return both.where(diff < error * error).drop(*cells)
+    return both.where(diff < error * error).drop("_cell")
 
 
 def turn_between(mine: str = "rp", other: str = "p") -> Column:

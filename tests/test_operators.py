@@ -354,3 +354,16 @@ def test_a_quadrilateral_leaves_out_what_a_frame_lacks(spark, noise):
     got = stacking.onto_quad(less, [(0, 0), (22, 0), (22, 20), (0, 20)], 22, 20)
     assert got.where("v IS NULL").count() == 0
     assert [got.where(f"frame = {k}").count() for k in range(3)] == [22 * 20, 22 * 7, 22 * 20 - 17]
+
+
+def test_triangles_match_without_a_shuffle_of_them(spark):
+    """Every similar pair is found once, as by brute force; the reference's triangles go to the others."""
+    rng = np.random.default_rng(11)
+    rows = [(f, float(x), float(y), float(k)) for f in range(3) for k, (x, y) in enumerate(rng.uniform(0, 60, (12, 2)) + (1e7 if f == 2 else 0))]
+    t = registration.triangles(registration.brightest(spark.createDataFrame(rows, "frame long, x double, y double, brightness double"), 12), 10.0)
+    m = registration.matches(t.where("frame = 0"), t.where("frame > 0"), 2.5)
+    all_of = [(r["frame"], r["i"], r["j"], r["k"], np.array([r["a"], r["b"], r["c"]]), r["len"]) for r in t.collect()]
+    want = [(*o[:4], *r[1:4]) for o in all_of for r in all_of if o[0] > 0 and r[0] == 0 and r[5] - 2.5 <= o[5] < r[5] + 2.5 and ((o[4] - r[4]) ** 2).sum() < 6.25]
+    assert sorted(tuple(r[c] for c in ("frame", "i", "j", "k", "ri", "rj", "rk")) for r in m.collect()) == sorted(want) and len(want) > 100
+    joins = m._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in joins and "SortMergeJoin" not in joins
