@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +26,40 @@ def star_frames(spark, sf_dir) -> DataFrame:
     """
     v = table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL AND size(embedding) > 2")
     v = v.selectExpr(f"vec_id div {FIELD} AS frame", f"vec_id % {FIELD} AS k", "cast(embedding AS array<double>) AS e")
+    # few bytes make many pixels, so partitions are not to be merged by their size
+    v = v.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "frame")
     move = "greatest(-6e0, least(6e0, 32 * min_by(e[{0}], k)))"
     stars = f"collect_list(struct({SIZE} div 5 * (k div 5) + 6e0 + (5 * k * k + 3 * k) % 19 AS x, {SIZE} div 5 * (k % 5) + 5e0 + (3 * k * k + 11 * k) % 23 AS y, 4500 + 80 * k + 1000 * e[2] AS a))"
     f = v.groupBy("frame").agg(F.expr(stars).alias("stars"), F.expr(move.format(0)).alias("dx"), F.expr(move.format(1)).alias("dy"))
-    f = f.select("*", F.explode(F.sequence(F.lit(0), F.lit(SIZE - 1))).alias("y"))
-    f = f.withColumn("stars", F.expr("filter(stars, s -> abs(y - s.y - dy) < 5)"))
-    light = "aggregate(stars, 0e0, (t, s) -> t + CASE WHEN pow(x - s.x - dx, 2) + pow(y - s.y - dy, 2) <= 18 THEN s.a * exp(-(pow(x - s.x - dx, 2) + pow(y - s.y - dy, 2)) / 2) ELSE 0e0 END)"
-    row = F.expr(f"transform(sequence(0, {SIZE - 1}), x -> cast({light} + 100 + pmod(xxhash64(frame, y, x), 9) AS int))")
-    return f.select("frame", "y", row.alias("row"))
+    return f.select("frame", "stars", "dx", "dy", F.xxhash64("frame").alias("seed")).mapInArrow(_drawn, "frame long, y int, row array<int>")
+
+
+def _hashed(n: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of an int after what gave the seed."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (seed + p5 + np.uint64(4)) ^ (n.astype(np.uint64) * p1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Row blocks of frames (frame, stars, dx, dy, seed); a pixel whose light is unknown is null."""
+    n = np.arange(SIZE)
+    for batch in batches:
+        for frame, stars, dx, dy, seed in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+            light = np.zeros((SIZE, SIZE))
+            for s in stars:
+                x, y = s["x"] + dx, s["y"] + dy
+                rows, columns = (slice(max(int(c) - 6, 0), max(int(c) + 7, 0)) for c in (y, x))
+                d = (n[None, columns] - s["x"] - dx) ** 2 + (n[rows, None] - s["y"] - dy) ** 2
+                light[rows, columns] += np.where(d <= 18, (np.nan if s["a"] is None else s["a"]) * np.exp(-d / 2), 0.0)
+            noise = _hashed(n[None, :], _hashed(n, np.array([seed]).view(np.uint64))[:, None]).view(np.int64) % 9
+            value = light + 100 + noise
+            flat = pa.array(np.nan_to_num(value).astype(np.int32).ravel(), mask=np.isnan(value).ravel())
+            row = pa.ListArray.from_arrays(pa.array(np.arange(0, SIZE * SIZE + 1, SIZE), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array([frame] * SIZE, pa.int64()), pa.array(n, pa.int32()), row], ["frame", "y", "row"])
 
 
 @query()

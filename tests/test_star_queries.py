@@ -37,3 +37,26 @@ def test_every_gradient_is_removed(spark, tmp_path):
     for frame in range(3):
         mine = [r for r in rows if r["frame"] == frame]
         assert len(mine) == 512 and max(r["high"] for r in mine) - min(r["low"] for r in mine) <= 10 + 4
+
+
+def test_frames_of_stars_are_drawn_in_tasks(spark, tmp_path):
+    """Pixels as the formula has them, with Spark's hashes as noise; no function is interpreted for each pixel."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from stardeck.plans import star_queries as q
+
+    rows = [(k, [0.05, -0.03, 0.1 * (k % 3)]) for k in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    frames = q.star_frames(spark, str(tmp_path))
+    plan = frames._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan
+    got = {(r["frame"], r["y"]): r["row"] for r in frames.collect()}
+    assert len(got) == 2 * q.SIZE
+    noise = spark.range(q.SIZE).selectExpr("cast(id AS int) AS x").select("x", F.expr("pmod(xxhash64(0L, 11, x), 9)").alias("n")).collect()
+    stars = [(32 * (k // 5) + 6 + (5 * k * k + 3 * k) % 19, 32 * (k % 5) + 5 + (3 * k * k + 11 * k) % 23, 4500 + 80 * k + 1000 * rows[k][1][2]) for k in range(25)]
+    dx, dy = 32 * 0.05, 32 * -0.03
+    for x, n in noise:
+        near = [(a, (x - sx - dx) ** 2 + (11 - sy - dy) ** 2) for sx, sy, a in stars]
+        assert abs(got[0, 11][x] - int(sum(a * math.exp(-d / 2) for a, d in near if d <= 18) + 100 + n)) <= 1
