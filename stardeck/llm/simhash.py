@@ -52,13 +52,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * set_bits > len(h)).tobytes(), "big")
 
 
-def _fingerprints(shingle: int, names: list[str]):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 0):
-            prints = np.array([fingerprint(t, shingle) for t in batch.column(0).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), *batch.columns[1:]], names)
+def _fingerprints(shingle: int):
+    """A column's fingerprints: only texts go to Python and only numbers come back. Said to be nondeterministic, so that Spark asks each text once."""
 
-    return make
+    @F.arrow_udf("long")
+    def prints(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            parts = pieces(iter([pa.RecordBatch.from_arrays([column], ["text"])]), 0)
+            found = np.array([fingerprint(t, shingle) for part in parts for t in part.column(0).to_pylist()], np.uint64)
+            yield pa.array(found.view(np.int64))
+
+    return prints.asNondeterministic()
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +138,9 @@ def _within(count: list, d: tuple) -> Column:
 
 def _printed(docs: DataFrame, shingle: int, id_col: str, text_col: str, carry: tuple[Column, ...] = ()) -> DataFrame:
     """(fp, row, doc_id, _0, _1, ...), written: a row for each row of docs, numbered, with the columns `carry`."""
-    # the text goes first; it is carried on only if asked for
-    d = docs.select(F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *[c.alias(f"_{k}") for k, c in enumerate(carry)])
-    names = ["fp", *d.columns[1:]]
-    schema = "fp long, row long, doc_id long" + "".join(f", _{k} {d.schema[f'_{k}'].dataType.simpleString()}" for k in range(len(carry)))
-    return written(d.mapInArrow(_fingerprints(shingle, names), schema), "fingerprints")
+    also = [c.alias(f"_{k}") for k, c in enumerate(carry)]
+    d = docs.select(_fingerprints(shingle)(F.col(text_col)).alias("fp"), F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *also)
+    return written(d, "fingerprints")
 
 
 def _grouped(prints: DataFrame, radius: int) -> DataFrame:

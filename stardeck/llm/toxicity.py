@@ -333,21 +333,21 @@ def logistic(rows: list[tuple[tuple[float, ...], int, int]], ridge: float = 0.02
     return float(w[0]), tuple(max(float(v), 0.0) for v in w[1:])
 
 
-def _score(lexicon: Lexicon, names: list[str]):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(lexicon: Lexicon):
+    """A column's score: only texts go to Python and only numbers come back. Said to be nondeterministic, so that Spark asks each text once."""
+
+    @F.arrow_udf("double")
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(lexicon)
-        for batch in pieces(batches, 2):
-            s = np.array([scorer.score(t) for t in batch.column(2).to_pylist()], np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), *batch.columns[3:]], names)
+        for column in columns:
+            parts = pieces(iter([pa.RecordBatch.from_arrays([column], ["text"])]), 0)
+            yield pa.array([scorer.score(t) for part in parts for t in part.column(0).to_pylist()], pa.float64())
 
-    return make
+    return scored.asNondeterministic()
 
 
 def score(docs: DataFrame, lexicon: Lexicon, held_out: Column, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted and the columns `carry` for every row of docs (doc_id, text)."""
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(True)), "text", *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
-    also = [f"_{k}" for k in range(len(carry))]
-    names = ["doc_id", "held_out", "score", "predicted", *also]
-    schema = "doc_id long, held_out boolean, score double, predicted int" + "".join(f", {c} {d.schema[c].dataType.simpleString()}" for c in also)
-    out = d.mapInArrow(_score(lexicon, names), schema)
-    return out.select(*names[:4], *[F.col(k).alias(c) for k, c in zip(also, carry, strict=True)])
+    also = [F.col(c).alias(f"_{k}") for k, c in enumerate(carry)]
+    out = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(True)).alias("held_out"), _scored(lexicon)("text").alias("score"), *also)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"_{k}").alias(c) for k, c in enumerate(carry)])

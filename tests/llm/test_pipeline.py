@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from stardeck.llm import common, packing, quality_rules, queries, toxicity
+from stardeck.llm import common, packing, quality_rules, queries, simhash, toxicity
 
 from .conftest import COLUMNS, odd_rows
 from .test_documents import PACKER, deduped, fingerprint, plain_score, rates, statistics
@@ -109,6 +109,34 @@ def test_stages_over_nothing(spark, no_labels, tmp_path, extra):
     assert docs.count() == 0
 
 
+def to_and_from_python(df):
+    """Bytes that the plan of df sends to Python's workers, and that it has back."""
+    execution, sums = df._jdf.queryExecution(), [0, 0]
+    df._jdf.collectToPython()
+    todo = [execution.executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        for k, name in enumerate(("pythonDataSent", "pythonDataReceived")):
+            if node.metrics().contains(name):
+                sums[k] += node.metrics().apply(name).value()
+    return sums
+
+
+def test_texts_go_to_python_once_and_stay_there(spark, tmp_path, monkeypatch):
+    """What stages carry along isn't held by Python's workers nor in Arrow's buffers besides."""
+    rows = [(i, f"{i} ka lo mi " * 500, "en", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, ", ".join(COLUMNS.split(", ")[:5]))
+    size = sum(len(r[1]) for r in rows)
+    found = [toxicity.score(docs, toxicity.Lexicon({"zorp": 2.0}), common.bucket_of_id("doc_id", 5) == 0, corpus_pipeline.CARRIED)]
+    monkeypatch.setattr(simhash, "written", lambda df, name: found.append(df) or common.written(df, name))
+    assert simhash.first_of_each(docs).columns == corpus_pipeline.COLUMNS
+    for df in found[:2]:
+        assert "text" in df.columns or "_1" in df.columns
+        sent, back = to_and_from_python(df)
+        assert size <= sent < 1.5 * size and 0 < back < size / 4
+
+
 def test_registered():
     import __spark_entry__
 
