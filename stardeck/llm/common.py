@@ -18,6 +18,8 @@ SEED = 42
 #: Rows and bytes of text that a task works on at once; Spark itself bounds what it sends (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS = 1000
 BATCH_BYTES = 8_000_000
+#: Spark then removes a query's shuffle files when it has ended; else they stay until the driver collects its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -43,7 +45,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

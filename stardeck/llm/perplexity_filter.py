@@ -27,6 +27,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,11 @@ START, END = hashes([b"\n start", b"\n end"])
 #: The greatest size of the sketch, in bits (16 MB), and bits for each key of a smaller one.
 MOST_BITS, BITS_A_KEY = 27, 32
 #: Keys that every task scores by itself; model rows in a shard; bytes asked of a division of a shard.
-HOT_KEYS, SHARD_ROWS, DIVISION_BYTES = 1 << 18, 500_000, 16_000_000
+HOT_KEYS, SHARD_ROWS, DIVISION_BYTES = 1 << 18, 500_000, 32_000_000
+#: Bytes of text for each byte asked, and each order of n-grams, as they are expected.
+TEXT_BYTES = 4
+#: Counts from here on are one when the most frequent keys are looked for.
+MOST_COUNT = 1 << 16
 
 
 def _stream(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,10 +113,13 @@ def model(trusted: DataFrame, order: int = 3, text_col: str = "text") -> tuple[D
     values = [full.select("key", F.log10(F.col("full") / unknown).alias("value"), F.col("c").alias("n"))]
     for n in range(2, order + 1):
         d = discounts(*rows[n].agg(*of).first())
-        keyed = rows[n].select(F.xxhash64(*_words(n)).alias("key"), F.xxhash64(*_words(n - 1)).alias("before"), F.xxhash64(*_words(n, 2)).alias("end"), "c")
-        contexts = put(keyed.groupBy("before").agg((F.sum(_cut(d)) / F.sum("c")).alias("g"), F.sum("c").alias("total")), "contexts")
-        values.append(contexts.select(F.col("before").alias("key"), F.log10("g").alias("value"), F.col("total").alias("n")))
-        met = keyed.join(contexts, "before").join(full.select(F.col("key").alias("end"), F.col("full").alias("lower")), "end")
+        contexts = put(rows[n].groupBy(*_words(n - 1)).agg((F.sum(_cut(d)) / F.sum("c")).alias("g"), F.sum("c").alias("total")), "contexts")
+        values.append(contexts.select(F.xxhash64(*_words(n - 1)).alias("key"), F.log10("g").alias("value"), F.col("total").alias("n")))
+        # written between the joins, so that the shuffle files of one are gone before the next
+        met = put(rows[n].join(contexts, _words(n - 1)), "met")
+        made.remove(rows[n])
+        dropped(rows.pop(n))
+        met = met.withColumn("key", F.xxhash64(*_words(n))).join(full.select(F.col("key").alias("end"), F.col("full").alias("lower")), F.xxhash64(*_words(n, 2)) == F.col("end"))
         backed = F.col("g") * F.col("lower")
         probability = F.greatest(F.col("c") - _cut(d), F.lit(0.0)) / F.col("total") + backed
         full = met.select("key", probability.alias("full"), "c", backed.alias("backed"))
@@ -158,7 +166,7 @@ def _ask(order: int, hot: tuple[np.ndarray, np.ndarray], sketch: np.ndarray, bit
             known = hot[0][at] == keys if len(hot[0]) else np.zeros(len(keys), bool)
             sums = np.bincount(docs[known], hot[1][at[known]], batch.num_rows) if known.any() else np.zeros(batch.num_rows)
             tokens = np.bincount(doc[real], minlength=batch.num_rows)
-            made = {"row": pa.array(np.arange(row, row + batch.num_rows)), "n_tokens": pa.array(tokens), "sum": pa.array(sums)}
+            made = {"row": pa.array(numbers := np.arange(row, row + batch.num_rows)), "shard": pa.array((numbers % shards).astype(np.int32)), "n_tokens": pa.array(tokens), "sum": pa.array(sums)}
             yield _filled(made | dict(zip(names, batch.columns[1:], strict=True)), schema, batch.num_rows)
             keys, docs = keys[~known], docs[~known]
             place = keys >> np.uint64(64 - bits)
@@ -197,7 +205,10 @@ def _postings(keys: np.ndarray, docs: np.ndarray, shards: int) -> list[tuple]:
 
 
 def _answer(asked: pa.Table, table: pa.Table) -> pa.Table:
-    """Partial sums of the rows that ask a division of a shard."""
+    """Partial sums of the rows that ask a division of a shard, and the documents that went along, with what their task has summed."""
+    documents = pc.is_null(asked.column("keys"))
+    own = asked.filter(documents).drop_columns(["shard", "keys", "many", "docs", "times", "part"])
+    asked = asked.filter(pc.invert(documents))
     keys, values = (table.column(c).to_numpy() for c in ("key", "value"))
     keys = keys.view(np.uint64)
     order = np.argsort(keys)
@@ -213,13 +224,26 @@ def _answer(asked: pa.Table, table: pa.Table) -> pa.Table:
         of = np.unique(docs)
         rows.append(of + np.int64(row))
         sums.append(part[of])
-    return pa.table({"row": np.concatenate(rows), "part": np.concatenate(sums)})
+    parts = {"row": pa.array(np.concatenate(rows)), "sum": pa.array(np.concatenate(sums))}
+    return pa.concat_tables([own, pa.Table.from_batches([_filled(parts, own.schema, len(parts["row"]))])])
+
+
+def _most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """As many keys of the highest counts as fit into `most`, those of a count together; no rows are sorted in one task."""
+    count = F.least(F.col("n"), F.lit(MOST_COUNT)).cast("long")
+    least, held = MOST_COUNT, 0
+    # at most MOST_COUNT rows
+    for r in sorted(table.groupBy(count.alias("n")).agg(F.count("*").alias("keys")).collect(), reverse=True):
+        held += r["keys"]
+        if held > most:
+            break
+        least = r["n"]
+    return table.where(count >= least).limit(most)
 
 
 def perplexity(docs: DataFrame, table: DataFrame, unknown: float, order: int = 3, hot_keys: int = HOT_KEYS, shard_rows: int = SHARD_ROWS, division: int = DIVISION_BYTES, keep: tuple[str, ...] = ("doc_id", "lang"), text_col: str = "text") -> DataFrame:
     """The columns `keep`, n_tokens, log10_prob and perplexity for every row of docs."""
-    hot = table.orderBy(F.desc("n"), "key").limit(hot_keys)  # a table of fixed size
-    known = hot.select("key", "value").toArrow()
+    known = _most_frequent(table, hot_keys).select("key", "value").toArrow()
     by = np.argsort(known.column("key").to_numpy().view(np.uint64))
     held = tuple(known.column(c).to_numpy()[by] for c in ("key", "value"))
     held = (held[0].view(np.uint64), held[1])
@@ -234,16 +258,17 @@ def perplexity(docs: DataFrame, table: DataFrame, unknown: float, order: int = 3
     schema = ", ".join(["row long", *[f"{c} {d.schema[c].dataType.simpleString()}" for c in names], "n_tokens long, sum double, shard int, keys binary, many binary, docs binary, times binary"])
     types = [d.limit(0).select(*names).toArrow().schema.field(c) for c in names]
     arrow = pa.schema([("row", pa.int64()), *types, ("n_tokens", pa.int64()), ("sum", pa.float64()), ("shard", pa.int32()), *[(c, pa.binary()) for c in ("keys", "many", "docs", "times")]])
-    both = written(d.mapInArrow(_ask(order, held, _sketch(rest, bits), bits, shards, names, arrow), schema), "asked")
-    asked = both.where("shard IS NOT NULL").select("row", "shard", "keys", "many", "docs", "times")
-    weight = asked.agg(F.sum(sum(F.octet_length(c) for c in ("keys", "many", "docs", "times")))).first()[0] or 0
+    weight = order * (d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // TEXT_BYTES
     divisions = max(1, -(-weight // (shards * division)))
+    # what is asked is on disk but once, in the shuffle; the documents go along
+    asked = d.mapInArrow(_ask(order, held, _sketch(rest, bits), bits, shards, names, arrow), schema)
     asked = asked.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(divisions)).cast("int"))
     shard = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(shards).cast("long"), 32).cast("int")
     held_by = rest.select("key", "value", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(divisions - 1))).alias("part"))
-    parts = asked.groupBy("shard", "part").cogroup(held_by.groupBy("shard", "part")).applyInArrow(_answer, "row long, part double")
-    sums = parts.groupBy("row").agg(F.sum("part").alias("part"))
-    scored = both.where("shard IS NULL").join(sums, "row", "left")
+    answer = asked.select("row", *names, "n_tokens", "sum").schema
+    answers = written(asked.groupBy("shard", "part").cogroup(held_by.groupBy("shard", "part")).applyInArrow(_answer, answer), "answers")
+    sums = answers.where("n_tokens IS NULL").groupBy("row").agg(F.sum("sum").alias("part"))
+    scored = answers.where("n_tokens IS NOT NULL").join(sums, "row", "left")
     log_prob = F.col("sum") + F.coalesce("part", F.lit(0.0)) + F.col("n_tokens") * unknown
     return scored.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(keep)], "n_tokens", log_prob.alias("log10_prob"), F.pow(F.lit(10.0), -log_prob / F.col("n_tokens")).alias("perplexity"))
 

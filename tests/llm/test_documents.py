@@ -445,6 +445,18 @@ def test_perplexity_matches_the_formula(spark, order):
             assert got[i] == pytest.approx(want(t), rel=1e-9)
 
 
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(files.apply(k).getName()) for k in range(files.size())}
+
+    before = held()
+    counts = common.written(spark.range(10_000).groupBy(F.expr("id % 5000").alias("k")).count(), "counts")
+    assert not {f for f in held() - before if f.startswith("shuffle")}
+    assert counts.count() == 5000
+    assert spark.conf.get(common.CLEANED) == "false"
+
+
 def test_chained_hashes_are_those_of_spark(spark):
     import numpy as np
 
