@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +42,29 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that run herein go when these have ended."""
     before = spark.conf.get(CLEANED, None)
     spark.conf.set(CLEANED, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame | list[DataFrame], name: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: a cut of the lineage that outlives executors.
+
+    Shares in a list are written one after the other; the shuffle files of one are gone before the next.
+    """
+    shares = df if isinstance(df, list) else [df]
+    spark = shares[0].sparkSession
+    path = shared_dir(spark, name)
+    for share in shares:
+        with cleaned(spark):
+            share.write.mode("append").parquet(path)
+    return spark.read.schema(shares[0].schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:

@@ -445,6 +445,32 @@ def test_perplexity_matches_the_formula(spark, order):
             assert got[i] == pytest.approx(want(t), rel=1e-9)
 
 
+def test_perplexity_asks_in_shares_of_a_model_that_is_not_shuffled_again(spark, monkeypatch):
+    """Neither what all documents ask nor a second copy of the model is on disk at once."""
+    import random
+
+    rnd = random.Random(9)
+    docs = spark.createDataFrame([(i, "en", " ".join(rnd.choices([f"w{k}" for k in range(500)], k=30))) for i in range(400)], "doc_id long, lang string, text string").coalesce(2)
+    table, unknown = perplexity_filter.model(docs, 2)
+    given, rows, plans, write, drop = [], [], [], perplexity_filter.written, perplexity_filter.Shards.drop
+
+    def seen(df, name):
+        given.extend(df if name == "scored" else [])
+        return write(df, name)
+
+    def kept(self):
+        plans.extend(str(s._jdf.queryExecution().executedPlan()) for s in given)
+        rows.extend(s.count() for s in given)
+        drop(self)
+
+    monkeypatch.setattr(perplexity_filter, "written", seen)
+    monkeypatch.setattr(perplexity_filter.Shards, "drop", kept)
+    assert perplexity_filter.perplexity(docs, table, unknown, 2, hot_keys=10, shard_rows=500).count() == 400
+    assert len(rows) == perplexity_filter.ROUNDS > 1 and sum(rows) == 400 and max(rows) < 200
+    assert all("Bucketed: true" in p for p in plans)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("shards")]
+
+
 def test_shuffle_files_go_when_a_table_is_written(spark):
     def held():
         files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
