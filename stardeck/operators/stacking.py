@@ -123,19 +123,27 @@ def warped_average(rows: DataFrame, offsets: DataFrame, width: int, height: int)
     return w.groupBy("y", "x").agg(F.coalesce(saturate(F.expr("sum(v) div nullif(count(v), 0)")), F.lit(0)).alias("v"), F.count("v").alias("cnt"))
 
 
+#: Places of a quadrilateral that are broadcast (64 MB); more are left to Spark's own size check.
+PLACES = 1_000_000
+
+
 def onto_quad(rows: DataFrame, corners: list[tuple[int, int]], width: int, height: int) -> DataFrame:
-    """(frame, y, x, v): frames drawn into a quadrilateral of the plane by perspective, each place with the source pixel it falls into; places outside, or in rows that a frame lacks, are left out."""
+    """(frame, y, x, v): frames drawn into a quadrilateral of the plane by perspective, each place with the source pixel it falls into; places outside, or in rows that a frame lacks, are left out.
+
+    The places are the same in all frames: they are made once, whatever the number of frames, and each row takes those that fall into it.
+    """
     from ..functions.display import quad_matrix
 
     m = quad_matrix(corners, width, height)
     xs, ys = zip(*corners, strict=True)
-    line = F.explode(F.sequence(F.lit(min(ys)), F.lit(max(ys))))
-    grid = rows.select("frame").distinct().select("frame", line.alias("ty")).select("frame", "ty", F.explode(F.sequence(F.lit(min(xs)), F.lit(max(xs)))).alias("tx"))
+    wide, high = max(xs) - min(xs) + 1, max(ys) - min(ys) + 1
+    # a range of all places and not lines opened into them, whose number Spark would not count
+    grid = rows.sparkSession.range(wide * high).select((F.expr(f"id div {wide}") + min(ys)).cast("int").alias("ty"), (F.col("id") % wide + min(xs)).cast("int").alias("tx"))
     at = [m[i][0] * F.col("tx") + m[i][1] * F.col("ty") + m[i][2] for i in range(3)]
     # binary noise must not move what falls on the edge of a pixel
-    places = grid.select("frame", "ty", "tx", *[F.round(a / at[2], 9).cast("int").alias(c) for a, c in zip(at, "xy", strict=False)])
-    inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
-    met = places.where(inside).join(rows.select("frame", "y", "row"), ["frame", "y"]).where(F.col("x") < F.size("row"))
+    places = grid.select("ty", "tx", *[F.round(a / at[2], 9).cast("int").alias(c) for a, c in zip(at, "xy", strict=False)])
+    places = places.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+    met = rows.select("frame", "y", "row").join(F.broadcast(places) if wide * high <= PLACES else places, "y").where(F.col("x") < F.size("row"))
     return met.select("frame", F.col("ty").alias("y"), F.col("tx").alias("x"), F.get("row", F.col("x")).alias("v"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stardeck.functions.display import quad_matrix
 from stardeck.operators import calibration as cal
 from stardeck.operators import catalogue, gradient, registration, stacking, stars
 from stardeck.operators import frames as fr
@@ -356,6 +357,38 @@ def test_a_quadrilateral_leaves_out_what_a_frame_lacks(spark, noise):
     assert [got.where(f"frame = {k}").count() for k in range(3)] == [22 * 20, 22 * 7, 22 * 20 - 17]
 
 
+def test_places_of_a_quadrilateral_do_not_grow_with_the_frames(spark, monkeypatch):
+    """Places are broadcast once, whatever the number of frames, and no pixel is shuffled; a large picture's are not broadcast."""
+    rows = spark.range(4000 * 20).selectExpr("id div 20 AS frame", "cast(id % 20 AS int) AS y", "transform(sequence(0, 21), x -> cast(id * 22 + x AS int)) AS row")
+    corners = [(1, 2), (24, 0), (20, 21), (-3, 17)]
+    # 4 MB are enough for the 616 places of the box, not for those of all frames (192 MB)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4mb")
+    try:
+        got = stacking.onto_quad(rows, corners, 22, 20)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        sums = got.groupBy("frame").agg(F.count("*").alias("n"), F.sum(F.col("v") - F.col("frame") * 440).alias("s")).groupBy("n", "s").count().collect()
+        one = sorted(map(tuple, got.where("frame = 3999").collect()))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        monkeypatch.setattr(stacking, "PLACES", 100)
+        large = stacking.onto_quad(rows.where("frame >= 3998"), corners, 22, 20)
+        assert "BroadcastExchange" not in large._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, large.where("frame = 3999").collect())) == one
+    finally:
+        for key in ("spark.sql.maxBroadcastTableSize", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+    assert "Exchange hashpartitioning" not in plan and plan.count("BroadcastExchange") == 1
+    m = np.array(quad_matrix(corners, 22, 20))
+    want = []
+    for ty in range(22):
+        for tx in range(-3, 25):
+            x, y, w = m @ (tx, ty, 1)
+            x, y = int(round(x / w, 9)), int(round(y / w, 9))
+            if 0 <= x < 22 and 0 <= y < 20:
+                want.append((3999, ty, tx, 3999 * 440 + y * 22 + x))
+    assert one == sorted(want) and len(want) > 300
+    assert [tuple(r) for r in sums] == [(len(want), sum(w[3] - 3999 * 440 for w in want), 4000)]
+
+
 def test_triangles_match_without_a_shuffle_of_them(spark):
     """Every similar pair is found once, as by brute force; the reference's triangles go to the others."""
     rng = np.random.default_rng(11)
